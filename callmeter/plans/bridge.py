@@ -1,0 +1,123 @@
+"""Views that give the test tables the shape of call logs.
+
+`events` holds no model calls, so each event stands for one call and every figure
+follows from it by whole-number arithmetic. The same rules are written in SQL in
+`plans/oracle.py`.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from callmeter.functions import labels
+from callmeter.operators.ordered import last_seen, running_sum, scan, with_slices
+from callmeter.sources.prices import PriceTable
+
+PRICES = PriceTable(models={
+    "alpha-5": {"input": "5.00", "output": "25.00", "cache_read": "0.50", "max_output": 128000},
+    "alpha-5-5": {"input": "4.00", "output": "20.00", "cache_read": "0.20", "max_output": 128000},
+    "beta-4-5": {"input": "1.00", "output": "5.00", "cache_read": "0.10", "max_output": 64000},
+})
+ORDER = ["t_us", "turn_id"]
+START = "2024-01-01 00:00:00"
+START_US = 1704067200000000  # the same instant, microseconds since 1970
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet")
+
+
+def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per event in the shape of the call contract."""
+    ev = events(spark, sf_dir)
+    rows = ev.count()  # from the file footers
+    return calls_from(ev, rows)
+
+
+def calls_from(ev: DataFrame, rows: int | None = None) -> DataFrame:
+    c = F.col
+    src = ev.select(
+        c("event_id").alias("turn_id"), c("user_id").alias("session_key"), "event_type",
+        F.floor(c("value") * 10).cast("bigint").alias("v10"),
+        F.expr(f"{START_US} + timestampdiff(MICROSECOND, TIMESTAMP_NTZ '{START}', ts) div 60").alias("t_us"),
+    )
+    src = with_slices(src, ["session_key"], "t_us", rows)
+    main = c("event_type") != "error"
+    seq = scan(src, ["session_key"], ORDER,
+               task_no=running_sum(F.when(c("event_type") == "signup", 1).otherwise(0).cast("bigint")),
+               main_no=running_sum(F.when(main, 1).otherwise(0).cast("bigint")))
+    base = seq.select(
+        *seq.columns,
+        F.when(c("event_type") == "signup", "user_turn").when(~main, "subagent").otherwise("tool_call").alias("trigger"),
+        F.when(c("task_no") > 0, c("session_key") * 100000 + c("task_no")).otherwise(F.lit(-1)).cast("bigint").alias("task_id"),
+        F.when(~main, "beta-4-5-20251001").when((c("session_key") + c("task_no")) % 7 == 0, "alpha-5")
+        .otherwise("alpha-5-5").alias("model"),
+        F.when(main, 20000 + 600 * ((c("main_no") - 1) % 40)).otherwise(5000 + 10 * (c("turn_id") % 97)).alias("input_total"),
+        F.when(c("session_key") % 3 == 0, 3600).otherwise(300).cast("bigint").alias("ttl"),
+    )
+    lagged = scan(base, ["session_key"], ORDER,
+                  prev=last_seen(F.when(main, F.struct("t_us", "input_total", "model"))))
+    lost = (
+        (c("t_us") - c("prev.t_us") > c("ttl") * 1000000) | (c("turn_id") % 29 == 0) | (c("model") != c("prev.model"))
+    )
+    read = (
+        F.when(~main | c("prev").isNull(), 0)
+        .when(lost, 4000 * (c("session_key") % 2))
+        .otherwise(F.least(c("prev.input_total"), c("input_total") - 2))
+    ).cast("bigint")
+    out = lagged.withColumn("cache_read", read)
+    write = c("input_total") - 2 - c("cache_read")
+    keep = [n for n in ("slice",) if n in out.columns]
+    return out.select(
+        "turn_id", "session_key", "t_us", "trigger", "task_id", "model", "input_total", "cache_read",
+        F.lit(2).cast("bigint").alias("input_new"),
+        write.alias("cache_write"),
+        F.when(c("session_key") % 3 == 0, write).otherwise(0).cast("bigint").alias("cache_write_1h"),
+        (100 + c("v10")).alias("output"),
+        # every second sub-agent call was logged short and recovered from its result
+        F.when(~main & (c("turn_id") % 2 == 0), 3).otherwise(100 + c("v10")).cast("bigint").alias("output_logged"),
+        (main | (c("turn_id") % 2 == 0)).alias("output_exact"),
+        F.lit(None).cast("bigint").alias("reasoning"),
+        F.lit(False).alias("after_compaction"),
+        (1000 + c("turn_id") % 900).alias("added_chars"),
+        (c("task_id") != -1).alias("tracked"),
+        F.concat(F.lit("p"), c("session_key") % 12).alias("project"),
+        F.concat(F.lit("v"), c("session_key") % 3).alias("version"),
+        F.lit("log").alias("source"),
+        "event_type", "task_no", *keep,
+    )
+
+
+def main_calls(df: DataFrame) -> DataFrame:
+    return df.filter(F.col("trigger") != "subagent")
+
+
+def call_tools(calls_df: DataFrame) -> DataFrame:
+    """One tool use per main call that asks for one."""
+    c = F.col
+    name = (F.when(c("event_type") == "view", "Read").when(c("event_type") == "click", "Bash")
+            .when((c("event_type") == "purchase") & (c("turn_id") % 2 == 0), "Edit")
+            .when(c("event_type") == "purchase", "Agent"))
+    return main_calls(calls_df).select(
+        "source", "session_key", "turn_id", "task_id", "t_us", F.lit(0).alias("ord"), name.alias("name"),
+        F.when((c("event_type") == "click") & (c("turn_id") % 3 == 0), "pytest -q --durations=5")
+        .when(c("event_type") == "click", "ls").alias("command"),
+        *[n for n in ("slice",) if n in calls_df.columns],
+    ).filter(c("name").isNotNull())
+
+
+def file_events(calls_df: DataFrame) -> DataFrame:
+    c = F.col
+    return calls_df.filter(c("trigger") == "tool_call").select(
+        "session_key", "task_id", "t_us", "turn_id", F.lit("main").alias("thread"),
+        F.when(c("turn_id") % 37 == 0, ".mcp.json").otherwise(F.concat(F.lit("f"), c("turn_id") % 11)).alias("path"),
+        F.when(c("turn_id") % 3 == 0, "read").when(c("turn_id") % 3 == 1, "write").otherwise("search").alias("action"),
+        *[n for n in ("slice",) if n in calls_df.columns],
+    )
+
+
+def prices(spark: SparkSession) -> DataFrame:
+    return PRICES.frame(spark)
+
+
+__all__ = ["calls", "calls_from", "main_calls", "call_tools", "file_events", "prices", "labels"]
