@@ -7,7 +7,7 @@ follows from it by whole-number arithmetic. The same rules are written in SQL in
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from callmeter.functions import labels
 from callmeter.operators.ordered import last_seen, running_sum, scan, with_slices
@@ -121,3 +121,39 @@ def prices(spark: SparkSession) -> DataFrame:
 
 
 __all__ = ["calls", "calls_from", "main_calls", "call_tools", "file_events", "prices", "labels"]
+
+
+def lined_calls(calls_df: DataFrame) -> DataFrame:
+    """Calls with `line`, their place in the session's log (every call takes two places)."""
+    seq = scan(calls_df, ["session_key"], ORDER, n=running_sum(F.lit(1).cast("bigint")),
+               main_no=running_sum((F.col("trigger") != "subagent").cast("bigint")))
+    return seq.withColumn("line", 2 * F.col("n")).drop("n")
+
+
+def snapshots(lined: DataFrame) -> DataFrame:
+    """A cumulative counter after every 10th main call up to the 50th, one row per model it names.
+
+    By `session_key % 6` the counter restarts after the 20th main call, jumps once, drifts up,
+    drifts down, starts far ahead, or is exact; every 13th session has none.
+    """
+    c = F.col
+    main = c("trigger") != "subagent"
+    span = F.when(main, F.ceil(c("main_no") / 10)).otherwise(F.floor(c("main_no") / 10) + 1).cast("bigint")
+    had = c("session_key") % 13 != 0
+    marks = lined.filter(had & main & (c("main_no") % 10 == 0) & (c("main_no") <= 50)).select(
+        "session_key", (c("main_no") / 10).cast("bigint").alias("snap"), (c("line") + 1).alias("line"))
+    sums = (lined.filter(had).withColumn("span", span).filter("span <= 5").groupBy("session_key", "model", "span")
+            .agg(*[F.sum(n).alias(n) for n in ("input_new", "cache_read", "cache_write", "output")]))
+    # at most 5 x 5 rows per (session, model)
+    low = F.when((c("session_key") % 6 == 0) & (c("snap") > 2), 2).otherwise(0)
+    counted = (marks.join(sums, "session_key").filter((c("span") <= c("snap")) & (c("span") > low))
+               .groupBy("session_key", "snap", "line", "model")
+               .agg(*[F.sum(n).alias(n) for n in ("input_new", "cache_read", "cache_write", "output")]))
+    kind = c("session_key") % 6
+    drift = (F.when((kind == 1) & (c("snap") >= 3), 50000).when(kind == 2, 3000 * c("snap"))
+             .when(kind == 3, -700 * c("snap")).when(kind == 4, 1000000).otherwise(0))
+    first = F.min("model").over(Window.partitionBy("session_key", "snap")) == c("model")
+    return counted.select(
+        "session_key", "line", "model", c("input_new").alias("c_input"),
+        (c("cache_read") + F.when(first, drift).otherwise(0)).cast("bigint").alias("c_read"),
+        c("cache_write").alias("c_write"), c("output").alias("c_output"))

@@ -167,3 +167,104 @@ SQL["top_per_group"] = query(f"""
 SELECT project, task_id, {usd('cost_p')} AS cost, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY project ORDER BY cost_p DESC, task_id) AS rank FROM stats WHERE tracked)
 WHERE rank <= 3""")
+
+PAIRS = """
+main_rows AS (SELECT * FROM priced WHERE trigger <> 'subagent'),
+pairs AS (
+  SELECT m.*, lag(m.t_us) OVER w AS q_us, lag(m.input_total) OVER w AS q_input, lag(m.output) OVER w AS q_output,
+         lag(m.model) OVER w AS q_model, lag(m.task_id) OVER w AS q_task, lag(m.turn_id) OVER w AS q_turn,
+         coalesce(last_value(CASE WHEN cache_write > 0 THEN CASE WHEN cache_write_1h > 0 THEN 3600 ELSE 300 END END IGNORE NULLS)
+                  OVER (PARTITION BY session_key ORDER BY t_us, turn_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 300) AS ttl,
+         row_number() OVER w - 1 AS call_index, count(*) OVER (PARTITION BY session_key) AS calls_in_session
+  FROM main_rows m WINDOW w AS (PARTITION BY session_key ORDER BY t_us, turn_id)
+  QUALIFY q_turn IS NOT NULL),
+events_lost AS (
+  SELECT *, CASE WHEN t_us - q_us > ttl * CAST(1000000 AS BIGINT) THEN 'expired' ELSE 'break' END AS kind,
+         q_input - cache_read AS lost_tokens,
+         (q_input - cache_read) * (CASE WHEN ttl = 3600 THEN p_write_1h ELSE p_write_5m END - p_read) AS extra_p
+  FROM pairs WHERE q_input >= 4096 AND input_total >= 0.5 * q_input AND cache_read < 0.5 * q_input)
+"""
+EXPIRED = """
+expired AS (SELECT * FROM pairs WHERE q_input >= 4096 AND model = q_model AND input_total >= 0.5 * q_input
+            AND t_us - q_us > ttl * CAST(1000000 AS BIGINT))
+"""
+WRITES = """
+prefix_w AS (SELECT session_key, t_us FROM files WHERE action = 'write' AND path = '.mcp.json'),
+caused AS (
+  SELECT p.*, coalesce(x.n, 0) AS written_n, l.kind, l.extra_p
+  FROM pairs p LEFT JOIN events_lost l USING (turn_id)
+  LEFT JOIN (SELECT p.turn_id, count(*) AS n FROM pairs p JOIN prefix_w w ON w.session_key = p.session_key
+             AND w.t_us >= p.q_us AND w.t_us < p.t_us GROUP BY p.turn_id) x USING (turn_id)),
+unexplained AS (SELECT * FROM caused WHERE kind = 'break' AND model = q_model AND written_n = 0)
+"""
+
+SQL["cache_events"] = query(f"""
+SELECT turn_id, session_key, kind, lost_tokens, {usd('extra_p', 6)} AS extra_cost, t_us - q_us AS gap_us FROM events_lost""", PAIRS)
+
+SQL["cache_summary"] = query(f"""
+SELECT kind, count(*) AS events, CAST(sum(lost_tokens) AS BIGINT) AS lost_tokens, {usd('sum(extra_p)')} AS extra_cost
+FROM events_lost GROUP BY kind""", PAIRS)
+
+SQL["expiries"] = query("""
+SELECT turn_id, session_key, model, t_us - q_us AS gap_us, ttl, q_input AS context, cache_read AS read FROM expired""", PAIRS, EXPIRED)
+
+SQL["ttl_in_force"] = query("""
+SELECT session_key, coalesce(arg_max(CASE WHEN cache_write_1h > 0 THEN 3600 ELSE 300 END, (t_us, turn_id)) FILTER (cache_write > 0), 300) AS ttl
+FROM calls WHERE trigger <> 'subagent' GROUP BY session_key""")
+
+SQL["cache_clock"] = query("""
+SELECT session_key, ttl, left_us > 0 AS warm, round(greatest(left_us / 1000000.0, 0.0), 3) AS left_s, tokens, model FROM (
+  SELECT session_key, coalesce(arg_max(CASE WHEN cache_write_1h > 0 THEN 3600 ELSE 300 END, (t_us, turn_id)) FILTER (cache_write > 0), 300) AS ttl,
+    ttl * CAST(1000000 AS BIGINT) - (1704067200000000 + 43200000000 - max(t_us)) AS left_us,
+    arg_max(input_total + output, (t_us, turn_id)) AS tokens, arg_max(model, (t_us, turn_id)) AS model
+  FROM calls WHERE trigger <> 'subagent' GROUP BY session_key)""")
+
+SQL["break_causes"] = query(f"""
+SELECT CASE WHEN model <> q_model THEN 'model_switch' WHEN written_n > 0 THEN 'prefix_file_written' ELSE 'no_visible_cause' END AS cause,
+  count(*) AS breaks, {usd('sum(extra_p)')} AS cost FROM caused WHERE kind = 'break' GROUP BY 1""", PAIRS, WRITES)
+
+SQL["prefix_writes"] = query("""
+SELECT count(*) FILTER (written_n > 0 AND q_input >= 4096) AS prefix_writes,
+  count(*) FILTER (written_n > 0 AND q_input >= 4096 AND kind = 'break') AS prefix_writes_then_break FROM caused""", PAIRS, WRITES)
+
+SURVIVORS = """
+survivors AS (
+  SELECT p.turn_id, p.session_key, 'm' || (p.session_key % 40) AS model, p.q_input AS context, p.cache_read AS read,
+    EXISTS (SELECT 1 FROM calls o WHERE o.session_key % 40 = p.session_key % 40 AND o.session_key <> p.session_key
+            AND o.t_us < p.t_us AND o.t_us >= p.t_us - p.ttl * CAST(1000000 AS BIGINT)) AS other_active
+  FROM pairs p WHERE q_input >= 4096 AND input_total >= 0.5 * q_input AND t_us - q_us > ttl * CAST(1000000 AS BIGINT))
+"""
+SQL["other_session_active"] = query("SELECT turn_id, session_key, model, read, other_active FROM survivors", PAIRS, SURVIVORS)
+SQL["expiry_survivors"] = query("""
+SELECT count(*) AS n, quantile_cont(read, 0.1) AS read_p10, quantile_cont(read, 0.5) AS read_p50, quantile_cont(read, 0.9) AS read_p90,
+  count(*) FILTER (other_active) AS other_active, count(*) FILTER (other_active AND read >= 0.1 * context) AS other_active_read10,
+  quantile_cont(read, 0.5) FILTER (other_active) AS other_active_read_p50,
+  count(*) FILTER (NOT other_active) AS alone, count(*) FILTER (NOT other_active AND read >= 0.1 * context) AS alone_read10,
+  quantile_cont(read, 0.5) FILTER (NOT other_active) AS alone_read_p50 FROM survivors""", PAIRS, SURVIVORS)
+
+SQL["break_shape"] = query(f"""
+SELECT measure, bucket, count(*) AS breaks, {usd('sum(extra_p)')} AS cost FROM (
+  SELECT extra_p, unnest(['version', 'first 3 calls', 'position decile', 'task', 'sub-agents between', 'gap share of ttl',
+                          'tokens still read', 'context']) AS measure,
+    unnest([version, CASE WHEN call_index <= 3 THEN 'yes' ELSE 'no' END,
+      CAST(least(9, (10 * call_index) // calls_in_session) AS VARCHAR),
+      CASE WHEN task_id <> q_task THEN 'new' ELSE 'same' END,
+      CASE WHEN EXISTS (SELECT 1 FROM calls s WHERE s.trigger = 'subagent' AND s.session_key = u.session_key
+                        AND s.t_us >= u.q_us AND s.t_us < u.t_us) THEN 'yes' ELSE 'no' END,
+      ttl || 's ' || CASE WHEN (t_us - q_us) / (ttl * 1e6) < 0.1 THEN '<10%' WHEN (t_us - q_us) / (ttl * 1e6) < 0.5 THEN '10-50%'
+        WHEN (t_us - q_us) / (ttl * 1e6) < 0.9 THEN '50-90%' ELSE '90-100%' END,
+      CASE WHEN cache_read = 0 THEN '0' WHEN cache_read BETWEEN 15000 AND 35000 THEN '15k-35k' WHEN cache_read > 35000 THEN '>35k' ELSE 'other' END,
+      CASE WHEN input_total - q_input - q_output >= 0 THEN 'grew' ELSE 'shrank' END]) AS bucket
+  FROM unexplained u) GROUP BY measure, bucket""", PAIRS, WRITES)
+
+SQL["break_concentration"] = query(f"""
+SELECT top, CAST(sum(breaks) FILTER (rn <= top) AS BIGINT) AS breaks, {usd('sum(cost_p) FILTER (rc <= top)')} AS cost
+FROM (SELECT *, row_number() OVER (ORDER BY breaks DESC, session_key) AS rn, row_number() OVER (ORDER BY cost_p DESC, session_key) AS rc
+      FROM (SELECT session_key, count(*) AS breaks, sum(extra_p) AS cost_p FROM unexplained GROUP BY session_key)),
+  (VALUES (1), (3), (5), (10)) k(top) GROUP BY top""", PAIRS, WRITES)
+
+SQL["tool_lift"] = query("""
+SELECT name, before_break, before_any, round((before_break / greatest((SELECT count(*) FROM unexplained), 1)) /
+    (before_any / (SELECT count(*) FROM pairs)), 6) AS lift
+FROM (SELECT t.name, count(*) AS before_any, count(*) FILTER (p.turn_id IN (SELECT turn_id FROM unexplained)) AS before_break
+      FROM pairs p JOIN tools t ON t.turn_id = p.q_turn GROUP BY t.name) WHERE before_break > 0""", PAIRS, WRITES)

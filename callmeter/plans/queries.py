@@ -8,7 +8,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from callmeter.functions.money import dollars, exact_sum
-from callmeter.operators import files, reports, tasks
+from callmeter.operators import cache, files, reconcile, reports, tasks
 from callmeter.plans import bridge
 
 c = F.col
@@ -37,9 +37,7 @@ class Views:
     def main(self) -> DataFrame:
         return tasks.main_calls(self.calls)
 
-    @cached_property
-    def prices(self) -> DataFrame:
-        return bridge.prices(self.spark)
+    prices = bridge.PRICES
 
     @cached_property
     def tools(self) -> DataFrame:
@@ -81,6 +79,44 @@ class Views:
     def plain_real(self) -> DataFrame:
         return tasks.real_tasks(self.plain_stats)
 
+    @cached_property
+    def pairs(self) -> DataFrame:
+        return cache.call_pairs(self.priced)
+
+    @cached_property
+    def written_pairs(self) -> DataFrame:
+        return cache.call_pairs(self.priced, cache.prefix_file_writes(self.files))
+
+    @cached_property
+    def spread_calls(self) -> DataFrame:
+        """Forty models instead of three, so that some expiries have no other session beside them."""
+        return self.calls.withColumn("model", F.concat(F.lit("m"), c("session_key") % 40))
+
+    @cached_property
+    def survivors(self) -> DataFrame:
+        cases = cache.expiries(cache.call_pairs(self.spread_calls))
+        return cache.other_session_active(self.spread_calls, cases, self.rows)
+
+    @cached_property
+    def lined(self) -> DataFrame:
+        return bridge.lined_calls(self.calls)
+
+    @cached_property
+    def snapshots(self) -> DataFrame:
+        return bridge.snapshots(self.lined)
+
+    @cached_property
+    def series(self) -> DataFrame:
+        return reconcile.series(self.lined, self.snapshots)
+
+    @cached_property
+    def checks(self) -> DataFrame:
+        return reconcile.counter_checks(self.lined, self.snapshots)
+
+    @cached_property
+    def verdicts(self) -> DataFrame:
+        return reconcile.session_status(self.lined, self.snapshots)
+
 
 def query(fn: Callable[[Views], DataFrame]):
     """Register a query under its function name."""
@@ -117,7 +153,8 @@ def top_tasks(v: Views) -> DataFrame:
 
 @query
 def price_prefix_join(v: Views) -> DataFrame:
-    return v.priced.groupBy("model", "price_key").agg(
+    priced = tasks.enrich(v.calls, bridge.PRICES.frame(v.spark))
+    return priced.groupBy("model", "price_key").agg(
         F.count(F.lit(1)).alias("calls"), dollars(exact_sum("cost_p"), 4).alias("cost"))
 
 
@@ -135,3 +172,76 @@ def anonymized_sessions(v: Views) -> DataFrame:
 def top_per_group(v: Views) -> DataFrame:
     top = reports.top_per_group(v.plain_stats.filter("tracked"), ["project"], [c("cost_p").desc(), c("task_id")], 3)
     return top.select("project", "task_id", dollars(c("cost_p"), 4).alias("cost"), "rank")
+
+
+@query
+def cache_events(v: Views) -> DataFrame:
+    return cache.cache_events(v.pairs).select(
+        "turn_id", "session_key", "kind", "lost_tokens", dollars(c("extra_p"), 6).alias("extra_cost"), "gap_us")
+
+
+@query
+def cache_summary(v: Views) -> DataFrame:
+    return cache.cache_summary(cache.cache_events(v.pairs))
+
+
+@query
+def expiries(v: Views) -> DataFrame:
+    return cache.expiries(cache.call_pairs(v.calls)).select("turn_id", "session_key", "model", "gap_us", "ttl", "context", "read")
+
+
+@query
+def ttl_in_force(v: Views) -> DataFrame:
+    return cache.ttl_in_force(v.calls)
+
+
+NOW_US = bridge.START_US + 12 * 3600 * 1_000_000
+
+
+@query
+def cache_clock(v: Views) -> DataFrame:
+    return cache.cache_clock(v.calls, NOW_US)
+
+
+@query
+def break_causes(v: Views) -> DataFrame:
+    return cache.break_causes(v.written_pairs)
+
+
+@query
+def prefix_writes(v: Views) -> DataFrame:
+    return cache.prefix_writes(v.written_pairs)
+
+
+@query
+def other_session_active(v: Views) -> DataFrame:
+    return v.survivors.select("turn_id", "session_key", "model", "read", "other_active")
+
+
+@query
+def expiry_survivors(v: Views) -> DataFrame:
+    return cache.expiry_survivors(v.survivors)
+
+
+def _shape_pairs(v: Views) -> DataFrame:
+    from callmeter.operators.ordered import running_sum, scan
+
+    main = tasks.main_calls(cache.with_subs_before(v.priced))
+    indexed = scan(main, ["session_key"], ["t_us", "turn_id"], call_index=running_sum(F.lit(1).cast("bigint"), inclusive=False))
+    sizes = tasks.main_calls(v.calls).groupBy("session_key").agg(F.count(F.lit(1)).alias("calls_in_session"))
+    return cache.call_pairs(indexed.join(sizes, "session_key"), cache.prefix_file_writes(v.files))
+
+
+@query
+def break_shape(v: Views) -> DataFrame:
+    return cache.break_shape(_shape_pairs(v))
+
+
+@query
+def break_concentration(v: Views) -> DataFrame:
+    return cache.break_concentration(v.written_pairs)
+
+
+@query
+def tool_lift(v: Views) -> DataFrame:
+    return cache.tool_lift(v.written_pairs, v.tools)

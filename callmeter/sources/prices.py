@@ -17,6 +17,8 @@ PICO_PER_TOKEN = 1_000_000  # one dollar per million tokens
 PRICE_SCHEMA = ("price_key string, p_new bigint, p_read bigint, p_write_5m bigint, p_write_1h bigint, "
                 "p_out bigint, max_output bigint")
 
+AMOUNTS = ("p_new", "p_read", "p_write_5m", "p_write_1h", "p_out", "max_output")
+
 
 class PriceError(ValueError):
     """The price table is malformed; the message names the model and the field."""
@@ -91,6 +93,18 @@ def match_models(models: DataFrame, prices: DataFrame, on: str = "model") -> Dat
     )
 
 
-def with_prices(df: DataFrame, prices: DataFrame, on: str = "model") -> DataFrame:
-    """Left join of the matched price row; unpriced models keep null amounts."""
+def with_prices(df: DataFrame, prices: PriceTable | DataFrame, on: str = "model") -> DataFrame:
+    """Add the matched price amounts; unpriced models keep null amounts.
+
+    A `PriceTable` is a handful of known rows: its keys become one CASE expression, longest
+    key first, with no join and no shuffle. A price DataFrame is matched by `match_models`.
+    """
+    if isinstance(prices, PriceTable):
+        name, found = F.col(on), None
+        for key, *cells in sorted(prices.rows(), key=lambda r: -len(r[0])):
+            hit = (name == key) | name.startswith(key + "-") | name.startswith(key + "@")
+            row = F.struct(F.lit(key).alias("price_key"),
+                           *[F.lit(v).cast("bigint").alias(n) for n, v in zip(AMOUNTS, cells)])
+            found = F.when(hit, row) if found is None else found.when(hit, row)
+        return df.withColumn("__p", found).select("*", "__p.*").drop("__p")
     return df.join(match_models(df, prices, on), on, "left")
