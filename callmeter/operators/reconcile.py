@@ -2,7 +2,8 @@
 
 `calls` carry `line`, their place in the session's main log (for a sub-agent call the
 place of its launch, null when unlinked); `snapshots` are (session_key, line, model,
-c_input, c_read, c_write, c_output), one row per model named at that place.
+c_input, c_read, c_write, c_output), one row per model named at that place. Where calls
+carry a `slice`, snapshots carry the one of the call before them.
 """
 
 from __future__ import annotations
@@ -51,10 +52,6 @@ def series(calls: DataFrame, snapshots: DataFrame) -> DataFrame:
     keep = [n for n in ("slice",) if n in calls.columns]
     rows = calls.filter(c("line").isNotNull()).select(*KEY, "line", *keep, *OURS.values(), F.lit(1).cast("bigint").alias("__call"))
     marks = totals.withColumn("__call", F.lit(0).cast("bigint"))
-    if keep and "slice" not in totals.columns:  # a snapshot belongs to the slice of the call before it
-        at = calls.groupBy(*KEY, "slice").agg(F.min("line").alias("__from"))
-        marks = (marks.join(at, KEY).filter(c("__from") <= c("line"))
-                 .groupBy(*KEY, "line", "__call", *COUNTER).agg(F.max("slice").alias("slice")))
     both = rows.unionByName(marks, allowMissingColumns=True)
     sums = {n: running_sum(F.coalesce(c(src), F.lit(0))) for n, src in OURS.items()}
     at = scan(both, KEY, ["line", "__call"], calls=running_sum(c("__call")), **sums).filter("__call = 0")

@@ -141,13 +141,15 @@ def snapshots(lined: DataFrame) -> DataFrame:
     span = F.when(main, F.ceil(c("main_no") / 10)).otherwise(F.floor(c("main_no") / 10) + 1).cast("bigint")
     had = c("session_key") % 13 != 0
     marks = lined.filter(had & main & (c("main_no") % 10 == 0) & (c("main_no") <= 50)).select(
-        "session_key", (c("main_no") / 10).cast("bigint").alias("snap"), (c("line") + 1).alias("line"))
+        "session_key", (c("main_no") / 10).cast("bigint").alias("snap"), (c("line") + 1).alias("line"),
+        *[n for n in ("slice",) if n in lined.columns])
+    keep = [n for n in ("slice",) if n in lined.columns]
     sums = (lined.filter(had).withColumn("span", span).filter("span <= 5").groupBy("session_key", "model", "span")
             .agg(*[F.sum(n).alias(n) for n in ("input_new", "cache_read", "cache_write", "output")]))
     # at most 5 x 5 rows per (session, model)
     low = F.when((c("session_key") % 6 == 0) & (c("snap") > 2), 2).otherwise(0)
     counted = (marks.join(sums, "session_key").filter((c("span") <= c("snap")) & (c("span") > low))
-               .groupBy("session_key", "snap", "line", "model")
+               .groupBy("session_key", "snap", "line", "model", *keep)
                .agg(*[F.sum(n).alias(n) for n in ("input_new", "cache_read", "cache_write", "output")]))
     kind = c("session_key") % 6
     drift = (F.when((kind == 1) & (c("snap") >= 3), 50000).when(kind == 2, 3000 * c("snap"))
@@ -156,4 +158,4 @@ def snapshots(lined: DataFrame) -> DataFrame:
     return counted.select(
         "session_key", "line", "model", c("input_new").alias("c_input"),
         (c("cache_read") + F.when(first, drift).otherwise(0)).cast("bigint").alias("c_read"),
-        c("cache_write").alias("c_write"), c("output").alias("c_output"))
+        c("cache_write").alias("c_write"), c("output").alias("c_output"), *keep)

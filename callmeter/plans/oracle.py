@@ -268,3 +268,157 @@ SELECT name, before_break, before_any, round((before_break / greatest((SELECT co
     (before_any / (SELECT count(*) FROM pairs)), 6) AS lift
 FROM (SELECT t.name, count(*) AS before_any, count(*) FILTER (p.turn_id IN (SELECT turn_id FROM unexplained)) AS before_break
       FROM pairs p JOIN tools t ON t.turn_id = p.q_turn GROUP BY t.name) WHERE before_break > 0""", PAIRS, WRITES)
+
+SNAPS = """
+lined AS (
+  SELECT *, 2 * row_number() OVER w AS line,
+         CAST(sum(CASE WHEN trigger <> 'subagent' THEN 1 ELSE 0 END) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS mno
+  FROM calls WINDOW w AS (PARTITION BY session_key ORDER BY t_us, turn_id)),
+marks AS (SELECT session_key, mno // 10 AS snap, line + 1 AS line FROM lined
+          WHERE session_key % 13 <> 0 AND trigger <> 'subagent' AND mno % 10 = 0 AND mno <= 50),
+counted AS (
+  SELECT k.session_key, k.snap, k.line, l.model, CAST(sum(input_new) AS BIGINT) AS i, CAST(sum(cache_read) AS BIGINT) AS r,
+         CAST(sum(cache_write) AS BIGINT) AS w, CAST(sum(output) AS BIGINT) AS o
+  FROM marks k JOIN lined l ON l.session_key = k.session_key AND l.line < k.line
+    AND (k.session_key % 6 <> 0 OR k.snap <= 2 OR
+         l.line > (SELECT min(m.line) FROM marks m WHERE m.session_key = k.session_key AND m.snap = 2))
+  GROUP BY ALL),
+snaps AS (
+  SELECT session_key, line, model, i AS c_input, w AS c_write, o AS c_output,
+    r + CASE WHEN model = min(model) OVER (PARTITION BY session_key, snap) THEN
+      CASE session_key % 6 WHEN 1 THEN CASE WHEN snap >= 3 THEN 50000 ELSE 0 END WHEN 2 THEN 3000 * snap
+        WHEN 3 THEN -700 * snap WHEN 4 THEN 1000000 ELSE 0 END ELSE 0 END AS c_read
+  FROM counted),
+last_snap AS (SELECT session_key, max(line) AS last_line FROM snaps GROUP BY session_key),
+counter_side AS (SELECT session_key, model, CAST(sum(c_input) AS BIGINT) AS c_input, CAST(sum(c_read) AS BIGINT) AS c_read,
+    CAST(sum(c_write) AS BIGINT) AS c_write, CAST(sum(c_output) AS BIGINT) AS c_output
+  FROM snaps JOIN last_snap USING (session_key) WHERE line = last_line GROUP BY session_key, model),
+line_side AS (SELECT session_key, model, CAST(sum(input_new) AS BIGINT) AS o_input, CAST(sum(cache_read) AS BIGINT) AS o_read,
+    CAST(sum(cache_write) AS BIGINT) AS o_write, CAST(sum(output) AS BIGINT) AS o_output, CAST(sum(output_logged) AS BIGINT) AS o_output_logged
+  FROM lined JOIN last_snap USING (session_key) WHERE line < last_line GROUP BY session_key, model),
+checks AS (
+  SELECT session_key, model, coalesce(c_input, 0) AS c_input, coalesce(c_read, 0) AS c_read, coalesce(c_write, 0) AS c_write,
+    coalesce(c_output, 0) AS c_output, coalesce(o_input, 0) AS o_input, coalesce(o_read, 0) AS o_read, coalesce(o_write, 0) AS o_write,
+    coalesce(o_output, 0) AS o_output, coalesce(o_output_logged, 0) AS o_output_logged
+  FROM counter_side FULL OUTER JOIN line_side USING (session_key, model)),
+points AS (
+  SELECT s.session_key, s.line, s.i + s.r + s.w AS counter, s.i, s.r, s.w, s.o,
+    (SELECT count(*) FROM lined l WHERE l.session_key = s.session_key AND l.line < s.line) AS calls,
+    (SELECT CAST(sum(input_new) AS BIGINT) FROM lined l WHERE l.session_key = s.session_key AND l.line < s.line) AS oi,
+    (SELECT CAST(sum(cache_read) AS BIGINT) FROM lined l WHERE l.session_key = s.session_key AND l.line < s.line) AS orr,
+    (SELECT CAST(sum(cache_write) AS BIGINT) FROM lined l WHERE l.session_key = s.session_key AND l.line < s.line) AS ow,
+    (SELECT CAST(sum(output) AS BIGINT) FROM lined l WHERE l.session_key = s.session_key AND l.line < s.line) AS oo
+  FROM (SELECT session_key, line, CAST(sum(c_input) AS BIGINT) AS i, CAST(sum(c_read) AS BIGINT) AS r,
+          CAST(sum(c_write) AS BIGINT) AS w, CAST(sum(c_output) AS BIGINT) AS o FROM snaps GROUP BY session_key, line) s),
+steps AS (
+  SELECT *, oi + orr + ow AS ours, lag(counter) OVER q AS p_counter, counter >= p_counter AS pair,
+    CASE WHEN pair THEN calls - lag(calls) OVER q END AS d_calls, CASE WHEN pair THEN ours - lag(oi + orr + ow) OVER q END AS d_ours,
+    CASE WHEN pair THEN counter - p_counter END AS d_counter, d_ours - d_counter AS delta,
+    CASE WHEN pair THEN oi - lag(oi) OVER q END AS doi, CASE WHEN pair THEN orr - lag(orr) OVER q END AS dor,
+    CASE WHEN pair THEN ow - lag(ow) OVER q END AS dow, CASE WHEN pair THEN oo - lag(oo) OVER q END AS doo,
+    CASE WHEN pair THEN i - lag(i) OVER q END AS di, CASE WHEN pair THEN r - lag(r) OVER q END AS dr,
+    CASE WHEN pair THEN w - lag(w) OVER q END AS dw, CASE WHEN pair THEN o - lag(o) OVER q END AS dout
+  FROM points WINDOW q AS (PARTITION BY session_key ORDER BY line)),
+inc AS (
+  SELECT session_key, count(*) AS snapshots, count(*) FILTER (pair) AS pairs, CAST(coalesce(sum(d_calls), 0) AS BIGINT) AS calls,
+    CAST(coalesce(sum(d_ours), 0) AS BIGINT) AS ours, CAST(coalesce(sum(d_counter), 0) AS BIGINT) AS counter,
+    arg_min(counter - ours, line) AS "offset", count(*) FILTER (NOT pair) AS restarts,
+    sum(doi) AS doi, sum(dor) AS dor, sum(dow) AS dow, sum(doo) AS doo, sum(di) AS di, sum(dr) AS dr, sum(dw) AS dw, sum(dout) AS dout
+  FROM (SELECT session_key, line, pair, d_calls, d_ours, d_counter, counter, ours, doi, dor, dow, doo, di, dr, dw, dout FROM steps)
+  GROUP BY session_key),
+shape AS (
+  SELECT session_key, count(*) FILTER (pair) AS intervals, count(*) FILTER (pair AND delta <> 0) AS steps,
+    CAST(coalesce(sum(d_calls) FILTER (delta <> 0), 0) AS BIGINT) AS calls_in_steps,
+    CASE WHEN count(*) FILTER (pair) = 0 THEN 'unknown'
+      WHEN count(*) FILTER (pair) < 3 AND count(*) FILTER (pair AND delta <> 0) > 0 THEN 'too few intervals'
+      WHEN count(*) FILTER (pair AND delta <> 0) = 0 THEN 'none'
+      WHEN count(*) FILTER (pair AND delta <> 0) <= 2
+        OR list_sum(list_slice(list_reverse_sort(list(abs(delta)) FILTER (pair)), 1, 2)) >= 0.9 * sum(abs(delta)) THEN 'concentrated'
+      ELSE 'spread' END AS kind
+  FROM steps GROUP BY session_key),
+tails AS (
+  SELECT l.session_key, l.line, l.t_us, row_number() OVER z AS n, count(*) OVER (PARTITION BY l.session_key) AS of,
+    sum(l.input_new) OVER z AS ti, sum(l.cache_read) OVER z AS tr, sum(l.cache_write) OVER z AS tw, CAST(sum(l.output) OVER z AS BIGINT) AS tout
+  FROM lined l JOIN last_snap k ON l.session_key = k.session_key AND l.line < k.last_line
+  WINDOW z AS (PARTITION BY l.session_key ORDER BY l.line DESC ROWS UNBOUNDED PRECEDING)),
+suffix AS (
+  SELECT t.session_key, t.n AS last_calls, t.of, t.t_us AS since_us, CAST(t.ti AS BIGINT) AS ti, CAST(t.tr AS BIGINT) AS tr,
+    CAST(t.tw AS BIGINT) AS tw, t.tout AS tail_o_output, g.ai, g.ar, g.aw, g.ao AS tail_c_output
+  FROM tails t JOIN (SELECT session_key, CAST(sum(c_input) AS BIGINT) AS ai, CAST(sum(c_read) AS BIGINT) AS ar, CAST(sum(c_write) AS BIGINT) AS aw,
+      CAST(sum(c_output) AS BIGINT) AS ao FROM counter_side GROUP BY session_key) g USING (session_key)
+  WHERE t.ti = g.ai AND t.tr = g.ar AND t.tw = g.aw
+  QUALIFY row_number() OVER (PARTITION BY t.session_key ORDER BY t.n) = 1),
+sums AS (
+  SELECT session_key, sum(o_input) = sum(c_input) AND sum(o_read) = sum(c_read) AND sum(o_write) = sum(c_write) AS exact,
+    sum(o_input + o_read + o_write) AS li, sum(c_input + c_read + c_write) AS ci, sum(o_output) AS lo, sum(c_output) AS co,
+    sum(o_input) AS soi, sum(o_read) AS sor, sum(o_write) AS sow, sum(c_input) AS sci, sum(c_read) AS scr, sum(c_write) AS scw,
+    count(*) FILTER (o_input + o_read + o_write = 0 AND c_input + c_read + c_write <> 0) AS models_counter_only,
+    count(*) FILTER (c_input + c_read + c_write = 0 AND o_input + o_read + o_write <> 0) AS models_lines_only
+  FROM checks GROUP BY session_key),
+status AS (
+  SELECT s.*, i.* EXCLUDE (session_key), h.kind, x.* EXCLUDE (session_key),
+    CASE WHEN exact THEN 'exact' WHEN last_calls = of THEN 'lines_exact' WHEN last_calls IS NOT NULL THEN 'run_exact'
+      WHEN pairs > 0 AND ours > counter THEN 'over' WHEN pairs > 0 AND h.kind = 'spread' THEN 'spread'
+      WHEN pairs > 0 THEN 'increments_ok' WHEN restarts > 0 THEN 'restart' ELSE 'single' END AS status
+  FROM sums s LEFT JOIN inc i USING (session_key) LEFT JOIN shape h USING (session_key) LEFT JOIN suffix x USING (session_key))
+"""
+
+SQL["counter_checks"] = query("SELECT * FROM checks", SNAPS)
+SQL["counter_coverage"] = query("""
+SELECT session_key, count(*) FILTER (line < last_line) AS calls_covered,
+  count(*) FILTER (trigger <> 'subagent' AND line >= last_line) AS main_after,
+  count(*) FILTER (trigger = 'subagent' AND line >= last_line) AS sub_after, CAST(0 AS BIGINT) AS sub_unlinked
+FROM lined JOIN last_snap USING (session_key) GROUP BY session_key""", SNAPS)
+SQL["snapshot_increments"] = query("""
+SELECT session_key, snapshots, pairs, calls, ours, counter, "offset", restarts FROM inc""", SNAPS)
+SQL["gap_shape"] = query("SELECT session_key, kind, steps, intervals, calls_in_steps FROM shape", SNAPS)
+SQL["suffix_match"] = query("SELECT session_key, last_calls, of, since_us, tail_o_output, tail_c_output FROM suffix", SNAPS)
+SQL["session_status"] = query("""
+SELECT session_key, status, pairs, ours, counter, kind, last_calls, of, restarts FROM status""", SNAPS)
+
+_FIELDS = [("input", "soi", "sci", "ti", "ai", "doi", "di"), ("read", "sor", "scr", "tr", "ar", "dor", "dr"),
+           ("write", "sow", "scw", "tw", "aw", "dow", "dw"), ("output", "lo", "co", "tail_o_output", "tail_c_output", "doo", "dout")]
+_PICK = "CASE WHEN status IN ('exact', 'lines_exact') THEN {0} WHEN status = 'run_exact' THEN {1} WHEN status = 'increments_ok' AND pairs > 0 THEN {2} END"
+SQL["floor_gap"] = query(
+    "SELECT count(*) AS sessions, " + ", ".join(
+        f"CAST(sum(l_{f}) AS BIGINT) AS lines_{f}, CAST(sum(k_{f} - l_{f}) AS BIGINT) AS gap_{f}" for f, *_ in _FIELDS)
+    + " FROM (SELECT " + ", ".join(
+        f"{_PICK.format(a, t, d)} AS l_{f}, {_PICK.format(b, u, e)} AS k_{f}" for f, a, b, t, u, d, e in _FIELDS)
+    + " FROM status) WHERE l_input IS NOT NULL", SNAPS)
+SQL["unresolved_sessions"] = query("""
+SELECT session_key, status, CAST(li - ci AS BIGINT) AS input_gap,
+  CASE WHEN ci <> 0 THEN round(100 * CAST(li - ci AS DOUBLE) / CAST(ci AS DOUBLE), 4) END AS input_gap_pct,
+  CAST(lo - co AS BIGINT) AS output_gap, kind, restarts
+FROM status WHERE NOT exact ORDER BY abs(coalesce(input_gap_pct, 0)) DESC, session_key LIMIT 15""", SNAPS)
+SQL["checks_summary"] = query("""
+SELECT *, CASE WHEN checkable = 0 THEN 'not verified' WHEN "over" > 0 THEN 'could not verify: over'
+    WHEN spread > 0 THEN 'could not verify: spread'
+    WHEN increments_ok + single + restart + run_exact + lines_exact + models_counter_only + models_lines_only > 0 OR checkable < sessions
+    THEN 'partly verified' ELSE 'verified' END AS verdict
+FROM (SELECT count(*) AS checkable, count(*) FILTER (status = 'exact') AS exact, count(*) FILTER (status = 'lines_exact') AS lines_exact,
+    count(*) FILTER (status = 'run_exact') AS run_exact, count(*) FILTER (status = 'over') AS "over", count(*) FILTER (status = 'spread') AS spread,
+    count(*) FILTER (status = 'increments_ok') AS increments_ok, count(*) FILTER (status = 'restart') AS restart,
+    count(*) FILTER (status = 'single') AS single, CAST(coalesce(sum(models_counter_only), 0) AS BIGINT) AS models_counter_only,
+    CAST(coalesce(sum(models_lines_only), 0) AS BIGINT) AS models_lines_only,
+    (SELECT count(DISTINCT session_key) FROM calls) AS sessions FROM status)""", SNAPS)
+SQL["one_sided_models"] = query("""
+SELECT side, model, count(*) AS sessions FROM (
+  SELECT session_key, CASE WHEN session_key % 5 = 0 THEN model || '-x' ELSE model END AS model, 'counter' AS side FROM counter_side
+  WHERE session_key % 5 = 0 OR model NOT IN (SELECT model FROM line_side l WHERE l.session_key = counter_side.session_key)
+  UNION ALL
+  SELECT session_key, model, 'lines' FROM line_side
+  WHERE session_key % 5 = 0 OR model NOT IN (SELECT model FROM counter_side k WHERE k.session_key = line_side.session_key))
+GROUP BY side, model""", SNAPS)
+SQL["session_diagnosis"] = query(" UNION ALL ".join(
+    f"SELECT session_key, model, '{f}' AS field, c_{f} AS counter, o_{f} AS ours, o_{f} - c_{f} AS difference FROM checks"
+    for f in ("input", "read", "write", "output")), SNAPS)
+SQL["version_status"] = query("""
+SELECT version, count(*) AS sessions, count(exact) AS checkable, count(*) FILTER (exact) AS exact,
+  CAST(coalesce(sum(co - lo), 0) AS BIGINT) AS output_gap
+FROM (SELECT session_key, min(version) AS version FROM calls GROUP BY session_key) LEFT JOIN status USING (session_key) GROUP BY version""", SNAPS)
+SQL["single_version_status"] = query("""
+SELECT version, """ + ", ".join(f"count(*) FILTER (status = '{s}') AS \"{s}\"" for s in (
+    "exact", "lines_exact", "run_exact", "over", "spread", "increments_ok", "restart", "single")) + """
+FROM status JOIN (SELECT session_key, min(v) AS version FROM (SELECT session_key,
+    CASE WHEN session_key % 11 = 0 AND turn_id % 2 = 0 THEN 'v9' ELSE version END AS v FROM calls)
+  GROUP BY session_key HAVING count(DISTINCT v) = 1) USING (session_key) GROUP BY version""", SNAPS)

@@ -245,3 +245,79 @@ def break_concentration(v: Views) -> DataFrame:
 @query
 def tool_lift(v: Views) -> DataFrame:
     return cache.tool_lift(v.written_pairs, v.tools)
+
+
+@query
+def counter_checks(v: Views) -> DataFrame:
+    return v.checks
+
+
+@query
+def counter_coverage(v: Views) -> DataFrame:
+    return reconcile.coverage(v.lined, v.snapshots)
+
+
+@query
+def snapshot_increments(v: Views) -> DataFrame:
+    return reconcile.increments(v.series).select(
+        "session_key", "snapshots", "pairs", "calls", "ours", "counter", "offset", "restarts")
+
+
+@query
+def gap_shape(v: Views) -> DataFrame:
+    return reconcile.gap_shape(v.series)
+
+
+@query
+def suffix_match(v: Views) -> DataFrame:
+    return reconcile.suffix_match(v.lined, v.snapshots).select(
+        "session_key", "last_calls", "of", "since_us", "tail_o_output", "tail_c_output")
+
+
+@query
+def session_status(v: Views) -> DataFrame:
+    return v.verdicts.select("session_key", "status", "pairs", "ours", "counter", "kind", "last_calls", "of", "restarts")
+
+
+@query
+def floor_gap(v: Views) -> DataFrame:
+    return reconcile.floor_gap(v.verdicts)
+
+
+@query
+def unresolved_sessions(v: Views) -> DataFrame:
+    rows = reconcile.gaps(v.verdicts)
+    return rows.orderBy(F.abs(F.coalesce("input_gap_pct", F.lit(0))).desc(), "session_key").limit(15)
+
+
+@query
+def checks_summary(v: Views) -> DataFrame:
+    sessions = v.calls.select("session_key").distinct().agg(F.count(F.lit(1)).alias("n"))
+    return reconcile.summary(v.verdicts, sessions.scalar())
+
+
+@query
+def one_sided_models(v: Views) -> DataFrame:
+    # the counter of every 5th session names its models differently
+    odd = v.snapshots.withColumn("model", F.when(c("session_key") % 5 == 0, F.concat("model", F.lit("-x")))
+                                 .otherwise(F.concat("model", F.lit("[1m]"))))
+    return reconcile.one_sided_models(reconcile.counter_checks(v.lined, odd))
+
+
+@query
+def session_diagnosis(v: Views) -> DataFrame:
+    return reconcile.unpivoted(v.checks)
+
+
+@query
+def version_status(v: Views) -> DataFrame:
+    sessions = v.calls.groupBy("session_key").agg(F.min("version").alias("version"))
+    return reconcile.by_version(v.verdicts, sessions)
+
+
+@query
+def single_version_status(v: Views) -> DataFrame:
+    # sessions of every 11th user saw a second version
+    seen = v.calls.select("session_key", F.when((c("session_key") % 11 == 0) & (c("turn_id") % 2 == 0), "v9")
+                          .otherwise(c("version")).alias("version"))
+    return reconcile.by_single_version(v.verdicts, seen)
