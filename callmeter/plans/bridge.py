@@ -159,3 +159,52 @@ def snapshots(lined: DataFrame) -> DataFrame:
         "session_key", "line", "model", c("input_new").alias("c_input"),
         (c("cache_read") + F.when(first, drift).otherwise(0)).cast("bigint").alias("c_read"),
         c("cache_write").alias("c_write"), c("output").alias("c_output"), *keep)
+
+
+# thirty invented prompts; which one opens a task follows from its numbers
+PHRASES = (
+    "continue", "ok.", "yes", "go ahead!", "thanks",
+    "fix the cart total in src/cart.py",
+    "refactor the checkout into two modules: shop/checkout.py and shop/totals.py",
+    "review the payment module please",
+    "measure how slow the import is",
+    "Traceback (most recent call last)\n  File main.py line 3\nValueError: bad row",
+    "why does the login page redirect twice?",
+    "add these:\n- dark mode\n- a logout button\n- keyboard shortcuts",
+    "1. rename the table\n2. migrate the rows\n3. drop the old index",
+    "what does this function return?",
+    "audit the session handling in auth/session.ts",
+    "count the rows of data/orders.csv",
+    "npm ERR! missing script: build",
+    "explain the retry policy",
+    "implement the export to report.xlsx and summary.pdf",
+    "check the code in lib/util.rs, error[E0308] appears",
+    "how many users signed up last week?",
+    "rewrite README.md for new people",
+    "profile the search endpoint",
+    "FAILED tests/test_api.py",
+    "write the invoice email text",
+    "migrate the invoice ledger schema to partitions",
+    "migrate the payment ledger schema to partitions",
+    "bench the parser against the old one",
+    "move the settings page under account",
+    "<command-name>/compact</command-name> keep the plan",
+)
+
+
+def phrase(n):
+    return F.element_at(F.array(*[F.lit(p) for p in PHRASES]), (n + 1).cast("int"))
+
+
+def conversation_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User turns of `conversations`, each followed by one of the phrases."""
+    c = F.col
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").filter(c("role") == "user")
+    return rows.select("conv_id", "turn", (c("conv_id") * 1000 + c("turn")).alias("prompt_id"),
+                       F.concat(c("text"), F.lit(" "), phrase((c("conv_id") * 7 + c("turn")) % 30)).alias("text"))
+
+
+def task_prompts(stats: DataFrame) -> DataFrame:
+    """The prompt that opened each tracked task of the bridge."""
+    c = F.col
+    return stats.filter("tracked").select("source", "task_id", phrase((c("task_id") * 7) % 30).alias("text"))

@@ -422,3 +422,267 @@ SELECT version, """ + ", ".join(f"count(*) FILTER (status = '{s}') AS \"{s}\"" f
 FROM status JOIN (SELECT session_key, min(v) AS version FROM (SELECT session_key,
     CASE WHEN session_key % 11 = 0 AND turn_id % 2 = 0 THEN 'v9' ELSE version END AS v FROM calls)
   GROUP BY session_key HAVING count(DISTINCT v) = 1) USING (session_key) GROUP BY version""", SNAPS)
+
+_HIST = "OVER (ORDER BY started_us, task_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+
+
+def _expand(y: str, qs: str, by: str = "") -> str:
+    part = f"PARTITION BY {by} " if by else ""
+    return f"quantile_cont({y}, {qs}) OVER ({part}ORDER BY started_us, task_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+
+
+def _seen(y: str, by: str = "") -> str:
+    part = f"PARTITION BY {by} " if by else ""
+    return f"count({y}) OVER ({part}ORDER BY started_us, task_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+
+
+_SCORE = "(hi - lo) + 10.0 * CASE WHEN y < lo THEN lo - y WHEN y > hi THEN y - hi ELSE 0 END"
+_METRICS = f"""count(*) AS n, count(DISTINCT session_key) AS sessions,
+  round(avg(CASE WHEN lo <= y AND y <= hi THEN 1.0 ELSE 0.0 END), 6) AS coverage, round(avg({_SCORE}), 6) AS interval_score,
+  round(quantile_cont(abs(mid - y), 0.5), 6) AS abs_error,
+  round(quantile_cont(CASE WHEN mid > 0 AND y > 0 THEN ln(mid / y) END, 0.5), 6) AS log_error,
+  round(quantile_cont(hi - lo, 0.5), 6) AS width"""
+_DIST = """n, round(q[1], 6) AS lo, round(q[2], 6) AS p50, round(q[3], 6) AS hi,
+  CASE WHEN q[1] <> 0 THEN round(round(q[3], 6) / round(q[1], 6), 6) END AS ratio,
+  coalesce(round(round(q[3], 6) / round(q[1], 6), 6) >= 100, TRUE) AS spread"""
+_FIVE = "round(q[1], 6) AS p10, round(q[2], 6) AS p25, round(q[3], 6) AS p50, round(q[4], 6) AS p75, round(q[5], 6) AS p90"
+_FIVE_Q = "quantile_cont({0}, [0.1, 0.25, 0.5, 0.75, 0.9])"
+
+SQL["turn_distribution"] = query(f"""
+SELECT {_DIST} FROM (SELECT count(*) AS n, quantile_cont(turns_main, [0.125, 0.5, 0.875]) AS q FROM real_tasks)""")
+SQL["turns_by_family"] = query(f"""
+SELECT *, CASE WHEN n < 8 THEN 'too few' WHEN spread THEN 'too spread' WHEN ratio < 4 THEN 'tight' ELSE 'wide' END AS verdict FROM (
+SELECT family, {_DIST}, round(a[1], 6) AS all_p50, round(a[2], 6) AS all_hi FROM (
+  SELECT coalesce(family, 'all') AS family, count(*) AS n, quantile_cont(turns_main, [0.125, 0.5, 0.875]) AS q,
+    quantile_cont(turns, [0.5, 0.875]) AS a FROM real_tasks GROUP BY GROUPING SETS ((family), ())))""")
+
+TURN_ITEMS = f"""
+titems AS (SELECT session_key, task_id, started_us, y, q[1] AS lo, q[2] AS mid, q[3] AS hi, q[3] / q[1] >= 100 AS spread FROM (
+  SELECT session_key, task_id, started_us, turns_main AS y, {_expand('turns_main', '[0.125, 0.5, 0.875]')} AS q,
+    {_seen('turns_main')} AS n_before FROM real_tasks) WHERE n_before >= 8),
+fitems AS (SELECT session_key, y, q[1] AS lo, q[2] AS mid, q[3] AS hi, q[3] / q[1] >= 100 AS spread FROM (
+  SELECT session_key, turns_main AS y, {_expand('turns_main', '[0.125, 0.5, 0.875]', 'family')} AS q,
+    {_seen('turns_main', 'family')} AS n_before FROM real_tasks) WHERE n_before >= 8)
+"""
+SQL["backtest_turns"] = query(f"""
+SELECT basis, count(*) FILTER (spread) AS spread, count(*) FILTER (NOT spread) AS n, count(DISTINCT session_key) FILTER (NOT spread) AS sessions,
+  round(avg(CASE WHEN lo <= y AND y <= hi THEN 1.0 ELSE 0.0 END) FILTER (NOT spread), 6) AS coverage,
+  round(avg({_SCORE}) FILTER (NOT spread), 6) AS interval_score, round(quantile_cont(abs(mid - y), 0.5) FILTER (NOT spread), 6) AS abs_error,
+  round(quantile_cont(CASE WHEN mid > 0 AND y > 0 THEN ln(mid / y) END, 0.5) FILTER (NOT spread), 6) AS log_error,
+  round(quantile_cont(hi - lo, 0.5) FILTER (NOT spread), 6) AS width
+FROM (SELECT 'all' AS basis, session_key, y, lo, mid, hi, spread FROM titems UNION ALL
+      SELECT 'family', session_key, y, lo, mid, hi, spread FROM fitems) GROUP BY basis""", TURN_ITEMS)
+
+_RANKED = """
+ranked AS (SELECT *, row_number() OVER (PARTITION BY session_key ORDER BY started_us, task_id) AS rank,
+   lag(turns_main) OVER (PARTITION BY session_key ORDER BY started_us, task_id) AS before FROM real_tasks)
+"""
+_RANK_SLICE = "CASE WHEN rank <= 1 THEN '1st' WHEN rank <= 3 THEN '2-3' WHEN rank <= 10 THEN '4-10' WHEN rank <= 30 THEN '11-30' ELSE '31+' END"
+SQL["leak_free_by_slice"] = query(f"""
+SELECT task_id, label, n_slice, n_before, n_slice < 30 AS fell_back,
+  round(CASE WHEN n_slice >= 30 THEN s[1] ELSE b[1] END, 6) AS lo, round(CASE WHEN n_slice >= 30 THEN s[2] ELSE b[2] END, 6) AS mid,
+  round(CASE WHEN n_slice >= 30 THEN s[3] ELSE b[3] END, 6) AS hi, round(b[1], 6) AS b_lo, round(b[2], 6) AS b_mid, round(b[3], 6) AS b_hi
+FROM (SELECT *, {_expand('turns_main', '[0.1, 0.5, 0.9]', 'label')} AS s, {_seen('turns_main', 'label')} AS n_slice,
+   {_expand('turns_main', '[0.1, 0.5, 0.9]')} AS b, {_seen('turns_main')} AS n_before
+  FROM (SELECT *, {_RANK_SLICE} AS label FROM ranked)) WHERE n_before >= 8""", _RANKED)
+SQL["interval_metrics"] = query(f"SELECT session_key, {_METRICS} FROM titems WHERE NOT spread GROUP BY session_key", TURN_ITEMS)
+
+RESAMPLE = """
+numbered_s AS (SELECT {g} AS g, session_key, row_number() OVER (PARTITION BY {g} ORDER BY md5(CAST(session_key AS VARCHAR))) - 1 AS j,
+   count(*) OVER (PARTITION BY {g}) AS s FROM (SELECT DISTINCT {g}, session_key FROM {items})),
+draws AS (SELECT g, i, CAST('0x' || substr(md5(i || ':' || j), 1, 15) AS BIGINT) % s AS j, count(*) AS w
+   FROM numbered_s, range(400) r(i) WHERE s > 1 GROUP BY ALL),
+weights AS (SELECT d.g, d.i, n.session_key, d.w FROM draws d JOIN numbered_s n USING (g, j))
+"""
+_BOOT_ITEMS = f"""
+bitems AS (SELECT 0 AS g, session_key, CASE WHEN lo <= y AND y <= hi THEN 1.0 ELSE 0.0 END AS coverage, {_SCORE} AS interval_score,
+  abs(mid - y) AS abs_error, CASE WHEN mid > 0 AND y > 0 THEN ln(mid / y) END AS log_error, hi - lo AS width FROM titems WHERE NOT spread)
+"""
+_CI = "round(list_sort(list({0}))[10], 6) AS {0}_lo, round(list_sort(list({0}))[390], 6) AS {0}_hi"
+SQL["bootstrap_ci"] = query(
+    "SELECT " + ", ".join(_CI.format(x) for x in ("coverage", "interval_score", "abs_error", "log_error", "width")) + """
+FROM (SELECT i, sum(w * sc) / sum(w * n) AS coverage, sum(w * si) / sum(w * n) AS interval_score
+      FROM weights JOIN (SELECT session_key, sum(coverage) AS sc, sum(interval_score) AS si, count(*) AS n FROM bitems GROUP BY session_key) USING (session_key)
+      GROUP BY i)
+JOIN (SELECT i, quantile_cont(abs_error, 0.5) AS abs_error, quantile_cont(log_error, 0.5) AS log_error, quantile_cont(width, 0.5) AS width
+      FROM (SELECT i, b.*, unnest(range(w)) FROM weights JOIN bitems b USING (session_key)) GROUP BY i) USING (i)""",
+    TURN_ITEMS, _BOOT_ITEMS, RESAMPLE.format(g="g", items="bitems"))
+
+SQL["survival_by_k"] = query(f"""
+SELECT k, n, {_FIVE}, ends_at_k FROM (
+  SELECT k, count(*) AS n, {_FIVE_Q.format('turns_main - k')} AS q, count(*) FILTER (turns_main = k) AS ends_at_k
+  FROM real_tasks, (VALUES (1), (2), (3), (5), (10)) t(k) WHERE turns_main >= k GROUP BY k)""")
+SQL["turns_ahead_backtest"] = query(f"""
+SELECT k, {_METRICS} FROM (
+  SELECT k, session_key, y, q[1] AS lo, q[2] AS mid, q[3] AS hi FROM (
+    SELECT *, {_expand('y', '[0.1, 0.5, 0.9]', 'k')} AS q, {_seen('y', 'k')} AS n_before
+    FROM (SELECT *, turns_main - k AS y FROM real_tasks, (VALUES (0), (1), (2), (3), (5), (10)) t(k) WHERE turns_main >= greatest(k, 1)))
+  WHERE n_before >= 8) GROUP BY k""")
+
+EARLY = """
+nth AS (SELECT turn_id, source, task_id, row_number() OVER (PARTITION BY source, task_id ORDER BY t_us, turn_id) AS nth
+        FROM calls WHERE trigger <> 'subagent'),
+early AS (SELECT n.source, n.task_id, k, coalesce(bool_or(t.name = 'Edit'), FALSE) AS edited, FALSE AS planned,
+   coalesce(bool_or(t.name = 'Agent'), FALSE) AS launched, count(*) FILTER (t.name = 'Bash') AS shell
+  FROM nth n JOIN (VALUES (2), (3)) x(k) ON n.nth <= k LEFT JOIN tools t USING (turn_id) GROUP BY ALL)
+"""
+_SHELL4 = "CASE WHEN shell = 0 THEN '0' WHEN shell <= 2 THEN '1-2' WHEN shell <= 5 THEN '3-5' ELSE '6+' END"
+SQL["turns_ahead"] = query(f"""
+SELECT session_key, task_id, k, CASE WHEN n3 >= 30 THEN ss || ' shell' ELSE 'all' END AS basis, CASE WHEN n3 >= 30 THEN n3 ELSE na END AS n,
+  round(CASE WHEN n3 >= 30 THEN q3[1] ELSE qa[1] END, 6) AS p50, round(CASE WHEN n3 >= 30 THEN q3[2] ELSE qa[2] END, 6) AS hi
+FROM (SELECT r.session_key, r.task_id, r.k, min(r.ss) AS ss, count(*) AS na, quantile_cont(h.turns_main - r.k, [0.5, 0.875]) AS qa,
+    count(*) FILTER (r.k = 3 AND h.ss = r.ss) AS n3, quantile_cont(h.turns_main - r.k, [0.5, 0.875]) FILTER (r.k = 3 AND h.ss = r.ss) AS q3
+  FROM running r JOIN hist h ON h.turns_main >= r.k AND h.task_id <> r.task_id GROUP BY r.session_key, r.task_id, r.k)
+WHERE na >= 30 OR n3 >= 30""", EARLY, f"""
+hist AS (SELECT s.task_id, s.turns_main, {_SHELL4} AS ss FROM stats s LEFT JOIN early e ON e.task_id = s.task_id AND e.k = 3 WHERE tracked AND turns_main > 0),
+running AS (SELECT x.session_key, x.task_id, x.turns_main AS k, h.ss FROM (
+  SELECT * FROM stats WHERE turns_main > 0 QUALIFY row_number() OVER (PARTITION BY session_key ORDER BY last_us DESC, task_id DESC) = 1) x
+  LEFT JOIN hist h USING (task_id) WHERE x.tracked AND x.turns_main >= 3)""")
+SQL["early_signs"] = query(f"""
+SELECT sign, label, n, {_FIVE} FROM (SELECT sign, label, count(*) AS n, {_FIVE_Q.format('y')} AS q FROM (
+  SELECT r.turns_main - e.k AS y, unnest(['first ' || e.k || ' turns: edited a file', 'first ' || e.k || ' turns: planned',
+      'first ' || e.k || ' turns: launched a sub-agent', 'first ' || e.k || ' turns: shell commands']) AS sign,
+    unnest([CASE WHEN edited THEN 'yes' ELSE 'no' END, CASE WHEN planned THEN 'yes' ELSE 'no' END, CASE WHEN launched THEN 'yes' ELSE 'no' END,
+      CASE WHEN shell = 0 THEN '0' WHEN shell <= 2 THEN '1-2' ELSE '3+' END]) AS label
+  FROM early e JOIN real_tasks r USING (source, task_id) WHERE r.turns_main >= e.k) GROUP BY sign, label)""", EARLY)
+
+GROWTH = """
+grown AS (SELECT session_key, task_id, turn_id, t_us, input_total - p_in - p_out AS grew FROM (
+  SELECT *, lag(input_total) OVER g AS p_in, lag(output) OVER g AS p_out FROM calls WHERE trigger <> 'subagent'
+  WINDOW g AS (PARTITION BY session_key, task_id ORDER BY t_us, turn_id)) WHERE p_in IS NOT NULL AND input_total >= 0.5 * p_in)
+"""
+SQL["context_growth"] = query("""
+SELECT task_id, count(*) AS turns, CAST(sum(grew) AS BIGINT) AS grew, count(*) FILTER (grew < 0) AS shrank
+FROM grown WHERE task_id <> -1 GROUP BY task_id""", GROWTH)
+
+
+def _text(s: str) -> str:
+    return "E'" + s.replace("\\", "\\\\").replace("'", "''").replace("\n", "\\n") + "'"
+
+
+def _phrases() -> str:
+    from callmeter.plans.bridge import PHRASES
+
+    return "phrases AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {_text(p)})" for i, p in enumerate(PHRASES)) + ") t(i, phrase))"
+
+
+# RE2 has no Unicode word class: W and NW spell it out
+_W = r"[\p{L}\p{N}_]"
+_NORM = r"regexp_replace(trim(regexp_replace(lower({0}), '\s+', ' ', 'g')), '[\s.!?,;:…]+$', '')"
+
+
+def _features(t: str) -> str:
+    from callmeter.functions.text import FOLLOWUPS
+
+    fu = ", ".join("'" + p.replace("'", "''") + "'" for p in FOLLOWUPS)
+    err = (r"(?m)Traceback \(most recent call last\)|(Error|Exception):|(^|[^\p{L}\p{N}_])FAILED([^\p{L}\p{N}_]|$)|panicked at"
+           r"|^\s+at .+:\d+|error\[E\d+\]|npm ERR!|fatal:")
+    return rf"""length({t}) AS chars, {_NORM.format(t)} IN ({fu}) AS followup, regexp_matches({t}, '{err}') AS error,
+  len(list_distinct(regexp_extract_all({t}, '(?:^|\s)@?[\p{{L}}\p{{N}}_./-]+\.[A-Za-z0-9]{{1,6}}\b'))) AS n_files,
+  len(regexp_extract_all({t}, '(?m)^\s*(?:[-*•]|\d+[.)])\s+\S')) AS n_items, regexp_replace({t}, '\s+$', '') LIKE '%?' AS question,
+  nullif(regexp_extract({t}, '<command-name>/?([\p{{L}}\p{{N}}_:.-]+)</command-name>', 1), '') AS command"""
+
+
+PROMPTED = _phrases() + f""",
+prompted AS (SELECT r.*, {_features('p.phrase')} FROM real_tasks r JOIN phrases p ON p.i = (r.task_id * 7) % 30)
+"""
+SQL["merge_followups"] = query(f"""
+SELECT session_key, arg_min(task_id, (started_us, task_id)) AS task_id, CAST(sum(turns_main) AS BIGINT) AS turns_main,
+  CAST(sum(turns) AS BIGINT) AS turns, count(*) AS tasks, {usd('sum(cost_p)')} AS cost
+FROM (SELECT *, sum(CASE WHEN followup THEN 0 ELSE 1 END) OVER (PARTITION BY session_key ORDER BY started_us, task_id) AS island FROM prompted)
+GROUP BY session_key, island""", PROMPTED)
+SQL["followup_study"] = query("""
+SELECT count(*) AS tasks, count(chars) AS with_prompt, count(*) FILTER (followup) AS followups, count(*) FILTER (chars <= 20) AS short_prompts,
+  count(*) FILTER (followup AND rank = 1) AS followup_first, quantile_cont(turns_main, 0.5) FILTER (followup) AS followup_turns_p50,
+  quantile_cont(turns_main, 0.5) AS turns_p50
+FROM (SELECT *, row_number() OVER (PARTITION BY session_key ORDER BY started_us, task_id) AS rank FROM prompted)""", PROMPTED)
+
+
+def _top(sign_sql: str, n: int) -> str:
+    return f"""SELECT sign, label, n, {_FIVE}, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY sign ORDER BY n DESC, label) AS rank FROM (
+    SELECT sign, label, count(*) AS n, {_FIVE_Q.format('y')} AS q FROM ({sign_sql}) WHERE label IS NOT NULL GROUP BY sign, label)) WHERE rank <= {n}"""
+
+
+_PRE = f"""SELECT turns_main AS y, unnest(['previous task''s turns', 'first of session', 'rank in session', 'project', 'model',
+    'short follow-up', 'error pasted', 'prompt length', 'files mentioned', 'slash command']) AS sign,
+  unnest([CASE WHEN rank = 1 THEN 'first of session' WHEN before <= 1 THEN '1' WHEN before <= 3 THEN '2-3' WHEN before <= 8 THEN '4-8'
+      WHEN before <= 20 THEN '9-20' ELSE '21+' END, CASE WHEN rank = 1 THEN 'first' ELSE 'later' END, {_RANK_SLICE},
+    CASE WHEN project IN (SELECT project FROM prompted GROUP BY project ORDER BY count(*) DESC, project LIMIT 10)
+      THEN 'project ' || substr(sha256(project), 1, 6) ELSE 'other' END, first_model,
+    CASE WHEN followup THEN 'yes' ELSE 'no' END, CASE WHEN error THEN 'yes' ELSE 'no' END,
+    CASE WHEN chars <= 49 THEN '<50' WHEN chars <= 199 THEN '50-199' WHEN chars <= 999 THEN '200-999' ELSE '1000+' END,
+    CASE WHEN n_files = 0 THEN '0' WHEN n_files = 1 THEN '1' WHEN n_files <= 3 THEN '2-3' ELSE '4+' END,
+    CASE WHEN command IS NULL THEN 'none' ELSE '/' || command END]) AS label
+  FROM (SELECT *, row_number() OVER z AS rank, lag(turns_main) OVER z AS before FROM prompted
+        WINDOW z AS (PARTITION BY session_key ORDER BY started_us, task_id))"""
+SQL["pre_send_signs"] = query(_top(_PRE, 12), PROMPTED)
+_CTX = """SELECT session_key, task_id, started_us, turns_main AS y, unnest(['idle since previous task', 'previous task edited files',
+    'previous task launched sub-agents', 'context at start', 'list items in prompt', 'prompt is a question']) AS sign,
+  unnest([CASE WHEN pl IS NULL THEN 'first of session' WHEN (started_us - pl) / 1e6 <= 60 THEN '<1 min' WHEN (started_us - pl) / 1e6 <= 300 THEN '1-5 min'
+      WHEN (started_us - pl) / 1e6 <= 1800 THEN '5-30 min' WHEN (started_us - pl) / 1e6 <= 7200 THEN '30 min-2 h' ELSE '2 h+' END,
+    CASE WHEN pl IS NULL THEN 'first of session' WHEN pe THEN 'yes' ELSE 'no' END,
+    CASE WHEN pl IS NULL THEN 'first of session' WHEN pa THEN 'yes' ELSE 'no' END,
+    CASE WHEN first_input <= 30000 THEN '<30k' WHEN first_input <= 60000 THEN '30-60k' WHEN first_input <= 120000 THEN '60-120k'
+      WHEN first_input <= 250000 THEN '120-250k' ELSE '250k+' END,
+    CASE WHEN n_items = 0 THEN '0' WHEN n_items <= 2 THEN '1-2' WHEN n_items <= 5 THEN '3-5' ELSE '6+' END,
+    CASE WHEN question THEN 'yes' ELSE 'no' END]) AS label
+  FROM (SELECT p.*, lag(last_us) OVER z AS pl, lag(coalesce(edited, FALSE)) OVER z AS pe, lag(coalesce(launched, FALSE)) OVER z AS pa
+        FROM prompted p LEFT JOIN (SELECT task_id, bool_or(name = 'Edit') AS edited, bool_or(name = 'Agent') AS launched FROM tools GROUP BY task_id) t USING (task_id)
+        WINDOW z AS (PARTITION BY session_key ORDER BY started_us, task_id))"""
+SQL["context_signs"] = query(_top(_CTX, 8), PROMPTED)
+SQL["sign_pass_rule"] = query("""
+SELECT sign, n, fell_back, coverage, gain, gain_lo, gain_hi, coalesce(gain_hi < 0 AND coverage BETWEEN 0.75 AND 0.85, FALSE) AS passes
+FROM (SELECT sign, count(*) AS n, count(*) FILTER (n_slice < 30) AS fell_back, round(avg(covered), 6) AS coverage, round(avg(gain), 6) AS gain
+      FROM gained GROUP BY sign)
+LEFT JOIN (SELECT g AS sign, round(list_sort(list(x))[10], 6) AS gain_lo, round(list_sort(list(x))[390], 6) AS gain_hi FROM (
+   SELECT g, i, sum(w * sg) / sum(w * n) AS x FROM weights JOIN (SELECT sign AS g, session_key, sum(gain) AS sg, count(*) AS n FROM gained GROUP BY ALL)
+     USING (g, session_key) GROUP BY g, i) GROUP BY g) USING (sign)""", PROMPTED, f"""
+ctx AS ({_CTX}),
+sliced AS (SELECT *, CASE WHEN n_slice >= 30 THEN s ELSE b END AS m FROM (
+  SELECT *, {_expand('y', '[0.1, 0.5, 0.9]', 'sign, label')} AS s, {_seen('y', 'sign, label')} AS n_slice,
+    {_expand('y', '[0.1, 0.5, 0.9]', 'sign')} AS b, {_seen('y', 'sign')} AS n_before FROM ctx) WHERE n_before >= 8),
+gained AS (SELECT *, CASE WHEN m[1] <= y AND y <= m[3] THEN 1.0 ELSE 0.0 END AS covered,
+  ((m[3] - m[1]) + 10.0 * CASE WHEN y < m[1] THEN m[1] - y WHEN y > m[3] THEN y - m[3] ELSE 0 END)
+  - ((b[3] - b[1]) + 10.0 * CASE WHEN y < b[1] THEN b[1] - y WHEN y > b[3] THEN y - b[3] ELSE 0 END) AS gain FROM sliced)""",
+    RESAMPLE.format(g="sign", items="gained"))
+
+_NINE = "[0.05, 0.075, 0.1, 0.125, 0.15, 0.175, 0.2, 0.225, 0.25, 0.5, 0.95, 0.925, 0.9, 0.875, 0.85, 0.825, 0.8, 0.775, 0.75]"
+SQL["interval_recalibration"] = query(f"""
+SELECT q, coverage, round(oc, 6) AS older_coverage, newer_n, newer_coverage, newer_score, newer_width,
+  row_number() OVER (ORDER BY round(abs(oc - 0.8), 9), q) = 1 AS chosen
+FROM (SELECT q, round(avg(hit), 6) AS coverage, avg(hit) FILTER (older) AS oc, count(*) FILTER (NOT older) AS newer_n,
+    round(avg(hit) FILTER (NOT older), 6) AS newer_coverage, round(avg({_SCORE}) FILTER (NOT older), 6) AS newer_score,
+    round(quantile_cont(hi - lo, 0.5) FILTER (NOT older), 6) AS newer_width
+  FROM (SELECT *, CASE WHEN lo <= y AND y <= hi THEN 1.0 ELSE 0.0 END AS hit FROM (
+    SELECT unnest([5.0, 7.5, 10.0, 12.5, 15.0, 17.5, 20.0, 22.5, 25.0])::DOUBLE AS q, y, n_before - 8 < floor(count(*) OVER () / 2) AS older,
+      unnest([v[1], v[2], v[3], v[4], v[5], v[6], v[7], v[8], v[9]]) AS lo, unnest([v[11], v[12], v[13], v[14], v[15], v[16], v[17], v[18], v[19]]) AS hi
+    FROM (SELECT turns_main AS y, {_expand('turns_main', _NINE)} AS v, {_seen('turns_main')} AS n_before FROM real_tasks QUALIFY n_before >= 8)))
+  GROUP BY q)""")
+
+COST = f"""
+costed AS (SELECT session_key, task_id, started_us, turns_main AS turns, first_input, CAST(cost_p AS DOUBLE) / 1e12 AS cost,
+    CAST(floor_p AS DOUBLE) / 1e12 AS flr, CAST(reread_p AS DOUBLE) / 1e12 AS reread FROM real_tasks WHERE floor_p > 0 AND cost_p > 0),
+costed_q AS (SELECT *, {_expand('turns', '[0.1, 0.5, 0.9]')} AS t, {_expand('cost / flr', '[0.1, 0.5, 0.9]')} AS r,
+    {_expand('cost', '[0.1, 0.5, 0.9]')} AS d, {_seen('cost')} AS n_before FROM costed)
+"""
+SQL["cost_methods"] = query(f"""
+SELECT method, {_METRICS} FROM (
+  SELECT session_key, cost AS y, unnest(['turns x context', 'turns x growing context', 'ratio x first input', 'direct']) AS method,
+    unnest([flr + (greatest(t[1], 1) - 1) * reread, flr + (greatest(t[1], 1) - 1) * reread + more * (greatest(t[1], 1) - 1) * greatest(t[1], 1) / 2, r[1] * flr, d[1]]) AS lo,
+    unnest([flr + (greatest(t[2], 1) - 1) * reread, flr + (greatest(t[2], 1) - 1) * reread + more * (greatest(t[2], 1) - 1) * greatest(t[2], 1) / 2, r[2] * flr, d[2]]) AS mid,
+    unnest([flr + (greatest(t[3], 1) - 1) * reread, flr + (greatest(t[3], 1) - 1) * reread + more * (greatest(t[3], 1) - 1) * greatest(t[3], 1) / 2, r[3] * flr, d[3]]) AS hi
+  FROM (SELECT *, reread / first_input * coalesce(g, 0.0) AS more FROM costed_q JOIN before_g USING (task_id) WHERE n_before >= 8))
+GROUP BY method""", GROWTH, COST, """
+before_g AS (SELECT task_id, g FROM (
+  SELECT task_id, turn_id, quantile_cont(grew, 0.5) OVER (ORDER BY started_us, task_id, turn_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS g
+  FROM (SELECT task_id, started_us, -1 AS turn_id, NULL AS grew FROM costed UNION ALL
+        SELECT c.task_id, c.started_us, g.turn_id, g.grew FROM grown g JOIN costed c USING (task_id))) WHERE turn_id = -1)""")
+SQL["cost_correction"] = query(f"""
+SELECT method, {_METRICS} FROM (
+  SELECT session_key, cost AS y, unnest(['turns x context', 'x median earlier ratio', 'median x ratio spread']) AS method,
+    unnest([e1, e1 * x[2], e2 * x[1]]) AS lo, unnest([e2, e2 * x[2], e2 * x[2]]) AS mid, unnest([e3, e3 * x[2], e2 * x[3]]) AS hi
+  FROM (SELECT *, {_expand('cost / e2', '[0.1, 0.5, 0.9]')} AS x, {_seen('cost')} AS m FROM (
+    SELECT *, flr + (greatest(t[1], 1) - 1) * reread AS e1, flr + (greatest(t[2], 1) - 1) * reread AS e2, flr + (greatest(t[3], 1) - 1) * reread AS e3
+    FROM costed_q WHERE n_before >= 8)) WHERE m >= 8)
+GROUP BY method""", COST)

@@ -7,8 +7,9 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from callmeter.functions import text
 from callmeter.functions.money import dollars, exact_sum
-from callmeter.operators import cache, files, reconcile, reports, tasks
+from callmeter.operators import backtest, cache, files, live, reconcile, reports, scores, signs, tasks
 from callmeter.plans import bridge
 
 c = F.col
@@ -117,6 +118,13 @@ class Views:
     def verdicts(self) -> DataFrame:
         return reconcile.session_status(self.lined, self.snapshots)
 
+    @cached_property
+    def prompted(self) -> DataFrame:
+        """Real tasks with the features of the prompt that opened them."""
+        prompts = bridge.task_prompts(self.plain_stats)
+        featured = prompts.select("source", "task_id", *[x.alias(n) for n, x in text.features(c("text")).items()])
+        return self.plain_real.join(featured, ["source", "task_id"], "left")
+
 
 def query(fn: Callable[[Views], DataFrame]):
     """Register a query under its function name."""
@@ -321,3 +329,115 @@ def single_version_status(v: Views) -> DataFrame:
     seen = v.calls.select("session_key", F.when((c("session_key") % 11 == 0) & (c("turn_id") % 2 == 0), "v9")
                           .otherwise(c("version")).alias("version"))
     return reconcile.by_single_version(v.verdicts, seen)
+
+
+@query
+def turn_distribution(v: Views) -> DataFrame:
+    return scores.distribution(v.plain_real, [], "turns_main").select("n", "lo", "p50", "hi", "ratio", "spread")
+
+
+@query
+def turns_by_family(v: Views) -> DataFrame:
+    every = v.real.withColumn("family", F.explode(F.array(c("family"), F.lit("all"))))
+    main = scores.distribution(every, ["family"], "turns_main")
+    calls = scores.distribution(every, ["family"], "turns").select("family", c("p50").alias("all_p50"), c("hi").alias("all_hi"))
+    return main.join(calls, "family").withColumn("verdict", scores.verdict(c("n"), c("spread"), c("ratio")))
+
+
+@query
+def backtest_turns(v: Views) -> DataFrame:
+    return backtest.backtest_turns(v.real, v.rows)
+
+
+def _rank_labels(v: Views) -> DataFrame:
+    from callmeter.functions.labels import rank_slice
+
+    ranked = tasks.task_ranks(v.plain_real)
+    return ranked.select(F.lit("rank").alias("sign"), rank_slice(c("rank")).alias("label"), "session_key", "task_id", "started_us",
+                         c("turns_main").alias("y"))
+
+
+@query
+def leak_free_by_slice(v: Views) -> DataFrame:
+    done = backtest.sliced(_rank_labels(v), rows=v.rows)
+    return done.select("task_id", "label", "n_slice", "n_before", "fell_back",
+                       *[F.round(n, 6).alias(n) for n in ("lo", "mid", "hi", "b_lo", "b_mid", "b_hi")])
+
+
+@query
+def interval_metrics(v: Views) -> DataFrame:
+    return scores.interval_metrics(backtest.turn_items(v.plain_real, v.rows).filter(~c("spread")), ["session_key"])
+
+
+@query
+def bootstrap_ci(v: Views) -> DataFrame:
+    return scores.bootstrap(scores.measures(backtest.turn_items(v.plain_real, v.rows).filter(~c("spread"))))
+
+
+@query
+def survival_by_k(v: Views) -> DataFrame:
+    return backtest.survival(v.plain_real)
+
+
+@query
+def turns_ahead_backtest(v: Views) -> DataFrame:
+    return scores.interval_metrics(backtest.turns_ahead_items(v.plain_real, rows=v.rows), ["k"])
+
+
+@query
+def turns_ahead(v: Views) -> DataFrame:
+    return live.turns_ahead(v.plain_stats, v.calls, v.tools)
+
+
+@query
+def early_signs(v: Views) -> DataFrame:
+    return scores.five_numbers(signs.early_signs(v.plain_real, v.calls, v.tools), ["sign", "label"], "y")
+
+
+@query
+def context_growth(v: Views) -> DataFrame:
+    grew = backtest.growth(v.calls.filter("tracked"))
+    return grew.groupBy("task_id").agg(F.count(F.lit(1)).alias("turns"), F.sum("grew").alias("grew"),
+                                       F.count(F.when(c("grew") < 0, 1)).alias("shrank"))
+
+
+@query
+def merge_followups(v: Views) -> DataFrame:
+    merged = signs.merge_followups(v.prompted)
+    return merged.select("session_key", "task_id", "turns_main", "turns", "tasks", dollars(c("cost_p"), 4).alias("cost"))
+
+
+@query
+def followup_study(v: Views) -> DataFrame:
+    return signs.followup_study(v.prompted)
+
+
+@query
+def pre_send_signs(v: Views) -> DataFrame:
+    return signs.top_labels(signs.pre_send_signs(v.prompted), "turns_main", 12)
+
+
+@query
+def context_signs(v: Views) -> DataFrame:
+    return signs.top_labels(signs.context_signs(v.prompted, v.tools), "turns_main", 8)
+
+
+@query
+def sign_pass_rule(v: Views) -> DataFrame:
+    labels = signs.context_signs(v.prompted, v.tools).withColumnRenamed("turns_main", "y")
+    return backtest.judge_signs(backtest.sliced(labels, rows=v.rows * 6))
+
+
+@query
+def interval_recalibration(v: Views) -> DataFrame:
+    return backtest.recalibration(v.plain_real, v.rows)
+
+
+@query
+def cost_methods(v: Views) -> DataFrame:
+    return scores.interval_metrics(backtest.cost_methods(v.plain_real, backtest.growth(v.calls), v.rows), ["method"], wide=True)
+
+
+@query
+def cost_correction(v: Views) -> DataFrame:
+    return scores.interval_metrics(backtest.cost_correction(v.plain_real, v.rows), ["method"], wide=True)

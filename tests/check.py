@@ -17,7 +17,7 @@ def session(**conf):
     from pyspark.sql import SparkSession
 
     b = (SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
-         .config("spark.ui.enabled", "false").config("spark.driver.memory", "12g")
+         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "12g")
          .config("spark.sql.session.timeZone", "UTC"))
     for k, val in conf.items():
         b = b.config(k, val)
