@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from callmeter.operators.ordered import SLICE, with_slices
+from callmeter.session import cut
 
 c = F.col
 ALL = "__all"
@@ -127,9 +128,9 @@ def _replay_slice(order: list[str], value: str, qs: list[float], cols: list[str]
     def run(rows: pd.DataFrame, earlier: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(order, kind="stable").reset_index(drop=True)
         live = rows["__bin"].notna()
-        bins = np.unique(np.concatenate([rows.loc[live, "__bin"].to_numpy("int64"), earlier["__bin"].to_numpy("int64")]))
+        bins = np.unique(np.concatenate([rows.loc[live, "__bin"].to_numpy("int64"), earlier["__e_bin"].to_numpy("int64")]))
         start = np.zeros(len(bins), dtype="int64")
-        start[np.searchsorted(bins, earlier["__bin"].to_numpy("int64"))] = earlier["__before"].to_numpy("int64")
+        start[np.searchsorted(bins, earlier["__e_bin"].to_numpy("int64"))] = earlier["__before"].to_numpy("int64")
         counts = _Counts(start)
         place = np.searchsorted(bins, rows["__bin"].fillna(0).to_numpy("int64"))
         parts = np.full((len(rows), len(qs) * 5), np.nan)
@@ -195,6 +196,7 @@ def expanding_quantiles(df: DataFrame, value: str, order: list[str], qs: dict[st
 
 def _sliced_quantiles(df: DataFrame, value: str, order: list[str], names: list[str], qs: list[float], keys: list[str],
                       whole: bool, limit: int) -> DataFrame:
+    df = cut(df)  # read four times below; the narrow table is written once in the shared folder
     if whole:
         df = df.withColumn("__bin", c(value).cast("bigint"))
     else:
@@ -214,11 +216,12 @@ def _sliced_quantiles(df: DataFrame, value: str, order: list[str], names: list[s
     so_far = Window.partitionBy(*keys, "__bin").orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     earlier = (grid.join(counts, [*keys, "__bin", SLICE], "left")
                .withColumn("__before", F.coalesce(F.sum("__n").over(so_far), F.lit(0)).cast("bigint"))
-               .filter("__before > 0").select(*keys, SLICE, "__bin", "__before"))
+               .filter("__before > 0")
+               .select(*[c(n).alias(f"__e_{n}") for n in (*keys, SLICE)], c("__bin").alias("__e_bin"), "__before"))
     parts = [T.StructField(f"__{p}{j}", T.DoubleType()) for j in range(len(qs)) for p in ("lob", "lor", "hib", "hir", "f")]
     schema = T.StructType([*df.schema.fields, T.StructField("n_before", T.LongType()), *parts])
     part = [*keys, SLICE]
-    found = df.groupBy(*part).cogroup(earlier.groupBy(*part)).applyInPandas(
+    found = df.groupBy(*part).cogroup(earlier.groupBy(*[f"__e_{n}" for n in part])).applyInPandas(
         _replay_slice(order, value, qs, [f.name for f in schema.fields]), schema)
     drop = ["__bin", *[f.name for f in parts]]
     if whole:
@@ -228,8 +231,7 @@ def _sliced_quantiles(df: DataFrame, value: str, order: list[str], names: list[s
 
     asks = F.array(*[F.struct(F.lit(f"{side}{j}").alias("which"), c(f"__{side}b{j}").cast("bigint").alias("bin"),
                               c(f"__{side}r{j}").cast("bigint").alias("r")) for j in range(len(qs)) for side in ("lo", "hi")])
-    rid = F.to_json(F.struct(*keys, *order))
-    found = found.withColumn("__rid", rid)
+    found = cut(found.withColumn("__rid", F.to_json(F.struct(*keys, *order))))
     asked = (found.filter(c("n_before") > 0).select(*keys, *order, "__rid", F.explode(asks).alias("a"))
              .select(*keys, *order, "__rid", c("a.which").alias("__which"), c("a.bin").alias("__bin"), c("a.r").alias("__r"),
                      F.lit(1).alias("__ask"), F.lit(None).cast("double").alias("__y")))

@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from callmeter.functions import text
 from callmeter.functions.money import dollars, exact_sum
 from callmeter.operators import backtest, cache, files, live, reconcile, reports, scores, signs, tasks
+from callmeter.operators.ordered import SLICE
 from callmeter.plans import bridge
+from callmeter.session import cut
 
 c = F.col
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,7 +34,9 @@ class Views:
 
     @cached_property
     def calls(self) -> DataFrame:
-        return bridge.calls_from(self.events, self.rows)
+        calls = bridge.calls_from(self.events, self.rows)
+        # calls are a stored table in practice; with hot sessions every operator reads it more than once
+        return cut(calls) if SLICE in calls.columns else calls
 
     @cached_property
     def main(self) -> DataFrame:
