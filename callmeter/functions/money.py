@@ -23,5 +23,5 @@ def exact_sum(col: Column | str) -> Column:
     return F.sum(col.cast("decimal(20,0)"))
 
 
-def dollars(pico: Column, digits: int = 6) -> Column:
+def dollars(pico: Column, digits: int = 8) -> Column:
     return F.round(pico.cast("double") / F.lit(PICO), digits)

@@ -208,3 +208,95 @@ def task_prompts(stats: DataFrame) -> DataFrame:
     """The prompt that opened each tracked task of the bridge."""
     c = F.col
     return stats.filter("tracked").select("source", "task_id", phrase((c("task_id") * 7) % 30).alias("text"))
+
+
+# ------------------------------------------------------------------ log lines
+
+
+def log_lines(calls_df: DataFrame) -> DataFrame:
+    """The calls written as log lines: a prompt or a tool result, then 1 to 4 lines that repeat the usage.
+
+    Only prompts carry a prompt id; everything else finds its task through its parents.
+    """
+    c = F.col
+    main = c("trigger") != "subagent"
+    seq = scan(calls_df, ["session_key"], ORDER, before=last_seen(c("turn_id")), asked=last_seen(F.when(main, c("turn_id"))),
+               place=running_sum(F.lit(1).cast("bigint")))
+    size = lambda i: (1 + i % 4)
+    text = lambda x: x.cast("string")
+    end = F.when(c("before").isNotNull(), F.concat(F.lit("a"), text(c("before")), F.lit("_"), text(size(c("before")))))
+    opener = F.when(c("trigger") == "user_turn", F.concat(F.lit("p"), text(c("turn_id")))).when(
+        c("trigger") == "tool_call", F.concat(F.lit("r"), text(c("turn_id"))))
+    stamp = F.date_format(F.timestamp_micros("t_us"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    n = size(c("turn_id"))
+    rows = seq.withColumns({"end": end, "opener": opener, "stamp": stamp, "n": n, "line_no": F.explode(F.sequence(F.lit(0), n))})
+    rows = rows.filter((c("line_no") > 0) | c("opener").isNotNull())
+    uuid = F.when(c("line_no") == 0, c("opener")).otherwise(F.concat(F.lit("a"), text(c("turn_id")), F.lit("_"), text(c("line_no"))))
+    parent = F.when(c("line_no") == 0, c("end")).when(c("line_no") == 1, F.coalesce("opener", "end")).otherwise(
+        F.concat(F.lit("a"), text(c("turn_id")), F.lit("_"), text(c("line_no") - 1)))
+    head = F.struct(uuid.alias("uuid"), parent.alias("parentUuid"), c("stamp").alias("timestamp"), c("version"),
+                    F.concat(F.lit("/srv/"), c("project")).alias("cwd"))
+    both = lambda *more: F.to_json(F.struct("head.*", *more))
+    prompt = both(F.lit("user").alias("type"), text(c("task_id")).alias("promptId"),
+                  F.struct(F.concat(F.lit("go "), text(c("turn_id"))).alias("content")).alias("message"))
+    result = both(F.lit("user").alias("type"), F.struct(F.array(F.struct(
+        F.lit("tool_result").alias("type"), F.concat(F.lit("t"), text(F.coalesce("asked", F.lit(-1)))).alias("tool_use_id"),
+        F.repeat(F.lit("x"), (c("turn_id") % 50).cast("int")).alias("content"))).alias("content")).alias("message"))
+    usage = F.struct(c("input_new").alias("input_tokens"), c("cache_read").alias("cache_read_input_tokens"),
+                     c("cache_write").alias("cache_creation_input_tokens"),
+                     F.when(c("line_no") == c("n"), c("output")).otherwise(F.expr("output div 2")).alias("output_tokens"))
+    block = F.array(F.struct(F.when(c("line_no") == c("n"), "tool_use").otherwise("thinking").alias("type"),
+                             F.concat(F.lit("t"), text(c("turn_id"))).alias("id"), F.lit("Read").alias("name")))
+    reply = both(F.lit("assistant").alias("type"), (~main).alias("isSidechain"), F.lit("s").alias("agentId"), F.struct(
+        F.concat(F.lit("m"), text(c("turn_id"))).alias("id"), "model", usage.alias("usage"), block.alias("content")).alias("message"))
+    value = F.when((c("line_no") == 0) & (c("trigger") == "user_turn"), prompt).when(c("line_no") == 0, result).otherwise(reply)
+    rows = rows.withColumn("head", head)
+    return _as_lines(rows, value, c("place") * 10 + c("line_no"))
+
+
+def _as_lines(rows: DataFrame, value, place) -> DataFrame:
+    key = F.col("session_key").cast("string")
+    return rows.select(key.alias("session_key"), key.alias("session_id"), F.lit("logs").alias("project_dir"),
+                       F.lit(None).cast("string").alias("agent_file"), key.alias("file"), value.alias("value"),
+                       F.struct(F.lit(0).alias("sub"), key.alias("file"), F.lit(0).cast("bigint").alias("block"),
+                                place.cast("bigint").alias("row")).alias("pos"), F.lit(False).alias("unterminated"))
+
+
+def damaged_lines(ev: DataFrame) -> DataFrame:
+    """`events.props` as log lines, many of them damaged or of another type."""
+    c = F.col
+    i = c("event_id")
+    value = (F.when(i % 17 == 0, F.substring("props", 1, 4)).when(i % 19 == 0, F.concat(F.lit("["), c("props"), F.lit("]")))
+             .when(i % 13 == 0, F.lit('{"type": "summary"}')).when(i % 11 == 0, F.lit('{"type": "hologram", "usage": {"n": 1}}'))
+             .when(i % 7 == 0, F.lit('{"type": "assistant", "message": {"id": "a", "usage": {"input_tokens": "12", "output_tokens": 1}}}'))
+             .when(i % 5 == 0, F.lit('{"type": "user", "message": {"content": "hello"}}')).otherwise(c("props")))
+    return _as_lines(ev.withColumn("session_key", c("user_id")), value, i)
+
+
+# ------------------------------------------------------------------ prompts and estimates
+
+
+def asked(real: DataFrame) -> DataFrame:
+    """A prompt one second before each real task, some with a model or a family given."""
+    c = F.col
+    family = F.element_at(F.array(*[F.lit(f) for f in labels.FAMILIES]), (c("task_id") % 4 + 1).cast("int"))
+    return real.select(
+        c("task_id").alias("prompt_id"), "session_key", (c("started_us") - 1_000_000).alias("made_us"),
+        F.length(phrase((c("task_id") * 7) % 30)).cast("bigint").alias("chars"), (c("task_id") % 3 * 1000).alias("add_chars"),
+        F.when(c("task_id") % 7 == 0, "alpha-5").alias("model"), F.when(c("task_id") % 5 == 0, family).alias("family"))
+
+
+def estimates(real: DataFrame) -> DataFrame:
+    """Recorded estimates: one or two before most tasks, some far too early."""
+    c = F.col
+    early = F.when(c("task_id") % 7 == 0, 2000).otherwise(c("task_id") % 40)
+    rows = real.filter(c("task_id") % 4 != 0).withColumn("second", F.explode(F.array(F.lit(0), F.lit(1)))).filter(
+        (c("second") == 0) | (c("task_id") % 5 == 0))
+    est = c("task_id") * 2 + c("second")
+    rows = rows.select(est.alias("est_id"), "session_key", (c("started_us") - (early + 2 * c("second")) * 1_000_000).alias("made_us"))
+    e = c("est_id")
+    return rows.withColumns({
+        "lo": 1 + e % 3, "p50": F.when(e % 23 != 0, 3 + e % 3), "hi": 7 + e % 3, "spread": e % 29 == 0,
+        "cost_lo": 0.01 * (e % 3), "cost_p50": 0.05 + 0.01 * (e % 3), "cost_hi": 0.2 + 0.01 * (e % 3),
+        "input_next": 20000 + 600 * (e % 50), "cached": F.when(e % 2 == 0, 20000).otherwise(0).cast("bigint"),
+        "family": F.when(e % 2 == 0, "question").otherwise("refactor"), "family_source": F.when(e % 9 == 0, "declared").otherwise("guessed")})

@@ -199,7 +199,7 @@ unexplained AS (SELECT * FROM caused WHERE kind = 'break' AND model = q_model AN
 """
 
 SQL["cache_events"] = query(f"""
-SELECT turn_id, session_key, kind, lost_tokens, {usd('extra_p', 6)} AS extra_cost, t_us - q_us AS gap_us FROM events_lost""", PAIRS)
+SELECT turn_id, session_key, kind, lost_tokens, {usd('extra_p', 8)} AS extra_cost, t_us - q_us AS gap_us FROM events_lost""", PAIRS)
 
 SQL["cache_summary"] = query(f"""
 SELECT kind, count(*) AS events, CAST(sum(lost_tokens) AS BIGINT) AS lost_tokens, {usd('sum(extra_p)')} AS extra_cost
@@ -686,3 +686,214 @@ SELECT method, {_METRICS} FROM (
     SELECT *, flr + (greatest(t[1], 1) - 1) * reread AS e1, flr + (greatest(t[2], 1) - 1) * reread AS e2, flr + (greatest(t[3], 1) - 1) * reread AS e3
     FROM costed_q WHERE n_before >= 8)) WHERE m >= 8)
 GROUP BY method""", COST)
+
+SQL["dedup_calls"] = query("""
+SELECT turn_id, model, input_new, cache_read, cache_write, output, 1 + turn_id % 4 AS lines FROM calls""")
+_F4 = ("input_new", "cache_read", "cache_write", "output")
+_NAIVE = {n: (f"sum({n} * (1 + turn_id % 4))" if n != "output" else "sum(output + (turn_id % 4) * (output // 2))") for n in _F4}
+SQL["duplication_ratio"] = query(
+    "SELECT count(*) AS calls, CAST(sum(1 + turn_id % 4) AS BIGINT) AS lines, round(CAST(sum(1 + turn_id % 4) AS DOUBLE) / count(*), 4) AS lines_per_call, "
+    + ", ".join(f"CAST(sum({n}) AS BIGINT) AS once_{n}, CAST({x} AS BIGINT) AS naive_{n}, round(CAST({x} AS DOUBLE) / CAST(sum({n}) AS DOUBLE), 4) AS ratio_{n}"
+                for n, x in _NAIVE.items()) + " FROM calls")
+SQL["lines_per_call"] = query("SELECT 1 + turn_id % 4 AS lines, count(*) AS calls FROM calls GROUP BY 1")
+SQL["task_chain"] = query("SELECT turn_id, task_id FROM calls")
+SQL["trigger_walk"] = query("""
+SELECT turn_id, trigger, CASE trigger WHEN 'user_turn' THEN length('go ' || turn_id) WHEN 'tool_call' THEN turn_id % 50 END AS added_chars FROM calls""")
+SQL["json_tolerant_scan"] = """
+SELECT bucket, reason, count(*) AS n FROM (
+  SELECT unnest([CASE WHEN i % 17 = 0 OR i % 19 = 0 THEN 'unreadable' WHEN i % 13 = 0 THEN 'ignored' WHEN i % 11 = 0 THEN 'unknown_type'
+      WHEN i % 7 = 0 THEN 'unreadable' WHEN i % 5 = 0 THEN 'used' ELSE 'unreadable' END,
+    CASE WHEN i % 17 <> 0 AND i % 19 <> 0 AND i % 13 <> 0 AND i % 11 = 0 THEN 'unknown_with_tokens' END]) AS bucket,
+    CASE WHEN i % 17 = 0 THEN 'bad_json' WHEN i % 19 = 0 THEN 'not_an_object' WHEN i % 13 = 0 THEN 'summary' WHEN i % 11 = 0 THEN 'hologram'
+      WHEN i % 7 = 0 THEN 'assistant_bad_usage' WHEN i % 5 = 0 THEN 'user' ELSE 'no_type' END AS reason
+  FROM (SELECT event_id AS i FROM events)) WHERE bucket IS NOT NULL GROUP BY bucket, reason"""
+SQL["cross_session_dedup"] = query("SELECT session_key, count(*) AS calls, CAST(sum(output) AS BIGINT) AS output FROM calls GROUP BY session_key")
+SQL["rereads"] = query("SELECT turn_id, session_key, path FROM files WHERE turn_id IN (SELECT turn_id FROM reread_calls)")
+UNUSED = """
+cut_at AS (SELECT session_key, max(t_us) AS since FROM pairs WHERE input_total < 0.5 * q_input GROUP BY session_key),
+paths AS (SELECT f.session_key, path, count(*) FILTER (action = 'read') AS reads, min((f.t_us, turn_id)) FILTER (action = 'read') AS fr,
+    max((f.t_us, turn_id)) FILTER (action = 'write') AS lw
+  FROM files f LEFT JOIN cut_at USING (session_key) WHERE since IS NULL OR f.t_us >= since GROUP BY f.session_key, path),
+unused AS (SELECT session_key, count(*) AS loaded, count(*) FILTER (NOT (reads > 1 OR coalesce(lw > fr, FALSE))) AS unused,
+    loaded >= 10 AND unused >= 0.7 * loaded AS flagged FROM paths WHERE reads > 0 GROUP BY session_key)
+"""
+SQL["unused_files"] = query("SELECT session_key, loaded, unused, flagged FROM unused", PAIRS, UNUSED)
+SQL["edit_rate"] = query("""
+SELECT family, count(*) AS files_read, count(*) FILTER (w) AS files_edited, round(100 * avg(CASE WHEN w THEN 1.0 ELSE 0.0 END), 4) AS edit_rate
+FROM (SELECT task_id, path, bool_or(action = 'read') AS r, bool_or(action = 'write') AS w FROM files GROUP BY task_id, path)
+JOIN families USING (task_id) WHERE r GROUP BY family""")
+RATIO = """
+ratio AS (SELECT CASE WHEN count(*) >= 10 THEN least(8.0, greatest(1.5, CAST(sum(added_chars) AS DOUBLE) / CAST(sum(input_total - q_input - q_output) AS DOUBLE)))
+    ELSE 2.5 END AS ratio, count(*) AS samples
+  FROM pairs WHERE trigger = 'tool_call' AND added_chars >= 1000 AND input_total - q_input - q_output > 0)
+"""
+SQL["chars_per_token"] = query("SELECT round(ratio, 6) AS ratio, samples FROM ratio", PAIRS, RATIO)
+ASKED = _phrases() + """,
+asks AS (SELECT task_id AS prompt_id, session_key, started_us - 1000000 AS made_us, length(phrase) AS chars, task_id % 3 * 1000 AS add_chars,
+    CASE WHEN task_id % 7 = 0 THEN 'alpha-5' END AS a_model,
+    CASE WHEN task_id % 5 = 0 THEN list_extract(['question', 'refactor', 'review', 'measure'], CAST(task_id % 4 + 1 AS INTEGER)) END AS a_family
+  FROM real_tasks JOIN phrases ON i = (task_id * 7) % 30),
+lasts AS (SELECT session_key, t_us, turn_id, model, input_total, output, task_id,
+    coalesce(last_value(CASE WHEN cache_write > 0 THEN CASE WHEN cache_write_1h > 0 THEN 3600 ELSE 300 END END IGNORE NULLS)
+      OVER (PARTITION BY session_key ORDER BY t_us, turn_id ROWS UNBOUNDED PRECEDING), 300) AS ttl FROM main_rows),
+joined AS (SELECT a.*, l.* EXCLUDE (session_key), coalesce(a_model, model) AS m, made_us - t_us AS gap_us, (SELECT ratio FROM ratio) AS ratio
+  FROM asks a JOIN lasts l ON l.session_key = a.session_key AND l.t_us <= a.made_us
+  QUALIFY row_number() OVER (PARTITION BY prompt_id ORDER BY l.t_us DESC, l.turn_id DESC) = 1),
+asked AS (
+  SELECT *, CASE WHEN warm THEN input_total ELSE 0 END AS cached, input_next - cached AS to_write,
+    cached * p_read + to_write * pw AS floor_p, input_total * p_read + (input_next - input_total) * pw AS warm_p
+  FROM (SELECT j.*, j.input_total + j.output + CAST(round_even(chars / ratio, 0) AS BIGINT) + CAST(round_even(add_chars / ratio, 0) AS BIGINT) AS input_next,
+      m = j.model AND gap_us <= ttl * CAST(1000000 AS BIGINT) AS warm, x.p_read, x.p_out, x.max_output,
+      CASE WHEN ttl = 3600 THEN x.p_write_1h ELSE x.p_write_5m END AS pw
+    FROM joined j JOIN px x ON x.price_key = m))
+"""
+SQL["next_call_input"] = query(f"""
+SELECT prompt_id, session_key, m AS model, input_next, cached, to_write, ttl, warm, gap_us, {usd('floor_p', 8)} AS floor_cost,
+  {usd('warm_p', 8)} AS warm_cost FROM asked""", PAIRS, RATIO, ASKED)
+BASIS = f"""
+ranks AS (SELECT *, {_RANK_SLICE} AS slice FROM (SELECT *, row_number() OVER (PARTITION BY session_key ORDER BY started_us, task_id) AS rank FROM real_tasks)),
+placed AS (SELECT *, {_RANK_SLICE.replace('rank', 'rank_next')} AS slice_next FROM (
+  SELECT a.*, 1 + (SELECT count(*) FROM real_tasks r WHERE r.session_key = a.session_key) AS rank_next FROM asked a)),
+sized AS (SELECT p.*, (SELECT count(*) FROM ranks r WHERE r.family = p.a_family AND r.task_id <> p.task_id) AS nf,
+    (SELECT count(*) FROM ranks r WHERE r.slice = p.slice_next AND r.task_id <> p.task_id) AS nr FROM placed p),
+based AS (SELECT *, CASE WHEN a_family IS NOT NULL AND nf >= 8 THEN 'family' WHEN a_family IS NOT NULL THEN 'all' WHEN nr >= 30 THEN 'rank' ELSE 'all' END AS basis
+  FROM sized),
+chosen AS (SELECT b.prompt_id, min(b.basis) AS basis, min(CASE b.basis WHEN 'family' THEN a_family WHEN 'rank' THEN slice_next ELSE 'all' END) AS label,
+    min(b.rank_next) AS rank_next, count(*) AS samples, quantile_cont(r.turns_main, [0.125, 0.5, 0.875]) AS q, quantile_cont(r.turns, 0.5) AS a50,
+    max(r.turns_main) AS mx
+  FROM based b JOIN ranks r ON r.task_id <> b.task_id AND (b.basis = 'all' OR b.basis = 'family' AND r.family = b.a_family OR b.basis = 'rank' AND r.slice = b.slice_next)
+  GROUP BY b.prompt_id)
+"""
+SQL["basis_choice"] = query("""
+SELECT prompt_id, basis, label, samples, rank_next, round(q[1], 6) AS lo, round(q[2], 6) AS p50, round(q[3], 6) AS hi, round(a50, 6) AS all_p50
+FROM chosen""", PAIRS, RATIO, ASKED, BASIS)
+SQL["estimate_floor_ceiling"] = query(f"""
+SELECT prompt_id, {usd('floor_p', 8)} AS floor_cost, mx AS ceiling_turns, ci AS ceiling_input, co AS ceiling_output,
+  {usd('CAST(ci AS HUGEINT) * pw + CAST(co AS HUGEINT) * p_out', 8)} AS ceiling_cost,
+  round((floor_p + greatest(q[1] - 1, 0.0) * (input_next * p_read)) / 1e12, 8) AS cost_lo,
+  round((floor_p + greatest(q[2] - 1, 0.0) * (input_next * p_read)) / 1e12, 8) AS cost_p50,
+  round((floor_p + greatest(q[3] - 1, 0.0) * (input_next * p_read)) / 1e12, 8) AS cost_hi
+FROM (SELECT *, mx * input_next + max_output * mx * (mx - 1) // 2 AS ci, mx * max_output AS co FROM asked JOIN chosen USING (prompt_id))""",
+    PAIRS, RATIO, ASKED, BASIS)
+SQL["cost_state"] = query(f"""
+SELECT prompt_id, session_key, state, CASE WHEN state = 'warm' THEN round((ttl * CAST(1000000 AS BIGINT) - gap_us) / 1e6, 3) END AS left_s,
+  input_next, {usd('floor_p', 8)} AS cost, {usd('warm_p', 8)} AS warm_cost, kept AS kept_tokens,
+  {usd('kept * p_read + (input_next - kept) * pw', 8)} AS kept_cost
+FROM (SELECT a.*, CASE WHEN m <> a.model THEN 'model switch' WHEN NOT warm THEN 'expired' ELSE 'warm' END AS state,
+    CASE WHEN m = a.model AND NOT warm THEN least(CAST(floor(e.med) AS BIGINT), input_next) END AS kept
+  FROM asked a LEFT JOIN (SELECT model, quantile_cont(cache_read, 0.5) AS med FROM expired GROUP BY model HAVING count(*) >= 10) e ON e.model = m)""",
+    PAIRS, EXPIRED, RATIO, ASKED)
+SQL["warning_flags"] = query(f"""
+SELECT prompt_id, a.session_key, coalesce(breaks, 0) AS breaks, coalesce(break_cost, 0.0) AS break_cost, input_next > 100000 AS large_context,
+  coalesce(flagged, FALSE) AS unused_files, coalesce(sh >= 30, FALSE) AS leans_on_subagents
+FROM asked a LEFT JOIN (SELECT session_key, count(*) AS breaks, {usd('sum(extra_p)')} AS break_cost FROM events_lost WHERE kind = 'break' GROUP BY session_key) b USING (session_key)
+LEFT JOIN unused u USING (session_key)
+LEFT JOIN (SELECT family, 100.0 * sum(sub_tokens) / sum(tokens) AS sh FROM real_tasks GROUP BY family) f ON f.family = a.a_family""",
+    PAIRS, RATIO, ASKED, UNUSED)
+SQL["session_alerts"] = query(f"""
+SELECT session_key, cost, unpriced, coalesce(missed, FALSE) AS cache_missed, context, coalesce(NOT exact, FALSE) AS counter_disagrees
+FROM (SELECT session_key, {usd('coalesce(sum(cost_p), 0)')} AS cost, count(*) FILTER (cost_p IS NULL) AS unpriced FROM priced GROUP BY session_key)
+LEFT JOIN (SELECT session_key, q_input >= 4096 AND cache_read < 0.5 * q_input AND input_total >= 0.5 * q_input AS missed, input_total + output AS context
+  FROM (SELECT *, lag(input_total) OVER (PARTITION BY session_key ORDER BY t_us, turn_id) AS q_input FROM priced WHERE trigger <> 'subagent')
+  QUALIFY row_number() OVER (PARTITION BY session_key ORDER BY t_us DESC, turn_id DESC) = 1) USING (session_key)
+LEFT JOIN sums USING (session_key)""", SNAPS)
+
+ESTIMATES = """
+est AS (SELECT e.*, 1 + est_id % 3 AS lo, CASE WHEN est_id % 23 <> 0 THEN 3 + est_id % 3 END AS p50, 7 + est_id % 3 AS hi, est_id % 29 = 0 AS spread,
+    CAST(0.01 AS DOUBLE) * (est_id % 3) AS cost_lo, CAST(0.05 AS DOUBLE) + CAST(0.01 AS DOUBLE) * (est_id % 3) AS cost_p50,
+    CAST(0.2 AS DOUBLE) + CAST(0.01 AS DOUBLE) * (est_id % 3) AS cost_hi, 20000 + 600 * (est_id % 50) AS input_next,
+    CASE WHEN est_id % 2 = 0 THEN 20000 ELSE 0 END AS cached, CASE WHEN est_id % 2 = 0 THEN 'question' ELSE 'refactor' END AS e_family,
+    CASE WHEN est_id % 9 = 0 THEN 'declared' ELSE 'guessed' END AS family_source
+  FROM (SELECT task_id * 2 + second AS est_id, session_key,
+      started_us - (CASE WHEN task_id % 7 = 0 THEN 2000 ELSE task_id % 40 END + 2 * second) * CAST(1000000 AS BIGINT) AS made_us
+    FROM real_tasks, (VALUES (0), (1)) s(second) WHERE task_id % 4 <> 0 AND (second = 0 OR task_id % 5 = 0)) e),
+nexts AS (SELECT est_id, e.session_key, made_us, task_id AS next_id, started_us FROM est e
+  JOIN (SELECT * FROM stats WHERE tracked AND turns_main > 0) t ON t.session_key = e.session_key AND t.started_us >= e.made_us - 5000000
+  QUALIFY row_number() OVER (PARTITION BY est_id ORDER BY started_us, task_id) = 1),
+linked AS (SELECT e.est_id, e.session_key, e.made_us, CASE WHEN started_us - e.made_us <= 1800000000 THEN next_id END AS cand FROM est e LEFT JOIN nexts USING (est_id)),
+settled AS (SELECT l.est_id, l.session_key, l.made_us,
+    CASE WHEN cand IS NOT NULL AND row_number() OVER (PARTITION BY l.session_key, cand ORDER BY l.made_us DESC, est_id) > 1 THEN 'superseded'
+      WHEN cand IS NOT NULL THEN 'linked' WHEN 1704067200000000 + 43200000000 - l.made_us > 1800000000 THEN 'unmatched' ELSE 'open' END AS status, cand
+  FROM linked l),
+finals AS (SELECT s.est_id, s.made_us, s.status, CASE WHEN status = 'linked' THEN cand END AS task_id,
+    coalesce(status = 'linked' AND ((SELECT max(o.started_us) FROM stats o WHERE o.session_key = s.session_key AND o.tracked AND o.turns_main > 0) > t.started_us
+      OR 1704067200000000 + 43200000000 - t.last_us > 3600000000), FALSE) AS finished
+  FROM settled s LEFT JOIN stats t ON t.task_id = s.cand AND t.session_key = s.session_key)
+"""
+SQL["settle_estimates"] = query("SELECT est_id, status, task_id, finished FROM finals", ESTIMATES)
+_USD_DONE = "CAST(cost_p AS DOUBLE) / 1e12"
+SQL["scorecard"] = query(f"""
+SELECT count(*) AS n, count(*) FILTER (good) AS with_interval, count(*) FILTER (p50 IS NOT NULL AND spread) AS no_interval_spread,
+  count(*) FILTER (p50 IS NULL) AS no_history, count(*) FILTER (good AND turns_main BETWEEN lo AND hi) AS turns_inside,
+  round(quantile_cont(abs(turns_main - p50), 0.5), 6) AS turns_median_abs_error, round(quantile_cont(turns_main / p50, 0.5), 6) AS turns_median_ratio,
+  count(*) FILTER (good AND unpriced = 0) AS cost_scored, count(*) FILTER (good AND unpriced = 0 AND {_USD_DONE} BETWEEN cost_lo AND cost_hi) AS cost_inside,
+  round(quantile_cont({_USD_DONE} / cost_p50, 0.5) FILTER (good AND unpriced = 0), 6) AS cost_median_ratio,
+  round(quantile_cont((first_input - input_next) / first_input, 0.5), 6) AS input_median_error,
+  count(*) FILTER (abs((first_input - input_next) / first_input) <= 0.05) AS input_within_5pct,
+  count(*) FILTER (CASE WHEN cached = 0 THEN first_cache_read < 0.1 * first_input ELSE first_cache_read >= 0.9 * cached END) AS cache_as_said,
+  count(*) FILTER (family_source <> 'declared') AS family_guessed, count(*) FILTER (family_source <> 'declared' AND e_family = family) AS family_same_after
+FROM (SELECT e.*, s.*, p50 IS NOT NULL AND NOT spread AS good FROM finals f JOIN est e USING (est_id) JOIN stats s ON s.task_id = f.task_id
+      WHERE f.finished ORDER BY f.made_us DESC, f.est_id DESC LIMIT 50)""", ESTIMATES)
+
+_Q = "round(quantile_cont({0}, {1}) FILTER ({2}), 6)"
+SQL["computed_backtest"] = query(f"""
+SELECT count(*) AS prompts, count(*) FILTER (abs(error) <= 0.05) AS input_within_5pct, count(*) FILTER (cold IS NOT NULL) AS cold_said,
+  count(*) FILTER (cold IS NOT NULL AND share < 0.1) AS cold_was_cold, count(*) FILTER (warm) AS warm_said, count(*) FILTER (warm AND share >= 0.9) AS warm_was_warm,
+  count(*) FILTER (missed) AS missed, count(*) FILTER (missed AND cold = 'model') AS missed_switch,
+  count(*) FILTER (missed AND cold = 'idle' AND ttl = 300) AS missed_idle_5m, count(*) FILTER (missed AND cold = 'idle' AND ttl = 3600) AS missed_idle_1h,
+  count(*) FILTER (missed AND share >= 0.9) AS missed_fully_warm, count(*) FILTER (missed AND cold = 'idle' AND ttl = 300 AND gap_s <= 3600) AS missed_idle_5m_under_1h,
+  {_Q.format('error', 0.1, 'TRUE')} AS input_error_p10, {_Q.format('error', 0.5, 'TRUE')} AS input_error_p50, {_Q.format('error', 0.9, 'TRUE')} AS input_error_p90,
+  {_Q.format('share', 0.5, 'cold IS NOT NULL')} AS cold_share_p50, {_Q.format('share', 0.9, 'cold IS NOT NULL')} AS cold_share_p90,
+  {_Q.format('share', 0.5, 'warm')} AS warm_share_p50, {_Q.format('share', 0.5, 'missed')} AS missed_share_p50,
+  {_Q.format('gap_s', 0.1, "missed AND cold = 'idle'")} AS missed_gap_s_p10, {_Q.format('gap_s', 0.5, "missed AND cold = 'idle'")} AS missed_gap_s_p50,
+  {_Q.format('gap_s', 0.9, "missed AND cold = 'idle'")} AS missed_gap_s_p90
+FROM (SELECT *, coalesce(cold IS NOT NULL AND share >= 0.1, FALSE) AS missed FROM (
+  SELECT (input_total - (q_input + q_output + CAST(round_even(length(phrase) / (SELECT ratio FROM ratio), 0) AS BIGINT))) / input_total AS error,
+    CASE WHEN q_input >= 4096 THEN cache_read / q_input END AS share, ttl, (t_us - q_us) / 1e6 AS gap_s,
+    CASE WHEN q_input >= 4096 AND (model <> q_model OR t_us - q_us > ttl * CAST(1000000 AS BIGINT))
+      THEN CASE WHEN model <> q_model THEN 'model' ELSE 'idle' END END AS cold,
+    q_input >= 4096 AND NOT (model <> q_model OR t_us - q_us > ttl * CAST(1000000 AS BIGINT)) AS warm
+  FROM pairs JOIN phrases ON i = (task_id * 7) % 30
+  WHERE trigger = 'user_turn' AND task_id <> -1 AND q_task <> task_id AND input_total >= 0.5 * q_input))""", PAIRS, RATIO, _phrases())
+
+
+def _family(t: str) -> str:
+    from callmeter.functions.text import FAMILY_WORDS
+
+    out = "CASE "
+    for fam, stems in FAMILY_WORDS.items():
+        body = "|".join(s.replace(r"\w", r"[\p{L}\p{N}_]") for s in stems)
+        tail = r"([^\p{L}\p{N}_]|$)" if fam == "measure" else ""
+        out += rf"WHEN regexp_matches(lower({t}), '(^|[^\p{{L}}\p{{N}}_])({body}){tail}') THEN '{fam}' "
+    return out + f"WHEN trim({t}) <> '' THEN 'question' END"
+
+
+SQL["family_crosstab"] = query(f"""
+SELECT text_family, family, count(*) AS tasks, count(*) FILTER (text_family = family) AS agree, quantile_cont(turns_main, 0.5) AS turns_p50
+FROM (SELECT r.*, {_family('phrase')} AS text_family FROM real_tasks r JOIN phrases ON i = (task_id * 7) % 30) GROUP BY text_family, family""", _phrases())
+_CONV = "WITH " + _phrases() + """,
+convs AS (SELECT conv_id * 1000 + turn AS prompt_id, text || ' ' || phrase AS text FROM conversations JOIN phrases ON i = (conv_id * 7 + turn) % 30 WHERE role = 'user'),
+word_rows AS (SELECT DISTINCT prompt_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{Nl}\\p{No}]{3,}')) AS word FROM convs)
+"""
+SQL["prompt_words"] = _CONV + "SELECT word, count(*) AS prompts FROM word_rows GROUP BY word"
+SQL["prompt_features"] = _CONV + f"SELECT prompt_id, {_features('text')} FROM convs"
+SQL["family_from_text"] = _CONV + f"SELECT {_family('text')} AS family, count(*) AS prompts FROM convs GROUP BY 1"
+SQL["nearest_prompts"] = _CONV.rstrip() + """,
+total AS (SELECT CAST(count(DISTINCT prompt_id) AS DOUBLE) AS n FROM word_rows),
+dfs AS (SELECT word, ln((SELECT n FROM total) / count(*)) AS idf FROM word_rows GROUP BY word HAVING count(*) <= 0.05 * (SELECT n FROM total)),
+weighted AS (SELECT prompt_id, word, idf / sqrt(sum(idf * idf) OVER (PARTITION BY prompt_id)) AS w FROM word_rows JOIN dfs USING (word)),
+sims AS (SELECT a.prompt_id, b.prompt_id AS near_id, round(sum(a.w * b.w), 9) AS sim FROM weighted a JOIN weighted b USING (word)
+  WHERE b.prompt_id < a.prompt_id GROUP BY ALL HAVING round(sum(a.w * b.w), 9) >= 0.1),
+topk AS (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY sim DESC, near_id DESC) AS rank, count(*) OVER (PARTITION BY prompt_id) AS m FROM sims)
+SELECT prompt_id, near_id, round(sim, 6) AS sim, rank FROM topk WHERE rank <= 5 AND m >= 5"""
+SQL["sensitive_text_scan"] = r"""
+WITH texts AS (SELECT 'd' || doc_id AS id, text FROM documents UNION ALL SELECT 'p' || page_id, url FROM pages),
+lns AS (SELECT id, unnest(regexp_split_to_array(text, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]')) AS s FROM texts),
+found AS (
+  SELECT id, 'home path' AS kind, unnest(regexp_extract_all(s, '(?:/home/|/Users/|/root/|[A-Za-z]:\\+Users\\+)[A-Za-z0-9_.-]+')) AS value FROM lns
+  UNION ALL SELECT id, 'email', m FROM (SELECT id, unnest(regexp_extract_all(s, '(?i)\b[A-Za-z0-9][A-Za-z0-9_.+-]*@[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+)*\.[a-z]{2,}')) AS m FROM lns)
+    WHERE NOT regexp_matches(m, '(?i)^(?:noreply@github\.com|[A-Za-z0-9_.+-]+@users\.noreply\.github\.com|[A-Za-z0-9_.+-]+@example\.(?:com|org|net))$')
+  UNION ALL SELECT id, 'domain', h FROM (SELECT id, unnest(regexp_extract_all(s, '(?i)https?://([A-Za-z0-9_.-]+)', 1)) AS h FROM lns)
+    WHERE NOT regexp_matches(regexp_replace(lower(h), '\.+$', ''), '(^|\.)example\.(com|net)$')
+  UNION ALL SELECT id, 'denied term', t FROM lns, (VALUES ('password'), ('internal use'), ('secret')) d(t) WHERE contains(lower(s), t))
+SELECT kind, value, count(*) AS findings, count(DISTINCT id) AS texts FROM found GROUP BY kind, value"""

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from callmeter.functions import text
 from callmeter.functions.money import dollars, exact_sum
-from callmeter.operators import backtest, cache, files, live, reconcile, reports, scores, signs, tasks
+from callmeter.operators import (
+    backtest, cache, chains, files, forecast, live, neighbours, reconcile, reconstruct, reports, scores, settle, signs, tasks, textscan)
 from callmeter.operators.ordered import SLICE
 from callmeter.plans import bridge
 from callmeter.session import cut
@@ -129,6 +130,26 @@ class Views:
         featured = prompts.select("source", "task_id", *[x.alias(n) for n, x in text.features(c("text")).items()])
         return self.plain_real.join(featured, ["source", "task_id"], "left")
 
+    @cached_property
+    def parsed(self) -> DataFrame:
+        return reconstruct.parse(bridge.log_lines(self.calls))
+
+    @cached_property
+    def asked(self) -> DataFrame:
+        return forecast.next_input(bridge.asked(self.plain_real), self.calls, self.prices)
+
+    @cached_property
+    def chosen(self) -> DataFrame:
+        return forecast.choose_basis(self.asked, self.real)
+
+    @cached_property
+    def settled(self) -> DataFrame:
+        return settle.settle(bridge.estimates(self.plain_real), self.plain_stats, NOW_US)
+
+    @cached_property
+    def conversation_prompts(self) -> DataFrame:
+        return bridge.conversation_prompts(self.spark, self.sf_dir)
+
 
 def query(fn: Callable[[Views], DataFrame]):
     """Register a query under its function name."""
@@ -189,7 +210,7 @@ def top_per_group(v: Views) -> DataFrame:
 @query
 def cache_events(v: Views) -> DataFrame:
     return cache.cache_events(v.pairs).select(
-        "turn_id", "session_key", "kind", "lost_tokens", dollars(c("extra_p"), 6).alias("extra_cost"), "gap_us")
+        "turn_id", "session_key", "kind", "lost_tokens", dollars(c("extra_p"), 8).alias("extra_cost"), "gap_us")
 
 
 @query
@@ -445,3 +466,163 @@ def cost_methods(v: Views) -> DataFrame:
 @query
 def cost_correction(v: Views) -> DataFrame:
     return scores.interval_metrics(backtest.cost_correction(v.plain_real, v.rows), ["method"], wide=True)
+
+
+@query
+def dedup_calls(v: Views) -> DataFrame:
+    d = reconstruct.dedup_calls(v.parsed)
+    return d.select(F.substring("key", 2, 20).cast("bigint").alias("turn_id"), c("first.model").alias("model"),
+                    *[c(f"usage.{n}").alias(n) for n in reconstruct.USAGE], "lines")
+
+
+@query
+def duplication_ratio(v: Views) -> DataFrame:
+    return reconstruct.duplication_audit(v.parsed)
+
+
+@query
+def lines_per_call(v: Views) -> DataFrame:
+    return reconstruct.lines_per_call(v.parsed)
+
+
+@query
+def task_chain(v: Views) -> DataFrame:
+    roots = chains.nearest_prompt(reconstruct.line_nodes(v.parsed))
+    first = reconstruct.dedup_calls(v.parsed).select("session_key", "key", c("first.uuid").alias("uuid"))
+    return first.join(roots, ["session_key", "uuid"], "left").select(
+        F.substring("key", 2, 20).cast("bigint").alias("turn_id"), F.coalesce(c("root_prompt").cast("bigint"), F.lit(-1)).alias("task_id"))
+
+
+@query
+def trigger_walk(v: Views) -> DataFrame:
+    calls = reconstruct.dedup_calls(v.parsed)
+    walk, _ = chains.trigger_walk(calls.select("session_key", "key", c("first.parent").alias("parent")), reconstruct.line_nodes(v.parsed))
+    both = walk.join(calls.select("session_key", "key", "first.thread"), ["session_key", "key"])
+    trigger = (F.when(c("thread") != "main", "subagent").when(c("outcome") == "prompt", "user_turn").when(c("has_ids"), "tool_call")
+               .otherwise("user_turn"))
+    return both.select(F.substring("key", 2, 20).cast("bigint").alias("turn_id"), trigger.alias("trigger"),
+                       F.when(c("thread") == "main", c("chars")).alias("added_chars"))
+
+
+@query
+def json_tolerant_scan(v: Views) -> DataFrame:
+    parsed = reconstruct.parse(bridge.damaged_lines(v.events))
+    return reports.parse_quality(reconstruct.line_outcomes(parsed))
+
+
+@query
+def cross_session_dedup(v: Views) -> DataFrame:
+    rows = v.calls.select("source", "turn_id", "session_key", "output")
+    resumed = rows.filter(c("turn_id") % 3 == 0).withColumn("session_key", c("session_key") + 100000)
+    return reconstruct.first_owner(rows.unionByName(resumed), ["source", "turn_id"]).groupBy("session_key").agg(
+        F.count(F.lit(1)).alias("calls"), F.sum("output").alias("output"))
+
+
+@query
+def rereads(v: Views) -> DataFrame:
+    return files.reread_calls(v.files).select("turn_id", "session_key", "path")
+
+
+@query
+def unused_files(v: Views) -> DataFrame:
+    return files.unused_files(v.files, v.calls)
+
+
+@query
+def edit_rate(v: Views) -> DataFrame:
+    return files.edit_rate(v.files, v.families)
+
+
+@query
+def chars_per_token(v: Views) -> DataFrame:
+    return forecast.chars_per_token(v.calls).select(F.round("ratio", 6).alias("ratio"), "samples")
+
+
+@query
+def next_call_input(v: Views) -> DataFrame:
+    return v.asked.select("prompt_id", "session_key", "model", "input_next", "cached", "to_write", "ttl", "warm", "gap_us",
+                          dollars(c("floor_p"), 8).alias("floor_cost"), dollars(c("warm_p"), 8).alias("warm_cost"))
+
+
+@query
+def basis_choice(v: Views) -> DataFrame:
+    return v.chosen.select("prompt_id", "basis", "label", "samples", "rank_next", *[F.round(n, 6).alias(n) for n in ("lo", "p50", "hi", "all_p50")])
+
+
+@query
+def estimate_floor_ceiling(v: Views) -> DataFrame:
+    return forecast.frame(v.chosen).select("prompt_id", "floor_cost", "ceiling_turns", "ceiling_input", "ceiling_output", "ceiling_cost",
+                                           "cost_lo", "cost_p50", "cost_hi")
+
+
+@query
+def cost_state(v: Views) -> DataFrame:
+    return forecast.cost_state(v.asked, cache.expiries(cache.call_pairs(v.calls)))
+
+
+@query
+def warning_flags(v: Views) -> DataFrame:
+    return forecast.warning_flags(v.asked, v.pairs, files.unused_files(v.files, v.calls), forecast.family_sub_share(v.real))
+
+
+@query
+def session_alerts(v: Views) -> DataFrame:
+    return live.session_alerts(v.priced, v.verdicts)
+
+
+@query
+def settle_estimates(v: Views) -> DataFrame:
+    return v.settled.select("est_id", "status", "task_id", "finished")
+
+
+@query
+def scorecard(v: Views) -> DataFrame:
+    return settle.scorecard(bridge.estimates(v.plain_real), settle.outcomes(v.settled, v.stats))
+
+
+@query
+def computed_backtest(v: Views) -> DataFrame:
+    chars = bridge.task_prompts(v.plain_stats).select("source", "task_id", F.length("text").alias("chars"))
+    return settle.computed_backtest(v.calls, chars, forecast.chars_per_token(v.calls))
+
+
+@query
+def family_crosstab(v: Views) -> DataFrame:
+    said = bridge.task_prompts(v.plain_stats).select("source", "task_id", text.family_from_text(c("text")).alias("text_family"))
+    return v.real.join(said, ["source", "task_id"]).groupBy("text_family", "family").agg(
+        F.count(F.lit(1)).alias("tasks"), F.count(F.when(c("text_family") == c("family"), 1)).alias("agree"),
+        F.percentile("turns_main", F.lit(0.5)).alias("turns_p50"))
+
+
+@query
+def prompt_words(v: Views) -> DataFrame:
+    rows = neighbours.word_rows(v.conversation_prompts, "prompt_id", "text")
+    return rows.groupBy("word").agg(F.count(F.lit(1)).alias("prompts"))
+
+
+@query
+def prompt_features(v: Views) -> DataFrame:
+    return v.conversation_prompts.select("prompt_id", *[x.alias(n) for n, x in text.features(c("text")).items()])
+
+
+@query
+def family_from_text(v: Views) -> DataFrame:
+    return v.conversation_prompts.groupBy(text.family_from_text(c("text")).alias("family")).agg(F.count(F.lit(1)).alias("prompts"))
+
+
+@query
+def nearest_prompts(v: Views) -> DataFrame:
+    top = neighbours.nearest_earlier(v.conversation_prompts.withColumn("o", c("prompt_id")), "prompt_id", "o", "text", k=5)
+    return neighbours.complete_only(top, "prompt_id", 5).select("prompt_id", "near_id", F.round("sim", 6).alias("sim"), "rank")
+
+
+# fixed values: terms the scan looks for
+DENIED = ("password", "internal use", "secret")
+
+
+@query
+def sensitive_text_scan(v: Views) -> DataFrame:
+    docs = v.spark.read.parquet(f"{v.sf_dir}/documents.parquet").select(F.concat(F.lit("d"), c("doc_id")).alias("id"), c("text"))
+    urls = v.spark.read.parquet(f"{v.sf_dir}/pages.parquet").select(F.concat(F.lit("p"), c("page_id")).alias("id"), c("url").alias("text"))
+    found = textscan.scan_text(docs.unionByName(urls), "id", "text", list(DENIED), allowed=("example.com", "example.net"))
+    return found.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("findings"), F.countDistinct("id").alias("texts"))
