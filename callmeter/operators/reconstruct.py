@@ -68,7 +68,8 @@ def text_length(content: str, depth: int = 4) -> str:
 
 def parse(lines: DataFrame) -> DataFrame:
     """Lines with typed columns and the route each one takes: (bucket, reason, kind)."""
-    v = lines.withColumn("v", F.expr("try_parse_json(make_valid_utf8(value))"))
+    # generated, not projected: later filters stop here and do not parse the line once more per condition
+    v = lines.withColumn("v", F.explode(F.array(F.expr("try_parse_json(make_valid_utf8(value))"))))
     is_object = F.ltrim("value").startswith("{")
     blocks = F.expr("try_variant_get(v, '$.message.content', 'array<variant>')")
     typed = v.withColumns({
