@@ -10,6 +10,7 @@ from callmeter.operators.quantiles import expanding_quantiles
 from callmeter.operators.scores import (
     INTERVAL, MIN_BASIS, NOMINAL, SPREAD_LIMIT, bootstrap, five_numbers, inside, interval_metrics, interval_score)
 from callmeter.operators.tasks import main_calls
+from callmeter.session import cut
 
 c = F.col
 ORDER = ["started_us", "task_id"]
@@ -32,7 +33,7 @@ def turn_items(tasks: DataFrame, rows: int | None = None, by: list[str] | None =
 
 def backtest_turns(tasks: DataFrame, rows: int | None = None) -> DataFrame:
     """Turn intervals from every earlier task, and from earlier tasks of the same family."""
-    tasks = tasks.withColumn("family", F.coalesce("family", F.lit("?")))
+    tasks = cut(tasks.select("session_key", "task_id", "started_us", "turns_main", F.coalesce("family", F.lit("?")).alias("family")))
     every = turn_items(tasks, rows).withColumn("basis", F.lit("all"))
     family = turn_items(tasks, rows, ["family"]).withColumn("basis", F.lit("family")).drop("family")
     both = every.unionByName(family)
@@ -49,6 +50,7 @@ def sliced(labels: DataFrame, qs: dict[str, float] = DECILES, rows: int | None =
     the tasks that have a value for it, unless `baseline` (all tasks: task_id, started_us, y) is given.
     """
     names = list(qs)
+    labels = cut(labels.select("sign", "label", "session_key", "task_id", "started_us", "y"))
     own = expanding_quantiles(labels, "y", ORDER, {f"s_{n}": q for n, q in qs.items()}, ["sign", "label"], True, rows)
     own = own.withColumnRenamed("n_before", "n_slice")
     base_q = {f"b_{n}": q for n, q in qs.items()}
@@ -172,7 +174,7 @@ def median_growth_before(tasks: DataFrame, grew: DataFrame, rows: int | None = N
 
 def cost_methods(tasks: DataFrame, grew: DataFrame, rows: int | None = None) -> DataFrame:
     """Four ways to put an interval on a task's cost, on the same tasks: long (method, session_key, lo, y, hi, mid)."""
-    base = priced_tasks(tasks).withColumn("ratio", c("cost") / c("floor"))
+    base = cut(priced_tasks(tasks).withColumn("ratio", c("cost") / c("floor")))  # one narrow row per task, read four times
     turns = leak_free(base, "turns", {"t_lo": 0.1, "t_mid": 0.5, "t_hi": 0.9}, None, True, rows)
     ratio = leak_free(base.select("task_id", "started_us", "ratio"), "ratio", {"r_lo": 0.1, "r_mid": 0.5, "r_hi": 0.9}, None, False, rows)
     direct = leak_free(base.select("task_id", "started_us", "cost"), "cost", {"d_lo": 0.1, "d_mid": 0.5, "d_hi": 0.9}, None, False, rows)

@@ -14,6 +14,7 @@ from callmeter.operators.cache import DEFAULT_TTL, SECOND_US, cache_events, call
 from callmeter.operators.ordered import last_seen, running_sum, scan
 from callmeter.operators.scores import INTERVAL, SPREAD_LIMIT
 from callmeter.operators.tasks import main_calls
+from callmeter.session import cut
 from callmeter.sources.prices import PriceTable, with_prices
 
 c = F.col
@@ -99,6 +100,9 @@ def choose_basis(asked: DataFrame, tasks: DataFrame, near: DataFrame | None = No
     place in the session (30 or more), all. A session's running task is not history. Counts of past
     tasks per turn number stand in for the tasks, so no prompt is joined to every task.
     """
+    # one narrow row per task and per prompt; each is read several times below
+    tasks = cut(tasks.select("session_key", "task_id", "started_us", "turns_main", "turns", "family"))
+    asked = cut(asked)
     ranks = scan(tasks, ["session_key"], ["started_us", "task_id"], rank=running_sum(F.lit(1).cast("bigint")))
     rows = histories(tasks, ranks)
     per_session = tasks.groupBy("session_key").agg(F.count(F.lit(1)).alias("__tasks"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from callmeter.operators.ordered import SLICE, running_sum, scan
 from callmeter.operators.quantiles import exact_percentiles
+from callmeter.session import cut
 
 c = F.col
 NOMINAL = 0.80
@@ -46,6 +47,8 @@ def interval_metrics(items: DataFrame, by: list[str] | None = None, wide: bool =
     """Per group: n, sessions, means and medians. `wide`: the measures are real-valued with many distinct values."""
     by = by or []
     m = measures(items)
+    if wide:  # read once per median below
+        m = cut(m.select(*by, "session_key", *MEANS, *MEDIANS))
     base = m.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("session_key").alias("sessions"),
         *[F.round(F.avg(x), 6).alias(x) for x in MEANS],
@@ -116,7 +119,8 @@ def bootstrap(items: DataFrame, by: list[str] | None = None, means: tuple = MEAN
     keys = by or ["__g"]
     if not by:
         items = items.withColumn("__g", F.lit(0))
-    weights = resamples(items, keys, n)
+    items = cut(items.select(*keys, "session_key", *means, *medians))  # read once per measure below
+    weights = cut(resamples(items, keys, n))
     parts = []
     if means:
         sums = items.groupBy(*keys, "session_key").agg(

@@ -897,3 +897,27 @@ found AS (
     WHERE NOT regexp_matches(regexp_replace(lower(h), '\.+$', ''), '(^|\.)example\.(com|net)$')
   UNION ALL SELECT id, 'denied term', t FROM lns, (VALUES ('password'), ('internal use'), ('secret')) d(t) WHERE contains(lower(s), t))
 SELECT kind, value, count(*) AS findings, count(DISTINCT id) AS texts FROM found GROUP BY kind, value"""
+
+SQL["event_contrast"] = query("""
+SELECT * FROM (SELECT kind, count(*) FILTER (difference = 0) AS stayed, count(*) FILTER (difference <> 0) AS changed,
+  max(so) AS stayed_of, max(co) AS changed_of
+FROM kinds JOIN epairs USING (turn_id), (SELECT count(*) FILTER (difference = 0) AS so, count(*) FILTER (difference <> 0) AS co FROM epairs) GROUP BY kind)
+ORDER BY round(abs(changed / greatest(changed_of, 1) - stayed / greatest(stayed_of, 1)), 9) DESC, kind LIMIT 25""", PAIRS, EXPIRED, """
+epairs AS (SELECT turn_id, session_key, t0, t_us AS t1, abs(cache_read - r0) AS difference FROM (
+  SELECT *, lag(t_us) OVER e AS t0, lag(cache_read) OVER e AS r0 FROM expired WINDOW e AS (PARTITION BY session_key, model ORDER BY t_us, turn_id))
+  WHERE r0 <= 60000 AND cache_read <= 60000),
+between_rows AS (SELECT e.turn_id, c.event_type, c.model, c.task_no % 2 AS branch FROM epairs e JOIN calls c ON c.session_key = e.session_key AND c.t_us > e.t0 AND c.t_us <= e.t1),
+kinds AS (SELECT DISTINCT turn_id, 'type:' || event_type AS kind FROM between_rows
+  UNION ALL SELECT turn_id, 'model changed' FROM between_rows GROUP BY turn_id HAVING count(DISTINCT model) > 1
+  UNION ALL SELECT turn_id, 'git branch changed' FROM between_rows GROUP BY turn_id HAVING count(DISTINCT branch) > 1)""")
+SQL["stream_dedup_calls"] = "SELECT event_id AS turn_id, user_id AS session_key, event_type AS model, 100 + CAST(floor(value * 10) AS BIGINT) AS output, 1 + event_id % 4 AS lines FROM events"
+SQL["stream_live_sessions"] = query(f"""
+SELECT session_key, calls, cost, ttl, tokens, model FROM (SELECT session_key, count(*) AS calls, {usd('sum(cost_p)')} AS cost FROM priced GROUP BY session_key)
+JOIN (SELECT session_key, coalesce(arg_max(CASE WHEN cache_write_1h > 0 THEN 3600 ELSE 300 END, (t_us, turn_id)) FILTER (cache_write > 0), 300) AS ttl,
+    arg_max(input_total + output, (t_us, turn_id)) AS tokens, arg_max(model, (t_us, turn_id)) AS model
+  FROM calls WHERE trigger <> 'subagent' GROUP BY session_key) USING (session_key)""")
+SQL["stream_cache_events"] = query("SELECT session_key, turn_id, kind, lost_tokens, t_us - q_us AS gap_us FROM events_lost", PAIRS)
+SQL["stream_finished_tasks"] = query("""
+SELECT session_key, task_id, turns_main FROM real_tasks r WHERE EXISTS (
+  SELECT 1 FROM real_tasks o WHERE o.session_key = r.session_key AND o.started_us > r.started_us)""")
+SQL["stream_links"] = query("SELECT session_key, est_id, cand AS task_id FROM settled WHERE status = 'linked'", ESTIMATES)

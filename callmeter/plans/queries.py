@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from callmeter.functions import text
 from callmeter.functions.money import dollars, exact_sum
 from callmeter.operators import (
-    backtest, cache, chains, files, forecast, live, neighbours, reconcile, reconstruct, reports, scores, settle, signs, tasks, textscan)
+    backtest, cache, chains, contrast, files, forecast, live, neighbours, reconcile, reconstruct, reports, scores, settle, signs, tasks,
+    textscan, tree)
 from callmeter.operators.ordered import SLICE
 from callmeter.plans import bridge
 from callmeter.session import cut
+from callmeter.streaming import live as streams
 
 c = F.col
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -626,3 +628,67 @@ def sensitive_text_scan(v: Views) -> DataFrame:
     urls = v.spark.read.parquet(f"{v.sf_dir}/pages.parquet").select(F.concat(F.lit("p"), c("page_id")).alias("id"), c("url").alias("text"))
     found = textscan.scan_text(docs.unionByName(urls), "id", "text", list(DENIED), allowed=("example.com", "example.net"))
     return found.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("findings"), F.countDistinct("id").alias("texts"))
+
+
+@query
+def event_contrast(v: Views) -> DataFrame:
+    pairs = contrast.expiry_pairs(cache.expiries(cache.call_pairs(v.calls)))
+    marks = v.calls.select("session_key", "t_us", F.concat(F.lit("type:"), c("event_type")).alias("kind"), "model", "version",
+                           F.concat(F.lit("b"), c("task_no") % 2).alias("branch"), *[n for n in ("slice",) if n in v.calls.columns])
+    return contrast.event_contrast(pairs, contrast.events_between(pairs, marks))
+
+
+TREE_SIGNS = ["rank in session", "previous task's turns", "idle since previous task", "previous task edited files", "prompt is a question"]
+
+
+@query
+def quantile_tree(v: Views) -> DataFrame:
+    both = signs.pre_send_signs(v.prompted).unionByName(signs.context_signs(v.prompted, v.tools))
+    rows = v.plain_real.select("session_key", "task_id", "started_us", c("turns_main").alias("y"))
+    return scores.interval_metrics(tree.quantile_tree(rows, both, TREE_SIGNS, v.rows), ["method"])
+
+
+# ------------------------------------------------------------------ streams over the same data
+
+
+@query
+def stream_dedup_calls(v: Views) -> DataFrame:
+    ev = streams.read_files(v.spark, v.sf_dir, v.events.schema, name_filter="events.parquet")
+    out = 100 + F.floor(c("value") * 10).cast("bigint")
+    lines = ev.select(c("user_id").alias("session_key"), c("event_id").alias("key"), c("event_type").alias("model"), out.alias("full"),
+                      F.explode(F.sequence(F.lit(1), (1 + c("event_id") % 4).cast("int"))).alias("line_no"))
+    half = F.when(c("line_no") == 1 + c("key") % 4, c("full")).otherwise(F.expr("full div 2"))
+    emitted = streams.drain(streams.call_stream(lines.withColumn("output", half)), "update", "dedup")
+    return streams.latest(emitted, ["session_key", "key"]).select(c("key").alias("turn_id"), "session_key", "model", "output", "lines")
+
+
+def _landed_calls(v: Views) -> DataFrame:
+    rows = v.priced.drop("slice")
+    return streams.read_files(v.spark, streams.landed(rows, "calls", files=4), rows.schema, files_per_trigger=4)
+
+
+@query
+def stream_live_sessions(v: Views) -> DataFrame:
+    emitted = streams.drain(streams.session_stream(_landed_calls(v)), "update", "live")
+    return streams.latest(emitted, ["session_key"]).select(
+        "session_key", "ttl", "calls", c("last.tokens").alias("tokens"), c("last.model").alias("model"), dollars(c("cost_p"), 4).alias("cost"))
+
+
+@query
+def stream_cache_events(v: Views) -> DataFrame:
+    return streams.drain(streams.cache_event_stream(_landed_calls(v)), "append", "cache").drop("batch")
+
+
+@query
+def stream_finished_tasks(v: Views) -> DataFrame:
+    done = streams.drain(streams.finished_task_stream(_landed_calls(v)), "append", "tasks")
+    return done.filter("closed_by = 'next task'").select("session_key", "task_id", "turns_main")
+
+
+@query
+def stream_links(v: Views) -> DataFrame:
+    real = v.plain_real.select("session_key", "task_id", "started_us", c("started_us").alias("t_us"))
+    est = bridge.estimates(v.plain_real).select("est_id", "session_key", "made_us", c("made_us").alias("t_us"))
+    e = streams.read_files(v.spark, streams.landed(est, "estimates"), est.schema).drop("t_us")
+    t = streams.read_files(v.spark, streams.landed(real, "tasks"), real.schema).drop("t_us")
+    return streams.first_links(streams.drain(streams.link_stream(e, t), "append", "links"))
