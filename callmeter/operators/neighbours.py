@@ -36,28 +36,37 @@ def top_similar(vecs: DataFrame, key: str, order: str, k: int = K, min_sim: floa
     """
     vecs = cut(vecs)
     by_weight = Window.partitionBy("word").orderBy(c("w").desc(), c(key).desc())
-    lists = cut(vecs.withColumn("place", F.row_number().over(by_weight)))
-    sizes = lists.groupBy("word").agg(F.count(F.lit(1)).alias("size"))
-    packed = cut(vecs.groupBy(key, order).agg(F.map_from_entries(F.collect_list(F.struct("word", "w"))).alias("vec")))  # one prompt's words
+    sizes = vecs.groupBy("word").agg(F.count(F.lit(1)).alias("size"))
+    lists = cut(vecs.withColumn("place", F.row_number().over(by_weight)).join(sizes, "word"))
     open_q, found, m = vecs.select(key).distinct(), None, start
     while True:
         asked = vecs.join(open_q, key, "left_semi")
-        head = lists.filter(c("place") <= m).select("word", c(key).alias("near_id"), c(order).alias("__o"))
-        candidates = asked.join(head, "word").filter(c("__o") < c(order)).select(key, "near_id").distinct()
-        q = packed.select(key, c("vec").alias("__q"))
-        d = packed.select(c(key).alias("near_id"), c(order).alias("near_order"), c("vec").alias("__d"))
-        dot = F.aggregate(F.map_entries("__q"), F.lit(0.0), lambda a, e: a + e["value"] * F.coalesce(F.element_at("__d", e["key"]), F.lit(0.0)))
-        scored = (candidates.join(q, key).join(d, "near_id").select(key, "near_id", "near_order", F.round(dot, 9).alias("sim"))
-                  .filter(c("sim") >= min_sim))
+        head = lists.filter(c("place") <= m).select("word", c(key).alias("near_id"), c(order).alias("near_order"), c("w").alias("__w"), "size")
+        # words whose whole list was looked at add up here; longer lists are completed from the two prompts
+        pairs = (asked.join(head, "word").filter(c("near_order") < c(order)).groupBy(key, "near_id", "near_order")
+                 .agg(F.coalesce(F.sum(F.when(c("size") <= m, c("w") * c("__w"))), F.lit(0.0)).alias("part")))
+        longer = lists.filter(c("size") > m)
+        more = not longer.isEmpty()
+        if more:
+            # one prompt's words with long lists
+            packed = longer.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("word", "w"))).alias("vec"))
+            dot = F.aggregate(F.map_entries("__q"), F.lit(0.0), lambda t, e: t + e["value"] * F.coalesce(F.element_at("__d", e["key"]), F.lit(0.0)))
+            pairs = (pairs.join(packed.select(key, c("vec").alias("__q")), key, "left")
+                     .join(packed.select(c(key).alias("near_id"), c("vec").alias("__d")), "near_id", "left")
+                     .withColumn("part", c("part") + F.coalesce(dot, F.lit(0.0))))
+        scored = pairs.select(key, "near_id", "near_order", F.round("part", 9).alias("sim")).filter(c("sim") >= min_sim)
         best = Window.partitionBy(key).orderBy(c("sim").desc(), c("near_order").desc())
-        top = cut(scored.withColumn("rank", F.row_number().over(best)).filter(c("rank") <= k))
+        top = scored.withColumn("rank", F.row_number().over(best)).filter(c("rank") <= k)
+        if not more:  # every list was read to its end
+            return top if found is None else found.unionByName(top)
+        top = cut(top)
         tail = lists.filter(c("place") == m).select("word", c("w").alias("__w"))
-        unseen = (asked.join(sizes.filter(c("size") > m), "word").join(tail, "word").groupBy(key)
+        unseen = (asked.join(longer.select("word").distinct(), "word", "left_semi").join(tail, "word").groupBy(key)
                   .agg(F.sum(c("w") * c("__w")).alias("bound")))
         kth = top.groupBy(key).agg(F.min(F.when(c("rank") == k, c("sim"))).alias("kth"))
         left = cut(unseen.join(kth, key, "left").filter((c("bound") >= min_sim - 1e-9) & (c("bound") >= F.coalesce("kth", F.lit(0.0)) - 1e-9))
                    .select(key))
-        settled = top.join(left, key, "left_anti")
+        settled = top.join(left, key, "left_anti")  # their top k can no longer change
         found = settled if found is None else found.unionByName(settled)
         if left.isEmpty():
             return found

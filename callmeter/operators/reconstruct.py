@@ -144,10 +144,12 @@ def dedup_calls(parsed: DataFrame) -> DataFrame:
                      _int("$.message.usage.output_tokens_details.thinking_tokens").alias("reasoning"))
     stop = _str("$.message.stop_reason")
     first = F.struct("uuid", "parent", "t_us", "model", "thread", "agent_file")
-    return rows.groupBy(*KEY, "key").agg(
-        F.min("pos").alias("pos"), F.min_by(first, c("pos")).alias("first"),
-        F.max_by(usage, F.struct(c("output"), c("pos"))).alias("usage"),
-        F.max_by(stop, F.when(stop != "", c("pos"))).alias("stop_reason"),
+    # the record itself stays behind: only these columns are sorted and shuffled
+    narrow = rows.select(*KEY, "key", "pos", "session_id", "t_us", "output", first.alias("first"), usage.alias("usage"), stop.alias("stop"))
+    return narrow.groupBy(*KEY, "key").agg(
+        F.min("pos").alias("pos"), F.min_by("first", "pos").alias("first"),
+        F.max_by("usage", F.struct("output", "pos")).alias("usage"),
+        F.max_by("stop", F.when(c("stop") != "", c("pos"))).alias("stop_reason"),
         F.max_by("t_us", "pos").alias("last_us"), F.count(F.lit(1)).alias("lines"),
         F.min("session_id").alias("session_id"))
 

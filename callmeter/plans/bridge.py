@@ -229,6 +229,8 @@ def log_lines(calls_df: DataFrame) -> DataFrame:
         c("trigger") == "tool_call", F.concat(F.lit("r"), text(c("turn_id"))))
     stamp = F.date_format(F.timestamp_micros("t_us"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     n = size(c("turn_id"))
+    # lines are many times larger than the rows they are made from: spread them first, as file splits would be
+    seq = seq.repartition(calls_df.sparkSession.sparkContext.defaultParallelism, "turn_id")
     rows = seq.withColumns({"end": end, "opener": opener, "stamp": stamp, "n": n, "line_no": F.explode(F.sequence(F.lit(0), n))})
     rows = rows.filter((c("line_no") > 0) | c("opener").isNotNull())
     uuid = F.when(c("line_no") == 0, c("opener")).otherwise(F.concat(F.lit("a"), text(c("turn_id")), F.lit("_"), text(c("line_no"))))
