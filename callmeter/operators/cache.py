@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from callmeter.functions import labels
 from callmeter.functions.labels import MIN_CACHEABLE, TTL_SECONDS
 from callmeter.functions.money import dollars, exact_sum
-from callmeter.operators.ordered import last_seen, running_sum, scan, with_slices
+from callmeter.operators.ordered import SLICE, last_seen, merge, running_sum, scan, with_slices
 from callmeter.operators.tasks import is_main, main_calls, pos
 
 c = F.col
@@ -16,7 +16,7 @@ SECOND_US = 1_000_000
 DEFAULT_TTL = TTL_SECONDS["5m"]
 
 
-def call_pairs(calls: DataFrame, prefix_writes: DataFrame | None = None) -> DataFrame:
+def call_pairs(calls: DataFrame, prefix_writes: DataFrame | None = None, rows: int | None = None) -> DataFrame:
     """Each main call with the main call before it and the cache lifetime in force then.
 
     The lifetime is the one of the last write up to the previous call. `prefix_writes`
@@ -25,15 +25,15 @@ def call_pairs(calls: DataFrame, prefix_writes: DataFrame | None = None) -> Data
     """
     prev = F.struct("turn_id", "t_us", "input_total", "output", "model", "task_id",
                     *[n for n in ("subs_before",) if n in calls.columns])
-    rows = main_calls(calls).withColumn("__mark", F.lit(0))
+    marked = main_calls(calls).withColumn("__mark", F.lit(0))
     specs = dict(prev=last_seen(F.when(c("__mark") == 0, prev)),
                  ttl=last_seen(F.when(c("__mark") == 0, labels.ttl_of_write(c("cache_write"), c("cache_write_1h")))))
     if prefix_writes is not None:
         keep = [n for n in (*KEY, "t_us", "slice") if n in prefix_writes.columns]
-        rows = rows.unionByName(prefix_writes.select(*keep, F.lit(1).alias("__mark")), allowMissingColumns=True)
+        marked = merge(marked, prefix_writes.select(*keep, F.lit(1).alias("__mark")), KEY, "t_us", rows)
         specs["__written_us"] = last_seen(F.when(c("__mark") == 1, c("t_us")))
     # at one instant calls come before writes: a write belongs to the call it follows
-    out = scan(rows, KEY, ["t_us", "__mark", "turn_id"], **specs).filter(c("__mark") == 0)
+    out = scan(marked, KEY, ["t_us", "__mark", "turn_id"], **specs).filter(c("__mark") == 0)
     if prefix_writes is not None:
         out = out.withColumn("written", F.coalesce(c("__written_us") >= c("prev.t_us"), F.lit(False)))
     return (out.filter(c("prev").isNotNull())
@@ -79,7 +79,7 @@ def expiries(pairs: DataFrame) -> DataFrame:
         & (c("input_total") >= 0.5 * c("prev.input_total"))
         & c("t_us").isNotNull() & c("prev.t_us").isNotNull() & _expired()
     ).select("session_key", "turn_id", "model", "t_us", "gap_us", "ttl",
-             c("prev.input_total").alias("context"), c("cache_read").alias("read"))
+             c("prev.input_total").alias("context"), c("cache_read").alias("read"), *[n for n in (SLICE,) if n in pairs.columns])
 
 
 def ttl_in_force(calls: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from callmeter.operators.ordered import last_seen, next_seen, scan
+from callmeter.operators.ordered import last_seen, merge, next_seen, scan
 
 c = F.col
 BLOCK_READ = 60_000
@@ -19,7 +19,7 @@ def expiry_pairs(expiries: DataFrame) -> DataFrame:
         F.abs(c("read") - c("prev.read")).alias("difference"), *[n for n in ("slice",) if n in rows.columns])
 
 
-def events_between(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+def events_between(pairs: DataFrame, marks: DataFrame, rows: int | None = None) -> DataFrame:
     """(pair_id, kind), distinct: kinds of marks with t0 < t <= t1, and what changed on the way.
 
     `marks`: (session_key, t_us, kind) and any of version, model, cwd, branch. Each mark is given to the
@@ -30,7 +30,7 @@ def events_between(pairs: DataFrame, marks: DataFrame) -> DataFrame:
     of = pairs.select("session_key", c("model").alias("for_model")).distinct()
     spread = marks.select("session_key", "t_us", "kind", *columns, *keep).join(of, "session_key").withColumn("__end", F.lit(0))
     ends = pairs.select("session_key", c("model").alias("for_model"), c("t1").alias("t_us"), F.lit(1).alias("__end"), "pair_id", "t0", *keep)
-    both = scan(spread.unionByName(ends, allowMissingColumns=True), ["session_key", "for_model"], ["t_us", "__end", "pair_id"],
+    both = scan(merge(spread, ends, ["session_key", "for_model"], "t_us", rows), ["session_key", "for_model"], ["t_us", "__end", "pair_id"],
                 to=next_seen(F.when(c("__end") == 1, F.struct("pair_id", "t0"))))
     inside = both.filter((c("__end") == 0) & (c("t_us") > c("to.t0"))).select(c("to.pair_id").alias("pair_id"), "kind", *columns)
     kinds = inside.filter(c("kind").isNotNull()).select("pair_id", "kind").distinct()

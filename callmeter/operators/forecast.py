@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from callmeter.functions.labels import TTL_SECONDS, rank_slice, ttl_of_write
 from callmeter.functions.money import dollars, exact_sum
 from callmeter.operators.cache import DEFAULT_TTL, SECOND_US, cache_events, call_pairs
-from callmeter.operators.ordered import last_seen, running_sum, scan
+from callmeter.operators.ordered import last_seen, merge, running_sum, scan, with_slices
 from callmeter.operators.scores import INTERVAL, SPREAD_LIMIT
 from callmeter.operators.tasks import main_calls
 from callmeter.session import cut
@@ -52,20 +52,20 @@ def _write_price() -> Column:
     return F.when(c("ttl") == TTL_SECONDS["1h"], c("p_write_1h")).otherwise(c("p_write_5m"))
 
 
-def next_input(prompts: DataFrame, calls: DataFrame, prices: PriceTable, ratio: DataFrame | None = None) -> DataFrame:
+def next_input(prompts: DataFrame, calls: DataFrame, prices: PriceTable, ratio: DataFrame | None = None,
+               rows: int | None = None) -> DataFrame:
     """Input of the call each prompt starts, what of it is still cached, and what that costs.
 
     The last main call before a prompt comes from one ordered pass over calls and prompts together.
     """
     factor = (ratio or chars_per_token(calls)).select("ratio").scalar()
     last = F.struct("t_us", "model", "input_total", "output", "task_id")
-    keep = [n for n in ("slice",) if n in calls.columns]
-    rows = main_calls(calls).select("session_key", "t_us", *keep, F.lit(0).alias("__ask"), "turn_id", "model", "input_total", "output",
+    history = main_calls(calls).select("session_key", "t_us", F.lit(0).alias("__ask"), "turn_id", "model", "input_total", "output",
                                     "task_id", "cache_write", "cache_write_1h")
     asks = prompts.select("session_key", c("made_us").alias("t_us"), F.lit(1).alias("__ask"), c("model").alias("asked_model"),
-                          "prompt_id", "family", "chars", "add_chars", *[n for n in keep if n in prompts.columns])
+                          "prompt_id", "family", "chars", "add_chars")
     is_call = c("__ask") == 0
-    found = scan(rows.unionByName(asks, allowMissingColumns=True), ["session_key"], ["t_us", "__ask", "turn_id", "prompt_id"],
+    found = scan(merge(history, asks, ["session_key"], "t_us", rows), ["session_key"], ["t_us", "__ask", "turn_id", "prompt_id"],
                  last=last_seen(F.when(is_call, last)),
                  ttl=last_seen(F.when(is_call, ttl_of_write(c("cache_write"), c("cache_write_1h")))))
     found = found.filter((c("__ask") == 1) & c("last").isNotNull()).select(
@@ -93,7 +93,7 @@ def histories(tasks: DataFrame, ranks: DataFrame) -> DataFrame:
     return ranked.select("task_id", "turns_main", "turns", F.explode(cells).alias("b")).select("task_id", "turns_main", "turns", "b.*")
 
 
-def choose_basis(asked: DataFrame, tasks: DataFrame, near: DataFrame | None = None) -> DataFrame:
+def choose_basis(asked: DataFrame, tasks: DataFrame, near: DataFrame | None = None, rows: int | None = None) -> DataFrame:
     """Which past tasks each prompt is judged by, and the turns they took.
 
     First match: a declared family (with fewer than 8 past tasks: all), the nearest prompts, the same
@@ -103,13 +103,14 @@ def choose_basis(asked: DataFrame, tasks: DataFrame, near: DataFrame | None = No
     # one narrow row per task and per prompt; each is read several times below
     tasks = cut(tasks.select("session_key", "task_id", "started_us", "turns_main", "turns", "family"))
     asked = cut(asked)
-    ranks = scan(tasks, ["session_key"], ["started_us", "task_id"], rank=running_sum(F.lit(1).cast("bigint")))
-    rows = histories(tasks, ranks)
+    ranks = scan(with_slices(tasks, ["session_key"], "started_us", rows), ["session_key"], ["started_us", "task_id"],
+                 rank=running_sum(F.lit(1).cast("bigint")))
+    past = histories(tasks, ranks)
     per_session = tasks.groupBy("session_key").agg(F.count(F.lit(1)).alias("__tasks"))
-    own = rows.groupBy("task_id").agg(F.max("turns_main").alias("__m"), F.max("turns").alias("__t"),
+    own = past.groupBy("task_id").agg(F.max("turns_main").alias("__m"), F.max("turns").alias("__t"),
                                       F.max(F.when(c("kind") == "family", c("label"))).alias("__family"),
                                       F.max(F.when(c("kind") == "rank", c("label"))).alias("__slice"))
-    sizes = rows.groupBy("kind", "label").agg(F.count(F.lit(1)).alias("n"))
+    sizes = past.groupBy("kind", "label").agg(F.count(F.lit(1)).alias("n"))
     q = (asked.withColumn("current", c("last.task_id")).join(per_session, "session_key", "left")
          .join(own.withColumnRenamed("task_id", "current"), "current", "left")
          .withColumn("rank_next", F.coalesce("__tasks", F.lit(0)) + 1))
@@ -131,7 +132,7 @@ def choose_basis(asked: DataFrame, tasks: DataFrame, near: DataFrame | None = No
     q = q.withColumns({"x_main": F.when(counted, c("__m")), "x_all": F.when(counted, c("__t"))})
 
     def spread(measure: str, skip: str, names: dict[str, str]) -> DataFrame:
-        hist = rows.groupBy("kind", "label", measure).agg(F.count(F.lit(1)).alias("f"))
+        hist = past.groupBy("kind", "label", measure).agg(F.count(F.lit(1)).alias("f"))
         wanted = q.filter("basis <> 'neighbours'").select(c("basis").alias("kind"), "label", F.coalesce(skip, F.lit(-1)).alias("__skip")).distinct()
         cells = wanted.join(hist, ["kind", "label"]).withColumn("f", c("f") - F.when(c(measure) == c("__skip"), 1).otherwise(0)).filter("f > 0")
         qs = F.percentile(c(measure), F.array(*[F.lit(x) for x in INTERVAL.values()]), c("f"))

@@ -123,3 +123,11 @@ def with_slices(df: DataFrame, key: list[str], t_us: str, rows: int | None = Non
         .withColumn(SLICE, F.coalesce(SLICE, F.lit(0).cast("bigint")))
         .drop("__minute")
     )
+
+
+def merge(left: DataFrame, right: DataFrame, key: list[str], t_us: str, rows: int | None = None) -> DataFrame:
+    """Union of two tables that are to be scanned in one order, cut into common slices where a group is over the limit."""
+    if SLICE in left.columns and SLICE in right.columns:
+        return left.unionByName(right, allowMissingColumns=True)
+    both = left.drop(SLICE).unionByName(right.drop(SLICE), allowMissingColumns=True)
+    return with_slices(both, key, t_us, rows)

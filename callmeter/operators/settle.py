@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from callmeter.operators.cache import SECOND_US, call_pairs
-from callmeter.operators.ordered import next_seen, scan
+from callmeter.operators.ordered import merge, next_seen, scan
 from callmeter.operators.quantiles import exact_percentiles
 from callmeter.operators.scores import inside
 
@@ -13,7 +13,8 @@ c = F.col
 LINK_US, FINISHED_US, SLACK_US = 1800 * SECOND_US, 3600 * SECOND_US, 5 * SECOND_US
 
 
-def settle(estimates: DataFrame, tasks: DataFrame, now_us: int, taken: DataFrame | None = None) -> DataFrame:
+def settle(estimates: DataFrame, tasks: DataFrame, now_us: int, taken: DataFrame | None = None,
+           rows: int | None = None) -> DataFrame:
     """Status and task of each open estimate (est_id, session_key, made_us), plus `finished`.
 
     linked: the first task of the session from 5 s before to 30 min after; of several estimates the
@@ -22,22 +23,21 @@ def settle(estimates: DataFrame, tasks: DataFrame, now_us: int, taken: DataFrame
     """
     real = tasks.filter(c("tracked") & (c("turns_main") > 0))
     marks = real.select("session_key", c("started_us").alias("at"), F.lit(1).alias("__task"), c("task_id").alias("__id"),
-                        "started_us", *[n for n in ("slice",) if n in tasks.columns])
-    asks = estimates.select("session_key", (c("made_us") - SLACK_US).alias("at"), F.lit(0).alias("__task"), "est_id", "made_us",
-                            *[n for n in ("slice",) if n in estimates.columns])
-    found = scan(asks.unionByName(marks, allowMissingColumns=True), ["session_key"], ["at", "__task", "__id", "est_id"],
+                        "started_us")
+    asks = estimates.select("session_key", (c("made_us") - SLACK_US).alias("at"), F.lit(0).alias("__task"), "est_id", "made_us")
+    found = scan(merge(asks, marks, ["session_key"], "at", rows), ["session_key"], ["at", "__task", "__id", "est_id"],
                  next=next_seen(F.when(c("__task") == 1, F.struct("started_us", c("__id").alias("task_id"))))).filter("__task = 0")
     near = c("next.started_us") - c("made_us") <= LINK_US
-    rows = found.select("est_id", "session_key", "made_us", F.when(near, c("next.task_id")).alias("task_id"))
+    near_rows = found.select("est_id", "session_key", "made_us", F.when(near, c("next.task_id")).alias("task_id"))
     if taken is not None:
-        rows = rows.join(taken.select("session_key", "task_id", F.lit(True).alias("__taken")), ["session_key", "task_id"], "left")
+        near_rows = near_rows.join(taken.select("session_key", "task_id", F.lit(True).alias("__taken")), ["session_key", "task_id"], "left")
     else:
-        rows = rows.withColumn("__taken", F.lit(None).cast("boolean"))
-    newest = rows.filter(c("task_id").isNotNull()).groupBy("session_key", "task_id").agg(
+        near_rows = near_rows.withColumn("__taken", F.lit(None).cast("boolean"))
+    newest = near_rows.filter(c("task_id").isNotNull()).groupBy("session_key", "task_id").agg(
         F.max_by("est_id", F.struct("made_us", -c("est_id"))).alias("__winner"))
     ends = real.groupBy("session_key").agg(F.max("started_us").alias("__latest"))
     outcome = tasks.select("session_key", "task_id", "started_us", "last_us")
-    joined = (rows.join(newest, ["session_key", "task_id"], "left").join(outcome, ["session_key", "task_id"], "left")
+    joined = (near_rows.join(newest, ["session_key", "task_id"], "left").join(outcome, ["session_key", "task_id"], "left")
               .join(ends, "session_key", "left"))
     status = (F.when(c("task_id").isNotNull() & (F.coalesce("__taken", F.lit(False)) | (c("__winner") != c("est_id"))), "superseded")
               .when(c("task_id").isNotNull(), "linked")

@@ -12,7 +12,7 @@ from callmeter.functions.money import dollars, exact_sum
 from callmeter.operators import (
     backtest, cache, chains, contrast, files, forecast, live, neighbours, reconcile, reconstruct, reports, scores, settle, signs, tasks,
     textscan, tree)
-from callmeter.operators.ordered import SLICE
+from callmeter.operators.ordered import SLICE, running_sum, scan, with_slices
 from callmeter.plans import bridge
 from callmeter.session import cut
 from callmeter.streaming import live as streams
@@ -72,12 +72,12 @@ class Views:
 
     @cached_property
     def stats(self) -> DataFrame:
-        return tasks.task_stats(self.priced, self.families)
+        return with_slices(tasks.task_stats(self.priced, self.families), ["session_key"], "started_us", self.rows)
 
     @cached_property
     def plain_stats(self) -> DataFrame:
         """Task statistics without families."""
-        return tasks.task_stats(self.priced)
+        return with_slices(tasks.task_stats(self.priced), ["session_key"], "started_us", self.rows)
 
     @cached_property
     def real(self) -> DataFrame:
@@ -93,7 +93,7 @@ class Views:
 
     @cached_property
     def written_pairs(self) -> DataFrame:
-        return cache.call_pairs(self.priced, cache.prefix_file_writes(self.files))
+        return cache.call_pairs(self.priced, cache.prefix_file_writes(self.files), 2 * self.rows)
 
     @cached_property
     def spread_calls(self) -> DataFrame:
@@ -107,11 +107,11 @@ class Views:
 
     @cached_property
     def lined(self) -> DataFrame:
-        return bridge.lined_calls(self.calls)
+        return cut(bridge.lined_calls(self.calls))  # a stored table in practice, read by every comparison
 
     @cached_property
     def snapshots(self) -> DataFrame:
-        return bridge.snapshots(self.lined)
+        return cut(bridge.snapshots(self.lined))
 
     @cached_property
     def series(self) -> DataFrame:
@@ -138,15 +138,15 @@ class Views:
 
     @cached_property
     def asked(self) -> DataFrame:
-        return forecast.next_input(bridge.asked(self.plain_real), self.calls, self.prices)
+        return forecast.next_input(bridge.asked(self.plain_real), self.calls, self.prices, rows=2 * self.rows)
 
     @cached_property
     def chosen(self) -> DataFrame:
-        return forecast.choose_basis(self.asked, self.real)
+        return forecast.choose_basis(self.asked, self.real, rows=self.rows)
 
     @cached_property
     def settled(self) -> DataFrame:
-        return settle.settle(bridge.estimates(self.plain_real), self.plain_stats, NOW_US)
+        return settle.settle(bridge.estimates(self.plain_real), self.plain_stats, NOW_US, rows=3 * self.rows)
 
     @cached_property
     def conversation_prompts(self) -> DataFrame:
@@ -259,12 +259,10 @@ def expiry_survivors(v: Views) -> DataFrame:
 
 
 def _shape_pairs(v: Views) -> DataFrame:
-    from callmeter.operators.ordered import running_sum, scan
-
     main = tasks.main_calls(cache.with_subs_before(v.priced))
     indexed = scan(main, ["session_key"], ["t_us", "turn_id"], call_index=running_sum(F.lit(1).cast("bigint"), inclusive=False))
     sizes = tasks.main_calls(v.calls).groupBy("session_key").agg(F.count(F.lit(1)).alias("calls_in_session"))
-    return cache.call_pairs(indexed.join(sizes, "session_key"), cache.prefix_file_writes(v.files))
+    return cache.call_pairs(indexed.join(sizes, "session_key"), cache.prefix_file_writes(v.files), 2 * v.rows)
 
 
 @query
@@ -635,7 +633,7 @@ def event_contrast(v: Views) -> DataFrame:
     pairs = contrast.expiry_pairs(cache.expiries(cache.call_pairs(v.calls)))
     marks = v.calls.select("session_key", "t_us", F.concat(F.lit("type:"), c("event_type")).alias("kind"), "model", "version",
                            F.concat(F.lit("b"), c("task_no") % 2).alias("branch"), *[n for n in ("slice",) if n in v.calls.columns])
-    return contrast.event_contrast(pairs, contrast.events_between(pairs, marks))
+    return contrast.event_contrast(pairs, contrast.events_between(pairs, marks, 3 * v.rows))
 
 
 TREE_SIGNS = ["rank in session", "previous task's turns", "idle since previous task", "previous task edited files", "prompt is a question"]
