@@ -53,7 +53,7 @@ class CumulativeLink:
         return float(self.weights[found].sum())
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, rounds: int = 150, rate: float = 0.1, decay: float = 1e-3, known_in: int = 10, power: float = 2.0) -> CumulativeLink:
+def fit(rows: list[np.ndarray], grades: np.ndarray, rounds: int = 250, rate: float = 0.2, decay: float = 5e-4, known_in: int = 10, power: float = 2.0) -> CumulativeLink:
     """Full-batch Adam on the cumulative logistic likelihood; no rows: every document passes.
 
     Buckets found in fewer than known_in rows (a hundredth of few rows) keep weight zero: they say more about a document than about its grade. A bucket's
@@ -87,10 +87,11 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, rounds: int = 150, rate: flo
         by_score = g.sum(1)
         down = -g.sum(0)
         grads = [np.bincount(at, by_score[which], BUCKETS) * rare + decay * state[0], np.array([down.sum()]), np.cumsum(down[::-1])[::-1][1:] * np.exp(state[2])]
+        step = rate * (1 - (t - 1) / rounds)  # smaller and smaller: it settles
         for s, d, a, b in zip(state, grads, m, v):
             a += 0.1 * (d - a)
             b += 0.001 * (d * d - b)
-            s -= rate * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.999**t)) + 1e-8)
+            s -= step * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.999**t)) + 1e-8)
     return CumulativeLink(state[0] * rare, np.concatenate([state[1], state[1] + np.cumsum(np.exp(state[2]))]))
 
 
@@ -117,7 +118,7 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = 6000) -> Cumula
     return fit([np.frombuffer(f, np.int32) for f in held.found], held.grade.to_numpy(np.int64))
 
 
-def scored(documents: DataFrame, model: CumulativeLink, least: float = 0.5, passing: bool = False) -> DataFrame:
+def scored(documents: DataFrame, model: CumulativeLink, least: float = 0.65, passing: bool = False) -> DataFrame:
     """documents with `__expected` (the expected grade), `__tail` (the probability of the best grade) and `__keep` (whether that is `least`).
 
     passing: only those kept. Null text counts as empty; it and any text without known words get the thresholds' own probabilities.
@@ -138,12 +139,12 @@ def scored(documents: DataFrame, model: CumulativeLink, least: float = 0.5, pass
     return documents.withColumn("__utf8", F.col("text").cast("binary")).mapInArrow(run, kinds)
 
 
-def select(documents: DataFrame, labels: DataFrame, least: float = 0.5, sample: int = 6000) -> DataFrame:
+def select(documents: DataFrame, labels: DataFrame, least: float = 0.65, sample: int = 6000) -> DataFrame:
     """The rows of documents that the classifier keeps: the probability of the best grade is `least` or more. All columns stay."""
     return scored(documents, train(documents, labels, sample), least, True).drop("__expected", "__tail", "__keep")
 
 
-def report(documents: DataFrame, labels: DataFrame, least: float = 0.5, sample: int = 6000) -> DataFrame:
+def report(documents: DataFrame, labels: DataFrame, least: float = 0.65, sample: int = 6000) -> DataFrame:
     """(doc_id, expected_grade, tail_probability) of the documents that are kept."""
     rows = scored(documents.select("doc_id", "text"), train(documents, labels, sample), least, True)
     return rows.select("doc_id", F.col("__expected").alias("expected_grade"), F.col("__tail").alias("tail_probability"))
