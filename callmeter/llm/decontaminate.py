@@ -111,4 +111,4 @@ def leaks(documents: DataFrame, benchmark: DataFrame, least: float = 0.8, radius
 def clean(documents: DataFrame, benchmark: DataFrame, **options: float) -> DataFrame:
     """documents without the rows that hold an item of the benchmark; all columns stay."""
     found = written(leaks(documents, benchmark, **options).select(F.col("place").alias("__place")).distinct(), "leaks")
-    return documents.withColumn("__place", F.monotonically_increasing_id()).join(found, "__place", "left_anti").drop("__place")
+    return documents.withColumn("__place", F.monotonically_increasing_id()).join(small(found), "__place", "left_anti").drop("__place")

@@ -11,6 +11,8 @@ from callmeter.llm.common import SPACES, ascii_lower, written
 
 #: doc_id under which all rows without one count as a single document, below every other.
 NO_ID = -(2**63)
+#: Most places of dropped lines, and ids of their documents, that may be broadcast; beyond, they are joined by a shuffle of the texts.
+BROADCAST_PLACES = 2_000_000
 
 
 def line_key(line: Column) -> Column:
@@ -105,7 +107,9 @@ def dedup_lines(documents: DataFrame, **options: int) -> DataFrame:
 
 def with_kept(documents: DataFrame, **options: int) -> DataFrame:
     """documents with `text` deduplicated, and `__lines` (how many before) and `__dropped` (places of dropped lines)."""
-    lost = written(dropped_lines(documents, **options), "lost").select(F.col("doc").alias("__doc"), F.col("row").alias("__row"), F.col("dropped").alias("__lost"))
+    found = written(dropped_lines(documents, **options), "lost")
+    places = found.agg(F.sum(F.size("dropped") + 2).alias("n")).first().n or 0
+    lost = (F.broadcast(found) if places <= BROADCAST_PLACES else found).select(F.col("doc").alias("__doc"), F.col("row").alias("__row"), F.col("dropped").alias("__lost"))
     keyed = documents.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__row": F.xxhash64(F.coalesce("text", F.lit("")))})
     joined = keyed.join(lost, ["__doc", "__row"], "left").withColumn("__all", split_lines(F.col("text")))
     left = F.array_except(F.sequence(F.lit(0), F.size("__all") - 1), F.col("__lost"))

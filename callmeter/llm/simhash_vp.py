@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callmeter.llm.common import written
+from callmeter.llm.common import small, written
 from callmeter.llm.components import components
 
 BITS, HALF, MASK = 64, 32, (1 << 32) - 1
@@ -189,4 +189,5 @@ def keep_one(documents: DataFrame, radius: int = 3) -> DataFrame:
     marked = written(named.select("__place", "component_id", "fp", order.alias("order")), "named")
     first = written(marked.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("alone"))
                     .agg(F.min("order").alias("order")).select(F.col("order.__place").alias("__place")), "first")
-    return placed.join(first, "__place", "left_semi").drop("__place")
+    others = written(marked.select("__place").join(first, "__place", "left_anti"), "others")
+    return placed.join(small(others), "__place", "left_anti").drop("__place")
