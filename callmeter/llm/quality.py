@@ -63,7 +63,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, rounds: int = 250, rate: flo
     if not len(rows):
         return model
     at = np.concatenate(rows)
-    which = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    which = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
     held = np.bincount(at, minlength=BUCKETS)
     known = held >= min(known_in, max(2, len(rows) // 100))
     at, which = at[known[at]], which[known[at]]
@@ -129,14 +129,15 @@ def scored(documents: DataFrame, model: CumulativeLink, least: float = 0.65, pas
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = CumulativeLink(*shared.value)
         for b in batches:
-            scores = np.array([known.score(features(t.as_py())) for t in b.column(b.num_columns - 1)], np.float64)
+            texts = b.column("text").cast(pa.binary())  # the same bytes, not a copy
+            scores = np.array([known.score(features(t.as_py())) for t in texts], np.float64)
             tails = known.tails(scores)
-            out = pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(tails.sum(1)), pa.array(tails[:, -1]), pa.array(tails[:, -1] >= least)],
+            out = pa.RecordBatch.from_arrays([*b.columns, pa.array(tails.sum(1)), pa.array(tails[:, -1]), pa.array(tails[:, -1] >= least)],
                                              [*names, "__expected", "__tail", "__keep"])
             yield out.filter(out.column("__keep")) if passing else out
 
     kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema), "__expected double", "__tail double", "__keep boolean"])
-    return documents.withColumn("__utf8", F.col("text").cast("binary")).mapInArrow(run, kinds)
+    return documents.mapInArrow(run, kinds)
 
 
 def select(documents: DataFrame, labels: DataFrame, least: float = 0.65, sample: int = 6000) -> DataFrame:
