@@ -30,11 +30,11 @@ def turns_ahead(stats: DataFrame, calls: DataFrame, tools: DataFrame) -> DataFra
     the running task itself is one task of k turns and is taken out of the count.
     """
     history = stats.filter(c("tracked") & (c("turns_main") > 0))
-    shell = early_tools(calls, tools, (SHELL_K,)).select("source", "task_id", shell_slice(c("shell")).alias("slice"))
-    running = running_tasks(stats).join(shell.withColumnRenamed("slice", "shell_slice"), ["source", "task_id"], "left")
+    shell = early_tools(calls, tools, (SHELL_K,)).select("source", "task_id", shell_slice(c("shell")).alias("shell_kind"))
+    running = running_tasks(stats).join(shell.withColumnRenamed("shell_kind", "shell_slice"), ["source", "task_id"], "left")
     hist = history.groupBy("turns_main").agg(F.count(F.lit(1)).alias("f"))
     sliced = (history.filter(c("turns_main") >= SHELL_K).join(shell, ["source", "task_id"])
-              .groupBy("slice", "turns_main").agg(F.count(F.lit(1)).alias("f")))
+              .groupBy("shell_kind", "turns_main").agg(F.count(F.lit(1)).alias("f")))
 
     def ahead(cells: DataFrame, keys: list[str]) -> DataFrame:
         # both sides hold one row per distinct turn count
@@ -44,8 +44,8 @@ def turns_ahead(stats: DataFrame, calls: DataFrame, tools: DataFrame) -> DataFra
 
     ks = running.select("k").distinct()
     all_k = ahead(hist.join(ks, c("turns_main") >= c("k")), ["k"])
-    at3 = ahead(sliced.withColumn("k", F.lit(SHELL_K).cast("bigint")), ["k", "slice"]).select(
-        "k", c("slice").alias("shell_slice"), c("n").alias("n3"), c("q").alias("q3"))
+    at3 = ahead(sliced.withColumn("k", F.lit(SHELL_K).cast("bigint")), ["k", "shell_kind"]).select(
+        "k", c("shell_kind").alias("shell_slice"), c("n").alias("n3"), c("q").alias("q3"))
     out = running.join(all_k, "k", "left").join(at3, ["k", "shell_slice"], "left")
     use3 = c("n3").isNotNull()
     return out.withColumns({

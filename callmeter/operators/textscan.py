@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, functions as F
 
 c = F.col
 # fixed values: what to look for, and what is allowed
-HOME_PATH = r"(?:/home/|/Users/|/root/|[A-Za-z]:\\+Users\\+)[A-Za-z0-9_.-]+"
-EMAIL = r"(?i)\b[A-Za-z0-9][A-Za-z0-9_.+-]*@[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+)*\.[a-z]{2,}"
-URL_HOST = r"(?i)https?://([A-Za-z0-9_.-]+)"
-ALLOWED_EMAIL = r"(?i)^(?:noreply@github\.com|[A-Za-z0-9_.+-]+@users\.noreply\.github\.com|[A-Za-z0-9_.+-]+@example\.(?:com|org|net))$"
+HOME_PATH = r"(?:/home/|/Users/|/root/|[A-Za-z]:\\+Users\\+)[\p{L}\p{N}_.-]+"
+EMAIL = r"(?i)[\p{L}\p{N}][\p{L}\p{N}_.+-]*@[\p{L}\p{N}_-]+(?:\.[\p{L}\p{N}_-]+)*\.[a-z]{2,}"
+URL_HOST = r"(?i)https?://([\p{L}\p{N}_.-]+)"
+ALLOWED_EMAIL = r"(?i)^(?:noreply@github\.com|[\p{L}\p{N}_.+-]+@users\.noreply\.github\.com|[\p{L}\p{N}_.+-]+@example\.(?:com|org|net))$"
 ALLOWED_DOMAINS = ("github.com", "githubusercontent.com", "python.org", "docs.python.org", "peps.python.org", "pypi.org", "opensource.org",
                    "example.com", "example.org", "keepachangelog.com", "semver.org", "pipx.pypa.io")
 

@@ -131,7 +131,7 @@ def lined_calls(calls_df: DataFrame) -> DataFrame:
 
 
 def snapshots(lined: DataFrame) -> DataFrame:
-    """A cumulative counter after every 10th main call up to the 50th, one row per model it names.
+    """A cumulative counter after every 10th main call of a session, to its end, one row per model it names.
 
     By `session_key % 6` the counter restarts after the 20th main call, jumps once, drifts up,
     drifts down, starts far ahead, or is exact; every 13th session has none.
@@ -140,17 +140,20 @@ def snapshots(lined: DataFrame) -> DataFrame:
     main = c("trigger") != "subagent"
     span = F.when(main, F.ceil(c("main_no") / 10)).otherwise(F.floor(c("main_no") / 10) + 1).cast("bigint")
     had = c("session_key") % 13 != 0
-    marks = lined.filter(had & main & (c("main_no") % 10 == 0) & (c("main_no") <= 50)).select(
+    marks = lined.filter(had & main & (c("main_no") % 10 == 0)).select(
         "session_key", (c("main_no") / 10).cast("bigint").alias("snap"), (c("line") + 1).alias("line"),
         *[n for n in ("slice",) if n in lined.columns])
     keep = [n for n in ("slice",) if n in lined.columns]
-    sums = (lined.filter(had).withColumn("span", span).filter("span <= 5").groupBy("session_key", "model", "span")
+    sums = (lined.filter(had).withColumn("span", span).groupBy("session_key", "model", "span")
             .agg(*[F.sum(n).alias(n) for n in ("input_new", "cache_read", "cache_write", "output")]))
-    # at most 5 x 5 rows per (session, model)
-    low = F.when((c("session_key") % 6 == 0) & (c("snap") > 2), 2).otherwise(0)
-    counted = (marks.join(sums, "session_key").filter((c("span") <= c("snap")) & (c("span") > low))
-               .groupBy("session_key", "snap", "line", "model", *keep)
-               .agg(*[F.sum(n).alias(n) for n in ("input_new", "cache_read", "cache_write", "output")]))
+    # running sums over the snapshots of a session, one row a snapshot and model that the counter has seen since its start
+    since = ((c("session_key") % 6 == 0) & (c("snap") > 2)).alias("since")
+    so_far = Window.partitionBy("session_key", "model", "since").orderBy("snap").rowsBetween(Window.unboundedPreceding, 0)
+    parts = ("input_new", "cache_read", "cache_write", "output")
+    grid = marks.join(sums.select("session_key", "model").distinct(), "session_key").select("*", since)
+    counted = (grid.join(sums.withColumnRenamed("span", "snap"), ["session_key", "model", "snap"], "left")
+               .select("session_key", "snap", "line", "model", *keep, *[F.sum(n).over(so_far).alias(n) for n in parts])
+               .filter("input_new IS NOT NULL"))
     kind = c("session_key") % 6
     drift = (F.when((kind == 1) & (c("snap") >= 3), 50000).when(kind == 2, 3000 * c("snap"))
              .when(kind == 3, -700 * c("snap")).when(kind == 4, 1000000).otherwise(0))

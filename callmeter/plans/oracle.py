@@ -275,7 +275,7 @@ lined AS (
          CAST(sum(CASE WHEN trigger <> 'subagent' THEN 1 ELSE 0 END) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS mno
   FROM calls WINDOW w AS (PARTITION BY session_key ORDER BY t_us, turn_id)),
 marks AS (SELECT session_key, mno // 10 AS snap, line + 1 AS line FROM lined
-          WHERE session_key % 13 <> 0 AND trigger <> 'subagent' AND mno % 10 = 0 AND mno <= 50),
+          WHERE session_key % 13 <> 0 AND trigger <> 'subagent' AND mno % 10 = 0),
 counted AS (
   SELECT k.session_key, k.snap, k.line, l.model, CAST(sum(input_new) AS BIGINT) AS i, CAST(sum(cache_read) AS BIGINT) AS r,
          CAST(sum(cache_write) AS BIGINT) AS w, CAST(sum(output) AS BIGINT) AS o
@@ -887,13 +887,13 @@ sims AS (SELECT a.prompt_id, b.prompt_id AS near_id, round(sum(a.w * b.w), 9) AS
 topk AS (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY sim DESC, near_id DESC) AS rank, count(*) OVER (PARTITION BY prompt_id) AS m FROM sims)
 SELECT prompt_id, near_id, round(sim, 6) AS sim, rank FROM topk WHERE rank <= 5 AND m >= 5"""
 SQL["sensitive_text_scan"] = r"""
-WITH texts AS (SELECT 'd' || doc_id AS id, text FROM documents UNION ALL SELECT 'p' || page_id, url FROM pages),
+WITH texts AS (SELECT 'd' || doc_id AS id, text FROM documents UNION ALL SELECT 'p' || page_id, coalesce(url, '') || chr(10) || coalesce(html, '') FROM pages),
 lns AS (SELECT id, unnest(regexp_split_to_array(text, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]')) AS s FROM texts),
 found AS (
-  SELECT id, 'home path' AS kind, unnest(regexp_extract_all(s, '(?:/home/|/Users/|/root/|[A-Za-z]:\\+Users\\+)[A-Za-z0-9_.-]+')) AS value FROM lns
-  UNION ALL SELECT id, 'email', m FROM (SELECT id, unnest(regexp_extract_all(s, '(?i)\b[A-Za-z0-9][A-Za-z0-9_.+-]*@[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+)*\.[a-z]{2,}')) AS m FROM lns)
-    WHERE NOT regexp_matches(m, '(?i)^(?:noreply@github\.com|[A-Za-z0-9_.+-]+@users\.noreply\.github\.com|[A-Za-z0-9_.+-]+@example\.(?:com|org|net))$')
-  UNION ALL SELECT id, 'domain', h FROM (SELECT id, unnest(regexp_extract_all(s, '(?i)https?://([A-Za-z0-9_.-]+)', 1)) AS h FROM lns)
+  SELECT id, 'home path' AS kind, unnest(regexp_extract_all(s, '(?:/home/|/Users/|/root/|[A-Za-z]:\\+Users\\+)[\p{L}\p{N}_.-]+')) AS value FROM lns
+  UNION ALL SELECT id, 'email', m FROM (SELECT id, unnest(regexp_extract_all(s, '(?i)[\p{L}\p{N}][\p{L}\p{N}_.+-]*@[\p{L}\p{N}_-]+(?:\.[\p{L}\p{N}_-]+)*\.[a-z]{2,}')) AS m FROM lns)
+    WHERE NOT regexp_matches(m, '(?i)^(?:noreply@github\.com|[\p{L}\p{N}_.+-]+@users\.noreply\.github\.com|[\p{L}\p{N}_.+-]+@example\.(?:com|org|net))$')
+  UNION ALL SELECT id, 'domain', h FROM (SELECT id, unnest(regexp_extract_all(s, '(?i)https?://([\p{L}\p{N}_.-]+)', 1)) AS h FROM lns)
     WHERE NOT regexp_matches(regexp_replace(lower(h), '\.+$', ''), '(^|\.)example\.(com|net)$')
   UNION ALL SELECT id, 'denied term', t FROM lns, (VALUES ('password'), ('internal use'), ('secret')) d(t) WHERE contains(lower(s), t))
 SELECT kind, value, count(*) AS findings, count(DISTINCT id) AS texts FROM found GROUP BY kind, value"""

@@ -623,8 +623,9 @@ DENIED = ("password", "internal use", "secret")
 @query
 def sensitive_text_scan(v: Views) -> DataFrame:
     docs = v.spark.read.parquet(f"{v.sf_dir}/documents.parquet").select(F.concat(F.lit("d"), c("doc_id")).alias("id"), c("text"))
-    urls = v.spark.read.parquet(f"{v.sf_dir}/pages.parquet").select(F.concat(F.lit("p"), c("page_id")).alias("id"), c("url").alias("text"))
-    found = textscan.scan_text(docs.unionByName(urls), "id", "text", list(DENIED), allowed=("example.com", "example.net"))
+    whole = F.concat(F.coalesce("url", F.lit("")), F.lit("\n"), F.coalesce("html", F.lit("")))
+    pages = v.spark.read.parquet(f"{v.sf_dir}/pages.parquet").select(F.concat(F.lit("p"), c("page_id")).alias("id"), whole.alias("text"))
+    found = textscan.scan_text(docs.unionByName(pages), "id", "text", list(DENIED), allowed=("example.com", "example.net"))
     return found.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("findings"), F.countDistinct("id").alias("texts"))
 
 

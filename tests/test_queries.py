@@ -12,7 +12,8 @@ NAMES = [
     "expiry_survivors", "tool_lift", "counter_checks", "snapshot_increments", "gap_shape", "suffix_match", "turns_by_family", "backtest_turns",
     "leak_free_by_slice", "survival_by_k", "early_signs", "context_growth", "merge_followups", "pre_send_signs", "interval_recalibration",
     "next_call_input", "settle_estimates", "computed_backtest", "prompt_features", "nearest_prompts", "sensitive_text_scan", "json_tolerant_scan",
-    "dedup_calls", "rereads", "unused_files", "event_contrast", "stream_cache_events", "stream_finished_tasks",
+    "dedup_calls", "rereads", "unused_files", "event_contrast", "stream_cache_events", "stream_finished_tasks", "turns_ahead", "counter_coverage", "session_status", "floor_gap",
+    "unresolved_sessions", "checks_summary", "one_sided_models", "version_status", "single_version_status", "session_alerts",
 ]
 
 
@@ -37,7 +38,7 @@ def test_entry_keeps_all_four_consumers(spark):
     assert abs(sum(r["token_share"] for r in rows) - 100) < 0.3
 
 
-@pytest.mark.parametrize("name", ["cache_events", "counter_checks", "task_ranks", "leak_free_by_slice", "other_session_active", "settle_estimates"])
+@pytest.mark.parametrize("name", ["cache_events", "counter_checks", "task_ranks", "leak_free_by_slice", "other_session_active", "settle_estimates", "turns_ahead", "suffix_match"])
 def test_hot_groups_give_the_same_result(spark, con, name):
     """Every ordered group is over the limit, so all of them are cut into slices."""
     spark.conf.set("spark.callmeter.group.maxRows", "60")
