@@ -7,12 +7,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# fixed values: words that tell a family from a prompt, tried in this order
-FAMILY_WORDS = {
-    "review": ("review", "relis", "relecture", "relire", "audit", "vérifie", "verifie", "check the code", "code review"),
-    "refactor": ("refactor", "refonte", "réécri", "reecri", "rewrite", "rename", "renomme", "migrate", "migre", "implement",
-                 "implémente", "ajoute", "add", "fix", "corrige"),
-    "measure": ("measure", "mesure", r"bench\w*", r"profil\w*", "how (?:fast|slow|many)", "combien", "count", "compte", "perf"),
+# fixed values: patterns that tell a family from a lower-case prompt, tried in this order
+FAMILY_PATTERNS = {
+    "review": r"\b(review|relis|relecture|relire|audit|vérifie|verifie|check the code|code review)\w*",
+    "refactor": r"\b(refactor|refonte|réécri|reecri|rewrite|rename|renomme|migrate|migre|implement|implémente|ajoute|add|fix|corrige)\w*",
+    "measure": r"\b(measure|mesure|bench\w*|profil\w*|how (fast|slow|many)|combien|count|compte|perf)\b",
 }
 # fixed values: prompts that only carry the previous task on
 FOLLOWUPS = (
@@ -21,10 +20,8 @@ FOLLOWUPS = (
     "keep going", "do it", "fais-le", "fais le", "go ahead", "proceed", "lance",
 )
 # fixed values: patterns that read a prompt's shape
-ERROR_PATTERNS = (
-    r"Traceback \(most recent call last\)", r"\b\w*(?:Error|Exception)\b:", r"\bFAILED\b", "panicked at", r"^\s+at .+:\d+",
-    r"error\[E\d+\]", "npm ERR!", "fatal:",
-)
+ERROR_PATTERN = (r"Traceback \(most recent call last\)|\b\w*(Error|Exception)\b:|\bFAILED\b|panicked at|^\s+at .+:\d+|error\[E\d+\]|npm ERR!|"
+                 r"fatal:")
 ITEM_PATTERN = r"^\s*(?:[-*•]|\d+[.)])\s+\S"
 PATH_PATTERN = r"(?:^|\s)@?[\w./-]+\.[A-Za-z0-9]{1,6}\b"
 COMMAND_PATTERN = r"<command-name>/?([\w:.-]+)</command-name>"
@@ -60,9 +57,8 @@ def command_of(text: Column) -> Column:
 def family_from_text(text: Column) -> Column:
     low = F.lower(text)
     out = None
-    for family, stems in FAMILY_WORDS.items():
-        tail = r"\b" if family == "measure" else ""
-        hit = low.rlike(r"(?U)\b(?:" + "|".join(stems) + ")" + tail)
+    for family, pattern in FAMILY_PATTERNS.items():
+        hit = low.rlike("(?U)" + pattern)
         out = F.when(hit, family) if out is None else out.when(hit, family)
     return out.when(F.trim(F.regexp_replace(low, r"(?U)\s+", " ")) != "", "question")
 
@@ -72,7 +68,7 @@ def features(text: Column) -> dict[str, Column]:
     return {
         "chars": F.length(text).cast("bigint"),
         "followup": is_followup(text),
-        "error": text.rlike("(?mU)" + "|".join(ERROR_PATTERNS)),
+        "error": text.rlike("(?mU)" + ERROR_PATTERN),
         "n_files": F.size(F.array_distinct(F.regexp_extract_all(text, F.lit("(?U)" + PATH_PATTERN), F.lit(0)))).cast("bigint"),
         "n_items": F.regexp_count(text, F.lit("(?mU)" + ITEM_PATTERN)).cast("bigint"),
         "question": F.regexp_replace(text, r"(?U)\s+$", "").endswith("?"),

@@ -17,10 +17,9 @@ SEARCH_TOOLS = ("Grep", "Glob", "LS")
 AGENT_TOOLS = ("Agent", "Task")
 SHELL_TOOL = "Bash"
 PLAN_TOOL = "TodoWrite"
-MEASURE_COMMANDS = (
-    r"bench\w*", "hyperfine", r"time\s", "timeit", r"perf\b", r"profil\w*", "cProfile", "py-spy", "coverage",
-    r"pytest\s.*--durations", r"wc\s", r"du\s", "cloc", "tokei", "ccusage", "lighthouse", r"ab\s", r"wrk\s",
-)
+# fixed value: shell commands that measure
+MEASURE_PATTERN = (r"(?i)\b(bench\w*|hyperfine|time\s|timeit|perf\b|profil\w*|cProfile|py-spy|coverage|pytest\s.*--durations|wc\s|du\s|cloc|tokei|"
+                   r"ccusage|lighthouse|ab\s|wrk\s)")
 
 def pos() -> Column:
     return F.struct("t_us", "turn_id")
@@ -41,14 +40,13 @@ def guess_family(tasks: DataFrame, tools: DataFrame) -> DataFrame:
     The cut to five runs before the shuffle, so a task with millions of tool uses costs five rows.
     """
     first = Window.partitionBy("source", "task_id").orderBy("t_us", "turn_id", "ord")
-    measure = r"(?i)\b(" + "|".join(MEASURE_COMMANDS) + ")"
     name = F.col("name")
     seen = (
         tools.withColumn("__rn", F.row_number().over(first)).filter(F.col("__rn") <= 5)
         .groupBy("source", "task_id")
         .agg(
             F.bool_or(name.isin(*WRITE_TOOLS)).alias("__writes"),
-            F.bool_or((name == SHELL_TOOL) & F.coalesce(F.col("command").rlike(measure), F.lit(False))).alias("__measures"),
+            F.bool_or((name == SHELL_TOOL) & F.coalesce(F.col("command").rlike(MEASURE_PATTERN), F.lit(False))).alias("__measures"),
             (F.bool_and(name.isin(*READ_TOOLS, *SEARCH_TOOLS)) & (F.count(F.lit(1)) >= 3)).alias("__reads"),
         )
     )

@@ -858,13 +858,12 @@ FROM (SELECT *, coalesce(cold IS NOT NULL AND share >= 0.1, FALSE) AS missed FRO
 
 
 def _family(t: str) -> str:
-    from callmeter.functions.text import FAMILY_WORDS
+    from callmeter.functions.text import FAMILY_PATTERNS
 
     out = "CASE "
-    for fam, stems in FAMILY_WORDS.items():
-        body = "|".join(s.replace(r"\w", r"[\p{L}\p{N}_]") for s in stems)
-        tail = r"([^\p{L}\p{N}_]|$)" if fam == "measure" else ""
-        out += rf"WHEN regexp_matches(lower({t}), '(^|[^\p{{L}}\p{{N}}_])({body}){tail}') THEN '{fam}' "
+    for fam, pattern in FAMILY_PATTERNS.items():  # word characters and boundaries are Unicode
+        pattern = "(^|[^\\p{L}\\p{N}_])" + pattern.removeprefix(r"\b").replace(r"\w", r"[\p{L}\p{N}_]").replace(r"\b", r"([^\p{L}\p{N}_]|$)")
+        out += f"WHEN regexp_matches(lower({t}), '{pattern}') THEN '{fam}' "
     return out + f"WHEN trim({t}) <> '' THEN 'question' END"
 
 

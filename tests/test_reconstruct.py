@@ -1,275 +1,50 @@
-"""Logs to calls: one written corpus of sessions, each a scenario, read once."""
+"""Logs to calls, over the small sessions in fixtures/logs: a split call, agents that launch agents, a damaged log."""
 
-import json
+import os
 
 import pytest
-from pyspark.sql import functions as F
 
-from callmeter.operators import cache, reconcile, reconstruct, reports, tasks
-from callmeter.plans.bridge import PRICES
+from callmeter.operators import reconstruct
 from callmeter.sources import transcripts
-from logs import MODEL, SMALL, Log, edit, read, sh
 
-
-@pytest.fixture(scope="module")
-def corpus(tmp_path_factory):
-    root = tmp_path_factory.mktemp("corpus")
-    s = Log(root, "split")
-    s.prompt("hello")
-    s.call(new=5, read=1000, write=2000, out=300, thinking=120, tools=[read("a"), read("b"), read("c")])
-    s.call(read=3000, write=100, out=50)
-    s.save()
-
-    s = Log(root, "triggers")
-    s.prompt("first")
-    s.call(tools=[sh("ls")])
-    s.call(tools=[sh("pwd")])
-    s.call()
-    s.prompt("second")
-    s.call()
-    s.save()
-
-    s = Log(root, "recovery")
-    s.prompt("look into it")
-    s.agent([{"new": 4, "write": 8000, "out": 3, "tools": [sh("ls")]}, {"new": 2, "read": 8000, "write": 500, "out": 3}], 420)
-    s.call(read=5000, write=100)
-    s.save()
-
-    s = Log(root, "inline")
-    s.prompt("x")
-    s.call()
-    s.call(isSidechain=True, agentId="old1")
-    s.save()
-
-    s = Log(root, "damaged")
-    s.prompt("x")
-    s.call()
-    s.main += ["{not json", "[1, 2, 3]", json.dumps({"no": "type"}), json.dumps({"type": "hologram", "uuid": "h1"}), "",
-               json.dumps({"type": "bridge", "meta": {"usage": {"input_tokens": 50}}}),
-               json.dumps({"type": "assistant", "message": {"id": "m", "model": MODEL, "usage": {"input_tokens": "12", "output_tokens": 1}}}),
-               json.dumps({"type": "assistant", "uuid": "s1", "message": {"id": "m2", "model": "<synthetic>", "usage": {}}})]
-    s.call()
-    s.main.append('{"type": "user", "mess')
-    s.tail = ""
-    s.save()
-
-    s = Log(root, "reread")
-    s.prompt("x")
-    for p in ("src/a", "src/b", "src/a"):
-        s.call(tools=[read(p)])
-    s.call()
-    s.save()
-
-    for i, (command, tools) in enumerate([("code-review", []), (None, [edit("a")]), (None, [read("a"), read("b"), read("c")]),
-                                          (None, [sh("hyperfine ./run")]), (None, [sh("ls")]), (None, [])]):
-        s = Log(root, f"family{i}")
-        s.prompt("go", command)
-        s.call(tools=tools)
-        s.call()
-        s.save()
-
-    s = Log(root, "compacted")
-    s.prompt("x")
-    s.call(write=50_000)
-    s.line(type="system", subtype="compact_boundary")
-    s.prompt("go on")
-    s.call(write=6_000)
-    s.save()
-
-    base = Log(root, "resume-a")
-    base.prompt("x")
-    base.call(write=1000)
-    base.save()
-    again = Log(root, "resume-b")
-    again.main, again.up, again.n = list(base.main), base.up, 100
-    again.prompt("go on")
-    again.call(read=1000, write=10)
-    again.save()
-
-    # counters: exact, hidden model, restart
-    s = Log(root, "counter-exact", version="2.2.0")
-    s.prompt("x")
-    s.call(new=2, write=9000, out=100)
-    s.counter(**{MODEL + "[1m]": (2, 0, 9000, 100)})
-    s.save()
-    s = Log(root, "counter-hidden", version="2.2.0")
-    s.prompt("x")
-    s.call(new=2, write=30_000, out=200)
-    s.call(read=30_000, write=400, out=300)
-    s.counter(**{MODEL: (4, 30_000, 30_400, 500), SMALL: (144_000, 0, 0, 12_000)})
-    s.save()
-    s = Log(root, "counter-restart")
-    s.prompt("first run")
-    s.call(new=2, write=40_000)
-    s.counter(**{MODEL: (2, 0, 40_000, 100)})
-    s.prompt("resumed")
-    s.call(new=2, write=5000, out=50)
-    s.counter(**{MODEL: (2, 0, 5000, 50)})
-    s.save()
-    s = Log(root, "counter-over")
-    s.prompt("x")
-    s.call(new=2, write=20_000)
-    s.counter(**{MODEL: (2, 0, 20_000, 100)})
-    s.call(read=20_000, write=1000)
-    s.counter(**{MODEL: (4, 19_300, 21_000, 200)})
-    s.call()
-    s.save()
-    return root
+ROOT = os.path.join(os.path.dirname(os.path.abspath(__file__)), "fixtures", "logs")
 
 
 @pytest.fixture(scope="module")
-def tables(spark, corpus):
-    lines = transcripts.read_lines(spark, str(corpus))
-    return reconstruct.reconstruct(lines, transcripts.read_sidecars(spark, str(corpus)))
+def tables(spark):
+    return reconstruct.reconstruct(transcripts.read_lines(spark, ROOT), transcripts.read_sidecars(spark, ROOT))
 
 
 @pytest.fixture(scope="module")
-def calls(tables):
+def sessions(tables):
     out = {}
-    for r in tables.calls.orderBy("pos").collect():
+    for r in tables.calls.collect():
         out.setdefault(r["session_id"], []).append(r)
-    return out
-
-
-def test_split_lines_count_once(calls):
-    first, second = calls["split"]
-    assert (first["input_new"], first["cache_read"], first["cache_write"], first["input_total"]) == (5, 1000, 2000, 3005)
-    assert (first["output"], first["reasoning"], first["lines"]) == (300, 120, 4)
-    assert second["output"] == 50
-
-
-def test_triggers_and_tasks(calls, tables):
-    rows = calls["triggers"]
-    assert [r["trigger"] for r in rows] == ["user_turn", "tool_call", "tool_call", "user_turn"]
-    assert len({r["task_id"] for r in rows[:3]}) == 1 and rows[3]["task_id"] != rows[0]["task_id"]
-    assert all(r["duration_ms"] > 0 for r in rows)
-    assert rows[1]["added_chars"] == 500 and rows[0]["added_chars"] == len("first")
-
-
-def test_subagent_output_is_recovered(calls):
-    rows = calls["recovery"]
-    first, last = [r for r in rows if r["trigger"] == "subagent"]
-    assert len({r["task_id"] for r in rows}) == 1
-    assert (first["output"], first["output_exact"]) == (3, False)
-    assert (last["output"], last["output_logged"], last["output_exact"], last["input_total"]) == (420, 3, True, 8502)
-    assert last["output_source"] == "subagent_result"
-
+    return {s: sorted(rows, key=lambda r: r["t_us"]) for s, rows in out.items()}
 
-def test_inline_sidechain(calls):
-    assert [r["trigger"] for r in calls["inline"]] == ["user_turn", "subagent"]
 
+def test_a_call_split_over_lines_counts_once_with_its_largest_output(sessions):
+    read, answer = sessions["tide"]
+    assert (read["input_new"], read["cache_read"], read["cache_write"], read["input_total"]) == (7, 640, 310, 957)
+    assert (read["output"], read["lines"], read["trigger"]) == (90, 2, "user_turn")
+    assert (answer["output"], answer["lines"], answer["trigger"]) == (21, 1, "tool_call")
+    assert read["task_id"] == answer["task_id"] == "tide-p1"
+    assert [read["added_chars"], answer["added_chars"]] == [len("count the crates"), len("rows: 12")]
 
-def test_damaged_lines_are_counted(calls, tables):
-    assert len(calls["damaged"]) == 2
-    got = {(r["bucket"], r["reason"]): r["n"] for r in tables.outcomes.filter(F.col("session_key").endswith("/damaged")).collect()}
-    for reason in ("bad_json", "not_an_object", "no_type", "assistant_bad_usage", "truncated_last_line"):
-        assert got[("unreadable", reason)] == 1
-    assert got[("unknown_type", "hologram")] == 1 and got[("unknown_with_tokens", "bridge")] == 1
-    assert ("unknown_with_tokens", "hologram") not in got
-    assert got[("ignored", "synthetic_message")] == 1
 
+def test_agents_launched_by_agents_belong_to_the_prompt_five_launches_up(sessions):
+    assert len(sessions["deep"]) == 6
+    assert {r["task_id"] for r in sessions["deep"]} == {"deep-p1"}
+    assert [r["trigger"] for r in sessions["deep"]].count("subagent") == 5
 
-def test_rereads(calls, tables):
-    assert [r["reread"] for r in calls["reread"]] == [False, False, False, True]
-    assert tables.files.filter(F.col("session_key").endswith("/reread")).filter("action = 'read'").count() == 3
 
+def test_damaged_lines_are_counted_by_reason(tables, sessions):
+    assert [r["input_total"] for r in sessions["wreck"]] == [6]
+    got = {(r["bucket"], r["reason"]): r["n"] for r in tables.outcomes.filter("session_key LIKE '%wreck'").collect()}
+    assert {k: n for k, n in got.items() if k[0] != "used"} == {
+        ("unreadable", "bad_json"): 1, ("unreadable", "not_an_object"): 1, ("unreadable", "no_type"): 1, ("unreadable", "assistant_bad_usage"): 1,
+        ("unknown_type", "buoy"): 2, ("unknown_with_tokens", "buoy"): 1}
 
-def test_families(tables):
-    got = {r["session_key"].split("/")[1]: r["family"] for r in tables.tasks.filter(F.col("session_key").contains("/family")).collect()}
-    assert [got[f"family{i}"] for i in range(6)] == ["review", "refactor", "review", "measure", "question", "question"]
 
-
-def test_compaction_is_seen(calls):
-    assert [r["after_compaction"] for r in calls["compacted"]] == [False, True]
-
-
-def test_resumed_history_has_one_owner(tables):
-    both = tables.calls.filter(F.col("session_key").contains("/resume-"))
-    assert both.count() == 3
-    owned = reconstruct.first_owner(both, ["source", "turn_id"]).groupBy("session_id").count().collect()
-    assert {r["session_id"]: r["count"] for r in owned} == {"resume-a": 1, "resume-b": 1}
-
-
-def test_contract_holds(tables):
+def test_calls_keep_the_contract(tables):
     assert reconstruct.contract_violations(tables.calls).isEmpty()
-
-
-def test_counter_verdicts(spark, tables):
-    status = {r["session_key"].split("/")[1]: r for r in reconcile.session_status(tables.calls, tables.snapshots).collect()}
-    assert {k: r["status"] for k, r in status.items()} == {
-        "counter-exact": "exact", "counter-hidden": "lines_exact", "counter-restart": "run_exact", "counter-over": "over"}
-    assert status["counter-restart"]["restarts"] == 1
-    hidden = status["counter-hidden"]
-    assert hidden["models_counter_only"] == 1
-    assert round(100 * (hidden["counter_input"] - hidden["lines_input"]) / hidden["lines_input"], 2) == 238.39
-    cov = {r["session_key"].split("/")[1]: r for r in reconcile.coverage(tables.calls, tables.snapshots).collect()}
-    assert cov["counter-over"]["main_after"] == 1 and cov["counter-exact"]["calls_covered"] == 1
-
-
-def test_costs_and_categories(tables):
-    owned = tables.owned()
-    enriched = tasks.enrich(owned.calls, PRICES, owned.tasks)
-    cats = {r["category"]: r for r in reports.by_category(enriched).collect()}
-    assert cats["subagents"]["turns"] == 3 and cats["reviews"]["turns"] >= 2
-    assert sum(r["turns"] for r in cats.values()) == owned.calls.count() == tables.calls.count() - 1
-    assert cats["subagents"]["recovered"] == 417
-    logged = tasks.enrich(owned.calls, PRICES, owned.tasks, logged_only=True)
-    assert logged.agg(F.sum("recovered")).first()[0] == 0
-
-
-def test_siblings_ids_and_ledger(spark, corpus):
-    lines = transcripts.read_lines(spark, str(corpus))
-    pairs = {(r["session_key"], r["sibling"]) for r in transcripts.sibling_files(lines).collect()}
-    assert ("log:shop/resume-a", "log:shop/resume-b") in pairs
-    ids = transcripts.repeated_ids(lines).filter(F.col("session_key") == "log:shop/resume-b").collect()
-    assert {r["id"] for r in ids} == {"resume-a", "resume-b"}
-    found = transcripts.signatures(spark, str(corpus))
-    ledger = found.filter("session_key <> 'log:shop/split'")
-    assert [r["session_key"] for r in transcripts.changed_sessions(found, ledger).collect()] == ["log:shop/split"]
-    assert transcripts.changed_sessions(transcripts.signatures(spark, str(corpus), revision=2), found).count() == found.count()
-
-
-def test_replaced_sessions_keep_the_others(spark, tmp_path, tables):
-    path = str(tmp_path / "calls")
-    rows = tables.calls.select("session_key", "turn_id", "output")
-    keys = rows.select("session_key").distinct()
-    transcripts.replace_sessions(path, rows, keys, buckets=2)
-    one = rows.filter("session_key = 'log:shop/split'").withColumn("output", F.lit(7).cast("bigint"))
-    transcripts.replace_sessions(path, one, one.select("session_key").distinct(), buckets=2)
-    back = spark.read.parquet(path)
-    assert back.count() == rows.count()
-    assert {r["output"] for r in back.filter("session_key = 'log:shop/split'").collect()} == {7}
-
-
-def test_duplication_ratios(spark, tmp_path):
-    s = Log(tmp_path, "dup")
-    s.prompt("x")
-    s.call(write=5000, tools=[sh("ls"), sh("pwd")])
-    s.call(read=5000, write=100)
-    s.save()
-    parsed = reconstruct.parse(transcripts.read_lines(spark, str(tmp_path)))
-    r = reconstruct.duplication_audit(parsed).first()
-    assert [round(r[f"ratio_{n}"], 2) for n in ("input_new", "cache_read", "cache_write", "output")] == [2.5, 2.0, 2.98, 2.5]
-
-
-def test_cache_events_on_logs(spark, tmp_path):
-    s = Log(tmp_path, "cache")
-    s.prompt("go")
-    s.call(write=20_000)
-    s.call(read=20_000, write=100, tools=[edit("CLAUDE.md")])
-    s.call(write=20_200)
-    s.call(read=20_200, write=100, tools=[edit("/srv/demo/shop/.claude/settings.json")])
-    s.call(read=20_300, write=100)
-    s.call(write=20_500, model="alpha-5")
-    s.call(read=20_500, write=100, model="alpha-5")
-    s.call(write=20_700, model="alpha-5")
-    s.prompt("after lunch")
-    s.wait(3600)
-    s.call(write=20_900, model="alpha-5")
-    s.save()
-    t = reconstruct.reconstruct(transcripts.read_lines(spark, str(tmp_path)))
-    pairs = cache.call_pairs(tasks.enrich(t.calls, PRICES), cache.prefix_file_writes(t.files))
-    causes = {r["cause"]: r["breaks"] for r in cache.break_causes(pairs).collect()}
-    assert causes == {"model_switch": 1, "prefix_file_written": 1, "no_visible_cause": 1}
-    assert tuple(cache.prefix_writes(pairs).first()) == (2, 1)
-    assert {r["kind"]: r["events"] for r in cache.cache_summary(cache.cache_events(pairs)).collect()} == {"break": 3, "expired": 1}
