@@ -10,7 +10,7 @@ LEAVES = "warc_file string, offset long, length long, sha256 string"
 
 def archive(rng, n):
     return [f"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: {len(b)}\r\n\r\n".encode() + b + b"\r\n\r\n"
-            for b in (bytes(rng.randrange(256) for _ in range(rng.choice([0, 10, 3000]))) for _ in range(n))]
+            for b in (bytes(rng.randrange(256) for _ in range(rng.choice([10, 300, 3000]))) for _ in range(n))]
 
 
 def rows(r):
