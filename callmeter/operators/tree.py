@@ -1,138 +1,94 @@
-"""A shallow quantile tree over signs, grown level by level from histograms.
-
-The driver only ever sees counts per (node, sign, label, turns): labels are a dozen per sign and
-turns are small whole numbers, so their number does not grow with the tasks.
-"""
+"""A shallow quantile tree over signs: every level is one DataFrame job over all nodes, signs and cuts at once."""
 
 from __future__ import annotations
 
-from collections import defaultdict
-
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from callmeter.functions.labels import ladder
 from callmeter.operators.neighbours import complete_only
 from callmeter.operators.ordered import running_sum, scan, with_slices
-from callmeter.functions.labels import ladder
+from callmeter.session import cut
 
 c = F.col
 QS = (0.1, 0.5, 0.9)
 MIN_SIDE = 30
 MISSING = "?"
+TASK = ["session_key", "task_id"]
 
 
-def _quantiles(hist: dict[float, int]) -> tuple[float, ...]:
-    ys = sorted(hist)
-    total = sum(hist.values())
-
-    def rank(r: int) -> float:
-        for y in ys:
-            r -= hist[y]
-            if r < 0:
-                return y
-        return ys[-1]
+def _three(frequency: Column | None = None) -> Column:
+    levels = F.array(*[F.lit(q) for q in QS])
+    return F.percentile("y", levels) if frequency is None else F.percentile("y", levels, frequency)
 
-    out = []
-    for q in QS:
-        k = (total - 1) * q
-        lo = int(k)
-        a, b = rank(lo), rank(lo + (k > lo))
-        out.append(a + (b - a) * (k - lo))
-    return tuple(out)
 
+def with_signs(tasks: DataFrame, labels: DataFrame, signs: list[str]) -> DataFrame:
+    """tasks with `signs`, one (sign_no, label) per sign; a task without a label for it has '?'."""
+    picks = [F.max(F.when(c("sign") == s, c("label"))).alias(f"s{i}") for i, s in enumerate(signs)]
+    wide = labels.filter(c("sign").isin(*signs)).groupBy(*TASK).agg(*picks)
+    cells = [F.struct(F.lit(i).alias("sign_no"), F.coalesce(f"s{i}", F.lit(MISSING)).alias("label")) for i in range(len(signs))]
+    return tasks.join(wide, TASK, "left").withColumn("signs", F.array(*cells)).drop(*[f"s{i}" for i in range(len(signs))])
 
-def _loss(hist: dict[float, int]) -> float:
-    return sum(f * max(q * (y - p), (q - 1) * (y - p)) for q, p in zip(QS, _quantiles(hist)) for y, f in hist.items())
 
+def best_splits(train: DataFrame) -> DataFrame:
+    """(node, sign_no, left): the split of each node of `train` (node, y, signs) that lowers the quantile loss most.
 
-def _merge(parts) -> dict[float, int]:
-    out: dict[float, int] = defaultdict(int)
-    for p in parts:
-        for y, f in p.items():
-            out[y] += f
-    return out
-
-
-def _best_split(by_label: dict[str, dict[str, dict[float, int]]], here: float):
-    """Signs -> labels -> histogram: the cut of labels, ordered by median, with the smallest loss below `here`."""
-    best = None
-    for sign, labels in by_label.items():
-        order = sorted(labels, key=lambda name: (_quantiles(labels[name])[1], name))
-        for cut in range(1, len(order)):
-            sides = [_merge(labels[n] for n in order[:cut]), _merge(labels[n] for n in order[cut:])]
-            if min(sum(s.values()) for s in sides) < MIN_SIDE:
-                continue
-            loss = sum(_loss(s) for s in sides)
-            if loss < here and (best is None or loss < best[0]):
-                best = (loss, sign, order[:cut])
-    return best
-
-
-def wide_labels(tasks: DataFrame, labels: DataFrame, signs: list[str]) -> DataFrame:
-    """One column per sign (s0, s1, ...), missing labels as '?'."""
-    picks = [F.coalesce(F.max(F.when(c("sign") == s, c("label"))), F.lit(MISSING)).alias(f"s{i}") for i, s in enumerate(signs)]
-    wide = labels.filter(c("sign").isin(*signs)).groupBy("task_id").agg(*picks)
-    return tasks.join(wide, "task_id", "left").fillna(MISSING, [f"s{i}" for i in range(len(signs))])
-
-
-def grow(train: DataFrame, signs: list[str], depth: int) -> tuple[Column, dict[int, tuple[float, ...]]]:
-    """(node column, node -> quantiles) of a tree of the given depth. `train` is `wide_labels` output with `y`."""
-    node, splits = F.lit(1), {}
-    quantiles: dict[int, tuple[float, ...]] = {}
-    cells = F.array(*[F.struct(F.lit(s).alias("sign"), c(f"s{i}").alias("label")) for i, s in enumerate(signs)])
-    for level in range(depth + 1):
-        counts = (train.withColumn("node", node).select("node", "y", F.explode(cells).alias("x"))
-                  .groupBy("node", "x.sign", "x.label", "y").agg(F.count(F.lit(1)).alias("f")).collect())
-        hists: dict = defaultdict(lambda: defaultdict(lambda: defaultdict(dict)))
-        for r in counts:
-            hists[r["node"]][r["sign"]][r["label"]][float(r["y"])] = r["f"]
-        chain = None
-        for n, by_label in hists.items():
-            whole = _merge(next(iter(by_label.values())).values())
-            quantiles[n] = _quantiles(whole)
-            found = _best_split(by_label, _loss(whole)) if level < depth and n >= (1 << level) else None
-            if found:
-                splits[n] = found[1:]
-                left = c(f"s{signs.index(found[1])}").isin(*found[2])
-                step = F.when(left, 2 * n).otherwise(2 * n + 1)
-                chain = F.when(node == n, step) if chain is None else chain.when(node == n, step)
-        if chain is None:
-            break
-        node = chain.otherwise(node)
-    return node, quantiles
-
-
-def _with_quantiles(rows: DataFrame, node: Column, quantiles: dict[int, tuple[float, ...]]) -> DataFrame:
-    q = None
-    for n, values in quantiles.items():  # at most 2^(depth + 1) nodes
-        cell = F.array(*[F.lit(v) for v in values])
-        q = F.when(node == n, cell) if q is None else q.when(node == n, cell)
-    return rows.withColumn("q", q).withColumns({"lo": c("q")[0], "mid": c("q")[1], "hi": c("q")[2]}).drop("q")
-
-
-def quantile_tree(tasks: DataFrame, labels: DataFrame, signs: list[str], rows: int | None = None) -> DataFrame:
-    """Trained on the oldest 70%, judged on the rest: all training tasks, each sign alone, trees of depth 2 and 3.
-
-    `tasks`: (session_key, task_id, started_us, y). Long result (method, session_key, lo, y, hi, mid).
+    The labels of a sign stand in order of their median; a cut sends the first ones left. The cut after the last label is the
+    node as it is, and wins every tie, so a node that nothing improves has no row. What is compared are counts per
+    (node, sign, label, turns): labels are a dozen per sign, turns small whole numbers.
+    """
+    counts = cut(train.select("node", "y", F.explode("signs").alias("s")).groupBy("node", "s.sign_no", "s.label", "y").agg(F.count(F.lit(1)).alias("f")))
+    sign = Window.partitionBy("node", "sign_no")
+    medians = counts.groupBy("node", "sign_no", "label").agg(F.percentile("y", F.lit(0.5), c("f")).alias("median"))
+    order = cut(medians.select("node", "sign_no", "label", F.row_number().over(sign.orderBy("median", "label")).alias("place"),
+                               F.count(F.lit(1)).over(sign).cast("int").alias("labels")))
+    side = ["node", "sign_no", "cut", "left", "labels"]
+    sides = (counts.join(order, ["node", "sign_no", "label"]).withColumn("cut", F.explode(F.sequence(F.lit(1), c("labels"))))
+             .groupBy("node", "sign_no", "cut", (c("place") <= c("cut")).alias("left"), "labels", "y").agg(F.sum("f").alias("f")))
+    levels = sides.groupBy(*side).agg(F.sum("f").alias("n"), _three(c("f")).alias("q"))
+    off = [c("y") - c("q")[i] for i in range(len(QS))]
+    loss = sum((F.greatest(q * o, (q - 1) * o) for q, o in zip(QS, off)), F.lit(0.0))
+    tried = (sides.join(levels, side).groupBy("node", "sign_no", "cut", "labels")
+             .agg(F.round(F.sum(c("f") * loss), 4).alias("loss"), F.min("n").alias("least"))  # rounded: the order of a sum must not decide
+             .withColumn("splits", c("cut") < c("labels")).filter(~c("splits") | (c("least") >= MIN_SIDE)))
+    best = (tried.groupBy("node").agg(F.min(F.struct("loss", "splits", "sign_no", "cut")).alias("b")).filter("b.splits")
+            .select("node", "b.sign_no", "b.cut"))
+    return best.join(order, ["node", "sign_no"]).filter("place <= cut").groupBy("node", "sign_no").agg(F.collect_list("label").alias("left"))
+
+
+def descend(rows: DataFrame, splits: DataFrame) -> DataFrame:
+    """rows one level down: 2 * node on the left, 2 * node + 1 on the right; rows of nodes without a split stay."""
+    found = rows.join(F.broadcast(splits), "node", "left")  # one row a node: at most 2 ** depth
+    label = F.filter("signs", lambda s: s["sign_no"] == c("sign_no"))[0]["label"]
+    down = c("node") * 2 + F.when(F.array_contains("left", label), 0).otherwise(1)
+    return found.withColumn("node", F.when(c("sign_no").isNull(), c("node")).otherwise(down)).drop("sign_no", "left")
+
+
+def quantile_tree(tasks: DataFrame, labels: DataFrame, signs: list[str], rows: int | None = None, depths: tuple[int, ...] = (2, 3)) -> DataFrame:
+    """Trained on the oldest 70%, judged on the rest: all training tasks, each sign alone, trees of the given depths.
+
+    `tasks`: (session_key, task_id, started_us, y). Long result (method, session_key, task_id, y, lo, mid, hi).
     """
     placed = scan(with_slices(tasks, [], "started_us", rows), [], ["started_us", "task_id"], n=running_sum(F.lit(1).cast("bigint"), inclusive=False))
     total = tasks.agg(F.count(F.lit(1)).alias("n")).scalar()
-    wide = wide_labels(placed.withColumn("old", c("n") < F.floor(total * 0.7)).drop("n", "slice"), labels, signs).persist()
-    train, test = wide.filter("old"), wide.filter("NOT old")
-    parts = []
-    for i, s in [(None, "all"), *enumerate(signs)]:
-        key = F.lit("all") if i is None else c(f"s{i}")
-        sums = train.groupBy(key.alias("k")).agg(F.count(F.lit(1)).alias("m"), F.percentile("y", F.array(*[F.lit(q) for q in QS])).alias("q"))
-        base = train.agg(F.percentile("y", F.array(*[F.lit(q) for q in QS])).alias("b")).scalar()
-        mine = test.withColumn("k", key).join(sums.filter(c("m") >= MIN_SIDE), "k", "left").withColumn("q", F.coalesce("q", base))
-        parts.append(mine.select(F.lit(f"alone: {s}" if i is not None else "all training tasks").alias("method"), "session_key", "task_id", "y",
-                                 c("q")[0].alias("lo"), c("q")[1].alias("mid"), c("q")[2].alias("hi")))
-    for depth in (2, 3):
-        node, quantiles = grow(train, signs, depth)
-        scored = _with_quantiles(test, node, quantiles)
-        parts.append(scored.select(F.lit(f"tree depth {depth}").alias("method"), "session_key", "task_id", "y", "lo", "mid", "hi"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    old = c("n") < F.floor(total * 0.7)
+    grown = cut(with_signs(placed.withColumn("old", old).drop("n", "slice"), labels, signs).withColumn("node", F.lit(1)))
+    everything = grown.filter("old").agg(_three().alias("q"))  # one row
+
+    named = F.element_at(F.array(*[F.lit(f"alone: {s}") for s in signs]), c("sign_no") + 1)
+    long = grown.select(*TASK, "y", "old", F.explode("signs").alias("s")).select(*TASK, "y", "old", "s.*")
+    slices = long.filter("old").groupBy("sign_no", "label").agg(F.count(F.lit(1)).alias("n"), _three().alias("q")).filter(c("n") >= MIN_SIDE).drop("n")
+    alone = long.filter("NOT old").join(slices, ["sign_no", "label"], "left").withColumn("q", F.coalesce("q", everything.scalar()))
+    parts = [alone.withColumn("method", named), grown.filter("NOT old").withColumns({"method": F.lit("all training tasks"), "q": everything.scalar()})]
+
+    for depth in range(1, max(depths) + 1):
+        grown = descend(grown, cut(best_splits(grown.filter("old"))))
+        if depth in depths:
+            leaves = grown.filter("old").groupBy("node").agg(_three().alias("q"))  # every leaf holds training tasks
+            parts.append(grown.filter("NOT old").join(F.broadcast(leaves), "node").withColumn("method", F.lit(f"tree depth {depth}")))
+    out = None
+    for p in parts:
+        p = p.select("method", *TASK, "y", c("q")[0].alias("lo"), c("q")[1].alias("mid"), c("q")[2].alias("hi"))
+        out = p if out is None else out.unionByName(p)
     return out
 
 

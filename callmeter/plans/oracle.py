@@ -647,6 +647,41 @@ gained AS (SELECT *, CASE WHEN m[1] <= y AND y <= m[3] THEN 1.0 ELSE 0.0 END AS
   - ((b[3] - b[1]) + 10.0 * CASE WHEN y < b[1] THEN b[1] - y WHEN y > b[3] THEN y - b[3] ELSE 0 END) AS gain FROM sliced)""",
     RESAMPLE.format(g="sign", items="gained"))
 
+def _tree_level(i: int) -> str:
+    """One level of the tree: every cut of every sign of every node, the best of them, and the tasks one level down."""
+    return f"""
+cell{i} AS (SELECT node, y, unnest(range(5)) AS s, unnest(labels) AS label FROM grown{i} WHERE old),
+place{i} AS (SELECT node, s, label, row_number() OVER (PARTITION BY node, s ORDER BY quantile_cont(y, 0.5), label) AS place,
+  count(*) OVER (PARTITION BY node, s) AS k FROM cell{i} GROUP BY node, s, label),
+side{i} AS (SELECT node, s, y, k, cut, place <= cut AS lft FROM (SELECT *, unnest(range(1, k + 1)) AS cut FROM cell{i} JOIN place{i} USING (node, s, label))),
+level{i} AS (SELECT node, s, cut, lft, count(*) AS n, quantile_cont(y, [0.1, 0.5, 0.9]) AS q FROM side{i} GROUP BY ALL),
+tried{i} AS (SELECT node, s, cut, k, min(n) AS least, round(sum(greatest(0.1 * (y - q[1]), -0.9 * (y - q[1])) + 0.5 * abs(y - q[2])
+    + greatest(0.9 * (y - q[3]), -0.1 * (y - q[3]))), 4) AS loss FROM side{i} JOIN level{i} USING (node, s, cut, lft) GROUP BY node, s, cut, k),
+split{i} AS (SELECT node, s, cut FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY loss, cut < k, s, cut) AS r FROM tried{i}
+  WHERE cut = k OR least >= 30) WHERE r = 1 AND cut < k),
+left{i} AS (SELECT node, any_value(s) AS s, list(label) AS names FROM split{i} JOIN place{i} USING (node, s) WHERE place <= cut GROUP BY node),
+grown{i + 1} AS (SELECT g.* EXCLUDE (node), CASE WHEN s IS NULL THEN g.node WHEN list_contains(names, labels[s + 1]) THEN 2 * g.node ELSE 2 * g.node + 1 END AS node
+  FROM grown{i} g LEFT JOIN left{i} l ON l.node = g.node)"""
+
+
+_TREE_SIGNS = ("rank in session", "previous task''s turns", "idle since previous task", "previous task edited files", "prompt is a question")
+_LEAVES = """SELECT 'tree depth {0}', session_key, y, q FROM grown{0} JOIN (SELECT node, quantile_cont(y, [0.1, 0.5, 0.9]) AS q FROM grown{0} WHERE old GROUP BY node)
+  USING (node) WHERE NOT old"""
+SQL["quantile_tree"] = query(f"""
+SELECT method, {_METRICS} FROM (SELECT method, session_key, y, q[1] AS lo, q[2] AS mid, q[3] AS hi FROM judged) GROUP BY method""", PROMPTED, f"""
+tsigns AS (SELECT session_key, task_id, sign, label FROM ({_PRE.replace("SELECT turns_main AS y", "SELECT session_key, task_id, turns_main AS y", 1)})
+  UNION ALL SELECT session_key, task_id, sign, label FROM ({_CTX})),
+grown0 AS (SELECT session_key, task_id, turns_main AS y, row_number() OVER (ORDER BY started_us, task_id) <= floor(count(*) OVER () * 0.7) AS old, labels, 1 AS node
+  FROM real_tasks LEFT JOIN (SELECT session_key, task_id, [{", ".join(f"coalesce(max(label) FILTER (sign = '{s}'), '?')" for s in _TREE_SIGNS)}] AS labels
+    FROM tsigns GROUP BY session_key, task_id) USING (session_key, task_id))""", ",".join(_tree_level(i) for i in range(3)), f"""
+base AS (SELECT quantile_cont(y, [0.1, 0.5, 0.9]) AS b FROM grown0 WHERE old),
+alone AS (SELECT s, label, quantile_cont(y, [0.1, 0.5, 0.9]) AS q FROM cell0 GROUP BY s, label HAVING count(*) >= 30),
+judged AS (SELECT 'all training tasks' AS method, session_key, y, b AS q FROM grown0, base WHERE NOT old
+  UNION ALL SELECT 'alone: ' || ['{"', '".join(_TREE_SIGNS)}'][s + 1], session_key, y, coalesce(q, b)
+    FROM (SELECT session_key, y, unnest(range(5)) AS s, unnest(labels) AS label FROM grown0 WHERE NOT old) LEFT JOIN alone USING (s, label), base
+  UNION ALL {_LEAVES.format(2)} UNION ALL {_LEAVES.format(3)})""")
+
+
 _NINE = "[0.05, 0.075, 0.1, 0.125, 0.15, 0.175, 0.2, 0.225, 0.25, 0.5, 0.95, 0.925, 0.9, 0.875, 0.85, 0.825, 0.8, 0.775, 0.75]"
 SQL["interval_recalibration"] = query(f"""
 SELECT q, coverage, round(oc, 6) AS older_coverage, newer_n, newer_coverage, newer_score, newer_width,

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from callmeter.functions import labels, periods, text
-from callmeter.operators import backtest, neighbours, quantiles, reconcile, scores, settle, signs, textscan
+from callmeter.operators import backtest, neighbours, quantiles, reconcile, scores, settle, signs, textscan, tree
 from callmeter.operators.ordered import SLICE, last_seen, next_seen, running_sum, scan, with_slices
 from callmeter.sources import prices
 
@@ -187,3 +187,21 @@ def test_leak_free_bounds_are_earlier_values(spark):
     df = spark.createDataFrame([("s", i, i * MINUTE, y) for i, y in enumerate(ys)], "session_key string, task_id long, started_us long, y long")
     rows = backtest.leak_free(df, "y", {"lo": 0.0, "hi": 1.0}).collect()
     assert {r["task_id"]: (r["lo"], r["hi"]) for r in rows} == {8: (1, 9), 9: (1, 50)}
+
+
+def test_quantile_tree_splits_on_the_telling_sign(spark):
+    """Labels a and b mean few turns, c many; a second sign says nothing. Unseen labels and missing ones go right."""
+    rows = [(1, i, i, 40 if i % 3 == 2 else 2) for i in range(300)]
+    tasks = spark.createDataFrame(rows, "session_key long, task_id long, started_us long, y long")
+    told = [(1, i, "kind", "abc"[i % 3]) for i in range(300) if i != 299] + [(1, i, "noise", "xy"[i // 3 % 2]) for i in range(300)]
+    labels = spark.createDataFrame(told, "session_key long, task_id long, sign string, label string")
+    got = tree.quantile_tree(tasks, labels, ["noise", "kind"]).filter("method = 'tree depth 2'").collect()
+    assert len(got) == 90
+    assert all((r.lo, r.mid, r.hi) == (r.y, r.y, r.y) for r in got)
+
+
+def test_quantile_tree_stays_whole_where_no_cut_helps(spark):
+    tasks = spark.createDataFrame([(1, i, i, 5) for i in range(100)], "session_key long, task_id long, started_us long, y long")
+    labels = spark.createDataFrame([(1, i, "kind", "ab"[i % 2]) for i in range(100)], "session_key long, task_id long, sign string, label string")
+    rows = tree.with_signs(tasks, labels, ["kind"]).selectExpr("1 AS node", "y", "signs")
+    assert tree.best_splits(rows).isEmpty()
