@@ -952,6 +952,12 @@ JOIN (SELECT session_key, coalesce(arg_max(CASE WHEN cache_write_1h > 0 THEN 360
   FROM calls WHERE trigger <> 'subagent' GROUP BY session_key) USING (session_key)""")
 SQL["stream_cache_events"] = query("SELECT session_key, turn_id, kind, lost_tokens, t_us - q_us AS gap_us FROM events_lost", PAIRS)
 SQL["stream_finished_tasks"] = query("""
-SELECT session_key, task_id, turns_main FROM real_tasks r WHERE EXISTS (
-  SELECT 1 FROM real_tasks o WHERE o.session_key = r.session_key AND o.started_us > r.started_us)""")
-SQL["stream_links"] = query("SELECT session_key, est_id, cand AS task_id FROM settled WHERE status = 'linked'", ESTIMATES)
+SELECT session_key, any_value(task_id) AS task_id, min(t_us) AS started_us, max(t_us) AS last_us, count(*) AS turns_main,
+  CASE WHEN arg_max(next_us, (t_us, turn_id)) - max(t_us) <= 3600000000 THEN 'next task' ELSE 'silence' END AS closed_by
+FROM (SELECT *, sum(CASE WHEN task_id = p_task AND t_us - p_us <= 3600000000 THEN 0 ELSE 1 END) OVER (PARTITION BY session_key ORDER BY t_us, turn_id) AS run
+  FROM (SELECT session_key, task_id, turn_id, t_us, lag(task_id) OVER z AS p_task, lag(t_us) OVER z AS p_us, coalesce(lead(t_us) OVER z, 9000000000000000) AS next_us
+    FROM calls WHERE trigger <> 'subagent' AND tracked WINDOW z AS (PARTITION BY session_key ORDER BY t_us, turn_id)))
+GROUP BY session_key, run""")
+SQL["stream_links"] = query("""
+SELECT session_key, est_id, CASE WHEN status = 'open' THEN 'unmatched' ELSE status END AS status, CASE WHEN status = 'linked' THEN cand END AS task_id
+FROM settled""", ESTIMATES)

@@ -661,33 +661,37 @@ def stream_dedup_calls(v: Views) -> DataFrame:
     return streams.latest(emitted, ["session_key", "key"]).select(c("key").alias("turn_id"), "session_key", "model", "output", "lines")
 
 
-def _landed_calls(v: Views) -> DataFrame:
-    rows = v.priced.drop("slice")
-    return streams.read_files(v.spark, streams.landed(rows, "calls", files=4), rows.schema, files_per_trigger=4)
+def _landed_calls(v: Views) -> tuple[DataFrame, str]:
+    """The calls in eight steps out of time order, and how late they come."""
+    rows = cut(v.priced.drop("slice"))
+    at = streams.landed(rows, "calls", trigger="user_turn", tracked=True)
+    return streams.read_files(v.spark, at.path, rows.schema, files_per_trigger=at.files), at.delay
 
 
 @query
 def stream_live_sessions(v: Views) -> DataFrame:
-    emitted = streams.drain(streams.session_stream(_landed_calls(v)), "update", "live")
+    calls, _ = _landed_calls(v)
+    emitted = streams.drain(streams.session_stream(calls.filter(c("session_key") != streams.MARK_SESSION)), "update", "live")
     return streams.latest(emitted, ["session_key"]).select(
         "session_key", "ttl", "calls", c("last.tokens").alias("tokens"), c("last.model").alias("model"), dollars(c("cost_p"), 4).alias("cost"))
 
 
 @query
 def stream_cache_events(v: Views) -> DataFrame:
-    return streams.drain(streams.cache_event_stream(_landed_calls(v)), "append", "cache").drop("batch")
+    return streams.drain(streams.cache_event_stream(*_landed_calls(v)), "append", "cache").drop("batch")
 
 
 @query
 def stream_finished_tasks(v: Views) -> DataFrame:
-    done = streams.drain(streams.finished_task_stream(_landed_calls(v)), "append", "tasks")
-    return done.filter("closed_by = 'next task'").select("session_key", "task_id", "turns_main")
+    return streams.drain(streams.finished_task_stream(*_landed_calls(v)), "append", "tasks").drop("batch")
 
 
 @query
 def stream_links(v: Views) -> DataFrame:
-    real = v.plain_real.select("session_key", "task_id", "started_us", c("started_us").alias("t_us"))
-    est = bridge.estimates(v.plain_real).select("est_id", "session_key", "made_us", c("made_us").alias("t_us"))
-    e = streams.read_files(v.spark, streams.landed(est, "estimates"), est.schema).drop("t_us")
-    t = streams.read_files(v.spark, streams.landed(real, "tasks"), real.schema).drop("t_us")
-    return streams.first_links(streams.drain(streams.link_stream(e, t), "append", "links"))
+    real = cut(v.plain_real.select("session_key", "task_id", "started_us"))
+    est = cut(bridge.estimates(v.plain_real).select("est_id", "session_key", "made_us"))
+    asked, told = streams.landed(est, "estimates", "made_us"), streams.landed(real, "tasks", "started_us")
+    e = streams.read_files(v.spark, asked.path, est.schema, asked.files)
+    t = streams.read_files(v.spark, told.path, real.schema, told.files)
+    linked = streams.drain(streams.link_stream(e, t, asked.delay, told.delay), "append", "links")
+    return streams.first_links(linked.filter(c("session_key") != streams.MARK_SESSION))

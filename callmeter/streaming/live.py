@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from typing import Iterator
+import math
+from functools import partial
+from typing import Iterator, NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -14,6 +17,7 @@ from callmeter.operators.settle import FINISHED_US, LINK_US, SLACK_US
 from callmeter.session import scratch_path
 
 c = F.col
+YEAR_US = 365 * 24 * 3600 * SECOND_US
 
 
 def read_files(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None, name_filter: str | None = None) -> DataFrame:
@@ -68,93 +72,156 @@ def session_stream(calls: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("calls"), F.sum(c("cost_p").cast("decimal(20,0)")).alias("cost_p"))
 
 
-def _ordered(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    """This trigger's rows of one key, oldest first; their number is set by the trigger, not by the history."""
-    return pd.concat(list(frames)).sort_values(["t_us", "turn_id"])
+def _release(frames: Iterator[pd.DataFrame], held: bytes, columns: list[str], until_us: int) -> tuple[np.ndarray, np.ndarray]:
+    """(due, held): this trigger's rows of one key and those held back before, in order, parted at the watermark."""
+    before = np.frombuffer(held, np.int64).reshape(-1, len(columns))
+    rows = np.concatenate([before, *[f[columns].to_numpy(np.int64) for f in frames if len(f)]])
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]  # t_us and turn_id stand first
+    n = int(np.searchsorted(rows[:, 0], until_us, side="right"))
+    return rows[:n], rows[n:]
 
 
+def _wake(state: GroupState, at_us: int) -> None:
+    state.setTimeoutTimestamp(max(-(-at_us // 1000), state.getCurrentWatermarkMs() + 1))
+
+
+def _timed(calls: DataFrame, columns: list[str], delay: str) -> DataFrame:
+    """Main-thread calls with event time, nothing but the columns that are kept in state."""
+    numbers = [F.coalesce(c(n).cast("long"), F.lit(0).cast("long")).alias(n) for n in columns]
+    main = calls.filter(c("trigger") != "subagent").withColumn("ts", F.timestamp_micros("t_us")).withWatermark("ts", delay)
+    return main.select("session_key", "ts", *numbers)
+
+
+NONE = -1
+EVENT_COLUMNS = ["t_us", "turn_id", "input_total", "cache_read", "cache_write", "cache_write_1h", "after_compaction"]
 EVENT_SCHEMA = "session_key long, turn_id long, kind string, lost_tokens long, gap_us long"
-EVENT_STATE = "t_us long, input_total long, ttl long"
-
-
-def _cache_step(key, frames, state: GroupState):
-    prev = state.get if state.exists else None
-    out = []
-    for r in _ordered(frames).itertuples():
-        if prev is not None:
-            p_us, p_input, ttl = prev
-            kept = p_input >= MIN_CACHEABLE and r.input_total >= 0.5 * p_input and not r.after_compaction
-            if kept and r.cache_read < 0.5 * p_input:
-                gap = r.t_us - p_us
-                out.append((key[0], r.turn_id, "expired" if gap > ttl * SECOND_US else "break", p_input - r.cache_read, gap))
-        ttl = prev[2] if prev is not None else DEFAULT_TTL
-        if r.cache_write > 0:
-            ttl = 3600 if r.cache_write_1h > 0 else 300
-        prev = (int(r.t_us), int(r.input_total), int(ttl))
-    if prev is not None:
-        state.update(prev)
-    yield pd.DataFrame(out, columns=["session_key", "turn_id", "kind", "lost_tokens", "gap_us"])
-
-
-def cache_event_stream(calls: DataFrame) -> DataFrame:
-    """Lost caches as calls arrive; the state of a session is its previous main call and the lifetime in force."""
-    main = calls.filter(c("trigger") != "subagent")
-    return main.groupBy("session_key").applyInPandasWithState(_cache_step, EVENT_SCHEMA, EVENT_STATE, "append", GroupStateTimeout.NoTimeout)
+EVENT_STATE = "t_us long, input_total long, ttl long, held binary"
+
+
+def _before(first: int, values: np.ndarray) -> np.ndarray:
+    """Each row's predecessor, the carried value for the first."""
+    return np.concatenate([[first], values[:-1]])
+
+
+def _cache_step(forget_us: int, key, frames, state: GroupState):
+    t_us, context, ttl, held = state.get if state.exists else (NONE, 0, DEFAULT_TTL, b"")
+    until = state.getCurrentWatermarkMs() * 1000
+    due, later = _release(frames, held, EVENT_COLUMNS, until)
+    if len(due):
+        t, turn, total, read, write, write_1h, compacted = due.T
+        written = np.where(write > 0, np.where(write_1h > 0, 3600, 300), 0)
+        newest = np.maximum.accumulate(np.where(written > 0, np.arange(len(due)), NONE))
+        in_force = np.where(newest == NONE, ttl, written[newest])
+        p_t, p_total = _before(t_us, t), _before(context, total)
+        gap = t - p_t
+        lost = (p_t != NONE) & (p_total >= MIN_CACHEABLE) & (total >= 0.5 * p_total) & (compacted == 0) & (read < 0.5 * p_total)
+        kind = np.where(gap > _before(ttl, in_force) * SECOND_US, "expired", "break")
+        if lost.any():
+            yield pd.DataFrame({"session_key": key[0], "turn_id": turn[lost], "kind": kind[lost], "lost_tokens": (p_total - read)[lost], "gap_us": gap[lost]})
+        t_us, context, ttl = int(t[-1]), int(total[-1]), int(in_force[-1])
+    if not len(later) and t_us + forget_us <= until:
+        state.remove()
+        return
+    state.update((t_us, context, ttl, later.tobytes()))
+    _wake(state, int(later[0, 0]) if len(later) else t_us + forget_us)
+
+
+def cache_event_stream(calls: DataFrame, delay: str = "10 minutes", forget_us: int = 30 * 24 * 3600 * SECOND_US) -> DataFrame:
+    """Lost caches as the watermark passes their calls, so files may arrive out of order by up to `delay`.
+
+    The state of a session is its previous main call, the lifetime in force and the calls the watermark has not passed. It goes
+    when the session has been silent for forget_us: a call after that starts anew. Calls later than `delay` are left to the batch operator.
+    """
+    return _timed(calls, EVENT_COLUMNS, delay).groupBy("session_key").applyInPandasWithState(
+        partial(_cache_step, forget_us), EVENT_SCHEMA, EVENT_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+TASK_COLUMNS = ["t_us", "turn_id", "task_id"]
 TASK_SCHEMA = "session_key long, task_id long, started_us long, last_us long, turns_main long, closed_by string"
-TASK_STATE = "task_id long, started_us long, last_us long, turns_main long"
+TASK_STATE = "task_id long, started_us long, last_us long, turns_main long, held binary"
 
 
 def _task_step(key, frames, state: GroupState):
-    now = list(state.get) if state.exists else None
-    out = []
-    if state.hasTimedOut:
-        out.append((key[0], *now, "silence"))
-        state.remove()
-        now = None
-    else:
-        for r in _ordered(frames).itertuples():
-            if now is not None and now[0] != r.task_id:
-                out.append((key[0], *now, "next task"))
-                now = None
-            if now is None:
-                now = [int(r.task_id), int(r.t_us), int(r.t_us), 0]
-            now[2], now[3] = max(now[2], int(r.t_us)), now[3] + 1
-        state.update(tuple(now))
-        ends_ms = (now[2] + FINISHED_US) // 1000
-        state.setTimeoutTimestamp(max(ends_ms, state.getCurrentWatermarkMs() + 1))
-    yield pd.DataFrame(out, columns=["session_key", "task_id", "started_us", "last_us", "turns_main", "closed_by"])
+    *now, held = state.get if state.exists else (NONE, 0, 0, 0, b"")
+    until = state.getCurrentWatermarkMs() * 1000
+    due, later = _release(frames, held, TASK_COLUMNS, until)
+    # each call as a stretch of one turn, the open stretch before them: task, start, end, turns
+    calls = np.column_stack([due[:, 2], due[:, 0], due[:, 0], np.ones(len(due), np.int64)])
+    runs = np.concatenate([np.array([now], np.int64), calls]) if now[3] else calls
+    if len(runs):
+        task, start, last, turns = runs.T
+        begins = np.flatnonzero(np.concatenate([[True], (task[1:] != task[:-1]) | (start[1:] - last[:-1] > FINISHED_US)]))
+        ends = np.append(begins[1:], len(runs)) - 1
+        task, start, last, turns = task[begins], start[begins], last[ends], np.add.reduceat(turns, begins)
+        followed = np.append(start[1:] - last[:-1] <= FINISHED_US, False)
+        over = until > last[-1] + FINISHED_US
+        n = len(task) if over else len(task) - 1
+        if n:
+            yield pd.DataFrame({"session_key": key[0], "task_id": task[:n], "started_us": start[:n], "last_us": last[:n], "turns_main": turns[:n],
+                                "closed_by": np.where(followed, "next task", "silence")[:n]})
+        now = [NONE, 0, 0, 0] if over else [int(x[-1]) for x in (task, start, last, turns)]
+    if not len(later) and not now[3]:
+        if state.exists:
+            state.remove()
+        return
+    state.update((*now, later.tobytes()))
+    _wake(state, min([int(later[0, 0])] * bool(len(later)) + [now[2] + FINISHED_US + 1] * bool(now[3])))
 
 
 def finished_task_stream(calls: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Tasks as they end: by the next task of their session, or after an hour of silence (event time)."""
-    main = calls.filter((c("trigger") != "subagent") & c("tracked")).withColumn("ts", F.timestamp_micros("t_us")).withWatermark("ts", delay)
-    return main.groupBy("session_key").applyInPandasWithState(_task_step, TASK_SCHEMA, TASK_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    """Stretches of tasks as they end: by the next task of their session, or after an hour of silence (event time).
+
+    A task that goes on after an hour of silence gives one row per stretch; their turns add up. Files may arrive out of order by up
+    to `delay`. A session without an open task or calls to wait for has no state.
+    """
+    return _timed(calls.filter("tracked"), TASK_COLUMNS, delay).groupBy("session_key").applyInPandasWithState(
+        _task_step, TASK_SCHEMA, TASK_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def link_stream(estimates: DataFrame, tasks: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Estimates with the tasks that start from 5 s before to 30 min after, as both arrive."""
-    e = estimates.withColumn("made_ts", F.timestamp_micros("made_us")).withWatermark("made_ts", delay)
+def link_stream(estimates: DataFrame, tasks: DataFrame, made_delay: str = "10 minutes", started_delay: str = "10 minutes") -> DataFrame:
+    """Estimates with the tasks that start from 5 s before to 30 min after, as both arrive; without any, once the watermark rules them out."""
+    e = estimates.withColumn("made_ts", F.timestamp_micros("made_us")).withWatermark("made_ts", made_delay)
     t = tasks.select(c("session_key").alias("t_session"), "task_id", "started_us").withColumn(
-        "started_ts", F.timestamp_micros("started_us")).withWatermark("started_ts", delay)
-    low = c("made_ts") - F.make_dt_interval(secs=F.lit(SLACK_US // SECOND_US))
-    high = c("made_ts") + F.make_dt_interval(secs=F.lit(LINK_US // SECOND_US))
-    return e.join(t, (c("session_key") == c("t_session")) & (c("started_ts") >= low) & (c("started_ts") <= high)).select(
-        "est_id", "session_key", "made_us", "task_id", "started_us")
+        "started_ts", F.timestamp_micros("started_us")).withWatermark("started_ts", started_delay)
+    low = c("made_ts") - F.expr(f"INTERVAL {SLACK_US // SECOND_US} SECONDS")
+    high = c("made_ts") + F.expr(f"INTERVAL {LINK_US // SECOND_US} SECONDS")
+    near = (c("session_key") == c("t_session")) & (c("started_ts") >= low) & (c("started_ts") <= high)
+    return e.join(t, near, "left_outer").select("est_id", "session_key", "made_us", "task_id", "started_us")
 
 
 def first_links(linked: DataFrame) -> DataFrame:
-    """The first task of each estimate, and of several estimates for it the newest."""
-    first = linked.groupBy("est_id", "session_key", "made_us").agg(F.min(F.struct("started_us", "task_id")).alias("t"))
-    return first.groupBy("session_key", c("t.task_id").alias("task_id")).agg(
-        F.max_by("est_id", F.struct("made_us", -c("est_id"))).alias("est_id"))
+    """Status of each estimate: linked to its first task, superseded by a newer estimate of that task, or unmatched."""
+    task = F.when(c("task_id").isNotNull(), F.struct("started_us", "task_id"))
+    first = linked.groupBy("est_id", "session_key", "made_us").agg(F.min(task).alias("t")).select("*", c("t.task_id").alias("task_id"))
+    newest = first.filter("task_id IS NOT NULL").groupBy("session_key", "task_id").agg(
+        F.max_by("est_id", F.struct("made_us", -c("est_id"))).alias("newest"))
+    status = F.when(c("task_id").isNull(), "unmatched").when(c("newest") == c("est_id"), "linked").otherwise("superseded")
+    named = first.join(newest, ["session_key", "task_id"], "left").withColumn("status", status)
+    return named.select("est_id", "session_key", "status", F.when(c("status") == "linked", c("task_id")).alias("task_id"))
 
 
-def landed(rows: DataFrame, label: str, files: int = 1) -> str:
-    """Write a table as files for a stream to pick up."""
-    path = scratch_path(rows.sparkSession, label)
-    rows.repartitionByRange(files, "t_us").write.parquet(path)
-    return path
+MARK_SESSION = -1
+
 
+class Landed(NamedTuple):
+    """A folder of files for a stream; one step of it is `files` files, and rows are late by `delay` at most."""
+    path: str
+    files: int
+    delay: str
 
+
+def landed(rows: DataFrame, label: str, time: str = "t_us", order: tuple[int, ...] = (0, 2, 1, 3, 5, 4, 7, 6), file_rows: int = 1_000_000, **mark) -> Landed:
+    """Write a table for a stream to pick up: as many spans of time as `order` names, in that order, so that some arrive late.
+
+    Last comes an end mark, one row of session -1 a year on, which moves the watermark past everything before it; `mark` are values
+    it needs so that the stream doesn't leave it out.
+    """
+    path = scratch_path(rows.sparkSession, label)
+    low, high, n = rows.agg(F.min(time), F.max(time), F.count(F.lit(1))).first()
+    span = ((high or 0) - (low or 0)) // len(order) + 1
+    files = max(1, math.ceil(n / len(order) / file_rows))
+    for i in order:
+        rows.filter(F.expr(f"({time} - {low or 0}) div {span}") == i).repartition(files).write.mode("append").parquet(path)
+    values = {"session_key": MARK_SESSION, time: (high or 0) + YEAR_US} | mark
+    rows.limit(1).withColumns({k: F.lit(v).cast(rows.schema[k].dataType) for k, v in values.items()}).write.mode("append").parquet(path)
+    return Landed(path, files, f"{math.ceil(2 * span / SECOND_US)} seconds")

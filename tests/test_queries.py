@@ -12,7 +12,7 @@ NAMES = [
     "expiry_survivors", "tool_lift", "counter_checks", "snapshot_increments", "gap_shape", "suffix_match", "turns_by_family", "backtest_turns",
     "leak_free_by_slice", "survival_by_k", "early_signs", "context_growth", "merge_followups", "pre_send_signs", "interval_recalibration",
     "next_call_input", "settle_estimates", "computed_backtest", "prompt_features", "nearest_prompts", "sensitive_text_scan", "json_tolerant_scan",
-    "dedup_calls", "rereads", "unused_files", "event_contrast", "stream_cache_events", "stream_finished_tasks", "turns_ahead", "counter_coverage", "session_status", "floor_gap",
+    "dedup_calls", "rereads", "unused_files", "event_contrast", "stream_cache_events", "stream_finished_tasks", "stream_live_sessions", "stream_links", "turns_ahead", "counter_coverage", "session_status", "floor_gap",
     "unresolved_sessions", "checks_summary", "one_sided_models", "version_status", "single_version_status", "session_alerts", "quantile_tree",
 ]
 
