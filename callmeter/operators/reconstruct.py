@@ -51,8 +51,32 @@ def _is_object(path: str) -> Column:
     return F.coalesce(F.expr(f"{_kind(path)} LIKE 'OBJECT%'"), F.lit(False))
 
 
-def text_length(content: str, depth: int = 4) -> str:
-    """SQL for the characters in message content: a string, or a list of strings, text blocks and nested content."""
+def _blocks(content: str) -> str:
+    return f"try_cast({content} AS ARRAY<VARIANT>)"
+
+
+def lies_deeper(content: str, depth: int) -> str:
+    """SQL for whether message content holds a list more than `depth` lists down."""
+    is_list = f"coalesce(schema_of_variant({content}) LIKE 'ARRAY%', false)"
+    if depth == 0:
+        return is_list
+    b = f"b{depth}"
+    return f"({is_list} AND coalesce(exists({_blocks(content)}, {b} -> {lies_deeper(f"try_variant_get({b}, '$.content', 'variant')", depth - 1)}), false))"
+
+
+def content_depth(parsed: DataFrame, depth: int = 4) -> int:
+    """How many lists down the text of any line lies, or a little more. Each list has its bracket, so lines with few aren't looked into."""
+    content, result = "try_variant_get(v, '$.message.content', 'variant')", "try_variant_get(r, '$.content', 'variant')"
+    while True:
+        some = parsed.filter(F.char_length("value") - F.char_length(F.replace("value", F.lit("["))) > depth)
+        deeper = F.expr(f"{lies_deeper(content, depth)} OR coalesce(exists(results, r -> {lies_deeper(result, depth)}), false)")
+        if some.filter(deeper).isEmpty():
+            return depth
+        depth *= 2
+
+
+def text_length(content: str, depth: int) -> str:
+    """SQL for the characters in message content: a string, or a list of strings, text blocks and nested content, `depth` lists down."""
     own = f"CASE WHEN schema_of_variant({content}) = 'STRING' THEN length(CAST({content} AS STRING)) ELSE 0 END"
     if depth == 0:
         return own
@@ -61,7 +85,7 @@ def text_length(content: str, depth: int = 4) -> str:
     block = (f"CASE WHEN schema_of_variant({b}) = 'STRING' THEN length(CAST({b} AS STRING)) "
              f"WHEN schema_of_variant({text}) = 'STRING' THEN length(CAST({text} AS STRING)) "
              f"WHEN {nested} IS NOT NULL THEN {text_length(nested, depth - 1)} ELSE 0 END")
-    items = f"try_cast({content} AS ARRAY<VARIANT>)"
+    items = _blocks(content)
     return (f"CASE WHEN schema_of_variant({content}) LIKE 'ARRAY%' "
             f"THEN coalesce(aggregate({items}, 0, (a{depth}, {b}) -> a{depth} + {block}), 0) ELSE {own} END")
 
@@ -164,13 +188,14 @@ def tool_uses(parsed: DataFrame) -> DataFrame:
         F.expr("CAST(variant_get(b, '$.input.command', 'variant') AS STRING)").alias("command")).filter(c("id").isNotNull())
 
 
-def line_nodes(parsed: DataFrame) -> DataFrame:
+def line_nodes(parsed: DataFrame, depth: int | None = None) -> DataFrame:
     """The parent graph: one node per line uuid (the last line wins)."""
+    depth = depth or content_depth(parsed)
     result_ids = F.filter(F.transform("results", lambda b: F.try_variant_get(b, "$.tool_use_id", "string")), lambda x: x.isNotNull())
     content = "variant_get(v, '$.message.content', 'variant')"
-    results = text_length("variant_get(r, '$.content', 'variant')")
+    results = text_length("variant_get(r, '$.content', 'variant')", depth)
     chars = (F.when(c("kind") == "tool_result", F.expr(f"aggregate(results, 0, (t, r) -> t + {results})"))
-             .when(c("kind").isin("prompt", "meta"), F.expr(text_length(content))).otherwise(0))
+             .when(c("kind").isin("prompt", "meta"), F.expr(text_length(content, depth))).otherwise(0))
     boundary = (c("type") == "system") & F.coalesce(c("subtype").contains("compact"), F.lit(False))
     node = F.struct("parent", "prompt_id", "t_us", "kind", chars.cast("bigint").alias("chars"),
                     F.when(c("kind") == "assistant", c("key")).alias("call"),
@@ -249,7 +274,8 @@ def reconstruct(lines: DataFrame, sidecars: DataFrame | None = None, source: str
     parsed = parse(lines)
     calls = cut(dedup_calls(parsed))
     uses = cut(tool_uses(parsed))
-    nodes = cut(line_nodes(parsed))
+    depth = content_depth(parsed)
+    nodes = cut(line_nodes(parsed, depth))
     spark = lines.sparkSession
     if sidecars is None:
         sidecars = spark.createDataFrame([], "session_key string, agent_id string, tool_use_id string, bad boolean")
@@ -331,7 +357,7 @@ def reconstruct(lines: DataFrame, sidecars: DataFrame | None = None, source: str
         F.array_join(F.transform("blocks", lambda b: F.coalesce(F.try_variant_get(b, "$.text", "string"), F.lit(""))), " "))
     opened = (parsed.filter((c("kind") == "prompt") & (c("thread") == "main"))
               .select(*KEY, F.coalesce("prompt_id", "uuid", F.lit("")).alias("task_id"), "pos", "t_us", command_of(said).alias("command"),
-                      F.expr(text_length(text)).cast("bigint").alias("chars"))
+                      F.expr(text_length(text, depth)).cast("bigint").alias("chars"))
               .groupBy(*KEY, "task_id").agg(F.min_by("t_us", "pos").alias("p_us"), F.min_by("command", "pos").alias("command"),
                                             F.sum("chars").alias("prompt_chars")))
     seen = out.groupBy(*KEY, "task_id").agg(F.min_by("t_us", "pos").alias("c_us"))

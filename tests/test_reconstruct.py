@@ -32,6 +32,11 @@ def test_a_call_split_over_lines_counts_once_with_its_largest_output(sessions):
     assert [read["added_chars"], answer["added_chars"]] == [len("count the crates"), len("rows: 12")]
 
 
+def test_text_counts_however_deep_it_lies(tables, sessions):
+    assert [r["added_chars"] for r in sessions["nest"]] == [len("six down") + len("top"), len("eleven")]
+    assert [r["prompt_chars"] for r in tables.tasks.filter("task_id = 'nest-p1'").collect()] == [len("six down") + len("top")]
+
+
 def test_agents_launched_by_agents_belong_to_the_prompt_five_launches_up(sessions):
     assert len(sessions["deep"]) == 6
     assert {r["task_id"] for r in sessions["deep"]} == {"deep-p1"}
