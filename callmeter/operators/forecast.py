@@ -13,7 +13,7 @@ from callmeter.functions.money import dollars, exact_sum
 from callmeter.operators.cache import DEFAULT_TTL, SECOND_US, cache_events, call_pairs
 from callmeter.operators.ordered import last_seen, merge, running_sum, scan, with_slices
 from callmeter.operators.scores import INTERVAL, SPREAD_LIMIT
-from callmeter.operators.tasks import main_calls
+from callmeter.operators.tasks import by_prefix, main_calls
 from callmeter.session import cut
 from callmeter.sources.prices import PriceTable, with_prices
 
@@ -39,12 +39,11 @@ def pick_session(prompts: DataFrame, sessions: DataFrame) -> DataFrame:
 
     `sessions`: (session_key, session_id, cwd, last_us); `prompts` carry `prefix` and `cwd`, either may be null.
     """
-    by_cwd = sessions.filter(c("cwd").isNotNull()).groupBy("cwd").agg(F.max_by("session_key", "last_us").alias("__here"))
-    latest = sessions.agg(F.max_by("session_key", "last_us").alias("k")).scalar()
-    hits = prompts.filter(c("prefix").isNotNull()).select("prompt_id", "prefix").join(
-        sessions.select("session_id", c("session_key").alias("__k"), "last_us"), c("session_id").startswith(c("prefix")))
-    given = hits.groupBy("prompt_id").agg(F.max_by("__k", "last_us").alias("__given"))
-    return prompts.join(by_cwd, "cwd", "left").join(given, "prompt_id", "left").withColumn(
+    newest = F.max_by("session_key", F.struct("last_us", "session_key"))
+    by_cwd = sessions.filter(c("cwd").isNotNull()).groupBy("cwd").agg(newest.alias("__here"))
+    latest = sessions.agg(newest.alias("k")).scalar()
+    given = by_prefix(sessions, "session_id", prompts).groupBy("prefix").agg(newest.alias("__given"))
+    return prompts.join(by_cwd, "cwd", "left").join(given, "prefix", "left").withColumn(
         "session_key", F.when(c("prefix").isNotNull(), c("__given")).otherwise(F.coalesce(c("__here"), latest))).drop("__here", "__given")
 
 

@@ -372,8 +372,12 @@ def reconstruct(lines: DataFrame, sidecars: DataFrame | None = None, source: str
 
 
 def first_owner(rows: DataFrame, key: list[str]) -> DataFrame:
-    """One owner per key over all sessions: the first session in (project, session) order keeps the row."""
-    return top_per_group(rows, key, [c("session_key")], 1, "__rank").drop("__rank")
+    """One owner per key over all sessions: the first session in (project, session) order keeps the row.
+
+    The project is compared by itself: in a joined key `shop-web/..` would come before `shop/..`.
+    """
+    project = F.regexp_extract(c("session_key").cast("string"), "^(.*)/[^/]*$", 1)
+    return top_per_group(rows, key, [project, c("session_key")], 1, "__rank").drop("__rank")
 
 
 def contract_violations(calls: DataFrame) -> DataFrame:

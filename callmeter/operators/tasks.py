@@ -60,20 +60,26 @@ def guess_family(tasks: DataFrame, tools: DataFrame) -> DataFrame:
             .drop("__writes", "__measures", "__reads"))
 
 
+def by_prefix(rows: DataFrame, name: str, asked: DataFrame) -> DataFrame:
+    """rows once per length that the column `prefix` of `asked` has, with `prefix`, so that a prefix test is an equi join.
+
+    There are no more lengths than a name has characters; longer prefixes fit no name.
+    """
+    lengths = asked.agg(F.collect_set(F.char_length("prefix")).alias("n")).scalar()
+    long = rows.withColumn("__n", F.explode(lengths)).filter(F.col("__n") <= F.char_length(name))
+    return long.withColumn("prefix", F.substring(F.col(name), F.lit(1), F.col("__n"))).drop("__n")
+
+
 def resolve_tags(tasks: DataFrame, tags: DataFrame) -> DataFrame:
     """Declared families: (source, prefix, family, declared_at) -> (source, task_id, declared).
 
-    A prefix counts only when exactly one task id starts with it; the last declaration of a task wins.
-    `tags` is a log of what people typed, and the match is an equality on source plus a prefix test.
+    A prefix counts only when exactly one task id starts with it; the last declaration of a task wins, of several at
+    one time the last by name.
     """
-    hits = tags.alias("g").join(
-        tasks.select("source", "task_id").alias("t"),
-        (F.col("g.source") == F.col("t.source")) & F.col("t.task_id").startswith(F.col("g.prefix")))
-    one = (
-        hits.groupBy("g.source", "g.prefix", "g.family", "g.declared_at")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("t.task_id").alias("task_id")).filter("n = 1")
-    )
-    return one.groupBy("source", "task_id").agg(F.max_by("family", "declared_at").alias("declared"))
+    key = ["source", "prefix"]
+    only = (by_prefix(tasks.select("source", "task_id").distinct(), "task_id", tags).groupBy(*key)
+            .agg(F.count(F.lit(1)).alias("n"), F.min("task_id").alias("task_id")).filter("n = 1").drop("n"))
+    return tags.join(only, key).groupBy("source", "task_id").agg(F.max_by("family", F.struct("declared_at", "family")).alias("declared"))
 
 
 def with_declared(tasks: DataFrame, declared: DataFrame) -> DataFrame:

@@ -950,6 +950,18 @@ SELECT session_key, calls, cost, ttl, tokens, model FROM (SELECT session_key, co
 JOIN (SELECT session_key, coalesce(arg_max(CASE WHEN cache_write_1h > 0 THEN 3600 ELSE 300 END, (t_us, turn_id)) FILTER (cache_write > 0), 300) AS ttl,
     arg_max(input_total + output, (t_us, turn_id)) AS tokens, arg_max(model, (t_us, turn_id)) AS model
   FROM calls WHERE trigger <> 'subagent' GROUP BY session_key) USING (session_key)""")
+SQL["declared_families"] = query("""
+SELECT source, task_id, arg_max(family, (declared_at, family)) AS declared FROM (
+  SELECT g.source, any_value(g.tag) AS family, any_value(g.declared_at) AS declared_at, min(t.id) AS task_id
+  FROM (SELECT *, CAST(task_id AS VARCHAR)[:length(CAST(task_id AS VARCHAR)) - task_id % 2] AS prefix, CASE WHEN task_id % 5 < 2 THEN 'review' ELSE 'question' END AS tag,
+      started_us AS declared_at FROM real_tasks WHERE task_id % 3 = 0) g
+  JOIN (SELECT source, CAST(task_id AS VARCHAR) AS id FROM real_tasks) t ON t.source = g.source AND starts_with(t.id, g.prefix)
+  GROUP BY g.source, g.task_id HAVING count(*) = 1) GROUP BY source, task_id""")
+SQL["picked_sessions"] = query("""
+SELECT p.task_id AS prompt_id, CASE WHEN p.task_id % 3 = 0 THEN (SELECT arg_max(session_key, (last_us, session_key)) FROM s WHERE starts_with(CAST(session_key AS VARCHAR), CAST(p.session_key AS VARCHAR)[:1]))
+  WHEN p.task_id % 2 = 0 THEN h.k ELSE (SELECT arg_max(session_key, (last_us, session_key)) FROM s) END AS session_key
+FROM real_tasks p LEFT JOIN (SELECT cwd, arg_max(session_key, (last_us, session_key)) AS k FROM s GROUP BY cwd) h ON h.cwd = p.project""", """
+s AS (SELECT session_key, min(project) AS cwd, max(t_us) AS last_us FROM calls GROUP BY session_key)""")
 SQL["stream_cache_events"] = query("SELECT session_key, turn_id, kind, lost_tokens, t_us - q_us AS gap_us FROM events_lost", PAIRS)
 SQL["stream_finished_tasks"] = query("""
 SELECT session_key, any_value(task_id) AS task_id, min(t_us) AS started_us, max(t_us) AS last_us, count(*) AS turns_main,

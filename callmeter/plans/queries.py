@@ -647,6 +647,24 @@ def quantile_tree(v: Views) -> DataFrame:
     return scores.interval_metrics(tree.quantile_tree(rows, both, TREE_SIGNS, v.rows), ["method"])
 
 
+@query
+def declared_families(v: Views) -> DataFrame:
+    """Tags name a task by the first digits of its id; some fit several tasks and count for none."""
+    named = v.plain_real.select("source", c("task_id").cast("string").alias("task_id"), "started_us", c("task_id").alias("no"))
+    tags = named.filter("no % 3 = 0").select("source", F.substring(c("task_id"), F.lit(1), (F.char_length("task_id") - c("no") % 2).cast("int")).alias("prefix"),
+                                             F.when(c("no") % 5 < 2, "review").otherwise("question").alias("family"), c("started_us").alias("declared_at"))
+    return tasks.resolve_tags(named, tags)
+
+
+@query
+def picked_sessions(v: Views) -> DataFrame:
+    """Prompts that name a session by its first digits, by a folder or not at all."""
+    sessions = v.calls.groupBy("session_key").agg(F.min("project").alias("cwd"), F.max("t_us").alias("last_us")).withColumn("session_id", c("session_key").cast("string"))
+    task, one = c("task_id"), F.substring(c("session_key").cast("string"), 1, 1)
+    prompts = v.plain_real.select(task.alias("prompt_id"), F.when(task % 3 == 0, one).alias("prefix"), F.when(task % 2 == 0, c("project")).alias("cwd"))
+    return forecast.pick_session(prompts, sessions).select("prompt_id", "session_key")
+
+
 # ------------------------------------------------------------------ streams over the same data
 
 

@@ -13,7 +13,7 @@ NAMES = [
     "leak_free_by_slice", "survival_by_k", "early_signs", "context_growth", "merge_followups", "pre_send_signs", "interval_recalibration",
     "next_call_input", "settle_estimates", "computed_backtest", "prompt_features", "nearest_prompts", "sensitive_text_scan", "json_tolerant_scan",
     "dedup_calls", "rereads", "unused_files", "event_contrast", "stream_cache_events", "stream_finished_tasks", "stream_live_sessions", "stream_links", "turns_ahead", "counter_coverage", "session_status", "floor_gap",
-    "unresolved_sessions", "checks_summary", "one_sided_models", "version_status", "single_version_status", "session_alerts", "quantile_tree",
+    "unresolved_sessions", "checks_summary", "one_sided_models", "version_status", "single_version_status", "session_alerts", "quantile_tree", "declared_families", "picked_sessions",
 ]
 
 

@@ -53,3 +53,8 @@ def test_damaged_lines_are_counted_by_reason(tables, sessions):
 
 def test_calls_keep_the_contract(tables):
     assert reconstruct.contract_violations(tables.calls).isEmpty()
+
+
+def test_the_owner_of_a_call_is_the_first_project_even_where_names_begin_alike(spark):
+    rows = spark.createDataFrame([("t1", "log:shop-web/a"), ("t1", "log:shop/z"), ("t1", "log:shop/y")], "turn_id string, session_key string")
+    assert [r["session_key"] for r in reconstruct.first_owner(rows, ["turn_id"]).collect()] == ["log:shop/y"]
