@@ -203,11 +203,11 @@ def break_shape(pairs: DataFrame) -> DataFrame:
 def tool_lift(pairs: DataFrame, tools: DataFrame) -> DataFrame:
     """How much likelier a tool is just before an unexplained break than before any call."""
     flagged = with_causes(pairs).select(
-        c("prev.turn_id").alias("turn_id"),
+        "source", c("prev.turn_id").alias("turn_id"),
         F.coalesce(c("is_break") & (c("cause") == "no_visible_cause"), F.lit(False)).alias("hit"))
     sizes = flagged.agg(F.count(F.lit(1)).alias("pairs"), F.count(F.when(c("hit"), 1)).alias("breaks"))
-    used = tools.select("turn_id", "name").distinct()
-    counts = flagged.join(used, "turn_id").groupBy("name").agg(
+    used = tools.select("source", "turn_id", "name").distinct()
+    counts = flagged.join(used, ["source", "turn_id"]).groupBy("name").agg(
         F.count(F.lit(1)).alias("before_any"), F.count(F.when(c("hit"), 1)).alias("before_break"))
     n = counts.withColumns({"pairs": sizes.select("pairs").scalar(), "breaks": sizes.select("breaks").scalar()})
     lift = (c("before_break") / F.greatest(c("breaks"), F.lit(1))) / (c("before_any") / c("pairs"))

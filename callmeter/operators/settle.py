@@ -51,7 +51,7 @@ def settle(estimates: DataFrame, tasks: DataFrame, now_us: int, taken: DataFrame
 def outcomes(settled: DataFrame, stats: DataFrame) -> DataFrame:
     """What happened, for estimates whose task is over; appended once and never recomputed."""
     cols = ("turns_main", "turns", "cost_p", "unpriced", "first_input", "first_cache_read", "family")
-    return settled.filter("finished").join(stats.select("task_id", *cols), "task_id").withColumnRenamed("family", "family_after")
+    return settled.filter("finished").join(stats.select("session_key", "task_id", *cols), ["session_key", "task_id"]).withColumnRenamed("family", "family_after")
 
 
 def cache_as_said(cached: Column, read: Column, first_input: Column) -> Column:

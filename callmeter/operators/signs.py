@@ -110,7 +110,7 @@ def first_calls(calls: DataFrame, k: int) -> DataFrame:
 def early_tools(calls: DataFrame, tools: DataFrame, ks: tuple[int, ...]) -> DataFrame:
     """Per task and k: what its first k main calls did."""
     first = first_calls(calls, max(ks))
-    used = first.join(tools.select("turn_id", "name"), "turn_id", "left")
+    used = first.join(tools.select("source", "turn_id", "name"), ["source", "turn_id"], "left")
     each = used.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).filter(c("nth") <= c("k"))
     return each.groupBy("source", "task_id", "k").agg(
         F.coalesce(F.bool_or(c("name").isin(*WRITE_TOOLS)), F.lit(False)).alias("edited"),
