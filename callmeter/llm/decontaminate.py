@@ -53,23 +53,31 @@ def anchors(items: DataFrame) -> DataFrame:
             .select(F.col("top.word").alias("word"), (-F.col("top.place")).alias("back"), "size", "hash", "item", "n", "at"))
 
 
-def shared_windows(rows: DataFrame, items: DataFrame, bound: int) -> DataFrame:
-    """(place, n, start) of the item-sized windows of rows (place, words) that share a shingle with an item of that size, laid as in the item.
+def shared_windows(rows: DataFrame, items: DataFrame, bound: int, least: float) -> DataFrame:
+    """(place, n, start) of the item-sized windows of rows (place, words), at any start, that share enough shingles with an item of that size.
 
-    A window that shares none has similarity zero, so none that matters is left out. Few items: their shingles' longest words
+    A window that the text's end cuts is taken from the smallest to the largest start at which a shared shingle lies as in the item.
+    One of similarity `least` holds at least that part of the item's shingles, so windows with fewer places of shared shingles are left out and no
+    other is. Few items: their shingles' longest words
     are looked up among the words of each text, without a shuffle. Many: all shingles of the texts are joined by hash.
     """
     keys = written(anchors(items), "anchors")
     table = small(keys, bound)
     if table is keys:
-        each = rows.select("place", F.posexplode(shingles("words")).alias("first", "hash"))
-        hits = each.join(keys, "hash").select("place", "n", (F.col("first") - F.col("at")).alias("start"))
+        each = rows.select("place", F.size("words").alias("w"), F.posexplode(shingles("words")).alias("first", "hash"))
+        hits = each.join(keys, "hash").select("place", "w", "item", "n", "at", "first")
     else:
         each = rows.select("place", "words", F.posexplode("words").alias("pos", "word"))
         first = "pos - back"
         hits = (each.join(table, "word").filter(f"{first} >= 0 AND {first} + size <= size(words)")
-                .filter(f"{_shingle('words', first, 'size')} = hash").select("place", "n", F.expr(f"{first} - at").alias("start")))
-    return hits.select("place", "n", F.greatest("start", F.lit(0)).alias("start")).distinct()
+                .filter(f"{_shingle('words', first, 'size')} = hash").select("place", F.size("words").alias("w"), "item", "n", "at", F.expr(first).alias("first")))
+    held = hits.groupBy("place", "w", "item", "n").agg(F.array_sort(F.collect_set("first")).alias("p"),
+                                                       F.min(F.expr("first - at")).alias("lo"), F.max(F.expr("first - at")).alias("hi"))
+    held = held.withColumn("m", F.greatest(F.col("n") - SHINGLE + 1, F.lit(1))).withColumn("k", F.expr(f"CAST(greatest(ceil({least} * CAST(m AS DOUBLE) - 1e-9), 1) AS INT)"))
+    close = "filter(sequence(0, size(p) - k), i -> p[i + k - 1] - m < p[i])"
+    starts = F.expr(f"flatten(transform({close}, i -> sequence(greatest(p[i + k - 1] - m + 1, 0), p[i])))")
+    laid = held.filter("size(p) >= k").select("place", "w", "n", "lo", "hi", F.explode(starts).alias("start"))
+    return laid.filter("start + n <= w OR start BETWEEN greatest(lo, 0) AND greatest(hi, 0)").select("place", "n", "start").distinct()
 
 
 def blocks(fp: str, flips: int = 0) -> Column:
@@ -90,7 +98,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, least: float = 0.8, radius
     """
     rows = documents.select("doc_id", F.monotonically_increasing_id().alias("place"), words_of(F.col("text")).alias("words"))
     items = written(item_table(benchmark), "items")
-    found = written(shared_windows(rows, items, bound), "windows")
+    found = written(shared_windows(rows, items, bound, least), "windows")
     wanted = found.groupBy("place").agg(F.collect_set(F.struct("n", "start")).alias("wanted"))
     cut = (rows.join(small(written(wanted, "wanted"), bound), "place").select("place", "doc_id", "words", F.explode("wanted").alias("w"))
            .select("place", "doc_id", "w.n", "w.start", F.expr("slice(words, w.start + 1, w.n)").alias("own")).withColumn("hashes", shingles("own")))

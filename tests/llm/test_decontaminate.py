@@ -99,3 +99,44 @@ def test_main_path_without_python(spark, docs):
     d, b = docs([(1, "a b c d e f g")]), spark.createDataFrame([(1, "b c d e f")], ITEMS)
     plan = decontaminate.leaks(d, b)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def every_window(docs, items, least=0.8):
+    """(row, item): best similarity over the windows at every start; those that the text's end cuts, between the outer alignments only."""
+    found = {}
+    for row, t in enumerate(docs):
+        words = (t or "").lower().split()
+        for i, x in items:
+            w = (x or "").lower().split()
+            b = shingles(w)
+            size = min(len(w), 5)
+            laid = [max(p - j, 0) for p in range(len(words) - size + 1) for j in range(len(w) - size + 1) if words[p:p + size] == w[j:j + size]]
+            for s in range(len(words)) if laid else ():
+                if s + len(w) > len(words) and not min(laid) <= s <= max(laid):
+                    continue
+                a = shingles(words[s:s + len(w)])
+                shared = sum((a & b).values())
+                sim = shared / (sum(a.values()) + sum(b.values()) - shared)
+                if sim >= least:
+                    found[row, i] = max(sim, found.get((row, i), 0))
+    return found
+
+
+@pytest.mark.parametrize("bound", [200_000, 0])
+def test_windows_at_every_start(spark, docs, bound):
+    """Words put in or left out in the middle, and changed ends: the best window lies between two alignments."""
+    w = [f"w{i}" for i in range(59)]
+    texts = [" ".join(["p", "q", "r", "x", *w[1:30], "in", "to", *w[30:58], "y", "s", "t", "u"])]
+    rng = random.Random(21)
+    items = [(0, " ".join(w))] + [(k, " ".join(f"i{k}x{rng.randrange(40)}" for _ in range(rng.randint(14, 59)))) for k in range(1, 12)]
+    for _ in range(60):
+        own = items[rng.randrange(12)][1].split()
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(own))
+            own[at:at + rng.randint(0, 1)] = ["z"] * rng.randint(0, 2)
+        own[0], own[-1] = rng.choice([own[0], "f"]), rng.choice([own[-1], "g"])
+        texts.append(" ".join(["a"] * rng.randint(0, 4) + own + ["b"] * rng.randint(0, 4)))
+    want = every_window(texts, items)
+    got = decontaminate.leaks(docs(list(enumerate(texts))), spark.createDataFrame(items, ITEMS), bound=bound).collect()
+    assert want[0, 0] == pytest.approx(49 / 61) and (0, 0) not in plain(texts[:1], items[:1])
+    assert {(r.doc_id, r.item_id): r.similarity for r in got} == pytest.approx(want)
