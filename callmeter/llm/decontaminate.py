@@ -39,10 +39,10 @@ def similarity(a: str, b: str) -> Column:
 
 
 def item_table(benchmark: DataFrame) -> DataFrame:
-    """(item, words, n, hashes, fp) of the items that have words; equal rows are one item."""
+    """(item, item_id, words, n, hashes, fp) of the items that have words; equal rows are one item. item is a number of its own, as item_id may be null."""
     items = (benchmark.select("item_id", words_of(F.col("text")).alias("words")).filter("words[0] <> ''").distinct()
              .withColumn("hashes", shingles("words")))
-    return items.select(F.col("item_id").alias("item"), "words", F.size("words").alias("n"), "hashes", simhash("hashes").alias("fp"))
+    return items.select(F.monotonically_increasing_id().alias("item"), "item_id", "words", F.size("words").alias("n"), "hashes", simhash("hashes").alias("fp"))
 
 
 def anchors(items: DataFrame) -> DataFrame:
@@ -59,13 +59,17 @@ def shared_windows(rows: DataFrame, items: DataFrame, bound: int, least: float)
     A window that the text's end cuts is taken from the smallest to the largest start at which a shared shingle lies as in the item.
     One of similarity `least` holds at least that part of the item's shingles, so windows with fewer places of shared shingles are left out and no
     other is. Few items: their shingles' longest words
-    are looked up among the words of each text, without a shuffle. Many: all shingles of the texts are joined by hash.
+    are looked up among the words of each text, without a shuffle. Many: all shingles of the texts, and those of the lengths of the
+    items of fewer words, are joined by hash.
     """
     keys = written(anchors(items), "anchors")
     table = small(keys, bound)
     if table is keys:
-        each = rows.select("place", F.size("words").alias("w"), F.posexplode(shingles("words")).alias("first", "hash"))
-        hits = each.join(keys, "hash").select("place", "w", "item", "n", "at", "first")
+        sizes = [r["size"] for r in keys.select("size").distinct().collect()]  # five at most
+        own = [f"IF(size(words) < {c}, array(), transform(sequence(0, greatest(size(words) - {c}, 0)), i -> struct({c} AS size, i AS first, {_shingle('words', 'i', str(c))} AS hash)))"
+               for c in sizes] or ["array(struct(0 AS size, 0 AS first, 0L AS hash))"]
+        each = rows.select("place", F.size("words").alias("w"), F.explode(F.expr(f"concat({', '.join(own)})")).alias("s")).select("place", "w", "s.*")
+        hits = each.join(keys, ["size", "hash"]).select("place", "w", "item", "n", "at", "first")
     else:
         each = rows.select("place", "words", F.posexplode("words").alias("pos", "word"))
         first = "pos - back"
@@ -108,8 +112,8 @@ def leaks(documents: DataFrame, benchmark: DataFrame, least: float = 0.8, radius
     near = (looked.join(small(written(index, "blocks"), bound), ["n", "block", "value"])
             .filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).select("place", "start", "n", "item").distinct())
     near = written(near, "near")
-    held = items.select("item", F.col("hashes").alias("item_hashes"))
-    sure = (near.join(windows.drop("fp"), ["place", "start", "n"]).join(small(held, bound), "item").withColumnRenamed("item", "item_id")
+    held = items.select("item", "item_id", F.col("hashes").alias("item_hashes"))
+    sure = (near.join(windows.drop("fp"), ["place", "start", "n"]).join(small(held, bound), "item")
             .withColumn("similarity", similarity("hashes", "item_hashes")).filter(F.col("similarity") >= least))
     best = F.min_by(F.struct("start", "n", "similarity"), F.struct(-F.col("similarity"), "start"))
     return (sure.groupBy("place", "item_id").agg(F.first("doc_id").alias("doc_id"), best.alias("best"))

@@ -140,3 +140,14 @@ def test_windows_at_every_start(spark, docs, bound):
     got = decontaminate.leaks(docs(list(enumerate(texts))), spark.createDataFrame(items, ITEMS), bound=bound).collect()
     assert want[0, 0] == pytest.approx(49 / 61) and (0, 0) not in plain(texts[:1], items[:1])
     assert {(r.doc_id, r.item_id): r.similarity for r in got} == pytest.approx(want)
+
+
+@pytest.mark.parametrize("bound", [200_000, 0])
+def test_short_items_inside_long_texts_and_items_without_id(spark, docs, bound):
+    items = [(1, "solo"), (2, "two words"), (3, "now three words"), (4, "these are four words"), (None, "an item that has no id at all")]
+    texts = [f"some text before {t} and then some more of it" for _, t in items] + ["solo", "nothing here", None]
+    d, b = docs(list(enumerate(texts))), spark.createDataFrame(items, ITEMS)
+    got = decontaminate.leaks(d, b, bound=bound).collect()
+    assert {(r.doc_id, r.item_id): r.similarity for r in got} == every_window(texts, items) == {(0, 1): 1, (1, 2): 1, (2, 3): 1, (3, 4): 1, (4, None): 1, (5, 1): 1}
+    assert sorted(r.doc_id for r in decontaminate.clean(d, b, bound=bound).collect()) == [6, 7]
+    assert decontaminate.leaks(d, b.limit(0), bound=bound).count() == 0
