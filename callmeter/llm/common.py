@@ -18,11 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: computed once, with its lineage cut, and readable after any executor is lost."""
+def written(df: DataFrame, label: str, *by: str) -> DataFrame:
+    """df as a Parquet table in the shared folder, in folders of the columns `by`: computed once, with its lineage cut, and readable after any executor is lost."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callmeter.llm import chat, decontaminate, line_runs, packing, quality, secrets, sharding, simhash_vp, vptree, warc
+from callmeter.llm import chat, decontaminate, divergence, line_runs, manifest, manifest_sql, packing, quality, secrets, sharding, simhash_vp, token_counts, vptree, warc
 from callmeter.llm.common import table
 
 
@@ -60,9 +60,21 @@ def op10_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.audit(warc.page_leaves(pages), warc.page_leaves(pages, kept=i % 307 != 11, stored=stored))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.proofs(table(spark, sf_dir, "documents"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_simhash_near_dedup, op2_quality_classifier, op3_secret_scan, op4_nearest_vectors, op5_packing, op6_chat_format, op7_decontamination, op8_sharding,
-    op9_line_dedup, op10_merkle_audit)}
+    op9_line_dedup, op10_merkle_audit, op11_merkle_manifest, op12_token_counts, op13_source_divergence)}
 
 _STRIP = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -100,6 +112,29 @@ f AS (SELECT *, CASE WHEN page_id % 307 = 11 THEN NULL WHEN page_id % 101 = 7 TH
 SELECT CAST(warc_file AS BIGINT) AS warc_file, CAST(start AS BIGINT) AS "offset", CAST(length AS BIGINT) AS length,
   CASE WHEN held IS NULL THEN 'missing' ELSE 'changed' END AS fault, sha256(record) AS expected_sha256, sha256(held) AS found_sha256
 FROM f WHERE held IS DISTINCT FROM record""",
+    "op11_merkle_manifest": manifest_sql.SQL,
+    "op13_source_divergence": rf"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_LOWER.format("coalesce(text, '')")} AS text, row_number() OVER () AS r FROM documents),
+w AS (SELECT lang, source, r, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term FROM w GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM w JOIN k USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, count(*)::HUGEINT AS v FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+gn AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0) AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+lc AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL),
+ln AS (SELECT lang, sum(n) AS n FROM c GROUP BY ALL),
+p AS (SELECT gn.lang, gn.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (gn.n + v.v) AS p
+      FROM gn JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = gn.lang AND c.source = gn.source AND c.term = k.term),
+q AS (SELECT lang, term, 1 + 1000000000::HUGEINT * (lc.n + 1) // (ln.n + v.v) AS q FROM lc JOIN ln USING (lang) JOIN v USING (lang)),
+pair AS (SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+         LEFT JOIN (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+                    FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL) s
+           ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+own AS (SELECT lang, source, term AS item, (p - q) * (p - q) // q AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INT) AS rank FROM (
+  SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pair
+  UNION ALL SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM own)
+WHERE part = 'pair' OR rank <= 200""",
     "op9_line_dedup": f"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
