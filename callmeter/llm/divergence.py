@@ -36,23 +36,32 @@ def distance(p: str, q: str) -> Column:
 
 
 def term_shards(rows: DataFrame, most: int) -> DataFrame:
-    """Written rows (lang, source, shard, terms): the terms of each document, each with its language in front, in hash shards of about `most` terms.
+    """Written rows (lang, source, terms, shard): the terms of each document, each with its language in front, in hash shards of about `most` distinct terms.
 
-    Only as many distinct terms as one shard has are ever in one vocabulary, on the driver or in an executor. The number of shards
-    comes from a sketch of the distinct terms over all rows.
+    No more terms than one shard has are ever in one vocabulary, on the driver or in an executor. The number of shards comes
+    from a sketch of the distinct terms over all rows.
     """
     terms = F.transform(F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(TERM), F.lit(0)), lambda t: F.concat("lang", F.lit(MARK), t))
     rows = rows.select("lang", "source", terms.alias("terms"))
     distinct = rows.select(F.explode("terms").alias("term")).agg(F.approx_count_distinct("term", 0.02)).first()[0]
     shards = -(-distinct // most) or 1
-    if shards == 1:
-        return written(rows.withColumn("shard", F.lit(0)), "terms")
-    split = (F.array(*[F.struct(F.lit(s).alias("shard"), F.filter("terms", lambda t, s=s: F.pmod(F.xxhash64(t), F.lit(shards)) == s).alias("terms"))
-                       for s in range(shards)]))
-    return written(rows.select("lang", "source", F.inline(split)).filter("size(terms) > 0"), "terms", "shard")
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("terms")
+            key = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy()) * shards + batch.column("shards").flatten().to_numpy()
+            order = np.argsort(key, kind="stable")
+            groups, first = np.unique(key[order], return_index=True)
+            terms = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)), pa.int32()), lists.flatten().take(pa.array(order)))
+            row = pa.array(groups // shards)
+            yield pa.RecordBatch.from_arrays([batch.column("lang").take(row), batch.column("source").take(row), terms, pa.array((groups % shards).astype(np.int32))],
+                                             ["lang", "source", "terms", "shard"])
+
+    shard = F.transform("terms", lambda t: F.pmod(F.xxhash64(t), F.lit(shards)))
+    return written(rows.withColumn("shards", shard).mapInArrow(split, "lang string, source string, terms array<string>, shard int"), "terms", "shard")
 
 
-def group_sums(rows: DataFrame, min_df: int = 3, most: int = 500_000) -> tuple[DataFrame, DataFrame]:
+def group_sums(rows: DataFrame, min_df: int = 3, most: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
     """(lang, source, term, count) of the terms that at least `min_df` documents of the language hold, where count > 0; and these (lang, term).
 
     CountVectorizer makes a sparse vector of exact counts for each document; the vectors are summed by group, sparse as they are. Terms carry
@@ -113,7 +122,7 @@ def shared_terms(terms: DataFrame) -> DataFrame:
     return each.mapInArrow(run, "a long, b long, more long").groupBy("a", "b").agg(F.sum("more").alias("more"))
 
 
-def audit(documents: DataFrame, min_df: int = 3, top: int = 200, most: int = 500_000) -> DataFrame:
+def audit(documents: DataFrame, min_df: int = 3, top: int = 200, most: int = 2_000_000) -> DataFrame:
     """lang, source, part, item, value, rank: part `pair` holds each other source of the lang and the distance to it, part `term` the `top` terms
     that the source uses more than its lang does, by their share of the distance.
 
