@@ -1,0 +1,109 @@
+import hashlib
+import zlib
+
+import pytest
+from check import compare, duck
+
+from callmeter.llm import manifest, queries
+
+SF = "/root/testdata/sf0.001"
+NAME = "op11_merkle_manifest"
+
+
+def h(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def plain_leaf(row):
+    return h(*("-" if x is None else f"{len(str(x).encode())}:{x}" for x in row))
+
+
+def plain_levels(hashes):
+    levels = [hashes]
+    while len(levels[-1]) > 1:
+        levels.append([h(*levels[-1][i:i + 8]) for i in range(0, len(levels[-1]), 8)])
+    return levels
+
+
+def plain_path(levels, i):
+    out = []
+    for level in levels[:-1]:
+        lo = i // 8 * 8
+        out.append(("".join(level[lo:i]), "".join(level[i + 1:lo + 8])))
+        i //= 8
+    return out
+
+
+def plain(rows):
+    """rows: (doc_id, source, lang, n_chars, text)."""
+    by = {}
+    for r in rows:
+        by.setdefault(r[2], []).append(r)
+    langs = sorted(by, key=lambda x: (x is not None, (x or "").encode()))
+    for lang in langs:
+        by[lang].sort(key=lambda r: (r[0] is not None, r[0] or 0, plain_leaf(r)))
+    trees = {lang: plain_levels([plain_leaf(r) for r in by[lang]]) for lang in langs}
+    top = plain_levels([trees[lang][-1][0] for lang in langs])
+    out = []
+    for k, lang in enumerate(langs):
+        for i, r in enumerate(by[lang]):
+            path = plain_path(trees[lang], i) + plain_path(top, k)
+            folded = plain_leaf(r)
+            if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 3 == 0 and r[4] is not None:
+                folded = plain_leaf((*r[:4], "".join(c.lower() if c < "\x80" else c for c in r[4])))
+            leaf = plain_leaf(r)
+            for a, b in path:
+                folded = h(a, folded, b)
+            out.append((r[0], leaf, trees[lang][-1][0], top[-1][0], h(*(a + b for a, b in path)), folded, folded == top[-1][0]))
+    return sorted(out, key=str)
+
+
+COLUMNS = ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"]
+
+
+def run(df):
+    return sorted((tuple(r[c] for c in COLUMNS) for r in manifest.proofs(df).collect()), key=str)
+
+
+@pytest.fixture(scope="module")
+def make(spark):
+    def build(rows):
+        return spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, source string, lang string, n_chars long, text string, kids string, lo int")
+    return build
+
+
+def test_whole_table_against_sql(spark):
+    ok, text = compare(spark, duck(SF), SF, NAME, queries.QUERIES[NAME], queries.SQL[NAME])
+    assert ok, text
+
+
+@pytest.mark.parametrize("n", [1, 2, 8, 9, 64, 65, 74])
+def test_runs_of_every_kind_of_size(make, n):
+    rows = [(i * 7 - 20, "s", "en", i, f"Text {i}") for i in range(n)]
+    assert run(make(rows)) == plain(rows)
+
+
+def test_nulls_repeats_ties_long_texts_many_langs(make):
+    rows = [(None, None, None, None, None), (None, None, None, None, None), (3, "s", "en", 1, "ABC"), (3, "s", "en", 1, "ABC"), (3, "s", "en", 2, "abc"),
+            (0, "", "", 0, ""), (1, "ä", "é", 5, "ÄbC€" * 50_000), (5, "a:b", "-", 1, "-"), (6, "s", "z" * 300, 1, None)]
+    rows += [(i, "s", f"l{i % 70}", 1, f"T{i}") for i in range(100, 260)] + [(9, "s", "en", 1, "Copy")] * 40
+    assert run(make(rows)) == plain(rows)
+
+
+def test_no_rows(make):
+    assert run(make([])) == []
+
+
+def test_tampering_is_seen_only_where_it_changes_the_text(make):
+    rows = [(i, "s", "en", 1, "Upper" if i % 2 else "lower") for i in range(60)]
+    hit = {i for i in range(60) if zlib.crc32(str(i).encode()) % 3 == 0}
+    assert {r[0] for r in run(make(rows)) if not r[6]} == {i for i in hit if i % 2}
+
+
+def test_labels_are_nested_and_cover_each_level(spark, make):
+    leaves = manifest.ranked(make([(i, "s", "ab"[i % 5 == 0], 1, "t") for i in range(150)]).select("doc_id", "lang").withColumn("hash", manifest.F.lit("x")), "lang", ["doc_id"], "t")
+    levels = manifest.tree(leaves, "lang")
+    for k, level in enumerate(levels[1:], 1):
+        for r in level.collect():
+            assert r.lo % 8**k == 0 and r.hi == min(r.lo + 8**k, r.n)
+            assert [x.lo for x in r.kids] == list(range(r.lo, r.hi, 8**(k - 1))) and [x.hi for x in r.kids][-1] == r.hi
