@@ -11,7 +11,7 @@ from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from callmeter.llm.common import ascii_lower, small, written
+from callmeter.llm.common import ascii_lower, slices, small, text_batches, written
 from callmeter.session import scratch_path
 
 #: Terms: everything but control characters, punctuation, digits and white space of ASCII.
@@ -41,13 +41,14 @@ def term_shards(rows: DataFrame, most: int) -> DataFrame:
     No more terms than one shard has are ever in one vocabulary, on the driver or in an executor. The number of shards comes
     from a sketch of the distinct terms over all rows.
     """
+    text_batches(rows.sparkSession)
     terms = F.transform(F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(TERM), F.lit(0)), lambda t: F.concat("lang", F.lit(MARK), t))
     rows = rows.select("lang", "source", terms.alias("terms"))
     distinct = rows.select(F.explode("terms").alias("term")).agg(F.approx_count_distinct("term", 0.02)).first()[0]
     shards = -(-distinct // most) or 1
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             lists = batch.column("terms")
             key = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy()) * shards + batch.column("shards").flatten().to_numpy()
             order = np.argsort(key, kind="stable")

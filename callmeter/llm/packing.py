@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import base64
 import math
+import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -14,44 +15,71 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
-from callmeter.llm.common import written
+from callmeter.llm.common import release, slices, small, text_batches, written
+from callmeter.llm.token_counts import STABLE
 
 WINDOW, END, K1, B = 2048, 1, 1.2, 0.75
-RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+RANKS, TOKENIZER = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
+
+
+#: The control strings of the vocabulary, each one id wherever it stands in a text.
+SPECIAL = {"<|endoftext|>": 50256}
+
+
+class Encoder:
+    """The ids that the library `tokenizers` gives for the vocabulary, in a third of the time: ranks of the same vocabulary cut all texts
+    but those with characters that Unicode versions class differently."""
+
+    def __init__(self, ranks: str, tokenizer: str) -> None:
+        with open(ranks, "rb") as f:
+            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens=SPECIAL)
+        self.unstable, self.path = re.compile(f"[^{STABLE}]").search, tokenizer
+        self.n_vocab = self.fast.n_vocab
+
+    @cached_property
+    def plain(self) -> Tokenizer:
+        t = Tokenizer.from_file(self.path)
+        t.no_truncation()
+        t.no_padding()
+        return t
+
+    def ids(self, text: str) -> list[int]:
+        if self.unstable(text):
+            return self.plain.encode(text, add_special_tokens=False).ids
+        return self.fast.encode(text, allowed_special="all")
 
 
 @lru_cache(maxsize=2)
-def encoder(ranks: str) -> tiktoken.Encoding:
-    """The vocabulary of a file of ranks. It gives the ids that `tokenizers` gives with the same vocabulary, in a third of the time;
-    control strings of the vocabulary that stand in a text are text."""
-    with open(ranks, "rb") as f:
-        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+def encoder(ranks: str, tokenizer: str = TOKENIZER) -> Encoder:
+    return Encoder(ranks, tokenizer)
 
 
 def id_type(size: int) -> type:
     return np.uint16 if size <= 1 << 16 else np.uint32
 
 
-def tokenize(documents: DataFrame, path: str) -> DataFrame:
+def tokenize(documents: DataFrame, path: str, tokenizer: str = TOKENIZER) -> DataFrame:
     """(place, doc_id, ids): the ids of each row's text and the end id, as little-endian bytes; place numbers the rows as they lie."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(path)
+        e = encoder(path, tokenizer)
         kind = id_type(e.n_vocab)
-        for b in batches:
-            ids = [np.array([*e.encode_ordinary(t.as_py() or ""), END], kind).tobytes() for t in b.column(2)]
+        for b in slices(batches):
+            ids = [np.array([*e.ids(t.as_py() or ""), END], kind).tobytes() for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary())], ["place", "doc_id", "ids"])
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select(F.monotonically_increasing_id().alias("place"), "doc_id", "text").mapInArrow(run, f"place long, doc_id {kind}, ids binary")
+    kinds = T.StructType().add("place", "long").add(documents.schema["doc_id"]).add("ids", "binary")
+    return documents.select(F.monotonically_increasing_id().alias("place"), "doc_id", "text").mapInArrow(run, kinds)
 
 
 def statistics(tokens: DataFrame, kind: type, vocabulary: int) -> tuple[np.ndarray, int, int]:
     """Over all documents: in how many each id occurs, how many there are, and how many ids. One row an id at most reaches the driver."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows, total = np.zeros(vocabulary, np.int64), 0, 0
-        for b in batches:
+        for b in slices(batches):
             for ids in b.column(0):
                 found = np.frombuffer(ids.as_buffer(), kind)
                 mark = np.zeros(vocabulary, bool)
@@ -70,28 +98,54 @@ def statistics(tokens: DataFrame, kind: type, vocabulary: int) -> tuple[np.ndarr
     return df, int(n.get(-1, 0)), int(n.get(-2, 0))
 
 
+def dealt(tokens: DataFrame, df: np.ndarray, kind: type, n: int, shards: int, shard_tokens: int) -> DataFrame:
+    """tokens with `shard`: documents that share a rare id are dealt to one shard, so that a seed finds its best neighbours there.
+
+    A document goes by the id of least hash among those that it shares with at most a twentieth of all documents. Where an id gathers more than an
+    eighth of a shard, the id of second least hash divides it, and where even that does (copies), the place does: no shard grows with a hot group.
+    """
+    order = np.random.default_rng(5).permutation(len(df)).astype(np.int64)  # the hash of an id: its place in a fixed order
+    order[(df < 2) | (df > max(2, n // 20))] = len(df)
+    shared = tokens.sparkSession.sparkContext.broadcast(order.astype(np.int32))
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            least = np.full((b.num_rows, 2), -1, np.int64)
+            for i, ids in enumerate(b.column("ids")):
+                found = np.unique(shared.value[np.frombuffer(ids.as_buffer(), kind)])[:2]
+                found = found[found < len(shared.value)]
+                least[i, :len(found)] = found
+            size = pa.array([len(i.as_buffer()) // np.dtype(kind).itemsize for i in b.column("ids")], pa.int64())
+            yield b.append_column("one", pa.array(least[:, 0])).append_column("two", pa.array(least[:, 1])).append_column("size", size)
+
+    rows = written(tokens.mapInArrow(keys, T.StructType([*tokens.schema]).add("one", "long").add("two", "long").add("size", "long")), "keyed")
+    most = shard_tokens // 8
+    pairs = rows.groupBy("one", "two").agg(F.sum("size").alias("size"))
+    heavy = written(pairs.groupBy("one").agg(F.sum("size").alias("size")).filter(F.col("size") > most).select("one", F.lit(True).alias("wide")), "heavy")
+    copies = written(pairs.filter(F.col("size") > most).select("one", "two", F.ceil(F.col("size") / most).alias("parts")), "copies")
+    cell = F.xxhash64("one", F.when(F.col("wide"), F.col("two")), F.when(F.col("wide"), F.pmod(F.xxhash64("place"), F.coalesce("parts", F.lit(1)))))
+    return (rows.join(small(heavy), "one", "left").join(small(copies), ["one", "two"], "left")
+            .withColumn("shard", F.pmod(cell, F.lit(shards))).select(*tokens.columns, "shard"))
+
+
 class Index:
     """BM25 over the documents of a shard; idf and the mean length are those of the whole corpus."""
 
-    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float, terms: int) -> None:
-        self.n, self.terms = len(docs), terms
+    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float) -> None:
+        self.n = len(docs)
         found = [np.unique(d, return_counts=True) for d in docs]
-        term = np.concatenate([f[0] for f in found]).astype(np.int64)
-        doc = np.repeat(np.arange(self.n), [len(f[0]) for f in found])
+        term = np.concatenate([f[0] for f in found]).astype(np.int32)
+        doc = np.repeat(np.arange(self.n, dtype=np.int32), [len(f[0]) for f in found])
         tf = np.concatenate([f[1] for f in found]).astype(np.float64)
         length = np.array([len(d) for d in docs], np.float64)
         value = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / mean))
-        starts = np.concatenate([[0], np.cumsum([len(f[0]) for f in found])])
-        self.queries = []
-        for i in range(self.n):  # a document asks with its terms of the greatest weight
-            s = slice(starts[i], starts[i + 1])
-            self.queries.append(term[s][np.argsort(-value[s], kind="stable")[:terms]])
+        self.queries = [f[0] for f in found]
         order = np.argsort(term, kind="stable")
         self.doc, self.value = doc[order], value[order]
         self.at = np.searchsorted(term[order], np.arange(len(idf) + 1))
 
     def neighbours(self, seed: int) -> np.ndarray:
-        """The documents that share a query term with the seed, best first, ties to the earlier."""
+        """The documents that share a term with the seed, best first, ties to the earlier."""
         spans = [(self.at[t], self.at[t + 1]) for t in self.queries[seed]]
         score = np.bincount(np.concatenate([self.doc[a:b] for a, b in spans]), np.concatenate([self.value[a:b] for a, b in spans]), self.n)
         score[seed] = 0
@@ -134,16 +188,17 @@ def fill(lengths: list[int], neighbours) -> list[tuple[int, int, int, int, int]]
             turn = iter(())
 
 
-def pack(documents: DataFrame, path: str = RANKS, shard_tokens: int = 2_000_000, terms: int = 16) -> DataFrame:
+def pack(documents: DataFrame, path: str = RANKS, shard_tokens: int = 2_000_000, tokenizer: str = TOKENIZER) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) for each piece of documents in windows of 2048 ids.
 
-    Documents are dealt at random over shards of about shard_tokens ids (by their place in the input, so that neither a hot source nor repeated rows
-    make a shard large). Each shard is indexed and packed by itself; only its last window can have padding. Null and empty texts are the
-    end id alone. Repeated rows are packed each. No rows: none. The result is the same each time it is computed.
+    Documents are dealt over shards of about shard_tokens ids by rare ids they share (see `dealt`). Each shard is indexed and packed by itself, seeds
+    asking with all their ids; only a shard's last window can have padding. Null and empty texts are the end id alone. A special string
+    inside a text is its one id. Repeated rows are packed each. No rows: none. The result is the same each time it is computed.
     """
-    vocabulary = max(encoder(path).n_vocab, END + 1)
+    text_batches(documents.sparkSession)
+    vocabulary = max(encoder(path, tokenizer).n_vocab, END + 1)
     kind = id_type(vocabulary)
-    tokens = written(tokenize(documents, path), "tokens")
+    tokens = written(tokenize(documents, path, tokenizer), "tokens")
     df, n, total = statistics(tokens, kind, vocabulary)
     shards = max(1, math.ceil(total / shard_tokens))
     idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
@@ -153,14 +208,17 @@ def pack(documents: DataFrame, path: str = RANKS, shard_tokens: int = 2_000_000,
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("place").combine_chunks()
         docs = [np.frombuffer(i.as_buffer(), kind) for i in t.column("ids")]
-        index = Index(docs, shared.value, mean, terms)
+        index = Index(docs, shared.value, mean)
         pieces = fill([len(d) for d in docs], index.neighbours)
+        del index
         doc, start, length, sequence, offset = (np.array(c, np.int64) for c in zip(*pieces))
         crc = [zlib.crc32(docs[d][s:s + n].astype("<u4").tobytes()) for d, s, n, _, _ in pieces]
         first = t.column("shard")[0].as_py() << 32
+        release()
         return pa.table({"doc_id": t.column("doc_id").take(pa.array(doc)), "start": start, "length": length, "ids_crc32": pa.array(crc, pa.int64()),
                          "doc_tokens": np.array([len(d) for d in docs])[doc], "sequence_id": first + sequence, "offset": offset})
 
-    kind_of_id = documents.schema["doc_id"].dataType.simpleString()
-    return (tokens.withColumn("shard", F.pmod(F.xxhash64("place"), F.lit(shards))).groupBy("shard")
-            .applyInArrow(run, f"doc_id {kind_of_id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"))
+    kinds = T.StructType([documents.schema["doc_id"]])
+    for name in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"):
+        kinds = kinds.add(name, "long")
+    return dealt(tokens, df, kind, n, shards, shard_tokens).groupBy("shard").applyInArrow(run, kinds)

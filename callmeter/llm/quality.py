@@ -12,6 +12,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from callmeter.llm.common import slices, text_batches
 
 BUCKETS = 1 << 18
 GRADES = 3
@@ -97,11 +100,11 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, rounds: int = 250, rate: flo
 
 def _features_of(rows: DataFrame, *keep: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             found = pa.array([features(t.as_py()).tobytes() for t in b.column(0)], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns[1:], found], [*keep, "found"])
 
-    kinds = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep), "found binary"])
+    kinds = T.StructType([rows.schema[c] for c in keep]).add("found", "binary")
     return rows.select(F.col("text").cast("binary").alias("__text"), *keep).mapInArrow(run, kinds)
 
 
@@ -110,12 +113,12 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = 6000) -> Cumula
 
     Of several labels of a document the worst grade counts. Labels without a document, or without doc_id, are left out.
     """
-    graded = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.min(grade(F.col("quality"), F.col("toxic"))).alias("grade"))
+    graded = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.min(grade(F.col("quality"), F.col("toxic"))).alias("__grade"))
     ids = documents.select("doc_id").filter("doc_id is not null")
     chosen = graded.join(ids, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = documents.join(F.broadcast(chosen), "doc_id")  # at most `sample` ids
-    held = _features_of(rows, "doc_id", "grade").orderBy("doc_id", "found").limit(sample).toPandas()
-    return fit([np.frombuffer(f, np.int32) for f in held.found], held.grade.to_numpy(np.int64))
+    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most `sample` ids
+    held = _features_of(rows, "doc_id", "__grade").orderBy("doc_id", "found").limit(sample).toPandas()
+    return fit([np.frombuffer(f, np.int32) for f in held.found], held["__grade"].to_numpy(np.int64))
 
 
 def scored(documents: DataFrame, model: CumulativeLink, least: float = 0.65, passing: bool = False) -> DataFrame:
@@ -123,12 +126,13 @@ def scored(documents: DataFrame, model: CumulativeLink, least: float = 0.65, pas
 
     passing: only those kept. Null text counts as empty; it and any text without known words get the thresholds' own probabilities.
     """
+    text_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.thresholds))
     names = documents.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = CumulativeLink(*shared.value)
-        for b in batches:
+        for b in slices(batches):
             texts = b.column("text").cast(pa.binary())  # the same bytes, not a copy
             scores = np.array([known.score(features(t.as_py())) for t in texts], np.float64)
             tails = known.tails(scores)
@@ -136,16 +140,20 @@ def scored(documents: DataFrame, model: CumulativeLink, least: float = 0.65, pas
                                              [*names, "__expected", "__tail", "__keep"])
             yield out.filter(out.column("__keep")) if passing else out
 
-    kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema), "__expected double", "__tail double", "__keep boolean"])
+    kinds = T.StructType(list(documents.schema)).add("__expected", "double").add("__tail", "double").add("__keep", "boolean")
     return documents.mapInArrow(run, kinds)
 
 
 def select(documents: DataFrame, labels: DataFrame, least: float = 0.65, sample: int = 6000) -> DataFrame:
-    """The rows of documents that the classifier keeps: the probability of the best grade is `least` or more. All columns stay."""
+    """The rows of documents that the classifier keeps: the probability of the best grade is `least` or more. All columns stay.
+
+    Null and empty texts have the thresholds' own probability, as have all texts where there are no labels. Repeated rows are treated alike, null
+    doc_ids are scored and never trained on, several labels of a document count as the worst. Long texts are read whole. No rows: none.
+    """
     return scored(documents, train(documents, labels, sample), least, True).drop("__expected", "__tail", "__keep")
 
 
 def report(documents: DataFrame, labels: DataFrame, least: float = 0.65, sample: int = 6000) -> DataFrame:
-    """(doc_id, expected_grade, tail_probability) of the documents that are kept."""
+    """(doc_id, expected_grade, tail_probability) of the documents that `select` keeps, one row for each of their rows."""
     rows = scored(documents.select("doc_id", "text"), train(documents, labels, sample), least, True)
     return rows.select("doc_id", F.col("__expected").alias("expected_grade"), F.col("__tail").alias("tail_probability"))

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -13,6 +15,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from callmeter.llm.common import slices, text_batches
+
 #: Code points whose class the fast pattern and the tokenizer agree on, whatever their Unicode versions: Latin, Greek, Cyrillic, Arabic, punctuation,
 #: currency signs, arrows and technical signs, kana, ideographs, Hangul. Texts with others are cut by the tokenizer itself. A test compares them all.
 STABLE = r"\u0000-\u0523\u0600-\u06ff\u1e00-\u1eff\u2000-\u2064\u20a0-\u20b5\u2190-\u23e7\u3041-\u3096\u30a1-\u30fe\u4e00-\u9fa5\uac00-\ud7a3"
@@ -30,6 +34,7 @@ class Pretokens:
         import regex
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec["pre_tokenizer"] or {}
@@ -64,12 +69,13 @@ class Pretokens:
         return [len(e) for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
 
 
-def _path(path: str | None) -> str:
+@lru_cache(maxsize=2)
+def _pretokens(path: str | None) -> Pretokens:
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path("byte_bpe_50k.json")
-    return path
+    return Pretokens(path)
 
 
 def frequent(texts: DataFrame, path: str | None, sample: int, most: int) -> dict[str, int]:
@@ -81,8 +87,8 @@ def frequent(texts: DataFrame, path: str | None, sample: int, most: int) -> dict
     some = texts if rows <= sample else texts.sample(fraction=sample / rows, seed=7)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, seen = Pretokens(_path(path)), Counter()
-        for batch in batches:
+        cut, seen = _pretokens(path), Counter()
+        for batch in slices(batches):
             for text in batch.column("text"):
                 seen.update(cut.frequencies(text.as_py()))
                 if len(seen) >= FLUSH:
@@ -95,8 +101,8 @@ def frequent(texts: DataFrame, path: str | None, sample: int, most: int) -> dict
         return pa.RecordBatch.from_arrays([pa.array(pieces, pa.string()), pa.array(counts, pa.int64())], ["piece", "n"])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = Pretokens(_path(path))
-        for batch in batches:
+        cut = _pretokens(path)
+        for batch in slices(batches):
             yield _table(batch.column("piece").to_pylist(), cut.sizes(batch.column("piece").to_pylist()))
 
     total = some.agg(F.sum(F.char_length("text"))).first()[0] or 0
@@ -112,14 +118,14 @@ _PARTS = "row long, doc_id long, n_bytes long, piece string, n long"
 def _spread(known: Broadcast, path: str | None):
     """A row for each document with the pieces of its frequent pre-tokens, and one for each other pre-token with its frequency in the document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, sizes, out = Pretokens(_path(path)), known.value, []
+        cut, sizes, out = _pretokens(path), known.value, []
 
         def flush() -> pa.RecordBatch:
             columns = [pa.array(c, pa.string() if k == 3 else pa.int64()) for k, c in enumerate(zip(*out))]
             out.clear()
             return pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n_bytes", "piece", "n"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for row, doc_id, text in zip(*(batch.column(c) for c in ("row", "doc_id", "text"))):
                 row, text, total = row.as_py(), text.as_py(), 0
                 for piece, n in cut.frequencies(text).items():
@@ -139,8 +145,8 @@ def _spread(known: Broadcast, path: str | None):
 def _measured(path: str | None):
     """The tokens of each row; pre-tokens come sorted, so each distinct one is cut into pieces once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, last, size = Pretokens(_path(path)), None, 0
-        for batch in batches:
+        cut, last, size = _pretokens(path), None, 0
+        for batch in slices(batches):
             coded = batch.column("piece").dictionary_encode()
             pieces = coded.dictionary.to_pylist()
             new = [p for p in pieces if p != last]
@@ -165,6 +171,7 @@ def count_tokens(documents: DataFrame, limit: int = 512, path: str | None = None
     So a frequent word fills no task, and what is broadcast has a fixed bound.
     """
     texts = documents.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    text_batches(documents.sparkSession)
     known = documents.sparkSession.sparkContext.broadcast(frequent(texts.select("text"), path, sample, most))
     parts = texts.mapInArrow(_spread(known, path), _PARTS)
     dealt = parts.repartition(F.coalesce(F.xxhash64("piece"), F.col("row"))).sortWithinPartitions("piece")

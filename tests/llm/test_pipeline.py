@@ -3,7 +3,7 @@ from callmeter.llm import line_runs
 from test_decontaminate import plain as plain_leaks
 from test_line_runs import plain as plain_lines
 from test_packing import hold
-from test_simhash_vp import plain_components, plain_fingerprint
+from test_near_copies import plain_kept
 
 SF = "/root/testdata/sf0.001"
 
@@ -17,9 +17,7 @@ def test_each_stage_against_its_brute_force_version(spark):
         at.append({r.doc_id: r.text for r in docs.collect()})
     quality, lines, near, clean = at
     assert lines == {i: t for i, _, _, t in plain_lines(list(quality.items()))}
-    ids = sorted(lines)
-    root = plain_components([plain_fingerprint(lines[i]) for i in ids])
-    assert sorted(near) == sorted({min(ids[j] for j in range(len(ids)) if root[j] == w) for w in root})
+    assert sorted(near) == plain_kept(list(lines.items()))
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     order = sorted(near)
     hit = {order[row] for row, _ in plain_leaks([near[i] for i in order], items)}

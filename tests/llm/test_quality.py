@@ -51,3 +51,65 @@ def test_query_returns_what_is_kept(spark):
     rows = queries.QUERIES["op2_quality_classifier"](spark, "/root/testdata/sf0.001").collect()
     assert rows and all(r.tail_probability >= 0.65 and r.expected_grade >= 1 for r in rows)
     assert queries.QUERIES["op2_quality_classifier"](spark, "/root/testdata/sf0.001").count() == len(rows) == pytest.approx(200, abs=80)
+
+
+def likelihood(rows, grades, weights, thresholds):
+    score = np.array([weights[r].sum() for r in rows])
+    tail = 1 / (1 + np.exp(-(score[:, None] - thresholds[None, :])))
+    full = np.concatenate([np.ones((len(rows), 1)), tail, np.zeros((len(rows), 1))], axis=1)
+    i = np.arange(len(rows))
+    return np.log(full[i, grades] - full[i, grades + 1]).mean()
+
+
+def test_fit_is_where_numeric_differences_vanish():
+    """Against a plain likelihood: at the fitted weights and thresholds no small step in any of them raises it, with no decay and equal rarity."""
+    rng = np.random.default_rng(3)
+    rows = [np.sort(rng.choice(12, 4, replace=False)).astype(np.int32) for _ in range(600)]
+    truth = rng.normal(size=12)
+    grades = np.digitize(np.array([truth[r].sum() for r in rows]) + rng.logistic(size=600), [-0.5, 0.7])
+    m = quality.fit(rows, grades, rounds=3000, rate=0.05, decay=0.0)
+    w, t, e = m.weights.copy(), m.thresholds.copy(), 1e-5
+    assert likelihood(rows, grades, w, t) > likelihood(rows, grades, 0 * w, np.array([-3.0, -1.5])) + 0.1
+    for k in range(12):
+        up, down = w.copy(), w.copy()
+        up[k] += e
+        down[k] -= e
+        assert abs(likelihood(rows, grades, up, t) - likelihood(rows, grades, down, t)) / (2 * e) < 1e-3
+    for k in range(2):
+        step = np.eye(2)[k] * e
+        assert abs(likelihood(rows, grades, w, t + step) - likelihood(rows, grades, w, t - step)) / (2 * e) < 1e-3
+
+
+def plain_features(text):
+    import zlib
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
+    again = sum(a == b for a, b in zip(words, words[1:]))
+    odd = sum(1 for w in words if w[-1] <= 127 and not chr(w[-1]).isalnum() and chr(w[-1]) not in ".,")
+    n = max(len(words), 1)
+    shape = [f"again {len(bin(again)) - 2 if again else 0}", f"distinct {min(len(bin(n)) - 2, 8)} {8 * len(set(words)) // n}", f"odd {min(20 * odd // n, 10)}"]
+    marked = [(w, 0) for w in words] + [(w[:4], 1) for w in words] + [(w[-3:], 2) for w in words] + [(s.encode(), 3) for s in shape]
+    return {zlib.crc32(w, k) % (1 << 18) for w, k in marked}
+
+
+def test_every_document_is_scored_as_a_plain_scorer_does(spark, docs):
+    """Whole texts of the given table, nulls, repeats; the model is the one that the query trains."""
+    table, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.train(table, labels)
+    w = model.weights.astype(np.float32)
+    more = docs([(-1, None), (-2, ""), (-3, "Ünï code wÖrds! x x x"), (-3, "Ünï code wÖrds! x x x"), (None, "a " * 40_000)])
+    rows = [(r.doc_id, r.text) for r in table.select("doc_id", "text").union(more.select("doc_id", "text")).collect()]
+    want = []
+    for i, t in rows:
+        tails = 1 / (1 + np.exp(-(sum(float(w[f]) for f in plain_features(t)) - model.thresholds)))
+        want.append((i, tails[1] >= 0.65, tails.sum()))
+    got = quality.scored(table.select("doc_id", "text").union(more.select("doc_id", "text")), model).collect()
+    assert len(got) == len(want)
+    for g, (i, keep, expected) in zip(sorted(got, key=lambda r: (str(r.doc_id), r["__expected"])), sorted(want, key=lambda r: (str(r[0]), r[2]))):
+        assert g.doc_id == i and abs(g["__expected"] - expected) < 1e-4 and (g["__keep"] == keep or abs(g["__tail"] - 0.65) < 1e-4)
+
+
+def test_columns_named_like_helpers_and_fields_that_need_quotes(spark):
+    d = spark.sql("SELECT CAST(id AS bigint) AS doc_id, 'some text' AS text, 1 AS grade, 'x' AS found, named_struct('a b', 1, 'c-d', 'y') AS s FROM range(4)")
+    labels = spark.createDataFrame([(0, 1, 0), (1, 0, 0), (2, 1, 1)], "doc_id long, quality int, toxic int")
+    assert quality.select(d, labels, least=0.0).columns == d.columns
+    assert quality.select(d, labels, least=0.0).count() == 4 and quality.report(d, labels, least=0.0).count() == 4
