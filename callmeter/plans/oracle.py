@@ -945,6 +945,9 @@ kinds AS (SELECT DISTINCT turn_id, 'type:' || event_type AS kind FROM between_ro
   UNION ALL SELECT turn_id, 'model changed' FROM between_rows GROUP BY turn_id HAVING count(DISTINCT model) > 1
   UNION ALL SELECT turn_id, 'git branch changed' FROM between_rows GROUP BY turn_id HAVING count(DISTINCT branch) > 1)""")
 SQL["stream_dedup_calls"] = "SELECT event_id AS turn_id, user_id AS session_key, event_type AS model, 100 + CAST(floor(value * 10) AS BIGINT) AS output, 1 + event_id % 4 AS lines FROM events"
+SQL["stream_corrections"] = query("""
+SELECT turn_id, session_key, model, output + CASE WHEN turn_id % 7 = 3 THEN 7 ELSE 0 END AS output, 1 + turn_id % 4 AS lines, turn_id % 7 = 3 AS exact,
+  CASE WHEN turn_id % 5 = 2 AND turn_id % 4 > 0 THEN 2 ELSE 1 END + CASE WHEN turn_id % 7 = 3 THEN 1 ELSE 0 END AS versions FROM calls""")
 SQL["stream_live_sessions"] = query(f"""
 SELECT session_key, calls, cost, ttl, tokens, model FROM (SELECT session_key, count(*) AS calls, {usd('sum(cost_p)')} AS cost FROM priced GROUP BY session_key)
 JOIN (SELECT session_key, coalesce(arg_max(CASE WHEN cache_write_1h > 0 THEN 3600 ELSE 300 END, (t_us, turn_id)) FILTER (cache_write > 0), 300) AS ttl,

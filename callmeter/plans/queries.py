@@ -14,8 +14,8 @@ from callmeter.operators import (
     textscan, tree)
 from callmeter.operators.ordered import SLICE, running_sum, scan, with_slices
 from callmeter.plans import bridge
-from callmeter.session import cut
-from callmeter.streaming import live as streams
+from callmeter.session import cut, scratch_path
+from callmeter.streaming import corrections, live as streams
 
 c = F.col
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -679,6 +679,28 @@ def stream_dedup_calls(v: Views) -> DataFrame:
     return streams.latest(emitted, ["session_key", "key"]).select(c("key").alias("turn_id"), "session_key", "model", "output", "lines")
 
 
+@query
+def stream_corrections(v: Views) -> DataFrame:
+    """Lines of calls over four steps: some lines are cut short at first and land whole later, some sub-agent results come last of all."""
+    i, n = c("turn_id"), (1 + c("turn_id") % 4).cast("int")
+    base = cut(v.calls.select("session_key", "turn_id", "t_us", "model", "output"))
+    place = base.withColumn("place", F.explode(F.sequence(F.lit(1), n)))
+    full = F.when(c("place") == n, c("output")).otherwise(F.expr("output div 2"))
+    broken = (i % 5 == 2) & (c("place") == n)
+    piece = lambda df, step, output, final, at: df.select(
+        "session_key", i.alias("key"), at.alias("place"), "t_us", "model", output.cast("long").alias("output"), final.cast("long").alias("final_output"), step.cast("int").alias("step"))
+    none = F.lit(None)
+    rows = piece(place, i % 2, F.when(~broken, full), none, c("place")).unionByName(piece(place.filter(broken), F.lit(2), full, none, c("place"))).unionByName(
+        piece(base.filter(i % 7 == 3), F.lit(3), none, c("output") + 7, none.cast("int")))
+    rows, path = cut(rows), scratch_path(v.spark, "pieces")
+    files = max(1, -(-3 * v.rows // 1_000_000))
+    for step in range(4):  # steps follow each other by the time of their files
+        rows.filter(c("step") == step).drop("step").repartition(files).write.mode("append").parquet(path)
+    store = corrections.CallStore(v.spark, scratch_path(v.spark, "corrected"))
+    corrections.correct(streams.read_files(v.spark, path, rows.drop("step").schema, files_per_trigger=files), store)
+    return store.calls().select(c("key").alias("turn_id"), "session_key", "model", "output", "lines", "exact", "versions")
+
+
 def _landed_calls(v: Views) -> tuple[DataFrame, str]:
     """The calls in eight steps out of time order, and how late they come."""
     rows = cut(v.priced.drop("slice"))
