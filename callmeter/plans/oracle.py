@@ -948,6 +948,15 @@ SQL["stream_dedup_calls"] = "SELECT event_id AS turn_id, user_id AS session_key,
 SQL["stream_corrections"] = query("""
 SELECT turn_id, session_key, model, output + CASE WHEN turn_id % 7 = 3 THEN 7 ELSE 0 END AS output, 1 + turn_id % 4 AS lines, turn_id % 7 = 3 AS exact,
   CASE WHEN turn_id % 5 = 2 AND turn_id % 4 > 0 THEN 2 ELSE 1 END + CASE WHEN turn_id % 7 = 3 THEN 1 ELSE 0 END AS versions FROM calls""")
+SQL["stream_session_state"] = query(f"""
+SELECT m.session_key, turn_id, task_id, k, calls, unpriced, cost, context, coalesce(p_total >= 4096 AND cache_read < 0.5 * p_total AND input_total >= 0.5 * p_total, false) AS cache_missed,
+  ttl, t_us + CAST(ttl AS BIGINT) * 1000000 AS expired_us
+FROM (SELECT *, lag(input_total) OVER o AS p_total, count(*) OVER (PARTITION BY session_key, task_id) AS k, input_total + output AS context, row_number() OVER (PARTITION BY session_key ORDER BY t_us DESC, turn_id DESC) AS back
+  FROM calls WHERE trigger <> 'subagent' WINDOW o AS (PARTITION BY session_key ORDER BY t_us, turn_id)) m
+JOIN (SELECT session_key, count(*) AS calls, count(*) FILTER (cost_p IS NULL) AS unpriced, {usd('coalesce(sum(cost_p), 0)')} AS cost FROM priced GROUP BY session_key) USING (session_key)
+JOIN (SELECT session_key, coalesce(arg_max(CASE WHEN cache_write_1h > 0 THEN 3600 ELSE 300 END, (t_us, turn_id)) FILTER (cache_write > 0), 300) AS ttl
+  FROM calls WHERE trigger <> 'subagent' GROUP BY session_key) USING (session_key)
+WHERE back = 1""")
 SQL["stream_live_sessions"] = query(f"""
 SELECT session_key, calls, cost, ttl, tokens, model FROM (SELECT session_key, count(*) AS calls, {usd('sum(cost_p)')} AS cost FROM priced GROUP BY session_key)
 JOIN (SELECT session_key, coalesce(arg_max(CASE WHEN cache_write_1h > 0 THEN 3600 ELSE 300 END, (t_us, turn_id)) FILTER (cache_write > 0), 300) AS ttl,

@@ -15,7 +15,7 @@ from callmeter.operators import (
 from callmeter.operators.ordered import SLICE, running_sum, scan, with_slices
 from callmeter.plans import bridge
 from callmeter.session import cut, scratch_path
-from callmeter.streaming import corrections, live as streams
+from callmeter.streaming import corrections, live as streams, sessions
 
 c = F.col
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -716,6 +716,17 @@ def stream_live_sessions(v: Views) -> DataFrame:
         "session_key", "ttl", "calls", c("last.tokens").alias("tokens"), c("last.model").alias("model"), dollars(c("cost_p"), 4).alias("cost"))
 
 
+@query
+def stream_session_state(v: Views) -> DataFrame:
+    """The last row of each session from the stateful stream, and when its lifetime ended without a further call."""
+    calls, delay = _landed_calls(v)
+    emitted = streams.drain(sessions.live_sessions(calls, delay), "update", "session-state").filter(c("session_key") != streams.MARK_SESSION)
+    last = F.struct("turn_id", "task_id", "k", "calls", "unpriced", "cost_p", "context", "cache_missed", "ttl")
+    ended = emitted.groupBy("session_key").agg(F.max_by(last, F.when(c("kind") == "call", c("batch"))).alias("l"),
+                                               F.max(F.when(c("kind") == "expired", c("at_us"))).alias("expired_us"))
+    return ended.select("session_key", "l.*", "expired_us").withColumn("cost", dollars(c("cost_p"), 4)).drop("cost_p")
+
+
 @query
 def stream_cache_events(v: Views) -> DataFrame:
     return streams.drain(streams.cache_event_stream(*_landed_calls(v)), "append", "cache").drop("batch")
