@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from callmeter.functions.labels import project_name
 from callmeter.functions.text import command_of
-from callmeter.operators.chains import nearest_prompt, trigger_walk
+from callmeter.operators.chains import launched_tasks, nearest_prompt, trigger_walk
 from callmeter.operators.reports import top_per_group
 from callmeter.operators.tasks import READ_TOOLS, SEARCH_TOOLS, WRITE_TOOLS, guess_family
 from callmeter.session import cut
@@ -289,15 +289,7 @@ def reconstruct(lines: DataFrame, sidecars: DataFrame | None = None, source: str
     roots = nearest_prompt(nodes)
     first = calls.select(*KEY, "key", "session_id", c("first.uuid").alias("uuid"), c("first.thread").alias("thread"))
     call_tasks = first.join(roots, [*KEY, "uuid"], "left").select(*KEY, "key", "thread", "session_id", c("root_prompt").alias("task_id"))
-    waiting = -1
-    while True:  # one launch up the chain per round, until no further call finds its task
-        parents = call_tasks.select(*KEY, c("key").alias("launch_key"), c("task_id").alias("__launch_task"))
-        call_tasks = (call_tasks.join(launcher, [*KEY, "thread"], "left").join(parents, [*KEY, "launch_key"], "left")
-                      .select(*KEY, "key", "thread", "session_id", F.coalesce("task_id", "__launch_task").alias("task_id")))
-        call_tasks = cut(call_tasks)
-        before, waiting = waiting, call_tasks.filter("task_id IS NULL").count()
-        if waiting in (0, before):
-            break
+    call_tasks = launched_tasks(call_tasks, launcher)
     call_tasks = cut(call_tasks.withColumn("task_id", F.coalesce("task_id", F.concat("session_id", F.lit(":untracked"))))
                      .select(*KEY, "key", "task_id"))
 
