@@ -8,6 +8,8 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,6 +28,10 @@ NAMES = {"password": 3.0, "passwd": 3.0, "passphrase": 3.0, "pwd": 2.5, "secret"
 #: Literals that stand for a secret without being one.
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|<.*>|\$\{?\w*\}?|\{\{.*\}\}|change_?me|your[_-].*|example.*|none|null|true|false|todo|redacted)$")
 
+#: What a longer value is told by: the characters at its ends, and those of PLACEHOLDER that leave the end open.
+HEAD = 64
+OPEN_END = re.compile(r"(?i)^(?:your[_-]|example)")
+
 _NAME = re.compile(r"[A-Za-z][a-z]*|[A-Z]+(?![a-z])")
 _TARGET = r"(?<![\w.\-$])(?P<name>[A-Za-z_][\w.\-]*+)[\"']?\]?[ \t]*+(?::[ \t]*+\w++[ \t]*+(?==[^=]))?(?::=|=>|=(?!=)|:(?!:))[ \t]*+"
 _TERM = r"\"[^\"\n]*+\"|'[^'\n]*+'|`[^`\n]*+`|[^\s\"'`,;(){}\[\]<>+]++"
@@ -42,12 +48,67 @@ class Span:
 
 
 @dataclass(frozen=True)
+class Profile:
+    """What scoring asks of a value, whatever its length: profiles of parts add up to that of the whole."""
+    length: int
+    chars: Counter
+    head: str  # the first and last HEAD characters: all of a value not longer
+    tail: str
+    ink: bool  # a character that is not white space
+    blank: bool  # a space anywhere, with ink somewhere behind it, before it, on both sides
+    before: bool
+    after: bool
+    between: bool
+
+    @staticmethod
+    def of(text: str) -> Profile:
+        bare = text.strip()
+        blank, ink = " " in text, bool(bare)
+        return Profile(len(text), Counter(text), text[:HEAD], text[-HEAD:], ink, blank, ink and " " in text.rstrip(), ink and " " in text.lstrip(), " " in bare)
+
+    def __add__(self, o: Profile) -> Profile:
+        return Profile(self.length + o.length, self.chars + o.chars, (self.head + o.head)[:HEAD] if self.length < HEAD else self.head,
+                       (self.tail + o.tail)[-HEAD:] if o.length < HEAD else o.tail, self.ink or o.ink, self.blank or o.blank,
+                       self.before or o.before or self.blank and o.ink, self.after or o.after or self.ink and o.blank,
+                       self.between or o.between or self.after and o.ink or self.ink and o.before)
+
+    def placeholder(self) -> bool:
+        """Whether PLACEHOLDER matches the value."""
+        if self.length <= HEAD:
+            return bool(PLACEHOLDER.match(self.head))
+        chars, first, last = set(self.chars), self.head, self.tail
+        if chars <= {"x", "X"} or chars in ({"*"}, {"."}) or OPEN_END.match(first):
+            return True
+        if "\n" not in chars and (first[0] == "<" and last[-1] == ">" or first[:2] == "{{" and last[-2:] == "}}"):
+            return True
+        shell = self.chars["{"] == (first[1] == "{") and self.chars["}"] == (last[-1] == "}") and self.chars["$"] == 1
+        return first[0] == "$" and shell and all(re.match(r"\w", c) for c in chars - set("${}"))
+
+
 class Pair:
-    """A name and the literal it is given: value with constants put in, and the places of the literals themselves."""
-    name: str
-    value: str
-    spans: tuple[tuple[int, int], ...]
-    quoted: bool
+    """A name and what it is given: literals with their places, and links to earlier pairs whose constants stand in it."""
+
+    def __init__(self, name: str, parts: list[tuple[str, int, int] | Pair], quoted: bool) -> None:
+        self.name, self.parts, self.quoted, self._profile = name, parts, quoted, None
+
+    @property
+    def profile(self) -> Profile:
+        """Of the value with constants put in; each pair's is added up once, from its parts'."""
+        todo = [self]
+        while todo:
+            p = todo[-1]
+            unknown = [q for q in p.parts if isinstance(q, Pair) and q._profile is None]
+            if unknown:
+                todo += unknown
+                continue
+            todo.pop()
+            if p._profile is None:
+                p._profile = reduce(add, (q._profile if isinstance(q, Pair) else Profile.of(q[0]) for q in p.parts))
+        return self._profile
+
+    @property
+    def value(self) -> str:
+        return "".join(q.value if isinstance(q, Pair) else q[0] for q in self.parts)
 
 
 def base_spans(text: str) -> list[Span]:
@@ -63,38 +124,32 @@ def pairs(text: str) -> list[Pair]:
 
     A bare word that names an earlier literal stands for that literal's value (constants are propagated), else for itself.
     """
-    known: dict[str, tuple[str, tuple[tuple[int, int], ...]]] = {}
+    known: dict[str, Pair] = {}
     out = []
     matches = list(PAIR.finditer(text)) if "=" in text or ":" in text else []
     if "</" in text:
         matches = sorted(matches + list(ELEMENT.finditer(text)), key=lambda m: m.start())
     for m in matches:
-        value, spans, quoted = [], [], False
+        parts, quoted = [], m.re is ELEMENT
         at = m.start("value")
         for t in [m] if m.re is ELEMENT else TERM.finditer(m["value"]):
             s, e = m.span("value") if t is m else (at + t.start(), at + t.end())
             raw = text[s:e]
             if raw[0] in "\"'`":
-                value.append(raw[1:-1])
-                spans.append((s + 1, e - 1))
+                parts.append((raw[1:-1], s + 1, e - 1))
                 quoted = True
-            elif raw in known:
-                value.append(known[raw][0])
-                spans += known[raw][1]
             else:
-                value.append(raw)
-                spans.append((s, e))
-        # a value built of itself over and over stays bounded
-        pair = Pair(m["name"], "".join(value)[:65536], tuple(dict.fromkeys(spans))[:64], quoted or m.re is ELEMENT)
-        known[pair.name] = (pair.value, pair.spans)
+                parts.append(known.get(raw) or (raw, s, e))
+        pair = Pair(m["name"], parts, quoted)
+        known[pair.name] = pair
         out.append(pair)
     return out
 
 
-def entropy(value: str) -> float:
+def entropy(chars: Counter) -> float:
     """Bits per character."""
-    n = len(value)
-    return -sum(c / n * math.log2(c / n) for c in Counter(value).values()) if n else 0.0
+    n = sum(chars.values())
+    return -sum(c / n * math.log2(c / n) for c in chars.values()) if n else 0.0
 
 
 def score(pair: Pair) -> float:
@@ -102,16 +157,28 @@ def score(pair: Pair) -> float:
     parts = [p.lower() for p in _NAME.findall(pair.name)]
     joined = {a + b for a, b in zip(parts, parts[1:])}
     name = sum(NAMES.get(p, 0.0) for p in {*parts, *joined})
-    v = pair.value
-    if not name or len(v) < 8 or PLACEHOLDER.match(v) or " " in v.strip() and not pair.quoted:
+    if not name:
+        return 0.0
+    v = pair.profile
+    if v.length < 8 or v.placeholder() or v.between and not pair.quoted:
         return 0.0
-    classes = sum(bool(re.search(c, v)) for c in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    return min(name, 4.0) + (entropy(v) >= 3.0) + 0.5 * (classes >= 2) + 0.5 * (len(v) >= 16) + 0.5 * pair.quoted - 1.5 * (v.isalpha() and not pair.quoted)
+    chars = "".join(v.chars)
+    classes = sum(bool(re.search(c, chars)) for c in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
+    return min(name, 4.0) + (entropy(v.chars) >= 3.0) + 0.5 * (classes >= 2) + 0.5 * (v.length >= 16) + 0.5 * pair.quoted - 1.5 * (chars.isalpha() and not pair.quoted)
 
 
 def lexed_spans(text: str, least: float = 4.0) -> list[Span]:
     """Spans of the literals that the lexer finds behind sensitive names, constants used elsewhere included."""
-    found = {s for p in pairs(text) if score(p) >= least for s in p.spans if s[1] > s[0]}
+    found, walked = set(), set()
+    for pair in pairs(text):
+        todo = [pair] if score(pair) >= least else []
+        while todo:  # each pair is walked once in a text, however many others it stands in
+            p = todo.pop()
+            if id(p) in walked:
+                continue
+            walked.add(id(p))
+            found |= {q[1:] for q in p.parts if not isinstance(q, Pair) and q[2] > q[1]}
+            todo += [q for q in p.parts if isinstance(q, Pair)]
     return [Span("lexed", *s) for s in found]
 
 

@@ -56,7 +56,10 @@ def records(content: bytes) -> Iterator[tuple[int, bytes]]:
 
 
 def read_leaves(spark: SparkSession, path: str) -> DataFrame:
-    """(warc_file, offset, length, sha256) of the records in the WARC files under path, .gz or not; warc_file is the name without its folder and .gz."""
+    """(warc_file, offset, length, sha256) of the records in the WARC files under path, in its folders too, .gz or not; warc_file is the path below it without .gz.
+
+    A file is read as one value, so those of 2 GB and more have to be split first.
+    """
     import hashlib
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,8 +72,13 @@ def read_leaves(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(found), pa.string()), pa.array(offsets, pa.int64()),
                                                   pa.array(lengths, pa.int64()), pa.array(hashes, pa.string())], ["warc_file", "offset", "length", "sha256"])
 
-    name = F.regexp_replace(F.regexp_extract("path", r"([^/]+)$", 1), r"\.gz$", "")
-    return (spark.read.format("binaryFile").load(path).select(name.alias("name"), "content")
+    def bare(c: Column) -> Column:  # without scheme and host
+        return F.regexp_replace(c, r"^[A-Za-z][A-Za-z0-9+.\-]*:(//[^/]*)?", "")
+
+    top, whole = bare(F.lit(path.rstrip("/"))), bare(F.col("path"))
+    name = F.when(whole.startswith(F.concat(top, F.lit("/"))), F.substr(whole, F.char_length(top) + 2)).otherwise(F.regexp_extract(whole, r"([^/]+)$", 1))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return (files.select(F.regexp_replace(name, r"\.gz$", "").alias("name"), "content")
             .mapInArrow(run, "warc_file string, offset long, length long, sha256 string"))
 
 
@@ -78,12 +86,14 @@ def tree(leaves: DataFrame) -> list[DataFrame]:
     """The levels of a replica's trees, leaves first: (warc_file, place, hash), then (warc_file, hash) of the roots.
 
     A leaf's place is its offset, a node's the number of its range. A node hashes the places and hashes of its children in order, at most
-    sixteen ranges or the records that begin in 64 KB. A record that is there several times is one leaf of its own kind.
+    sixteen ranges or the records that begin in 64 KB. Several records at one offset are one leaf: the hash of all their hashes in order, each with
+    how often it is there.
     """
-    several = F.concat_ws(",", F.min("sha256"), F.max("sha256"), F.count("*").cast("string"))
-    one = F.coalesce(F.min("sha256"), F.lit(""))
-    base = leaves.groupBy("warc_file", F.col("offset").alias("place")).agg(
-        F.when(F.count("*") == 1, one).otherwise(F.sha2(several, 256)).alias("hash"), F.max("length").alias("length"))
+    each = leaves.groupBy("warc_file", F.col("offset").alias("place"), F.coalesce("sha256", F.lit("")).alias("sha256")).agg(
+        F.count("*").alias("n"), F.max("length").alias("length"))
+    held = F.transform(F.array_sort(F.collect_list(F.struct("sha256", "n"))), lambda c: F.concat_ws(":", c["sha256"], c["n"].cast("string")))
+    base = each.groupBy("warc_file", "place").agg(
+        F.when(F.sum("n") == 1, F.min("sha256")).otherwise(F.sha2(F.array_join(held, ","), 256)).alias("hash"), F.max("length").alias("length"))
     out = [written(base, "merkle-0")]
     under = 1
     for size in RANGES:

@@ -68,6 +68,27 @@ def test_constants_are_propagated_to_the_place_of_the_literal():
     assert found(text) == ["xK9!mQ2#vB", "7pL&zR"]
 
 
+def test_no_literal_is_lost_however_many_join():
+    words = [f"Zq{i:03d}!xK" for i in range(100)]
+    assert found("credential = " + " + ".join(f'"{w}"' for w in words)) == words
+    lines = 'x = "aB3!dE5?"\n' + "".join(f'x = x + "{w}"\n' for w in words + words[:50]) * 2 + "db_pwd = x\n"
+    assert len(found(lines)) == 301
+    doubled = 'y = "Ab1!Cd2?"\n' + "y = y + y\n" * 300 + "db_pwd = y\n"
+    assert found(doubled) == ["Ab1!Cd2?"]
+    long = "Kq7!" * 40_000
+    assert found(f'db_pwd = "{long}"') == [long] and found('db_pwd = "' + "x" * 100_000 + '"') == []
+
+
+def test_profiles_add_up_to_that_of_the_whole_value():
+    rng = random.Random(5)
+    parts = ["", " ", "x", "X" * 40, "*" * 70, ".", "<", ">", "${", "$", "}", "{{", "}}", "your_", "example", "a b", "w_1" * 30, "\t", "é", "none", "change_me", "word " * 20]
+    for _ in range(4000):
+        own = [rng.choice(parts) for _ in range(rng.randint(1, 5))]
+        v, p = "".join(own), secrets.Pair("n", [(t, 0, 0) for t in own], False).profile
+        assert p.length == len(v) and p.chars == secrets.Counter(v) and p.between == (" " in v.strip()), own
+        assert p.placeholder() == bool(secrets.PLACEHOLDER.match(v)), own
+
+
 def test_base_spans_are_not_reported_twice():
     text = 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"'
     base, more = secrets.scan_text(text)
@@ -75,7 +96,7 @@ def test_base_spans_are_not_reported_twice():
 
 
 def test_long_texts_take_linear_time():
-    for part in ("a", "a.", "token ", "x=", 'x="', "a+", "AKIA", "f", '"a"+', "<a>", "password  "):
+    for part in ("a", "a.", "token ", "x=", 'x="', "a+", "AKIA", "f", '"a"+', "<a>", "password  ", "x = x + x\n", 'key_pwd = key_pwd + "aB3!"\n', "pwd = pwd + pwd\n"):
         secrets.scan_text(part * (400_000 // len(part)))
 
 

@@ -77,3 +77,26 @@ def test_page_records_nulls_and_repeats(spark):
     assert got[0].offset == 0 and got[1].offset == got[0].length and got[3].offset == len(record)
     assert [len(r) for _, r in warc.records(record * 3 + b"junk")] == [len(record)] * 3 + [4]
     assert warc.page_leaves(df.limit(0)).count() == 0
+
+
+def test_any_change_among_records_at_one_offset_is_seen(spark):
+    def leaves(hashes):
+        return spark.createDataFrame([("f", 7, 5, h) for h in hashes], LEAVES)
+    sides = ["ace", "ade", "aace", "acce", "ac", "eca"]
+    for x in sides:
+        for y in sides:
+            assert bool(rows(warc.audit(leaves(x), leaves(y)))) == (sorted(x) != sorted(y)), (x, y)
+
+
+def test_files_of_one_name_in_several_folders_are_archives_of_their_own(spark, tmp_path):
+    rng = random.Random(2)
+    one, two = b"".join(archive(rng, 5)), b"".join(archive(rng, 5))
+    for side, contents in (("a", (one, two, one)), ("b", (two, one, one))):
+        for k, content in enumerate(contents):
+            (tmp_path / side / f"d{k}").mkdir(parents=True)
+            (tmp_path / side / f"d{k}" / "x.warc").write_bytes(content)
+    a, b = (warc.read_leaves(spark, str(tmp_path / s)) for s in "ab")
+    assert {r.warc_file for r in a.select("warc_file").distinct().collect()} == {"d0/x.warc", "d1/x.warc", "d2/x.warc"}
+    assert {f for f, _, _ in rows(warc.audit(a, b))} == {"d0/x.warc", "d1/x.warc"}
+    single = warc.read_leaves(spark, str(tmp_path / "a" / "d0" / "x.warc"))
+    assert {r.warc_file for r in single.collect()} == {"x.warc"}
