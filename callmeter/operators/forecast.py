@@ -6,10 +6,11 @@ are null unless given. Text stays outside; only its length is used here.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from callmeter.functions.labels import TTL_SECONDS, rank_slice, ttl_of_write
 from callmeter.functions.money import dollars, exact_sum
+from callmeter.operators import neighbours
 from callmeter.operators.cache import DEFAULT_TTL, SECOND_US, cache_events, call_pairs
 from callmeter.operators.ordered import last_seen, merge, running_sum, scan, with_slices
 from callmeter.operators.scores import INTERVAL, SPREAD_LIMIT
@@ -156,6 +157,18 @@ def choose_basis(asked: DataFrame, tasks: DataFrame, near: DataFrame | None = No
         "qm", "qa", "__tasks", "__m", "__t", "__family", "__slice", "x_main", "x_all")
 
 
+def nearest_tasks(asked: DataFrame, prompts: DataFrame, k: int = 30) -> DataFrame:
+    """(prompt_id, near_id): the k earlier tasks whose prompts are most alike, for prompts that have k such; a session's running task isn't one.
+
+    `asked` (prompt_id, last.task_id) with `prompts` (task_id, started_us, text) of all tasks; a prompt that is asked has the id of the task it opens.
+    """
+    top = neighbours.nearest_earlier(prompts, "task_id", "started_us", "text", k + 1)
+    near = top.select(c("task_id").alias("prompt_id"), "near_id", "rank").join(asked.select("prompt_id", c("last.task_id").alias("__running")), "prompt_id")
+    place = Window.partitionBy("prompt_id").orderBy("rank")  # k + 1 rows
+    kept = near.filter(~c("near_id").eqNullSafe(c("__running"))).withColumn("rank", F.row_number().over(place)).filter(c("rank") <= k)
+    return neighbours.complete_only(kept, "prompt_id", k).select("prompt_id", "near_id")
+
+
 def frame(chosen: DataFrame, max_turns: int | None = None, max_output: int | None = None) -> DataFrame:
     """Cost of the likely turns, the floor, and the ceiling (every turn at its output limit)."""
     reread = c("input_next") * c("p_read")

@@ -1,9 +1,9 @@
-"""Past prompts most alike in words: an exact top-k cosine join without pairing whole word groups.
+"""Past prompts most alike in words: an exact top-k cosine join that reads time from the prompt backwards.
 
-Each word has a list of the prompts that hold it, heaviest first. A round looks at the first M of
-every list a query needs, scores those candidates exactly, and compares the k-th best with the most
-any unseen prompt could reach (the sum over the query's words of its weight times the M-th weight
-of the list). Queries whose top k is settled leave; the others go on with longer lists.
+Prompts are numbered in time and cut into windows; posting lists are cut at the same places, so a prompt of the past is scored
+from the lists of its own window alone. A prompt reads its own window, then blocks of windows that double in size going
+back, one a round. What is unread is older, and can at most be as alike as the prompt's words that occur there allow (the largest weight in
+each list, and Cauchy's bound). Prompts whose k nearest can't change any more leave; early ones have nothing left to read.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from callmeter.session import cut
 
 c = F.col
 K, MIN_SIM, COMMON = 30, 0.1, 0.05
+WINDOW = 512
 
 
 def word_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -29,48 +30,53 @@ def vectors(rows: DataFrame, key: str, n, df: DataFrame, keep) -> DataFrame:
     return weighted.join(norm, key).select(key, "word", F.when(c("norm") > 0, c("idf") / c("norm")).otherwise(c("idf")).alias("w"))
 
 
-def top_similar(vecs: DataFrame, key: str, order: str, k: int = K, min_sim: float = MIN_SIM, start: int = 200) -> DataFrame:
-    """For each prompt, the k most alike earlier ones (by `order`): (key, near_id, sim, rank), exact.
+def in_time(docs: DataFrame, key: str, order: str) -> DataFrame:
+    """docs (key, order) with `window`: WINDOW of them in time a number, from 0. Ranges of about equal size are numbered, one count a range carries on."""
+    placed = cut(docs.repartitionByRange(order, key).sortWithinPartitions(order, key).withColumn("__at", F.monotonically_increasing_id()))
+    part, inside = F.shiftright("__at", 33), c("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    offsets = placed.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
+    return (placed.withColumn("__part", part).join(F.broadcast(offsets), "__part")
+            .select(key, order, F.floor((inside + c("__offset")) / WINDOW).alias("window")))
 
-    `vecs`: (key, order, word, w). Ties go to the later prompt.
+
+def top_similar(vecs: DataFrame, key: str, order: str, k: int = K, min_sim: float = MIN_SIM) -> DataFrame:
+    """For each prompt, the k most alike earlier ones (by `order`): (key, near_id, near_order, sim, rank), exact.
+
+    `vecs`: (key, order, word, w), of unit length. Ties go to the later prompt.
     """
-    vecs = cut(vecs)
-    by_weight = Window.partitionBy("word").orderBy(c("w").desc(), c(key).desc())
-    sizes = vecs.groupBy("word").agg(F.count(F.lit(1)).alias("size"))
-    lists = cut(vecs.withColumn("place", F.row_number().over(by_weight)).join(sizes, "word"))
-    open_q, found, m = vecs.select(key).distinct(), None, start
-    while True:
-        asked = vecs.join(open_q, key, "left_semi")
-        head = lists.filter(c("place") <= m).select("word", c(key).alias("near_id"), c(order).alias("near_order"), c("w").alias("__w"), "size")
-        # words whose whole list was looked at add up here; longer lists are completed from the two prompts
-        pairs = (asked.join(head, "word").filter(c("near_order") < c(order)).groupBy(key, "near_id", "near_order")
-                 .agg(F.coalesce(F.sum(F.when(c("size") <= m, c("w") * c("__w"))), F.lit(0.0)).alias("part")))
-        longer = lists.filter(c("size") > m)
-        more = not longer.isEmpty()
-        if more:
-            # one prompt's words with long lists
-            packed = longer.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("word", "w"))).alias("vec"))
-            dot = F.aggregate(F.map_entries("__q"), F.lit(0.0), lambda t, e: t + e["value"] * F.coalesce(F.element_at("__d", e["key"]), F.lit(0.0)))
-            pairs = (pairs.join(packed.select(key, c("vec").alias("__q")), key, "left")
-                     .join(packed.select(c(key).alias("near_id"), c("vec").alias("__d")), "near_id", "left")
-                     .withColumn("part", c("part") + F.coalesce(dot, F.lit(0.0))))
-        scored = pairs.select(key, "near_id", "near_order", F.round("part", 9).alias("sim")).filter(c("sim") >= min_sim)
-        best = Window.partitionBy(key).orderBy(c("sim").desc(), c("near_order").desc())
-        top = scored.withColumn("rank", F.row_number().over(best)).filter(c("rank") <= k)
-        if not more:  # every list was read to its end
-            return top if found is None else found.unionByName(top)
-        top = cut(top)
-        tail = lists.filter(c("place") == m).select("word", c("w").alias("__w"))
-        unseen = (asked.join(longer.select("word").distinct(), "word", "left_semi").join(tail, "word").groupBy(key)
-                  .agg(F.sum(c("w") * c("__w")).alias("bound")))
-        kth = top.groupBy(key).agg(F.min(F.when(c("rank") == k, c("sim"))).alias("kth"))
-        left = cut(unseen.join(kth, key, "left").filter((c("bound") >= min_sim - 1e-9) & (c("bound") >= F.coalesce("kth", F.lit(0.0)) - 1e-9))
-                   .select(key))
-        settled = top.join(left, key, "left_anti")  # their top k can no longer change
-        found = settled if found is None else found.unionByName(settled)
-        if left.isEmpty():
-            return found
-        open_q, m = left, m * 8
+    numbered = in_time(vecs.select(key, order).distinct(), key, order)
+    # what the rest of a word's list can hold: since when there is one, and its largest weight
+    lists = vecs.join(numbered.select(key, "window"), key)
+    heads = lists.groupBy("word").agg(F.min("window").alias("since"), F.max("w").alias("most"))
+    lists = cut(lists.join(heads, "word"))
+    last = lists.agg(F.max("window")).first()[0] or 0
+    open_q, top = lists.select(key).distinct(), None
+    best = Window.partitionBy(key).orderBy(c("sim").desc(), c("near_order").desc())
+    for level in range(-1, last.bit_length()):
+        # level -1: the prompt's own window. Level l: the block of 2^l windows before the one that the prompt's own lies in, where there
+        # is one in the block of 2^(l+1); so far everything since its beginning was read
+        asked = lists.join(open_q, key, "left_semi")
+        width = max(level, 0)
+        block = F.shiftright("window", width)
+        wanted = asked.withColumn("__block", block) if level < 0 else asked.filter(block.bitwiseAND(F.lit(1)) == 1).withColumn("__block", block - 1)
+        held = lists.select("word", block.alias("__block"), c(key).alias("near_id"), c(order).alias("near_order"), c("w").alias("__w"))
+        pairs = wanted.join(held, ["word", "__block"]).filter(c("near_order") < c(order))
+        scored = (pairs.groupBy(key, "near_id", "near_order").agg(F.round(F.sum(c("w") * c("__w")), 9).alias("sim")).filter(c("sim") >= min_sim)
+                  .withColumn("rank", F.row_number().over(best)).filter(c("rank") <= k))
+        if top is not None:
+            scored = top.unionByName(scored).withColumn("rank", F.row_number().over(best)).filter(c("rank") <= k)
+        top = cut(scored)
+        start = F.shiftleft(F.shiftright("window", level + 1), level + 1)  # everything before this window is unread
+        rest = asked.filter(c("since") < start).groupBy(key).agg(
+            F.least(F.sum(c("w") * c("most")), F.sqrt(F.sum(c("w") * c("w"))), F.lit(1.0)).alias("bound"))
+        kth = top.filter(c("rank") == k).select(key, c("sim").alias("kth"))
+        # an unread prompt is older than all that were read, so it has to be more alike than the k-th
+        can = (F.round(c("bound") + 1e-12, 9) >= min_sim) & (F.round(c("bound") + 1e-12, 9) > F.coalesce("kth", F.lit(-1.0)))
+        open_q = cut(rest.join(kth, key, "left").filter(can).select(key))
+        if open_q.isEmpty():
+            break
+    return top
 
 
 def nearest_earlier(prompts: DataFrame, key: str, order: str, text: str, k: int = K, min_sim: float = MIN_SIM) -> DataFrame:

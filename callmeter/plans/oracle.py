@@ -791,13 +791,23 @@ placed AS (SELECT *, {_RANK_SLICE.replace('rank', 'rank_next')} AS slice_next FR
   SELECT a.*, 1 + (SELECT count(*) FROM real_tasks r WHERE r.session_key = a.session_key) AS rank_next FROM asked a)),
 sized AS (SELECT p.*, (SELECT count(*) FROM ranks r WHERE r.family = p.a_family AND r.task_id <> p.task_id) AS nf,
     (SELECT count(*) FROM ranks r WHERE r.slice = p.slice_next AND r.task_id <> p.task_id) AS nr FROM placed p),
-based AS (SELECT *, CASE WHEN a_family IS NOT NULL AND nf >= 8 THEN 'family' WHEN a_family IS NOT NULL THEN 'all' WHEN nr >= 30 THEN 'rank' ELSE 'all' END AS basis
-  FROM sized),
+near_words AS (SELECT DISTINCT task_id, started_us, unnest(regexp_extract_all(lower(phrase), '[\\p{{L}}\\p{{Nl}}\\p{{No}}]{{3,}}')) AS word FROM real_tasks JOIN phrases ON i = (task_id * 7) % 30),
+near_n AS (SELECT CAST(count(DISTINCT task_id) AS DOUBLE) AS n FROM near_words),
+near_idf AS (SELECT word, ln((SELECT n FROM near_n) / count(*)) AS idf FROM near_words GROUP BY word HAVING count(*) <= 0.05 * (SELECT n FROM near_n)),
+near_w AS (SELECT task_id, started_us, word, idf / sqrt(sum(idf * idf) OVER (PARTITION BY task_id)) AS w FROM near_words JOIN near_idf USING (word)),
+near_sims AS (SELECT a.task_id AS prompt_id, b.task_id AS near_id, any_value(b.started_us) AS near_at, round(sum(a.w * b.w), 9) AS sim FROM near_w a JOIN near_w b USING (word)
+  WHERE b.started_us < a.started_us GROUP BY ALL HAVING round(sum(a.w * b.w), 9) >= 0.1),
+near_30 AS (SELECT s.prompt_id, near_id FROM near_sims s JOIN asked a ON a.prompt_id = s.prompt_id AND s.near_id IS DISTINCT FROM a.task_id
+  QUALIFY row_number() OVER (PARTITION BY s.prompt_id ORDER BY sim DESC, near_at DESC) <= 30 AND count(*) OVER (PARTITION BY s.prompt_id) >= 30),
+based AS (SELECT *, CASE WHEN a_family IS NOT NULL AND nf >= 8 THEN 'family' WHEN a_family IS NOT NULL THEN 'all' WHEN prompt_id IN (SELECT prompt_id FROM near_30) THEN 'neighbours'
+  WHEN nr >= 30 THEN 'rank' ELSE 'all' END AS basis FROM sized),
 chosen AS (SELECT b.prompt_id, min(b.basis) AS basis, min(CASE b.basis WHEN 'family' THEN a_family WHEN 'rank' THEN slice_next ELSE 'all' END) AS label,
     min(b.rank_next) AS rank_next, count(*) AS samples, quantile_cont(r.turns_main, [0.125, 0.5, 0.875]) AS q, quantile_cont(r.turns, 0.5) AS a50,
     max(r.turns_main) AS mx
   FROM based b JOIN ranks r ON r.task_id <> b.task_id AND (b.basis = 'all' OR b.basis = 'family' AND r.family = b.a_family OR b.basis = 'rank' AND r.slice = b.slice_next)
-  GROUP BY b.prompt_id)
+  GROUP BY b.prompt_id
+  UNION ALL SELECT b.prompt_id, min(b.basis), 'all', min(b.rank_next), count(*), quantile_cont(r.turns_main, [0.125, 0.5, 0.875]), quantile_cont(r.turns, 0.5), max(r.turns_main)
+  FROM based b JOIN near_30 m USING (prompt_id) JOIN ranks r ON r.task_id = m.near_id WHERE b.basis = 'neighbours' GROUP BY b.prompt_id)
 """
 SQL["basis_choice"] = query("""
 SELECT prompt_id, basis, label, samples, rank_next, round(q[1], 6) AS lo, round(q[2], 6) AS p50, round(q[3], 6) AS hi, round(a50, 6) AS all_p50

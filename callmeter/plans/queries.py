@@ -142,7 +142,9 @@ class Views:
 
     @cached_property
     def chosen(self) -> DataFrame:
-        return forecast.choose_basis(self.asked, self.real, rows=self.rows)
+        asked = cut(self.asked)
+        said = bridge.task_prompts(self.plain_real).join(self.plain_real.select("source", "task_id", "started_us"), ["source", "task_id"])
+        return forecast.choose_basis(asked, self.real, forecast.nearest_tasks(asked, said.select("task_id", "started_us", "text")), rows=self.rows)
 
     @cached_property
     def settled(self) -> DataFrame:

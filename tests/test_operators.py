@@ -2,6 +2,7 @@
 
 import math
 import random
+import zlib
 from datetime import date, datetime, timezone
 
 import numpy as np
@@ -118,19 +119,21 @@ def test_followups_fold_into_the_task_before(spark):
     assert got == [(0, 5), (2, 8), (4, 4)]
 
 
-def test_nearest_prompts_equal_brute_force(spark):
+@pytest.mark.parametrize("window", [1, 7, 512])
+def test_nearest_prompts_equal_brute_force(spark, monkeypatch, window):
+    monkeypatch.setattr(neighbours, "WINDOW", window)
     rnd = random.Random(3)
     vocab = [f"w{a}{b}" for a in "abcdefgh" for b in "abcdefgh"]
     vocab = [w.replace("w", "wor") for w in vocab]
     docs = [(i, " ".join(rnd.choices(vocab, weights=[1 / (j + 1) for j in range(len(vocab))], k=6))) for i in range(160)]
-    rows = [(i, w, float(1 + (hash(w) % 5))) for i, t in docs for w in sorted(set(t.split()))]
+    rows = [(i, w, float(1 + (zlib.crc32(w.encode()) % 5))) for i, t in docs for w in sorted(set(t.split()))]
     vec = {}
     for i, w, x in rows:
         vec.setdefault(i, {})[w] = x
     unit = {i: {w: x / math.sqrt(sum(y * y for y in v.values())) for w, x in v.items()} for i, v in vec.items()}
     df = spark.createDataFrame([(i, i, w, unit[i][w]) for i, w, _ in rows], "id long, o long, word string, w double")
     got = {}
-    for r in neighbours.top_similar(df, "id", "o", k=4, start=3).collect():
+    for r in neighbours.top_similar(df, "id", "o", k=4).collect():
         got.setdefault(r["id"], []).append((r["rank"], r["near_id"]))
     for i in unit:
         sims = [(round(sum(x * unit[j].get(w, 0) for w, x in unit[i].items()), 9), j) for j in range(i)]
@@ -138,6 +141,13 @@ def test_nearest_prompts_equal_brute_force(spark):
         assert [j for _, j in sorted(got.get(i, []))] == want, i
 
 
+def test_equal_prompts_go_to_the_latest_and_new_words_have_none(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "WINDOW", 8)
+    rows = [(i, 10 * i, w, 0.5**0.5) for i in range(400) for w in (f"a{i % 3}", f"b{i % 3}")] + [(999, 3995, "new", 1.0)]
+    got = neighbours.top_similar(spark.createDataFrame(rows, "id long, o long, word string, w double"), "id", "o", k=2)
+    assert {(r.id, r.near_id, r.rank) for r in got.collect()} == {(i, i - 3 * k, k) for i in range(400) for k in (1, 2) if i >= 3 * k}
+
+
 def test_history_neighbours_count_the_query(spark):
     hist = spark.createDataFrame([(i, f"migrate ledger schema batch{i}" if i < 3 else f"alpha{chr(97 + i % 26)} beta{chr(97 + i // 26)}x")
                                   for i in range(80)], "id long, text string")
