@@ -108,22 +108,29 @@ def dealt(tokens: DataFrame, df: np.ndarray, kind: type, n: int, shards: int, sh
     order[(df < 2) | (df > max(2, n // 20))] = len(df)
     shared = tokens.sparkSession.sparkContext.broadcast(order.astype(np.int32))
 
+    def least(ids: pa.Array) -> list[pa.Array]:
+        out = np.full((len(ids), 2), -1, np.int64)
+        for i, x in enumerate(ids):
+            found = np.unique(shared.value[np.frombuffer(x.as_buffer(), kind)])[:2]
+            found = found[found < len(shared.value)]
+            out[i, :len(found)] = found
+        return [pa.array(out[:, 0]), pa.array(out[:, 1])]
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            size = pa.array([len(x.as_buffer()) // np.dtype(kind).itemsize for x in b.column(0)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*least(b.column(0)), size], ["one", "two", "size"])
+
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            least = np.full((b.num_rows, 2), -1, np.int64)
-            for i, ids in enumerate(b.column("ids")):
-                found = np.unique(shared.value[np.frombuffer(ids.as_buffer(), kind)])[:2]
-                found = found[found < len(shared.value)]
-                least[i, :len(found)] = found
-            size = pa.array([len(i.as_buffer()) // np.dtype(kind).itemsize for i in b.column("ids")], pa.int64())
-            yield b.append_column("one", pa.array(least[:, 0])).append_column("two", pa.array(least[:, 1])).append_column("size", size)
-
-    rows = written(tokens.mapInArrow(keys, T.StructType([*tokens.schema]).add("one", "long").add("two", "long").add("size", "long")), "keyed")
+            yield pa.RecordBatch.from_arrays([*b.columns, *least(b.column("ids"))], [*b.schema.names, "one", "two"])
+
     most = shard_tokens // 8
-    pairs = rows.groupBy("one", "two").agg(F.sum("size").alias("size"))
+    pairs = written(tokens.select("ids").mapInArrow(sizes, "one long, two long, size long").groupBy("one", "two").agg(F.sum("size").alias("size")), "pairs")
     heavy = written(pairs.groupBy("one").agg(F.sum("size").alias("size")).filter(F.col("size") > most).select("one", F.lit(True).alias("wide")), "heavy")
     copies = written(pairs.filter(F.col("size") > most).select("one", "two", F.ceil(F.col("size") / most).alias("parts")), "copies")
     cell = F.xxhash64("one", F.when(F.col("wide"), F.col("two")), F.when(F.col("wide"), F.pmod(F.xxhash64("place"), F.coalesce("parts", F.lit(1)))))
+    rows = tokens.mapInArrow(keys, T.StructType([*tokens.schema]).add("one", "long").add("two", "long"))  # cheaper made again than written with the ids
     return (rows.join(small(heavy), "one", "left").join(small(copies), ["one", "two"], "left")
             .withColumn("shard", F.pmod(cell, F.lit(shards))).select(*tokens.columns, "shard"))
 
@@ -143,11 +150,23 @@ class Index:
         order = np.argsort(term, kind="stable")
         self.doc, self.value = doc[order], value[order]
         self.at = np.searchsorted(term[order], np.arange(len(idf) + 1))
+        # ids in a tenth of the documents or more are rows to add up, the others lists to walk
+        often = np.flatnonzero(np.diff(self.at) * 10 > self.n)
+        self.row = np.full(len(idf), -1, np.int32)
+        self.row[often] = np.arange(len(often))
+        self.rows = np.zeros((len(often), self.n), np.float32)
+        for r, t in enumerate(often):
+            s = slice(self.at[t], self.at[t + 1])
+            self.rows[r, self.doc[s]] = self.value[s]
 
     def neighbours(self, seed: int) -> np.ndarray:
         """The documents that share a term with the seed, best first, ties to the earlier."""
-        spans = [(self.at[t], self.at[t + 1]) for t in self.queries[seed]]
-        score = np.bincount(np.concatenate([self.doc[a:b] for a, b in spans]), np.concatenate([self.value[a:b] for a, b in spans]), self.n)
+        asked = self.queries[seed]
+        row = self.row[asked]
+        score = self.rows[row[row >= 0]].sum(axis=0).astype(np.float64)
+        spans = [(self.at[t], self.at[t + 1]) for t in asked[row < 0]]
+        if spans:
+            score += np.bincount(np.concatenate([self.doc[a:b] for a, b in spans]), np.concatenate([self.value[a:b] for a, b in spans]), self.n)
         score[seed] = 0
         best = np.nonzero(score)[0]
         return best[np.argsort(-score[best], kind="stable")]
