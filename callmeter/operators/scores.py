@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from callmeter.operators.ordered import SLICE, running_sum, scan
 from callmeter.operators.quantiles import exact_percentiles
 from callmeter.session import cut
 
@@ -86,61 +88,65 @@ def five_numbers(df: DataFrame, by: list[str], value: str) -> DataFrame:
 # ------------------------------------------------------------------ session bootstrap
 
 
-def resamples(items: DataFrame, by: list[str], n: int = BOOTSTRAP) -> DataFrame:
-    """(by, i, session_key, w): how often replicate i draws each session, as many draws as there are sessions.
+#: Upper ends of the shares of a Poisson(1) draw that are 0, 1, 2, ... as eight hex digits.
+DRAWS = [format(min(int(2**32 * sum(math.exp(-1) / math.factorial(k) for k in range(n + 1))), 2**32 - 1), "08x") for n in range(12)]
+
+
+def draw(digits: Column) -> Column:
+    """A Poisson(1) number from eight hex digits."""
+    out = F.when(digits < DRAWS[0], 0)
+    for n, end in enumerate(DRAWS[1:], 1):
+        out = out.when(digits < end, n)
+    return out.otherwise(len(DRAWS)).cast("bigint")
+
 
-    Draw j of replicate i takes the session numbered md5(i:j) mod S; sessions are numbered in the
-    order of their own md5. Numbering is a two-level running count over 4,096 ranges of the hash, and
-    draws are made from the numbered rows themselves, so nothing is listed on one machine.
+def weights(session: Column, n: int = BOOTSTRAP) -> Column:
+    """How often each of n resamples takes a session, as an array: Poisson draws from md5(block:session), four to a digest.
+
+    Resampling sessions as a whole then needs nothing but the session's own name: no list of sessions, no numbering, no join.
     """
-    name = F.md5(c("session_key").cast("string"))
-    sessions = items.select(*by, "session_key").distinct().withColumn("h", name).withColumn(
-        SLICE, F.conv(F.substring("h", 1, 3), 16, 10).cast("int"))
-    numbered = scan(sessions, by, ["h"], j=running_sum(F.lit(1).cast("bigint"), inclusive=False)).drop(SLICE, "h")
-    keys = by or ["__g"]
-    if not by:
-        numbered = numbered.withColumn("__g", F.lit(0))
-    size = numbered.groupBy(*keys).agg(F.count(F.lit(1)).alias("s")).filter("s > 1")
-    digest = F.md5(F.concat(c("i").cast("string"), F.lit(":"), c("j").cast("string")))
-    draws = (numbered.join(size, keys).select(*keys, "j", "s", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"))
-             .select(*keys, "i", (F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint") % c("s")).alias("j"))
-             .groupBy(*keys, "i", "j").agg(F.count(F.lit(1)).alias("w")))
-    return draws.join(numbered, [*keys, "j"]).drop("j")
+    def block(b: Column) -> Column:
+        digest = F.md5(F.concat(b.cast("string"), F.lit(":"), session.cast("string")))
+        return F.flatten(F.transform(F.array(digest), lambda h: F.array(*[draw(F.substring(h, 1 + 8 * k, 8)) for k in range(4)])))
+
+    return F.slice(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(-(-n // 4) - 1)), block)), 1, n)
 
 
 def bootstrap(items: DataFrame, by: list[str] | None = None, means: tuple = MEANS, medians: tuple = MEDIANS,
               n: int = BOOTSTRAP, level: float = 0.95) -> DataFrame:
     """Percentile confidence intervals (name_lo, name_hi) of means and medians, resampling whole sessions.
 
-    Means need one partial sum per session; medians one count per (session, value). Both are formed
-    before the replicates multiply them. Groups with fewer than two sessions give no row.
+    Means need one partial sum per session; medians one count per (session, value). Both meet the session's array of n weights where
+    they lie and leave as sums per resample (and value), so no table of sessions times resamples is made. Groups with
+    fewer than two sessions give no row.
     """
     by = by or []
     keys = by or ["__g"]
     if not by:
         items = items.withColumn("__g", F.lit(0))
-    items = cut(items.select(*keys, "session_key", *means, *medians))  # read once per measure below
-    weights = cut(resamples(items, keys, n))
+    items = cut(items.select(*keys, "session_key", *means, *medians))  # read three times below
+    enough = items.groupBy(*keys).agg(F.countDistinct("session_key").alias("__s")).filter("__s > 1").drop("__s")
+    drawn = F.posexplode(weights(c("session_key"), n)).alias("i", "w")
     parts = []
     if means:
         sums = items.groupBy(*keys, "session_key").agg(
             *[F.sum(x).alias(f"s_{x}") for x in means], *[F.count(x).alias(f"n_{x}") for x in means])
-        parts.append(weights.join(sums, [*keys, "session_key"]).groupBy(*keys, "i").agg(
-            *[(F.sum(c("w") * c(f"s_{x}")) / F.sum(c("w") * c(f"n_{x}"))).alias(x) for x in means]))
-    for x in medians:
-        cells = items.filter(c(x).isNotNull()).groupBy(*keys, "session_key", x).agg(F.count(F.lit(1)).alias("f"))
-        parts.append(weights.join(cells, [*keys, "session_key"]).groupBy(*keys, "i").agg(
-            F.percentile(c(x), F.lit(0.5), c("w") * c("f")).alias(x)))
-    out = None
-    for part, names in zip(parts, ([tuple(means)] if means else []) + [(x,) for x in medians]):
-        for x in names:
-            order = Window.partitionBy(*keys).orderBy(x)  # n rows per group
-            every = Window.partitionBy(*keys)
-            r = part.filter(c(x).isNotNull()).withColumns({"rn": F.row_number().over(order) - 1,
-                                                           "m": F.count(F.lit(1)).over(every)})
-            low = F.floor((1 - level) / 2 * (c("m") - 1) + 1e-9)
-            high = F.floor((1 + level) / 2 * (c("m") - 1) + 1e-9)
-            ci = r.groupBy(*keys).agg(F.round(F.max(F.when(c("rn") == low, c(x))), 6).alias(f"{x}_lo"),
-                                      F.round(F.max(F.when(c("rn") == high, c(x))), 6).alias(f"{x}_hi"))
-            out = ci if out is None else out.join(ci, keys, "left")
-    return out.drop("__g")
+        each = sums.select(*keys, *[f"{a}_{x}" for x in means for a in "sn"], drawn).filter("w > 0")
+        found = each.groupBy(*keys, "i").agg(*[(F.sum(c("w") * c(f"s_{x}")) / F.sum(c("w") * c(f"n_{x}"))).alias(x) for x in means])
+        parts.append(found.select(*keys, "i", F.explode(F.array(*[F.struct(F.lit(x).alias("name"), c(x).alias("x")) for x in means])).alias("m")))
+    if medians:
+        cells = (items.select(*keys, "session_key", F.explode(F.array(*[F.struct(F.lit(x).alias("name"), c(x).cast("double").alias("x")) for x in medians])).alias("m"))
+                 .filter("m.x IS NOT NULL").groupBy(*keys, "session_key", "m").agg(F.count(F.lit(1)).alias("f")))
+        counts = cells.select(*keys, "m", "f", drawn).filter("w > 0").groupBy(*keys, "i", "m").agg(F.sum(c("w") * c("f")).alias("f"))
+        sample = Window.partitionBy(*keys, "i", "m.name")  # one row per distinct value
+        ranked = counts.withColumns({"upto": F.sum("f").over(sample.orderBy("m.x")), "k": (F.sum("f").over(sample) - 1) / 2})
+        ends = ranked.groupBy(*keys, "i", c("m.name").alias("name")).agg(
+            F.min(F.when(c("upto") > F.floor("k"), c("m.x"))).alias("lo"), F.min(F.when(c("upto") > F.ceil("k"), c("m.x"))).alias("hi"))
+        parts.append(ends.select(*keys, "i", F.struct("name", ((c("lo") + c("hi")) / 2).alias("x")).alias("m")))
+    found = reduce(DataFrame.unionByName, parts).filter("m.x IS NOT NULL").select(*keys, "m.*")
+    every = Window.partitionBy(*keys, "name")  # n rows
+    r = found.withColumns({"rn": F.row_number().over(every.orderBy("x")) - 1, "m": F.count(F.lit(1)).over(every)})
+    low, high = (F.floor((1 + s * level) / 2 * (c("m") - 1) + 1e-9) for s in (-1, 1))
+    picked = [F.round(F.max(F.when((c("rn") == at) & (c("name") == x), c("x"))), 6).alias(f"{x}_{end}")
+              for x in (*means, *medians) for end, at in (("lo", low), ("hi", high))]
+    return r.groupBy(*keys).agg(*picked).join(enough, keys, "left_semi").drop("__g")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 BASE = """
 ev AS (
   SELECT event_id AS turn_id, user_id AS session_key, event_type, CAST(floor(value * 10) AS BIGINT) AS v10,
@@ -487,18 +489,18 @@ FROM (SELECT *, {_expand('turns_main', '[0.1, 0.5, 0.9]', 'label')} AS s, {_seen
   FROM (SELECT *, {_RANK_SLICE} AS label FROM ranked)) WHERE n_before >= 8""", _RANKED)
 SQL["interval_metrics"] = query(f"SELECT session_key, {_METRICS} FROM titems WHERE NOT spread GROUP BY session_key", TURN_ITEMS)
 
-RESAMPLE = """
-numbered_s AS (SELECT {g} AS g, session_key, row_number() OVER (PARTITION BY {g} ORDER BY md5(CAST(session_key AS VARCHAR))) - 1 AS j,
-   count(*) OVER (PARTITION BY {g}) AS s FROM (SELECT DISTINCT {g}, session_key FROM {items})),
-draws AS (SELECT g, i, CAST('0x' || substr(md5(i || ':' || j), 1, 15) AS BIGINT) % s AS j, count(*) AS w
-   FROM numbered_s, range(400) r(i) WHERE s > 1 GROUP BY ALL),
-weights AS (SELECT d.g, d.i, n.session_key, d.w FROM draws d JOIN numbered_s n USING (g, j))
+_ENDS = [format(min(int(2**32 * sum(math.exp(-1) / math.factorial(k) for k in range(n + 1))), 2**32 - 1), "08x") for n in range(12)]
+RESAMPLE = f"""
+weights AS (SELECT g, session_key, i, CASE {' '.join(f"WHEN h < '{e}' THEN {n}" for n, e in enumerate(_ENDS))} ELSE 12 END AS w
+  FROM (SELECT {{g}} AS g, session_key, i, substr(md5((i // 4) || ':' || session_key), 1 + 8 * (i % 4), 8) AS h
+        FROM (SELECT *, count(*) OVER (PARTITION BY {{g}}) AS s FROM (SELECT DISTINCT {{g}}, session_key FROM {{items}})), range(400) r(i) WHERE s > 1))
 """
 _BOOT_ITEMS = f"""
 bitems AS (SELECT 0 AS g, session_key, CASE WHEN lo <= y AND y <= hi THEN 1.0 ELSE 0.0 END AS coverage, {_SCORE} AS interval_score,
   abs(mid - y) AS abs_error, CASE WHEN mid > 0 AND y > 0 THEN ln(mid / y) END AS log_error, hi - lo AS width FROM titems WHERE NOT spread)
 """
-_CI = "round(list_sort(list({0}))[10], 6) AS {0}_lo, round(list_sort(list({0}))[390], 6) AS {0}_hi"
+_AT = "round(list_sort(list({0}) FILTER ({0} IS NOT NULL))[1 + CAST(floor({1} * (count({0}) - 1) + 1e-9) AS INT)], 6)"
+_CI = f"{_AT.format('{0}', 0.025)} AS {{0}}_lo, {_AT.format('{0}', 0.975)} AS {{0}}_hi"
 SQL["bootstrap_ci"] = query(
     "SELECT " + ", ".join(_CI.format(x) for x in ("coverage", "interval_score", "abs_error", "log_error", "width")) + """
 FROM (SELECT i, sum(w * sc) / sum(w * n) AS coverage, sum(w * si) / sum(w * n) AS interval_score
@@ -635,7 +637,7 @@ SQL["sign_pass_rule"] = query("""
 SELECT sign, n, fell_back, coverage, gain, gain_lo, gain_hi, coalesce(gain_hi < 0 AND coverage BETWEEN 0.75 AND 0.85, FALSE) AS passes
 FROM (SELECT sign, count(*) AS n, count(*) FILTER (n_slice < 30) AS fell_back, round(avg(covered), 6) AS coverage, round(avg(gain), 6) AS gain
       FROM gained GROUP BY sign)
-LEFT JOIN (SELECT g AS sign, round(list_sort(list(x))[10], 6) AS gain_lo, round(list_sort(list(x))[390], 6) AS gain_hi FROM (
+LEFT JOIN (SELECT g AS sign, """ + _AT.format("x", 0.025) + " AS gain_lo, " + _AT.format("x", 0.975) + """ AS gain_hi FROM (
    SELECT g, i, sum(w * sg) / sum(w * n) AS x FROM weights JOIN (SELECT sign AS g, session_key, sum(gain) AS sg, count(*) AS n FROM gained GROUP BY ALL)
      USING (g, session_key) GROUP BY g, i) GROUP BY g) USING (sign)""", PROMPTED, f"""
 ctx AS ({_CTX}),

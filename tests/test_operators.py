@@ -1,5 +1,6 @@
 """Operators against brute force and against figures worked out by hand."""
 
+import hashlib
 import math
 import random
 import zlib
@@ -66,12 +67,39 @@ def test_interval_score_by_hand(spark):
     assert got == [8, 18, 38]
 
 
-def test_bootstrap_draws_whole_sessions(spark):
-    rows = [("a", 0.0)] * 100 + [("b", 1.0)] * 100
-    items = spark.createDataFrame(rows, "session_key string, coverage double")
-    r = scores.bootstrap(items, means=("coverage",), medians=()).first()
-    assert {r["coverage_lo"], r["coverage_hi"]} <= {0.0, 0.5, 1.0} and r["coverage_lo"] < r["coverage_hi"]
-    assert scores.bootstrap(items.filter("session_key = 'a'"), means=("coverage",), medians=()).isEmpty()
+def plain_weights(session):
+    out = []
+    for i in range(400):
+        h = int(hashlib.md5(f"{i // 4}:{session}".encode()).hexdigest()[8 * (i % 4):8 * (i % 4) + 8], 16)
+        k, cdf = 0, math.exp(-1)
+        while h >= int(2**32 * cdf) and k < 12:
+            k += 1
+            cdf = sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))
+        out.append(k)
+    return out
+
+
+def test_bootstrap_against_resampled_lists(spark):
+    rnd = random.Random(6)
+    rows = [(g, s, rnd.choice([0.0, 1.0]), rnd.choice([None, *range(9)]) if s % 3 else float(s)) for g in "ab" for s in range(12) for _ in range(rnd.randint(1, 9))]
+    rows += [("c", 1, 1.0, 2.0), ("c", 1, 0.0, 3.0), ("d", 1, 1.0, 0.5), ("d", 2, 0.0, None)]
+    rows = [(g, s, x, None if y is None else float(y)) for g, s, x, y in rows]
+    items = spark.createDataFrame(rows, "g string, session_key long, coverage double, width double")
+    got = {r["g"]: r for r in scores.bootstrap(items, ["g"], means=("coverage",), medians=("width",)).collect()}
+    assert set(got) == {"a", "b", "d"}  # one session is no sample
+    w = {s: plain_weights(s) for s in range(13)}
+    for g in got:
+        means, medians = [], []
+        for i in range(400):
+            picked = [(x, y) for k, s, x, y in rows if k == g for _ in range(w[s][i])]
+            means += [sum(x for x, _ in picked) / len(picked)] if picked else []
+            values = sorted(y for _, y in picked if y is not None)
+            medians += [float(np.median(values))] if values else []
+        for name, found in (("coverage", means), ("width", medians)):
+            found.sort()
+            for end, q in (("lo", 0.025), ("hi", 0.975)):
+                assert abs(got[g][f"{name}_{end}"] - found[int(q * (len(found) - 1) + 1e-9)]) < 1e-6, (g, name, end)
+    assert abs(sum(map(sum, w.values())) / (13 * 400) - 1) < 0.05  # each session once on average
 
 
 def test_gap_shapes(spark):
