@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from array import array
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +14,7 @@ from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from callmeter.llm.common import ascii_lower, slices, small, text_batches, written
+from callmeter.llm.common import slices, small, text_batches, written
 from callmeter.session import scratch_path
 
 #: Terms: everything but control characters, punctuation, digits and white space of ASCII.
@@ -23,6 +26,8 @@ SCALE = 1_000_000_000
 EVERY_TERM = 2**31 - 1
 #: Pairs of sources that share a term, looked at at once.
 BLOCK = 1 << 20
+#: Bytes of text a bucket of terms, and most buckets.
+BUCKET_BYTES, BUCKETS = 64_000_000, 512
 
 
 def probability(count: Column, total: Column, terms: Column) -> Column:
@@ -35,51 +40,84 @@ def distance(p: str, q: str) -> Column:
     return F.expr(f"(({p} - {q}) * ({p} - {q})) div {q}")
 
 
-def term_shards(rows: DataFrame, most: int) -> DataFrame:
-    """Written rows (lang, source, terms, shard): the terms of each document, each with its language in front, in hash shards of about `most` distinct terms.
+def term_shards(rows: DataFrame, most: int) -> tuple[DataFrame, list[list[int]]]:
+    """Written rows (lang, source, terms, bucket): the terms of each document, each with its language in front, dealt to buckets by their hash;
+    and the buckets of each fit, which together hold about `most` distinct terms.
 
-    No more terms than one shard has are ever in one vocabulary, on the driver or in an executor. The number of shards comes
-    from a sketch of the distinct terms over all rows.
+    So no more than that are ever in one vocabulary, on the driver or in an executor. A sketch of each bucket's distinct terms tells how
+    many buckets go together.
     """
     text_batches(rows.sparkSession)
-    terms = F.transform(F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(TERM), F.lit(0)), lambda t: F.concat("lang", F.lit(MARK), t))
-    rows = rows.select("lang", "source", terms.alias("terms"))
-    distinct = rows.select(F.explode("terms").alias("term")).agg(F.approx_count_distinct("term", 0.02)).first()[0]
-    shards = -(-distinct // most) or 1
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = min(max(1, -(-size // BUCKET_BYTES)), BUCKETS)
+    find = re.compile(TERM.encode("ascii")).findall  # bytes of 0x80 and more belong to characters beyond ASCII
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            lists = batch.column("terms")
-            key = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy()) * shards + batch.column("shards").flatten().to_numpy()
+            names: list[bytes] = []
+            known: dict[str, _Ids] = {}
+            ids, length = array("q"), np.zeros(batch.num_rows, np.int64)
+            for i, (lang, text) in enumerate(zip(batch.column("lang"), batch.column("text"))):
+                lang = lang.as_py()
+                if lang not in known:
+                    known[lang] = _Ids(f"{lang}{MARK}".encode(), names)
+                found = find(text.as_py().lower())
+                length[i] = len(found)
+                ids.extend(map(known[lang].__getitem__, found))
+            at = np.frombuffer(ids, np.int64)
+            home = np.fromiter((crc32(n) % buckets for n in names), np.int64, len(names))
+            key = np.repeat(np.arange(batch.num_rows), length) * buckets + home[at]
             order = np.argsort(key, kind="stable")
             groups, first = np.unique(key[order], return_index=True)
-            terms = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)), pa.int32()), lists.flatten().take(pa.array(order)))
-            row = pa.array(groups // shards)
-            yield pa.RecordBatch.from_arrays([batch.column("lang").take(row), batch.column("source").take(row), terms, pa.array((groups % shards).astype(np.int32))],
-                                             ["lang", "source", "terms", "shard"])
-
-    shard = F.transform("terms", lambda t: F.pmod(F.xxhash64(t), F.lit(shards)))
-    return written(rows.withColumn("shards", shard).mapInArrow(split, "lang string, source string, terms array<string>, shard int"), "terms", "shard")
-
-
-def group_sums(rows: DataFrame, min_df: int = 3, most: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
+            terms = pa.array(names, pa.binary()).take(pa.array(at[order])).cast(pa.string())
+            row = pa.array(groups // buckets)
+            yield pa.RecordBatch.from_arrays([batch.column("lang").take(row), batch.column("source").take(row),
+                                              pa.ListArray.from_arrays(pa.array(np.append(first, len(key)), pa.int32()), terms),
+                                              pa.array((groups % buckets).astype(np.int32))], ["lang", "source", "terms", "bucket"])
+
+    binary = rows.select("lang", "source", F.col("text").cast("binary").alias("text"))
+    out = written(binary.mapInArrow(split, "lang string, source string, terms array<string>, bucket int"), "terms", "bucket")
+    each = out.select("bucket", F.explode("terms").alias("term")).groupBy("bucket").agg(F.approx_count_distinct("term", 0.02).alias("n"))
+    fits, room = [], 0
+    for r in sorted(each.collect()):  # at most BUCKETS rows
+        if r.n > room:
+            fits.append([])
+            room = most
+        fits[-1].append(r.bucket)
+        room -= r.n
+    return out, fits
+
+
+class _Ids(dict):
+    """Numbers terms in order of appearance and notes each with a prefix in `names`."""
+
+    def __init__(self, prefix: bytes, names: list[bytes]) -> None:
+        self.prefix, self.names = prefix, names
+
+    def __missing__(self, term: bytes) -> int:
+        i = self[term] = len(self.names)
+        self.names.append(self.prefix + term)
+        return i
+
+
+def group_sums(rows: DataFrame, min_df: int = 3, most: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
     """(lang, source, term, count) of the terms that at least `min_df` documents of the language hold, where count > 0; and these (lang, term).
 
     CountVectorizer makes a sparse vector of exact counts for each document; the vectors are summed by group, sparse as they are. Terms carry
-    their language, so one fit gives a vocabulary per language; it is done shard by shard of terms.
+    their language, so one fit gives a vocabulary per language; it is done by buckets of terms.
     """
-    parts = term_shards(rows, most)
+    parts, fits = term_shards(rows, most)
     spark = rows.sparkSession
     sums = spark.createDataFrame([], "lang string, source string, term string, count long")
     kept = spark.createDataFrame([], "lang string, term string")
-    for shard in sorted(r.shard for r in parts.select("shard").distinct().collect()):
-        part = parts.filter(F.col("shard") == shard)
+    for buckets in fits:
+        part = parts.filter(F.col("bucket").isin(buckets))
         try:
             model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_df), vocabSize=EVERY_TERM).fit(part)
         except IllegalArgumentException as e:
             if "vocabulary size should be > 0" not in str(e):
                 raise
-            continue  # no term of this shard is in enough documents
+            continue  # no term of these buckets is in enough documents
         path = scratch_path(spark, "vocabulary")
         model.save(path)
         term = F.substring_index("word", MARK, -1)
@@ -123,7 +161,7 @@ def shared_terms(terms: DataFrame) -> DataFrame:
     return each.mapInArrow(run, "a long, b long, more long").groupBy("a", "b").agg(F.sum("more").alias("more"))
 
 
-def audit(documents: DataFrame, min_df: int = 3, top: int = 200, most: int = 2_000_000) -> DataFrame:
+def audit(documents: DataFrame, min_df: int = 3, top: int = 200, most: int = 1_000_000) -> DataFrame:
     """lang, source, part, item, value, rank: part `pair` holds each other source of the lang and the distance to it, part `term` the `top` terms
     that the source uses more than its lang does, by their share of the distance.
 

@@ -174,7 +174,8 @@ def count_tokens(documents: DataFrame, limit: int = 512, path: str | None = None
     text_batches(documents.sparkSession)
     known = documents.sparkSession.sparkContext.broadcast(frequent(texts.select("text"), path, sample, most))
     parts = texts.mapInArrow(_spread(known, path), _PARTS)
-    dealt = parts.repartition(F.coalesce(F.xxhash64("piece"), F.col("row"))).sortWithinPartitions("piece")
+    key = F.when(F.col("piece").isNull(), F.col("row")).otherwise(F.xxhash64("piece"))  # rows of documents are dealt by themselves
+    dealt = parts.repartition(key).sortWithinPartitions("piece")
     counts = dealt.mapInArrow(_measured(path), "row long, doc_id long, n_bytes long, n long")
     return (counts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens"))
             .select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")))
