@@ -26,8 +26,8 @@ SCALE = 1_000_000_000
 EVERY_TERM = 2**31 - 1
 #: Pairs of sources that share a term, looked at at once.
 BLOCK = 1 << 20
-#: Bytes of text a bucket of terms, and most buckets.
-BUCKET_BYTES, BUCKETS = 64_000_000, 512
+#: Bytes of text a bucket of terms.
+BUCKET_BYTES = 256_000_000
 
 
 def probability(count: Column, total: Column, terms: Column) -> Column:
@@ -40,16 +40,15 @@ def distance(p: str, q: str) -> Column:
     return F.expr(f"(({p} - {q}) * ({p} - {q})) div {q}")
 
 
-def term_shards(rows: DataFrame, most: int) -> tuple[DataFrame, list[list[int]]]:
-    """Written rows (lang, source, terms, bucket): the terms of each document, each with its language in front, dealt to buckets by their hash;
-    and the buckets of each fit, which together hold about `most` distinct terms.
+def term_buckets(rows: DataFrame, bucket_bytes: int) -> DataFrame:
+    """Written rows (lang, source, terms, bucket): the terms of each document, each with its language in front, dealt to buckets by their hash.
 
-    So no more than that are ever in one vocabulary, on the driver or in an executor. A sketch of each bucket's distinct terms tells how
-    many buckets go together.
+    There are as many buckets as the texts have times `bucket_bytes`, so the terms of one, which are at once in a vocabulary on the driver
+    and in an executor, occur in no more than so many bytes.
     """
     text_batches(rows.sparkSession)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = min(max(1, -(-size // BUCKET_BYTES)), BUCKETS)
+    buckets = max(1, -(-size // bucket_bytes))
     find = re.compile(TERM.encode("ascii")).findall  # bytes of 0x80 and more belong to characters beyond ASCII
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,16 +75,7 @@ def term_shards(rows: DataFrame, most: int) -> tuple[DataFrame, list[list[int]]]
                                               pa.array((groups % buckets).astype(np.int32))], ["lang", "source", "terms", "bucket"])
 
     binary = rows.select("lang", "source", F.col("text").cast("binary").alias("text"))
-    out = written(binary.mapInArrow(split, "lang string, source string, terms array<string>, bucket int"), "terms", "bucket")
-    each = out.select("bucket", F.explode("terms").alias("term")).groupBy("bucket").agg(F.approx_count_distinct("term", 0.02).alias("n"))
-    fits, room = [], 0
-    for r in sorted(each.collect()):  # at most BUCKETS rows
-        if r.n > room:
-            fits.append([])
-            room = most
-        fits[-1].append(r.bucket)
-        room -= r.n
-    return out, fits
+    return written(binary.mapInArrow(split, "lang string, source string, terms array<string>, bucket int"), "terms", "bucket")
 
 
 class _Ids(dict):
@@ -100,35 +90,36 @@ class _Ids(dict):
         return i
 
 
-def group_sums(rows: DataFrame, min_df: int = 3, most: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+def group_sums(rows: DataFrame, min_df: int = 3, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, DataFrame]:
     """(lang, source, term, count) of the terms that at least `min_df` documents of the language hold, where count > 0; and these (lang, term).
 
     CountVectorizer makes a sparse vector of exact counts for each document; the vectors are summed by group, sparse as they are. Terms carry
-    their language, so one fit gives a vocabulary per language; it is done by buckets of terms.
+    their language, so one fit gives a vocabulary per language; it is done bucket by bucket of terms.
     """
-    parts, fits = term_shards(rows, most)
+    parts = term_buckets(rows, bucket_bytes)
+    groups = written(rows.select("lang", "source").distinct().withColumn("g", F.monotonically_increasing_id()), "groups")
     spark = rows.sparkSession
-    sums = spark.createDataFrame([], "lang string, source string, term string, count long")
+    sums = spark.createDataFrame([], "g long, term string, count long")
     kept = spark.createDataFrame([], "lang string, term string")
-    for buckets in fits:
-        part = parts.filter(F.col("bucket").isin(buckets))
+    for bucket in sorted(r.bucket for r in parts.select("bucket").distinct().collect()):
+        part = parts.filter(F.col("bucket") == bucket)
         try:
             model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_df), vocabSize=EVERY_TERM).fit(part)
         except IllegalArgumentException as e:
             if "vocabulary size should be > 0" not in str(e):
                 raise
-            continue  # no term of these buckets is in enough documents
+            continue  # no term of this bucket is in enough documents
         path = scratch_path(spark, "vocabulary")
         model.save(path)
         term = F.substring_index("word", MARK, -1)
         words = spark.read.parquet(f"{path}/data").select(F.posexplode("vocabulary").alias("at", "word")).withColumn("term", term)
         words = written(words.select("at", "term", F.substr("word", F.lit(1), F.char_length("word") - F.char_length("term") - 1).alias("lang")), "words")
         v = F.unwrap_udt("vector")
-        cells = (model.transform(part).select("lang", "source", F.explode(F.arrays_zip(v["indices"].alias("at"), v["values"].alias("n"))).alias("c"))
-                 .groupBy("lang", "source", F.col("c.at").alias("at")).agg(F.sum(F.col("c.n").cast("long")).alias("count")))
-        sums = sums.union(written(cells.join(small(words.drop("lang")), "at").select("lang", "source", "term", "count"), "sums"))
+        cells = (model.transform(part.join(small(groups), ["lang", "source"])).select("g", F.explode(F.arrays_zip(v["indices"].alias("at"), v["values"].alias("n"))).alias("c"))
+                 .groupBy("g", F.col("c.at").alias("at")).agg(F.sum(F.col("c.n").cast("long")).alias("count")))
+        sums = sums.union(written(cells.join(small(words.drop("lang")), "at").select("g", "term", "count"), "sums"))
         kept = kept.union(words.select("lang", "term"))
-    return sums, kept
+    return sums.join(small(groups), "g").select("lang", "source", "term", "count"), kept
 
 
 def shared_terms(terms: DataFrame) -> DataFrame:
@@ -161,7 +152,7 @@ def shared_terms(terms: DataFrame) -> DataFrame:
     return each.mapInArrow(run, "a long, b long, more long").groupBy("a", "b").agg(F.sum("more").alias("more"))
 
 
-def audit(documents: DataFrame, min_df: int = 3, top: int = 200, most: int = 1_000_000) -> DataFrame:
+def audit(documents: DataFrame, min_df: int = 3, top: int = 200, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """lang, source, part, item, value, rank: part `pair` holds each other source of the lang and the distance to it, part `term` the `top` terms
     that the source uses more than its lang does, by their share of the distance.
 
@@ -173,7 +164,7 @@ def audit(documents: DataFrame, min_df: int = 3, top: int = 200, most: int = 1_0
     counts of equal probabilities; only terms that two sources share are met pair by pair, and are summed where they lie.
     """
     rows = documents.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")))
-    sums, kept = group_sums(rows, min_df, most)
+    sums, kept = group_sums(rows, min_df, bucket_bytes)
     totals = sums.groupBy("lang", "source").agg(F.sum("count").alias("total"), F.count("*").alias("held"))
     terms = kept.groupBy("lang").agg(F.count("*").alias("kept"))
     stats = rows.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(terms, "lang", "left").fillna(0)

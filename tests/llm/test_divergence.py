@@ -56,9 +56,9 @@ ODD = [("en", "a", "The cat Sat the_cat"), ("en", "a", "the dog"), ("en", "b", "
        ("de", "a", "Wort"), ("de", "a", "Wort"), ("de", "a", "Wort"), ("de", "Ä", "Wort"), ("de", "z", "Wort\x00Wort 𝒜𝒷"), ("de", "z", "𝒜𝒷"), ("de", "b", "𝒜𝒷 wort")]
 
 
-@pytest.mark.parametrize("most", [1_000_000, 3])
-def test_odd_rows_in_one_vocabulary_or_many(make, most):
-    assert run(make(ODD), most=most) == plain(ODD)
+@pytest.mark.parametrize("bytes_", [divergence.BUCKET_BYTES, 30_000])
+def test_odd_rows_in_one_vocabulary_or_many(make, bytes_):
+    assert run(make(ODD), bucket_bytes=bytes_) == plain(ODD)
 
 
 def test_one_source_with_most_rows(make):
