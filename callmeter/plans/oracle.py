@@ -838,12 +838,21 @@ LEFT JOIN unused u USING (session_key)
 LEFT JOIN (SELECT family, 100.0 * sum(sub_tokens) / sum(tokens) AS sh FROM real_tasks GROUP BY family) f ON f.family = a.a_family""",
     PAIRS, RATIO, ASKED, UNUSED)
 SQL["session_alerts"] = query(f"""
-SELECT session_key, cost, unpriced, coalesce(missed, FALSE) AS cache_missed, context, coalesce(NOT exact, FALSE) AS counter_disagrees
+SELECT session_key, cost, unpriced, coalesce(missed, FALSE) AS cache_missed, context, coalesce(NOT exact, FALSE) AS counter_disagrees, coalesce(risky, 0) AS risky_lines
 FROM (SELECT session_key, {usd('coalesce(sum(cost_p), 0)')} AS cost, count(*) FILTER (cost_p IS NULL) AS unpriced FROM priced GROUP BY session_key)
 LEFT JOIN (SELECT session_key, q_input >= 4096 AND cache_read < 0.5 * q_input AND input_total >= 0.5 * q_input AS missed, input_total + output AS context
   FROM (SELECT *, lag(input_total) OVER (PARTITION BY session_key ORDER BY t_us, turn_id) AS q_input FROM priced WHERE trigger <> 'subagent')
   QUALIFY row_number() OVER (PARTITION BY session_key ORDER BY t_us DESC, turn_id DESC) = 1) USING (session_key)
-LEFT JOIN sums USING (session_key)""", SNAPS)
+LEFT JOIN sums USING (session_key)
+LEFT JOIN (SELECT user_id AS session_key, count(*) AS risky FROM events
+  WHERE event_id % 17 = 0 OR event_id % 19 = 0 OR event_id % 13 <> 0 AND (event_id % 11 = 0 OR event_id % 7 = 0 OR event_id % 5 <> 0) GROUP BY user_id) USING (session_key)""", SNAPS)
+SQL["calls_span"] = query("SELECT min(t_us) AS first_us, max(t_us) AS last_us, count(*) AS calls FROM calls")
+SQL["filtered_projects"] = query("""
+SELECT project, count(*) AS calls, CAST(sum(input_total + output) AS BIGINT) AS tokens, min(t_us) AS first_us FROM priced
+WHERE t_us >= 1704067200000000 + 2 * 3600000000 AND t_us < 1704067200000000 + 9 * 3600000000 AND project LIKE '%p1%' GROUP BY project""")
+SQL["finished_tasks"] = query("""
+SELECT task_id, session_key, last_us FROM (SELECT *, max(last_us) OVER () AS newest, row_number() OVER (PARTITION BY session_key ORDER BY started_us DESC, task_id DESC) AS back FROM real_tasks)
+WHERE NOT (back = 1 AND newest - last_us < CAST(3600000000 AS BIGINT))""")
 
 ESTIMATES = """
 est AS (SELECT e.*, 1 + est_id % 3 AS lo, CASE WHEN est_id % 23 <> 0 THEN 3 + est_id % 3 END AS p50, 7 + est_id % 3 AS hi, est_id % 29 = 0 AS spread,
@@ -981,6 +990,15 @@ SELECT source, task_id, arg_max(family, (declared_at, family)) AS declared FROM
       started_us AS declared_at FROM real_tasks WHERE task_id % 3 = 0) g
   JOIN (SELECT source, CAST(task_id AS VARCHAR) AS id FROM real_tasks) t ON t.source = g.source AND starts_with(t.id, g.prefix)
   GROUP BY g.source, g.task_id HAVING count(*) = 1) GROUP BY source, task_id""")
+SQL["families_with_declared"] = query("""
+SELECT t.source, CAST(t.task_id AS VARCHAR) AS task_id, coalesce(d.declared, t.family) AS family, CASE WHEN d.declared IS NULL THEN 'guessed' ELSE 'declared' END AS family_source
+FROM real_tasks t LEFT JOIN (
+  SELECT source, task_id, arg_max(family, (declared_at, family)) AS declared FROM (
+    SELECT g.source, any_value(g.tag) AS family, any_value(g.declared_at) AS declared_at, min(x.id) AS task_id
+    FROM (SELECT *, CAST(task_id AS VARCHAR)[:length(CAST(task_id AS VARCHAR)) - task_id % 2] AS prefix, CASE WHEN task_id % 5 < 2 THEN 'review' ELSE 'question' END AS tag,
+        started_us AS declared_at FROM real_tasks WHERE task_id % 3 = 0) g
+    JOIN (SELECT source, CAST(task_id AS VARCHAR) AS id FROM real_tasks) x ON x.source = g.source AND starts_with(x.id, g.prefix)
+    GROUP BY g.source, g.task_id HAVING count(*) = 1) GROUP BY source, task_id) d ON d.source = t.source AND d.task_id = CAST(t.task_id AS VARCHAR)""")
 SQL["picked_sessions"] = query("""
 SELECT p.task_id AS prompt_id, CASE WHEN p.task_id % 3 = 0 THEN (SELECT arg_max(session_key, (last_us, session_key)) FROM s WHERE starts_with(CAST(session_key AS VARCHAR), CAST(p.session_key AS VARCHAR)[:1]))
   WHEN p.task_id % 2 = 0 THEN h.k ELSE (SELECT arg_max(session_key, (last_us, session_key)) FROM s) END AS session_key

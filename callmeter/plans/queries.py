@@ -188,6 +188,30 @@ def top_tasks(v: Views) -> DataFrame:
     return reports.top_tasks(v.stats)
 
 
+@query
+def calls_span(v: Views) -> DataFrame:
+    return reports.time_span(v.calls)
+
+
+@query
+def filtered_projects(v: Views) -> DataFrame:
+    """Seven hours of the projects whose names hold a text, whatever its case."""
+    start = bridge.START_US
+    picked = reports.filter_calls(v.priced, start + 2 * 3_600_000_000, start + 9 * 3_600_000_000, "P1")
+    return picked.groupBy("project").agg(F.count(F.lit(1)).alias("calls"), F.sum("tokens").alias("tokens"), F.min("t_us").alias("first_us"))
+
+
+@query
+def finished_tasks(v: Views) -> DataFrame:
+    return tasks.finished_only(v.plain_real).select("task_id", "session_key", "last_us")
+
+
+@query
+def families_with_declared(v: Views) -> DataFrame:
+    """Guessed families, and declared ones in their place where a tag names one task."""
+    return tasks.with_declared(v.real.select("source", c("task_id").cast("string").alias("task_id"), "family"), declared_families(v))
+
+
 @query
 def price_prefix_join(v: Views) -> DataFrame:
     priced = tasks.enrich(v.calls, bridge.PRICES.frame(v.spark))
@@ -569,7 +593,8 @@ def warning_flags(v: Views) -> DataFrame:
 
 @query
 def session_alerts(v: Views) -> DataFrame:
-    return live.session_alerts(v.priced, v.verdicts)
+    lines = reconstruct.line_outcomes(reconstruct.parse(bridge.damaged_lines(v.events)))
+    return live.session_alerts(v.priced, v.verdicts, lines.withColumn("session_key", c("session_key").cast("long")))
 
 
 @query

@@ -6,15 +6,9 @@ import __spark_entry__ as entry
 from check import compare, duck
 
 SF = "/root/testdata/sf0.001"
-NAMES = [
-    "where_it_went", "totals", "by_session", "by_month", "top_tasks", "price_prefix_join", "task_ranks", "anonymized_sessions", "top_per_group",
-    "cache_events", "cache_summary", "expiries", "ttl_in_force", "cache_clock", "break_causes", "prefix_writes", "other_session_active",
-    "expiry_survivors", "tool_lift", "counter_checks", "snapshot_increments", "gap_shape", "suffix_match", "turns_by_family", "backtest_turns",
-    "leak_free_by_slice", "survival_by_k", "early_signs", "context_growth", "merge_followups", "pre_send_signs", "interval_recalibration",
-    "next_call_input", "settle_estimates", "computed_backtest", "prompt_features", "nearest_prompts", "sensitive_text_scan", "json_tolerant_scan",
-    "dedup_calls", "rereads", "unused_files", "event_contrast", "stream_cache_events", "stream_finished_tasks", "stream_live_sessions", "stream_links", "turns_ahead", "counter_coverage", "session_status", "floor_gap",
-    "unresolved_sessions", "checks_summary", "one_sided_models", "version_status", "single_version_status", "session_alerts", "quantile_tree", "declared_families", "picked_sessions",
-]
+from callmeter.plans.oracle import SQL
+
+NAMES = sorted(SQL)
 
 
 @pytest.fixture(scope="module")
