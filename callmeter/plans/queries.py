@@ -756,7 +756,7 @@ def stream_session_state(v: Views) -> DataFrame:
 
 @query
 def stream_cache_events(v: Views) -> DataFrame:
-    return streams.drain(streams.cache_event_stream(*_landed_calls(v)), "append", "cache").drop("batch")
+    return streams.drain(streams.cache_event_stream(*_landed_calls(v), buckets=streams.buckets_for(v.rows)), "append", "cache").drop("batch")
 
 
 @query

@@ -88,10 +88,12 @@ class CallStore:
         self._write(rows.select(*self.schemas["changes"].names), "changes", batch)
 
 
-def correct(stream: DataFrame, store: CallStore, timeout_s: int = 600) -> None:
-    """Runs a stream of pieces into the store over what is there."""
+def correct(stream: DataFrame, store: CallStore, timeout_s: int | None = None) -> None:
+    """Runs a stream of pieces into the store over what is there; `timeout_s` gives up earlier."""
     marks = scratch_path(store.spark, "corrections-state")
     query = stream.writeStream.option("checkpointLocation", marks).trigger(availableNow=True).foreachBatch(store.apply).start()
-    if not query.awaitTermination(timeout_s):
+    if timeout_s is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout_s):
         query.stop()
         raise TimeoutError(f"corrections still running after {timeout_s} s")
