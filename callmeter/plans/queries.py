@@ -761,7 +761,7 @@ def stream_cache_events(v: Views) -> DataFrame:
 
 @query
 def stream_finished_tasks(v: Views) -> DataFrame:
-    return streams.drain(streams.finished_task_stream(*_landed_calls(v)), "append", "tasks").drop("batch")
+    return streams.drain(streams.finished_task_stream(*_landed_calls(v), buckets=streams.buckets_for(v.rows)), "append", "tasks").drop("batch")
 
 
 @query
