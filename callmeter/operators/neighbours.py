@@ -1,8 +1,8 @@
 """Past prompts most alike in words: an exact top-k cosine join that reads time from the prompt backwards.
 
 Prompts are numbered in time and cut into windows; posting lists are cut at the same places, so a prompt of the past is scored
-from the lists of its own window alone. A prompt reads its own window, then blocks of windows that double in size going
-back, one a round. What is unread is older, and can at most be as alike as the prompt's words that occur there allow (the largest weight in
+from the lists of its own window alone. A prompt reads its own window, then twice as far back each round, whatever the number of its
+window, so that it reads no more than it needs by a factor. What is unread is older, and can at most be as alike as the prompt's words that occur there allow (the largest weight in
 each list, and Cauchy's bound). Prompts whose k nearest can't change any more leave; early ones have nothing left to read.
 """
 
@@ -54,12 +54,17 @@ def top_similar(vecs: DataFrame, key: str, order: str, k: int = K, min_sim: floa
     open_q, top = lists.select(key).distinct(), None
     best = Window.partitionBy(key).orderBy(c("sim").desc(), c("near_order").desc())
     for level in range(-1, last.bit_length()):
-        # level -1: the prompt's own window. Level l: the block of 2^l windows before the one that the prompt's own lies in, where there
-        # is one in the block of 2^(l+1); so far everything since its beginning was read
+        # level -1: the prompt's own window. Level l: on to the window before last of 2^l each, as they are numbered from 0; that is one
+        # block of 2^(l-1) windows or two, so whatever its number a prompt has read 2^l to 2^(l+1) windows back and no more
         asked = lists.join(open_q, key, "left_semi")
-        width = max(level, 0)
-        block = F.shiftright("window", width)
-        wanted = asked.withColumn("__block", block) if level < 0 else asked.filter(block.bitwiseAND(F.lit(1)) == 1).withColumn("__block", block - 1)
+        width = max(level - 1, 0)
+        block, start = F.shiftright("window", width), F.shiftleft(F.shiftright("window", max(level, 0)) - 1, max(level, 0))
+        if level < 0:
+            start, blocks = c("window"), F.array("window")
+        else:
+            read = c("window") if level == 0 else F.shiftleft(F.shiftright("window", level - 1) - 1, level - 1)
+            blocks = F.sequence(F.shiftright(start, width), F.shiftright(read, width) - 1)
+        wanted = asked.filter(start >= 0).withColumn("__block", F.explode(blocks))
         held = lists.select("word", block.alias("__block"), c(key).alias("near_id"), c(order).alias("near_order"), c("w").alias("__w"))
         pairs = wanted.join(held, ["word", "__block"]).filter(c("near_order") < c(order))
         scored = (pairs.groupBy(key, "near_id", "near_order").agg(F.round(F.sum(c("w") * c("__w")), 9).alias("sim")).filter(c("sim") >= min_sim)
@@ -67,7 +72,7 @@ def top_similar(vecs: DataFrame, key: str, order: str, k: int = K, min_sim: floa
         if top is not None:
             scored = top.unionByName(scored).withColumn("rank", F.row_number().over(best)).filter(c("rank") <= k)
         top = cut(scored)
-        start = F.shiftleft(F.shiftright("window", level + 1), level + 1)  # everything before this window is unread
+        # everything before the window `start` is unread
         rest = asked.filter(c("since") < start).groupBy(key).agg(
             F.least(F.sum(c("w") * c("most")), F.sqrt(F.sum(c("w") * c("w"))), F.lit(1.0)).alias("bound"))
         kth = top.filter(c("rank") == k).select(key, c("sim").alias("kth"))
@@ -90,8 +95,8 @@ def nearest_earlier(prompts: DataFrame, key: str, order: str, text: str, k: int
 
 def complete_only(top: DataFrame, key: str, k: int) -> DataFrame:
     """Keep the prompts that have k neighbours; the others get no answer."""
-    full = top.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(c("n") >= k)
-    return top.join(full.select(key), key, "left_semi")
+    found = F.count(F.lit(1)).over(Window.partitionBy(key))  # k rows or few more
+    return top.filter(c(key).isNotNull()).withColumn("__found", found).filter(c("__found") >= k).drop("__found")
 
 
 def nearest_in_history(queries: DataFrame, history: DataFrame, key: str, text: str, k: int = K, min_sim: float = MIN_SIM) -> DataFrame:

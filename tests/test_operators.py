@@ -169,6 +169,16 @@ def test_nearest_prompts_equal_brute_force(spark, monkeypatch, window):
         assert [j for _, j in sorted(got.get(i, []))] == want, i
 
 
+def test_no_prompt_reads_further_for_the_number_of_its_window(spark, monkeypatch):
+    """Two like prompts stand within two windows of each, so three rounds do for all 51 windows, also for those of a round number."""
+    rounds, real = [], neighbours.cut
+    monkeypatch.setattr(neighbours, "WINDOW", 8)
+    monkeypatch.setattr(neighbours, "cut", lambda df: rounds.append(1) or real(df))
+    rows = [(i, 10 * i, f"a{i % 3}", 1.0) for i in range(408)]
+    got = neighbours.top_similar(spark.createDataFrame(rows, "id long, o long, word string, w double"), "id", "o", k=2)
+    assert got.count() == 2 * 408 - 3 * 3 and len(rounds) <= 2 + 2 * 3
+
+
 def test_equal_prompts_go_to_the_latest_and_new_words_have_none(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "WINDOW", 8)
     rows = [(i, 10 * i, w, 0.5**0.5) for i in range(400) for w in (f"a{i % 3}", f"b{i % 3}")] + [(999, 3995, "new", 1.0)]
