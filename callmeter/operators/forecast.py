@@ -103,6 +103,7 @@ def choose_basis(asked: DataFrame, tasks: DataFrame, near: DataFrame | None = No
     # one narrow row per task and per prompt; each is read several times below
     tasks = cut(tasks.select("session_key", "task_id", "started_us", "turns_main", "turns", "family"))
     asked = cut(asked)
+    near = near if near is None else cut(near.select("prompt_id", "near_id"))
     ranks = scan(with_slices(tasks, ["session_key"], "started_us", rows), ["session_key"], ["started_us", "task_id"],
                  rank=running_sum(F.lit(1).cast("bigint")))
     past = histories(tasks, ranks)
@@ -129,7 +130,7 @@ def choose_basis(asked: DataFrame, tasks: DataFrame, near: DataFrame | None = No
     q = q.withColumn("basis", kind).withColumn("label", F.when(kind == "family", c("family")).when(kind == "rank", c("slice_next")).otherwise("all"))
     counted = (c("basis") == "all") & c("__m").isNotNull() | (c("basis") == "family") & (c("__family") == c("label")) | \
         (c("basis") == "rank") & (c("__slice") == c("label"))
-    q = q.withColumns({"x_main": F.when(counted, c("__m")), "x_all": F.when(counted, c("__t"))})
+    q = cut(q.withColumns({"x_main": F.when(counted, c("__m")), "x_all": F.when(counted, c("__t"))}))
 
     def spread(measure: str, skip: str, names: dict[str, str]) -> DataFrame:
         hist = past.groupBy("kind", "label", measure).agg(F.count(F.lit(1)).alias("f"))
