@@ -16,34 +16,35 @@ from pyspark.sql import functions as F
 from callmeter.llm.common import small, written
 from callmeter.llm.components import components
 
-BITS, HALF, MASK = 64, 32, (1 << 32) - 1
-#: Distances from a vantage point that 32 random bits spread over: 2 ** entropy of a binomial(32, 1/2).
-SPREAD = 11.7
+BITS, HALF = 64, 32
+#: By the number of parts that have a tree each: the distances from a vantage point that random bits of one part spread over, 2 ** entropy of
+#: a binomial(64 / parts, 1/2), the most levels of sharding, and how many members a shard is to have.
+TREES = {2: (11.7, 6, 256), 4: (8.3, 4, 512)}
 #: Vantage points of the sharding levels of each half; later ones serve the trees inside a shard.
 VANTAGE = [[int(x) for x in np.random.default_rng(half).integers(0, 1 << HALF, 24)] for half in (0, 1)]
 
 
-def fingerprint(text: bytes | None) -> int:
-    """64-bit SimHash of the 3-word shingles of UTF-8 text, A-Z in lower case; no words: 0."""
+def fingerprint(text: bytes | None, width: int = 3) -> int:
+    """64-bit SimHash of the shingles of `width` words of UTF-8 text, A-Z in lower case; no words: 0."""
     words = (text or b"").lower().split()
     if not words:
         return 0
     digest = partial(xxhash.xxh64_intdigest, seed=42)
-    if len(words) < 3:
+    if len(words) < width:
         return digest(b" ".join(words))
-    n = len(words) - 2
-    h = np.fromiter(map(digest, map(b" ".join, zip(words, words[1:], words[2:]))), np.uint64, n)
+    n = len(words) - width + 1
+    h = np.fromiter(map(digest, map(b" ".join, zip(*(words[i:] for i in range(width))))), np.uint64, n)
     ones = np.zeros(BITS, np.int64)
     for at in range(0, n, 1 << 14):
         ones += np.unpackbits(h[at:at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(documents: DataFrame, *keep: str) -> DataFrame:
+def fingerprints(documents: DataFrame, *keep: str, width: int = 3) -> DataFrame:
     """The columns `keep` of documents and `fp`, the fingerprint as a signed long; null text counts as empty."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.fromiter((fingerprint(t.as_py()) for t in b.column(0)), np.uint64, b.num_rows).view(np.int64)
+            fps = np.fromiter((fingerprint(t.as_py(), width) for t in b.column(0)), np.uint64, b.num_rows).view(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(fps)], [*keep, "fp"])
 
     rows = documents.select(F.col("text").cast("binary").alias("__text"), *keep)
@@ -60,22 +61,25 @@ def steps(levels: int, radius: int) -> list[tuple[int, ...]]:
     return [d for d in near if d > (0,) * levels]
 
 
-def shards(fps: DataFrame, levels: int, radius: int) -> DataFrame:
-    """(shard, home, fp): each fingerprint in its home shard, and in every later shard that its boundaries overlap, for both halves.
+def shards(fps: DataFrame, levels: int, radius: int, parts: int = 2) -> DataFrame:
+    """(shard, home, fp): each fingerprint in its home shard, and in every later shard that its boundaries overlap, for each part of the bits.
 
-    Two fingerprints within R bits agree within R // 2 in one half, so a tree over each half with that radius misses no pair.
+    Two fingerprints within R bits agree within R // parts in one part, so a tree over each part with that radius misses no pair.
     A shard is the tuple of distances to the vantage points.
     """
-    def cells(half: int) -> Column:
-        value = F.shiftrightunsigned("fp", HALF * half).bitwiseAND(F.lit(MASK))
-        away = [F.bit_count(value.bitwiseXOR(F.lit(VANTAGE[half][i]))).cast("long") for i in range(levels)]
-        home = sum((d * 64 ** (levels - 1 - i) for i, d in enumerate(away)), F.lit(half * 64**levels).cast("long"))
-        moves = [(sum(x * 64 ** (levels - 1 - i) for i, x in enumerate(s)), s) for s in steps(levels, radius // 2)]
-        valid = [F.when(F.expr("true") if not s else _all([(d + x).between(0, HALF) for d, x in zip(away, s)]), home + m) for m, s in moves]
+    bits = BITS // parts
+
+    def cells(part: int) -> Column:
+        value = F.shiftrightunsigned("fp", bits * part).bitwiseAND(F.lit((1 << bits) - 1))
+        points = [(VANTAGE[0][i] | VANTAGE[1][i] << HALF) >> bits * part & (1 << bits) - 1 for i in range(levels)]
+        away = [F.bit_count(value.bitwiseXOR(F.lit(p))).cast("long") for p in points]
+        home = sum((d * 64 ** (levels - 1 - i) for i, d in enumerate(away)), F.lit(part * 64**levels).cast("long"))
+        moves = [(sum(x * 64 ** (levels - 1 - i) for i, x in enumerate(s)), s) for s in steps(levels, radius // parts)]
+        valid = [F.when(F.expr("true") if not s else _all([(d + x).between(0, bits) for d, x in zip(away, s)]), home + m) for m, s in moves]
         return F.transform(F.array(home, *valid), lambda c, i: F.struct(c.alias("shard"), (i == 0).alias("home")))
 
-    both = F.concat(cells(0), cells(1))
-    return fps.select("fp", F.explode(both).alias("c")).select("c.shard", "c.home", "fp").filter("shard is not null")
+    every = F.concat(*map(cells, range(parts)))
+    return fps.select("fp", F.explode(every).alias("c")).select("c.shard", "c.home", "fp").filter("shard is not null")
 
 
 def _all(conditions: list[Column]) -> Column:
@@ -124,15 +128,16 @@ def star(left: np.ndarray, right: np.ndarray, pairs: Iterator[tuple[np.ndarray,
     return values[linked], values[label[linked]]
 
 
-def links(fps: DataFrame, radius: int = 3, block: int = 8192) -> DataFrame:
-    """Edges (a, b) between fingerprints that connect all those within `radius` bits; fps has each fingerprint once.
+def links(fps: DataFrame, radius: int = 3, block: int = 8192, parts: int = 2) -> DataFrame:
+    """Edges (a, b) between fingerprints that connect all those within `radius` bits; fps has each fingerprint once. `parts`: a key of TREES.
 
     The number of levels follows the number of fingerprints. A shard of more than `block` members is dealt over tasks as pairs of
     blocks. Each task gives one link a member at most, so a group of n fingerprints gives n links and not n * n.
     """
     n = fps.count()
-    levels = min(6, max(1, math.ceil(math.log(max(n, 1) / 256, SPREAD)))) if n > 256 else 1
-    members = shards(fps, levels, radius)
+    spread, most, size = TREES[parts]
+    levels = min(most, max(1, math.ceil(math.log(max(n, 1) / size, spread)))) if n > size else 1
+    members = shards(fps, levels, radius, parts)
     sizes = members.groupBy("shard").agg(F.count("*").alias("n"))
     k = F.greatest(F.ceil(F.col("n") / block), F.lit(1)).cast("int")
     large = written(sizes.filter(F.col("n") > block).select("shard", k.alias("k")), "large-shards")

@@ -1,10 +1,11 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from callmeter.llm import near_copies
+from callmeter.llm import components, near_copies, simhash_vp
 
 
 def plain_kept(rows):
@@ -61,3 +62,37 @@ def test_given_documents(spark):
     kept = corpus_pipeline.near_dedup(spark, d, "").collect()
     assert sorted(r.doc_id for r in kept) == plain_kept(rows)
     assert not {2, 56} <= {r.doc_id for r in kept} and not {709, 944} <= {r.doc_id for r in kept}
+
+
+def altered(rng, words, k, n):
+    """n texts: words with k of them changed."""
+    return [" ".join("new" + str(rng.randrange(10**9)) if i in at else w for i, w in enumerate(words)) for at in (set(rng.sample(range(len(words)), k)) for _ in range(n))]
+
+
+def test_vantage_point_trees_alone_find_what_fingerprints_show(spark, docs, monkeypatch):
+    """Without prefix filtering: the pairs within seven bits are linked, and of these the ones of similarity 0.8 or more are one document."""
+    rng = random.Random(5)
+    texts = [t for g in range(20) for t in altered(rng, [f"w{g}x{rng.randrange(500)}" for _ in range(400)], 2, 3)] + ["", "one two three", "One two  three"]
+    fps = [simhash_vp.fingerprint(t.encode(), 5) for t in texts]
+    near = {(i, j) for j in range(len(texts)) for i in range(j) if (fps[i] ^ fps[j]).bit_count() <= near_copies.RADIUS}
+    places = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "__place long, text string")
+    found = {(r.a, r.b) for r in near_copies.fingerprint_pairs(places).collect()}
+    assert len(found & near) > 30
+    root = lambda edges: {r.node: r.root for r in components.components(spark.createDataFrame(sorted(edges), "a long, b long")).collect()}
+    assert root(found) == root(near)
+    monkeypatch.setattr(near_copies, "ROUNDS", ())
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs(list(enumerate(texts))), "").collect()}
+    assert len(kept) < 40 and kept >= set(plain_kept(list(enumerate(texts))))
+
+
+@pytest.mark.parametrize("parts, radius", [(2, 3), (4, 7)])
+def test_trees_over_parts_miss_no_pair_within_the_radius(spark, parts, radius):
+    rng = random.Random(7)
+    fps = [rng.getrandbits(64) for _ in range(6000)]
+    fps = sorted({*fps, *(x ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, radius + 1))) for x in fps[:1500])})
+    signed = {x - 2**64 if x >= 2**63 else x for x in fps}
+    edges = simhash_vp.links(spark.createDataFrame([(x,) for x in signed], "fp long"), radius, block=700, parts=parts)
+    got = {r.node: r.root for r in components.components(edges).collect()}
+    a = np.array(sorted(signed), np.int64)
+    want = [(int(a[i]), int(a[j])) for i in range(len(a)) for j in np.flatnonzero(np.bitwise_count(a[i].view(np.uint64) ^ a.view(np.uint64)) <= radius) if i < j]
+    assert got == {r.node: r.root for r in components.components(spark.createDataFrame(want, "a long, b long")).collect()} and len(want) > 1000
