@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import re
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -14,11 +14,12 @@ from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from callmeter.llm.common import slices, small, text_batches, written
+from callmeter.llm.common import release, slices, small, text_batches, written
 from callmeter.session import scratch_path
 
-#: Terms: everything but control characters, punctuation, digits and white space of ASCII.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Terms are all but control characters, punctuation, digits and white space of ASCII, which become spaces here; A-Z in lower case. Bytes of
+#: 0x80 and more belong to characters beyond ASCII.
+LETTERS = bytes(c if c >= 128 else ord(chr(c).lower()) if chr(c).isalpha() else 32 for c in range(256))
 #: Stands between the language and the term; no term holds it.
 MARK = "\x00"
 SCALE = 1_000_000_000
@@ -26,8 +27,10 @@ SCALE = 1_000_000_000
 EVERY_TERM = 2**31 - 1
 #: Pairs of sources that share a term, looked at at once.
 BLOCK = 1 << 20
-#: Bytes of text a bucket of terms.
-BUCKET_BYTES = 256_000_000
+#: Bytes of the vocabulary of a bucket of terms.
+BUCKET_BYTES = 8_000_000
+#: Terms of documents, and bytes of their texts, that are folded at once; most terms of a row; terms that are looked at for the vocabulary's size.
+FOLD_TERMS, FOLD_BYTES, ROW_TERMS, SAMPLE_TERMS = 1 << 20, 1 << 26, 1 << 16, 1_000_000
 
 
 def probability(count: Column, total: Column, terms: Column) -> Column:
@@ -40,71 +43,135 @@ def distance(p: str, q: str) -> Column:
     return F.expr(f"(({p} - {q}) * ({p} - {q})) div {q}")
 
 
-def term_buckets(rows: DataFrame, bucket_bytes: int) -> DataFrame:
-    """Written rows (lang, source, terms, bucket): the terms of each document, each with its language in front, dealt to buckets by their hash.
+class _Ids(dict):
+    """Numbers terms in order of appearance and notes each with a prefix in `names`."""
+
+    def __init__(self, prefix: bytes, names: list[bytes]) -> None:
+        self.prefix, self.names = prefix, names
+
+    def __missing__(self, term: bytes) -> int:
+        i = self[term] = len(self.names)
+        self.names.append(self.prefix + term)
+        return i
+
+
+class _Fold:
+    """What documents hold between them, until `rows` hands it over: per group and term the count, per term the number of documents."""
+
+    def __init__(self) -> None:
+        self.names: list[bytes] = []
+        self.known: dict[str, _Ids] = {}
+        self.groups: dict[tuple[str, str], int] = {}
+        self.ids, self.counts, self.lengths, self.of = array("q"), array("q"), array("q"), array("q")
+        self.bytes = 0
+
+    def add(self, lang: str, source: str, text: bytes) -> None:
+        if lang not in self.known:
+            self.known[lang] = _Ids(f"{lang}{MARK}".encode(), self.names)
+        found = Counter(text.translate(LETTERS).split())
+        self.ids.extend(map(self.known[lang].__getitem__, found))
+        self.counts.extend(found.values())
+        self.lengths.append(len(found))
+        self.of.append(self.groups.setdefault((lang, source), len(self.groups)))
+        self.bytes += len(text)
+
+    def full(self) -> bool:
+        return len(self.ids) >= FOLD_TERMS or self.bytes >= FOLD_BYTES
+
+    def rows(self, min_df: int) -> Iterator[pa.RecordBatch]:
+        """Rows (lang, source, terms, weight). Without weight, row k of min_df has the terms of k documents or more, so that a term is in as
+        many of these rows as in documents, or in min_df; with weight 2 ** b, the terms whose count in the group has bit b."""
+        ids, counts = np.array(self.ids, np.int64), np.array(self.counts, np.int64)
+        if not len(ids):
+            return
+        names, groups = pa.array(self.names, pa.binary()), [*self.groups, (None, None)]
+        df = np.bincount(ids)
+        sets = [(len(groups) - 1, None, np.flatnonzero(df >= k)) for k in range(1, min(min_df, int(df.max())) + 1)]
+        key = np.repeat(np.array(self.of, np.int64), np.array(self.lengths, np.int64)) * len(names) + ids
+        order = np.argsort(key, kind="stable")
+        key, first = np.unique(key[order], return_index=True)
+        group, term, total = key // len(names), key % len(names), np.add.reduceat(counts[order], first)
+        for b in range(int(total.max()).bit_length()):
+            at = np.flatnonzero(total >> b & 1)
+            sets += [(int(group[x[0]]), 1 << b, term[x]) for x in np.split(at, np.flatnonzero(np.diff(group[at])) + 1) if len(x)]
+        for g, weight, terms in sets:
+            for at in range(0, len(terms), ROW_TERMS):
+                lists = pa.array([names.take(pa.array(terms[at:at + ROW_TERMS])).cast(pa.string())], pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([pa.array([groups[g][0]], pa.string()), pa.array([groups[g][1]], pa.string()), lists,
+                                                  pa.array([weight], pa.int64())], ["lang", "source", "terms", "weight"])
+
+
+def folded(rows: DataFrame, min_df: int) -> DataFrame:
+    """Written rows (lang, source, terms, weight, seen) of what the documents of a task hold between them, see `_Fold.rows`; seen: without weight.
 
-    There are as many buckets as the texts have times `bucket_bytes`, so the terms of one, which are at once in a vocabulary on the driver
-    and in an executor, occur in no more than so many bytes.
+    Each term has its language in front. From the rows that are `seen`, min_df finds the terms it finds in the documents; the others times
+    their weight add up to the counts of each group. Both have a term once a row.
     """
     text_batches(rows.sparkSession)
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, -(-size // bucket_bytes))
-    find = re.compile(TERM.encode("ascii")).findall  # bytes of 0x80 and more belong to characters beyond ASCII
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Fold()
         for batch in slices(batches):
-            names: list[bytes] = []
-            known: dict[str, _Ids] = {}
-            ids, length = array("q"), np.zeros(batch.num_rows, np.int64)
-            for i, (lang, text) in enumerate(zip(batch.column("lang"), batch.column("text"))):
-                lang = lang.as_py()
-                if lang not in known:
-                    known[lang] = _Ids(f"{lang}{MARK}".encode(), names)
-                found = find(text.as_py().lower())
-                length[i] = len(found)
-                ids.extend(map(known[lang].__getitem__, found))
-            at = np.frombuffer(ids, np.int64)
-            home = np.fromiter((crc32(n) % buckets for n in names), np.int64, len(names))
-            key = np.repeat(np.arange(batch.num_rows), length) * buckets + home[at]
-            order = np.argsort(key, kind="stable")
-            groups, first = np.unique(key[order], return_index=True)
-            terms = pa.array(names, pa.binary()).take(pa.array(at[order])).cast(pa.string())
-            row = pa.array(groups // buckets)
-            yield pa.RecordBatch.from_arrays([batch.column("lang").take(row), batch.column("source").take(row),
-                                              pa.ListArray.from_arrays(pa.array(np.append(first, len(key)), pa.int32()), terms),
-                                              pa.array((groups % buckets).astype(np.int32))], ["lang", "source", "terms", "bucket"])
+            for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), batch.column("text")):
+                held.add(lang, source, text.as_py())
+                if held.full():
+                    yield from held.rows(min_df)
+                    held = _Fold()
+        yield from held.rows(min_df)
+        del held
+        release()
 
     binary = rows.select("lang", "source", F.col("text").cast("binary").alias("text"))
-    return written(binary.mapInArrow(split, "lang string, source string, terms array<string>, bucket int"), "terms", "bucket")
+    made = binary.mapInArrow(run, "lang string, source string, terms array<string>, weight long")
+    return written(made.withColumn("seen", F.col("weight").isNull()), "terms", "seen")
 
 
-class _Ids(dict):
-    """Numbers terms in order of appearance and notes each with a prefix in `names`."""
+def vocabulary_bytes(seen: DataFrame, min_df: int) -> int:
+    """Bytes of the terms that at least min_df rows of seen (terms) hold, of many by a sample of terms."""
+    share = 1 + (seen.agg(F.sum(F.size("terms"))).first()[0] or 0) // SAMPLE_TERMS
+    each = seen.select(F.explode("terms").alias("term")).filter(F.pmod(F.xxhash64("term"), F.lit(share)) == 0)
+    return share * (each.groupBy("term").count().filter(F.col("count") >= min_df).agg(F.sum(F.octet_length("term"))).first()[0] or 0)
 
-    def __init__(self, prefix: bytes, names: list[bytes]) -> None:
-        self.prefix, self.names = prefix, names
 
-    def __missing__(self, term: bytes) -> int:
-        i = self[term] = len(self.names)
-        self.names.append(self.prefix + term)
-        return i
+def term_buckets(parts: DataFrame, buckets: int) -> DataFrame:
+    """Written rows of parts with the column bucket: the terms of each dealt to buckets by their hash."""
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("terms")
+            terms, size = lists.flatten(), lists.value_lengths().to_numpy().astype(np.int64)
+            home = np.fromiter((crc32(t.as_buffer()) % buckets for t in terms), np.int64, len(terms))
+            key = np.repeat(np.arange(len(size)), size) * buckets + home
+            order = np.argsort(key, kind="stable")
+            groups, first = np.unique(key[order], return_index=True)
+            row = pa.array(groups // buckets)
+            dealt = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)), pa.int32()), terms.take(pa.array(order)))
+            yield pa.RecordBatch.from_arrays([batch.column("lang").take(row), batch.column("source").take(row), dealt, batch.column("weight").take(row),
+                                              batch.column("seen").take(row), pa.array((groups % buckets).astype(np.int32))],
+                                             ["lang", "source", "terms", "weight", "seen", "bucket"])
+
+    rows = parts.select("lang", "source", "terms", "weight", "seen")
+    dealt = rows.mapInArrow(deal, "lang string, source string, terms array<string>, weight long, seen boolean, bucket int")
+    return written(dealt, "buckets", "bucket", "seen")
 
 
 def group_sums(rows: DataFrame, min_df: int = 3, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, DataFrame]:
     """(lang, source, term, count) of the terms that at least `min_df` documents of the language hold, where count > 0; and these (lang, term).
 
-    CountVectorizer makes a sparse vector of exact counts for each document; the vectors are summed by group, sparse as they are. Terms carry
-    their language, so one fit gives a vocabulary per language; it is done bucket by bucket of terms.
+    What the documents of a task hold is folded first; CountVectorizer makes the vocabulary of it, exactly that of the documents, and sparse
+    vectors, which are summed by group, sparse as they are. Terms carry their language, so one fit gives a vocabulary per language. If the
+    vocabulary has more than `bucket_bytes`, what bounds it on the driver and in an executor, it is done bucket by bucket of terms.
     """
-    parts = term_buckets(rows, bucket_bytes)
+    parts = folded(rows, min_df)
+    buckets = max(1, -(-vocabulary_bytes(parts.filter("seen"), min_df) // bucket_bytes))
+    parts = term_buckets(parts, buckets) if buckets > 1 else parts.withColumn("bucket", F.lit(0))
     groups = written(rows.select("lang", "source").distinct().withColumn("g", F.monotonically_increasing_id()), "groups")
     spark = rows.sparkSession
     sums = spark.createDataFrame([], "g long, term string, count long")
     kept = spark.createDataFrame([], "lang string, term string")
-    for bucket in sorted(r.bucket for r in parts.select("bucket").distinct().collect()):
+    for bucket in range(buckets):
         part = parts.filter(F.col("bucket") == bucket)
         try:
-            model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_df), vocabSize=EVERY_TERM).fit(part)
+            model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_df), vocabSize=EVERY_TERM).fit(part.filter("seen"))
         except IllegalArgumentException as e:
             if "vocabulary size should be > 0" not in str(e):
                 raise
@@ -115,8 +182,8 @@ def group_sums(rows: DataFrame, min_df: int = 3, bucket_bytes: int = BUCKET_BYTE
         words = spark.read.parquet(f"{path}/data").select(F.posexplode("vocabulary").alias("at", "word")).withColumn("term", term)
         words = written(words.select("at", "term", F.substr("word", F.lit(1), F.char_length("word") - F.char_length("term") - 1).alias("lang")), "words")
         v = F.unwrap_udt("vector")
-        cells = (model.transform(part.join(small(groups), ["lang", "source"])).select("g", F.explode(F.arrays_zip(v["indices"].alias("at"), v["values"].alias("n"))).alias("c"))
-                 .groupBy("g", F.col("c.at").alias("at")).agg(F.sum(F.col("c.n").cast("long")).alias("count")))
+        cells = (model.transform(part.filter("not seen").join(small(groups), ["lang", "source"])).select("g", "weight", F.explode(F.arrays_zip(v["indices"].alias("at"), v["values"].alias("n"))).alias("c"))
+                 .groupBy("g", F.col("c.at").alias("at")).agg(F.sum(F.col("weight") * F.col("c.n").cast("long")).alias("count")))
         sums = sums.union(written(cells.join(small(words.drop("lang")), "at").select("g", "term", "count"), "sums"))
         kept = kept.union(words.select("lang", "term"))
     return sums.join(small(groups), "g").select("lang", "source", "term", "count"), kept
