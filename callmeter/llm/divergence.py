@@ -31,6 +31,8 @@ BLOCK = 1 << 20
 BUCKET_BYTES = 8_000_000
 #: Terms of documents, and bytes of their texts, that are folded at once; most terms of a row; terms that are looked at for the vocabulary's size.
 FOLD_TERMS, FOLD_BYTES, ROW_TERMS, SAMPLE_TERMS = 1 << 20, 1 << 26, 1 << 16, 1_000_000
+#: Parts by hash in which folded terms are written; up to so many buckets need no other pass.
+HOMES = 8
 
 
 def probability(count: Column, total: Column, terms: Column) -> Column:
@@ -79,30 +81,41 @@ class _Fold:
         return len(self.ids) >= FOLD_TERMS or self.bytes >= FOLD_BYTES
 
     def rows(self, min_df: int) -> Iterator[pa.RecordBatch]:
-        """Rows (lang, source, terms, weight). Without weight, row k of min_df has the terms of k documents or more, so that a term is in as
-        many of these rows as in documents, or in min_df; with weight 2 ** b, the terms whose count in the group has bit b."""
+        """Rows (lang, source, terms, weight, home). Without weight, those of k up to min_df have the terms of k documents or more, so that a term is
+        in as many of them as in documents, or in min_df; with weight d * 16 ** i, the terms whose count in the group has d as digit i. home: by hash."""
         ids, counts = np.array(self.ids, np.int64), np.array(self.counts, np.int64)
         if not len(ids):
             return
-        names, groups = pa.array(self.names, pa.binary()), [*self.groups, (None, None)]
+        names, langs, sources = pa.array(self.names, pa.binary()), *(pa.array([g[i] for g in self.groups], pa.string()) for i in (0, 1))
+        home = np.fromiter((crc32(n) % HOMES for n in self.names), np.int64, len(self.names))
         df = np.bincount(ids)
-        sets = [(len(groups) - 1, None, np.flatnonzero(df >= k)) for k in range(1, min(min_df, int(df.max())) + 1)]
+        levels = [(None, None, np.flatnonzero(df >= k)) for k in range(1, min(min_df, int(df.max())) + 1)]
         key = np.repeat(np.array(self.of, np.int64), np.array(self.lengths, np.int64)) * len(names) + ids
         order = np.argsort(key, kind="stable")
-        key, first = np.unique(key[order], return_index=True)
-        group, term, total = key // len(names), key % len(names), np.add.reduceat(counts[order], first)
-        for b in range(int(total.max()).bit_length()):
-            at = np.flatnonzero(total >> b & 1)
-            sets += [(int(group[x[0]]), 1 << b, term[x]) for x in np.split(at, np.flatnonzero(np.diff(group[at])) + 1) if len(x)]
-        for g, weight, terms in sets:
-            for at in range(0, len(terms), ROW_TERMS):
-                lists = pa.array([names.take(pa.array(terms[at:at + ROW_TERMS])).cast(pa.string())], pa.list_(pa.string()))
-                yield pa.RecordBatch.from_arrays([pa.array([groups[g][0]], pa.string()), pa.array([groups[g][1]], pa.string()), lists,
-                                                  pa.array([weight], pa.int64())], ["lang", "source", "terms", "weight"])
+        key = key[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        group, term, total = key[first] // len(names), key[first] % len(names), np.add.reduceat(counts[order], first)
+        for shift in range(0, int(total.max()).bit_length(), 4):
+            digit = total >> shift & 15
+            levels += [(d << shift, group[digit == d], term[digit == d]) for d in range(1, 16)]
+        for weight, g, t in levels:
+            if not len(t):
+                continue
+            key = home[t] if g is None else g * HOMES + home[t]
+            order = np.argsort(key, kind="stable")
+            t, key = t[order], key[order]
+            start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            place = np.arange(len(t)) - np.repeat(start, np.diff(np.append(start, len(t))))
+            cut = np.flatnonzero(place % ROW_TERMS == 0)
+            of = pa.array(key[cut] // HOMES)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(cut, len(t)), pa.int32()), names.take(pa.array(t)).cast(pa.string()))
+            lang, source = (pa.nulls(len(cut), pa.string()) if g is None else x.take(of) for x in (langs, sources))
+            yield pa.RecordBatch.from_arrays([lang, source, lists, pa.array([weight] * len(cut), pa.int64()), pa.array((key[cut] % HOMES).astype(np.int32))],
+                                             ["lang", "source", "terms", "weight", "home"])
 
 
 def folded(rows: DataFrame, min_df: int) -> DataFrame:
-    """Written rows (lang, source, terms, weight, seen) of what the documents of a task hold between them, see `_Fold.rows`; seen: without weight.
+    """Written rows (lang, source, terms, weight, home, seen) of what the documents of a task hold between them, see `_Fold.rows`; seen: without weight.
 
     Each term has its language in front. From the rows that are `seen`, min_df finds the terms it finds in the documents; the others times
     their weight add up to the counts of each group. Both have a term once a row.
@@ -122,8 +135,8 @@ def folded(rows: DataFrame, min_df: int) -> DataFrame:
         release()
 
     binary = rows.select("lang", "source", F.col("text").cast("binary").alias("text"))
-    made = binary.mapInArrow(run, "lang string, source string, terms array<string>, weight long")
-    return written(made.withColumn("seen", F.col("weight").isNull()), "terms", "seen")
+    made = binary.mapInArrow(run, "lang string, source string, terms array<string>, weight long, home int")
+    return written(made.withColumn("seen", F.col("weight").isNull()), "terms", "home", "seen")
 
 
 def vocabulary_bytes(seen: DataFrame, min_df: int) -> int:
@@ -163,7 +176,7 @@ def group_sums(rows: DataFrame, min_df: int = 3, bucket_bytes: int = BUCKET_BYTE
     """
     parts = folded(rows, min_df)
     buckets = max(1, -(-vocabulary_bytes(parts.filter("seen"), min_df) // bucket_bytes))
-    parts = term_buckets(parts, buckets) if buckets > 1 else parts.withColumn("bucket", F.lit(0))
+    parts = term_buckets(parts, buckets) if buckets > HOMES else parts.withColumn("bucket", F.pmod("home", F.lit(buckets)))
     groups = written(rows.select("lang", "source").distinct().withColumn("g", F.monotonically_increasing_id()), "groups")
     spark = rows.sparkSession
     sums = spark.createDataFrame([], "g long, term string, count long")

@@ -89,13 +89,13 @@ def test_rows_do_not_grow_with_the_vocabulary_or_its_buckets(spark, make):
     """600 documents in 8 tasks: some rows for each task and group, however many buckets the terms are dealt to."""
     rows = [("en", f"s{k % 2}", " ".join(f"w{chr(97 + j % 26)}{chr(97 + (j + k) % 26)}" for j in range(60))) for k in range(600)]
     parts = divergence.folded(make(rows).repartition(8), 3)
-    assert parts.filter("seen").count() <= 8 * 3 and parts.filter("not seen").count() <= 8 * 2 * 10
+    assert parts.filter("seen").count() <= 8 * 3 * divergence.HOMES and parts.filter("not seen").count() <= 8 * 2 * 30 * divergence.HOMES
     total = parts.filter("not seen").select("weight", divergence.F.explode("terms").alias("term")).groupBy("term").agg(divergence.F.sum("weight").alias("n"))
     want = Counter(f"en\x00{w}" for _, _, t in rows for w in t.split())
     assert {r.term: r.n for r in total.collect()} == want
 
 
-@pytest.mark.parametrize("terms, row_terms, bytes_", [(1, 1 << 16, 20), (7, 2, 20), (1 << 20, 3, 7), (50, 1, divergence.BUCKET_BYTES)])
+@pytest.mark.parametrize("terms, row_terms, bytes_", [(1, 1 << 16, 20), (7, 2, 20), (1 << 20, 3, 7), (50, 1, divergence.BUCKET_BYTES), (1 << 20, 1 << 16, 60)])
 def test_folds_rows_and_buckets_of_all_sizes(make, monkeypatch, terms, row_terms, bytes_):
     """Vocabulary and counts are those of the documents, wherever folds end and rows are cut."""
     monkeypatch.setattr(divergence, "FOLD_TERMS", terms)
