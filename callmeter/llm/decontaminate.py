@@ -87,8 +87,8 @@ def shared_windows(rows: DataFrame, items: DataFrame, bound: int, least: float)
 def blocks(fp: str, flips: int = 0) -> Column:
     """(block, value) of a fingerprint, with every value that up to `flips` changed bits of a block make."""
     masks = [sum(1 << b for b in bits) for k in range(flips + 1) for bits in combinations(range(BLOCK_BITS), k)]
-    own = [F.shiftrightunsigned(fp, BLOCK_BITS * i).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)) for i in range(BLOCKS)]
-    return F.array(*[F.struct(F.lit(i).alias("block"), v.bitwiseXOR(F.lit(m)).alias("value")) for i, v in enumerate(own) for m in masks])
+    value = f"shiftrightunsigned({fp}, {BLOCK_BITS} * i) & {(1 << BLOCK_BITS) - 1}L"
+    return F.expr(f"flatten(transform(sequence(0, {BLOCKS - 1}), i -> transform(array({', '.join(f'{m}L' for m in masks)}), m -> struct(i AS block, ({value}) ^ m AS value))))")
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame, least: float = 0.8, radius: int = 20, bound: int = 200_000) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from callmeter.llm.common import slices, text_batches
+from callmeter.llm.common import release, slices, text_batches
 
 BUCKETS = 1 << 18
 GRADES = 3
@@ -111,14 +111,27 @@ def _features_of(rows: DataFrame, *keep: str) -> DataFrame:
 def train(documents: DataFrame, labels: DataFrame, sample: int = 6000) -> CumulativeLink:
     """Fits on at most `sample` labelled documents, those of the smallest hashed ids: a sample of all labels, of a fixed size.
 
+    The sample is fitted in one task, so that the driver gets the model and none of the rows.
     Of several labels of a document the worst grade counts. Labels without a document, or without doc_id, are left out.
     """
     graded = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.min(grade(F.col("quality"), F.col("toxic"))).alias("__grade"))
     ids = documents.select("doc_id").filter("doc_id is not null")
     chosen = graded.join(ids, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most `sample` ids
-    held = _features_of(rows, "doc_id", "__grade").orderBy("doc_id", "found").limit(sample).toPandas()
-    return fit([np.frombuffer(f, np.int32) for f in held.found], held["__grade"].to_numpy(np.int64))
+    held = _features_of(rows, "doc_id", "__grade").orderBy("doc_id", "found").limit(sample)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, grades = [], [np.zeros(0, np.int64)]
+        for b in batches:
+            found += [np.frombuffer(f.as_buffer(), np.int32) for f in b.column(0)]
+            grades.append(b.column(1).to_numpy().astype(np.int64))
+        model = fit(found, np.concatenate(grades))
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (model.weights, model.thresholds)], ["weights", "thresholds"])
+        del found, model
+        release()
+
+    made = held.select("found", "__grade").mapInArrow(run, "weights binary, thresholds binary").collect()
+    return CumulativeLink(*(np.frombuffer(x, np.float64) for x in made[0])) if made else fit([], np.zeros(0, np.int64))
 
 
 def scored(documents: DataFrame, model: CumulativeLink, least: float = 0.65, passing: bool = False) -> DataFrame:
