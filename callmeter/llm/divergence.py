@@ -29,16 +29,18 @@ EVERY_TERM = 2**31 - 1
 BLOCK = 1 << 20
 #: Bytes of the vocabulary of a bucket of terms.
 BUCKET_BYTES = 8_000_000
-#: Terms of documents, and bytes of their texts, that are folded at once; most terms of a row; terms that are looked at for the vocabulary's size.
-FOLD_TERMS, FOLD_BYTES, ROW_TERMS, SAMPLE_TERMS = 1 << 20, 1 << 26, 1 << 16, 1_000_000
-#: Parts by hash in which folded terms are written; up to so many buckets need no other pass.
-HOMES = 8
+#: Terms of documents, and bytes of their texts, that are folded at once; most terms of a row.
+FOLD_TERMS, FOLD_BYTES, ROW_TERMS = 1 << 21, 1 << 26, 1 << 16
+#: Hashes by which folded terms are dealt (more for a table of over 8 * HOMES splits); bytes of a part, some of these hashes, that is folded again; the
+#: fewest parts. As many buckets as parts need no other pass.
+HOMES, PART_BYTES, LEAST_PARTS = 256, 12_000_000, 8
 
 
 def probability(count: Column, total: Column, terms: Column) -> Column:
-    """1 + floor(SCALE * (count + 1) / (total + terms)), exact for counts of any size."""
-    over = (F.lit(SCALE).cast("decimal(18,0)") * (count + 1).cast("decimal(19,0)")).alias("over")
-    return F.when(terms > 0, F.call_function("div", over, (total + terms).cast("decimal(19,0)")) + 1).cast("long")
+    """1 + floor(SCALE * (count + 1) / (total + terms)), exact for counts of any size; decimals only where a long would overflow."""
+    over, under = F.lit(SCALE).cast("decimal(18,0)") * (count + 1).cast("decimal(19,0)"), total + terms
+    exact = F.when(count < 2**63 // SCALE - 1, F.call_function("div", F.lit(SCALE).cast("long") * (count + 1).cast("long"), under.cast("long")))
+    return F.when(terms > 0, exact.otherwise(F.call_function("div", over, under.cast("decimal(19,0)"))) + 1).cast("long")
 
 
 def distance(p: str, q: str) -> Column:
@@ -46,30 +48,46 @@ def distance(p: str, q: str) -> Column:
 
 
 class _Ids(dict):
-    """Numbers terms in order of appearance and notes each with a prefix in `names`."""
+    """Numbers terms in order of appearance and notes each in `names`, and `own` in `of`."""
 
-    def __init__(self, prefix: bytes, names: list[bytes]) -> None:
-        self.prefix, self.names = prefix, names
+    def __init__(self, own: int, names: list[bytes], of: array) -> None:
+        self.own, self.names, self.of = own, names, of
 
     def __missing__(self, term: bytes) -> int:
         i = self[term] = len(self.names)
-        self.names.append(self.prefix + term)
+        self.names.append(term)
+        self.of.append(self.own)
         return i
 
 
+def _starts(key: np.ndarray) -> np.ndarray:
+    """Where in sorted keys a new one begins."""
+    return np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+
+
+def _added(group: np.ndarray, term: np.ndarray, count: np.ndarray, terms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """group, term and the sum of the counts, each group and term once."""
+    key = group.astype(np.int64) * terms + term
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = _starts(key)
+    return key[first] // terms, key[first] % terms, np.add.reduceat(count[order].astype(np.int64), first)
+
+
 class _Fold:
     """What documents hold between them, until `rows` hands it over: per group and term the count, per term the number of documents."""
 
-    def __init__(self) -> None:
-        self.names: list[bytes] = []
+    def __init__(self, homes: int) -> None:
+        self.homes, self.names, self.of_lang, self.langs = homes, [], array("i"), []
         self.known: dict[str, _Ids] = {}
         self.groups: dict[tuple[str, str], int] = {}
-        self.ids, self.counts, self.lengths, self.of = array("q"), array("q"), array("q"), array("q")
+        self.ids, self.counts, self.lengths, self.of = array("i"), array("i"), array("i"), array("i")
         self.bytes = 0
 
     def add(self, lang: str, source: str, text: bytes) -> None:
         if lang not in self.known:
-            self.known[lang] = _Ids(f"{lang}{MARK}".encode(), self.names)
+            self.known[lang] = _Ids(len(self.langs), self.names, self.of_lang)
+            self.langs.append(lang)
         found = Counter(text.translate(LETTERS).split())
         self.ids.extend(map(self.known[lang].__getitem__, found))
         self.counts.extend(found.values())
@@ -81,69 +99,124 @@ class _Fold:
         return len(self.ids) >= FOLD_TERMS or self.bytes >= FOLD_BYTES
 
     def rows(self, min_df: int) -> Iterator[pa.RecordBatch]:
-        """Rows (lang, source, terms, weight, home). Without weight, those of k up to min_df have the terms of k documents or more, so that a term is
-        in as many of them as in documents, or in min_df; with weight d * 16 ** i, the terms whose count in the group has d as digit i. home: by hash."""
+        """A row for each language and home (a hash of the term): the terms with a space between, for each the number of documents (min_df at
+        most), and the counts as three lists: places in `sources`, places among the terms, counts. Numbers are packed, so that no engine takes them apart."""
         ids, counts = np.array(self.ids, np.int64), np.array(self.counts, np.int64)
         if not len(ids):
             return
-        names, langs, sources = pa.array(self.names, pa.binary()), *(pa.array([g[i] for g in self.groups], pa.string()) for i in (0, 1))
-        home = np.fromiter((crc32(n) % HOMES for n in self.names), np.int64, len(self.names))
-        df = np.bincount(ids)
-        levels = [(None, None, np.flatnonzero(df >= k)) for k in range(1, min(min_df, int(df.max())) + 1)]
-        key = np.repeat(np.array(self.of, np.int64), np.array(self.lengths, np.int64)) * len(names) + ids
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        group, term, total = key[first] // len(names), key[first] % len(names), np.add.reduceat(counts[order], first)
-        for shift in range(0, int(total.max()).bit_length(), 4):
-            digit = total >> shift & 15
-            levels += [(d << shift, group[digit == d], term[digit == d]) for d in range(1, 16)]
-        for weight, g, t in levels:
-            if not len(t):
-                continue
-            key = home[t] if g is None else g * HOMES + home[t]
-            order = np.argsort(key, kind="stable")
-            t, key = t[order], key[order]
-            start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            place = np.arange(len(t)) - np.repeat(start, np.diff(np.append(start, len(t))))
-            cut = np.flatnonzero(place % ROW_TERMS == 0)
-            of = pa.array(key[cut] // HOMES)
-            lists = pa.ListArray.from_arrays(pa.array(np.append(cut, len(t)), pa.int32()), names.take(pa.array(t)).cast(pa.string()))
-            lang, source = (pa.nulls(len(cut), pa.string()) if g is None else x.take(of) for x in (langs, sources))
-            yield pa.RecordBatch.from_arrays([lang, source, lists, pa.array([weight] * len(cut), pa.int64()), pa.array((key[cut] % HOMES).astype(np.int32))],
-                                             ["lang", "source", "terms", "weight", "home"])
+        n, sources = len(self.names), [g[1] for g in self.groups]
+        df = np.minimum(np.bincount(ids, minlength=n), min_df).astype(np.int64)
+        group, term, total = _added(np.repeat(np.array(self.of, np.int64), np.array(self.lengths, np.int64)), ids, counts, n)
+        box = np.fromiter(map(crc32, self.names), np.int64, n) % self.homes + np.array(self.of_lang, np.int64) * self.homes
+        by_box = np.argsort(box, kind="stable")
+        start = _starts(box[by_box])
+        place = np.empty(n, np.int64)
+        place[by_box] = np.arange(n) - np.repeat(start, np.diff(np.append(start, n)))
+        order = np.argsort(box[term], kind="stable")
+        group, total, held, place = group[order], total[order], box[term[order]], place[term[order]]
+        cells = _starts(held)  # every term has a count, so boxes of terms and of counts are the same
+        out: list[tuple] = []
+        for lo, hi, x, y in zip(start, np.append(start[1:], n), cells, np.append(cells[1:], len(held))):
+            own, at = np.unique(group[x:y], return_inverse=True)
+            terms = by_box[lo:hi]
+            out.append((int(held[x] % self.homes), self.langs[held[x] // self.homes], b" ".join([self.names[t] for t in terms]), df[terms].tobytes(),
+                        [sources[g] for g in own], at.astype(np.int32).tobytes(), place[x:y].astype(np.int32).tobytes(), total[x:y].tobytes()))
+        kinds = (pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.list_(pa.string()), pa.binary(), pa.binary(), pa.binary())
+        for lo in range(0, len(out), 200):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[lo:lo + 200]), kinds)], FOLD_COLUMNS)
+
+
+FOLD_COLUMNS = ["home", "lang", "names", "docs", "sources", "source_at", "term_at", "counts"]
+FOLD_SCHEMA = "home int, lang string, names binary, docs binary, sources array<string>, source_at binary, term_at binary, counts binary"
+
+
+def merged(folds: pa.Table, min_df: int) -> pa.Table:
+    """Rows (lang, source, terms, weight, bytes, home) of all folds' rows of a part of the terms, each term with its language in front.
+
+    Without weight, those of k up to min_df have the terms of k documents or more, so that a term is in as many of them as in documents, or in
+    min_df; bytes has those of the terms of min_df documents. With weight d * 16 ** i, they have the terms whose count in the group has d as
+    digit i; terms of fewer documents, which no vocabulary has, are left out.
+    """
+    names, of_lang, langs, known, groups = [], array("i"), [], {}, {}
+    ids, docs, group, term, count = ([np.zeros(0, np.int64)] for _ in range(5))
+    for batch in folds.to_batches():
+        get = batch.column
+        for k, lang in enumerate(get("lang").to_pylist()):
+            if lang not in known:
+                known[lang] = _Ids(len(langs), names, of_lang)
+                langs.append(lang)
+            own = np.fromiter(map(known[lang].__getitem__, get("names")[k].as_py().split()), np.int64)
+            of = np.array([groups.setdefault((lang, s), len(groups)) for s in get("sources")[k].as_py()], np.int64)
+            ids.append(own)
+            docs.append(np.frombuffer(get("docs")[k].as_buffer(), np.int64))
+            group.append(of[np.frombuffer(get("source_at")[k].as_buffer(), np.int32)])
+            term.append(own[np.frombuffer(get("term_at")[k].as_buffer(), np.int32)])
+            count.append(np.frombuffer(get("counts")[k].as_buffer(), np.int64))
+    df = np.zeros(len(names), np.int64)
+    np.add.at(df, np.concatenate(ids), np.concatenate(docs))
+    g, t, total = _added(np.concatenate(group), np.concatenate(term), np.concatenate(count), len(names))
+    enough = df[t] >= min_df
+    g, t, total = g[enough], t[enough], total[enough]
+    marks = [f"{lang}{MARK}".encode() for lang in langs]
+    full = pa.array([marks[k] + name for k, name in zip(of_lang, names)], pa.binary())
+    levels = [(None, None, np.flatnonzero(df >= k)) for k in range(1, min(min_df, int(df.max(initial=0))) + 1)]
+    wide = sum(len(marks[of_lang[i]]) + len(names[i]) for i in np.flatnonzero(df >= min_df))
+    for shift in range(0, int(total.max(initial=0)).bit_length(), 4):
+        digit = total >> shift & 15
+        levels += [(d << shift, g[digit == d], t[digit == d]) for d in range(1, 16)]
+    lang, source = (pa.array([x[i] for x in groups], pa.string()) for i in (0, 1))
+    out = []
+    for weight, of, terms in levels:
+        if not len(terms):
+            continue
+        key = np.zeros(len(terms), np.int64) if of is None else of  # sorted
+        start = _starts(key)
+        cut = np.flatnonzero((np.arange(len(key)) - np.repeat(start, np.diff(np.append(start, len(key))))) % ROW_TERMS == 0)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(cut, len(key)), pa.int32()), full.take(pa.array(terms)).cast(pa.string()))
+        sides = [pa.nulls(len(cut), pa.string()) if of is None else x.take(pa.array(key[cut])) for x in (lang, source)]
+        size = np.zeros(len(cut), np.int64)
+        if not out:
+            size[0] = wide
+        out.append(pa.table([*sides, lists, pa.array([weight] * len(cut), pa.int64()), pa.array(size), pa.array(np.full(len(cut), folds.column("part")[0].as_py(), np.int32))],
+                            ["lang", "source", "terms", "weight", "bytes", "home"]))
+    return pa.concat_tables(out)
 
 
 def folded(rows: DataFrame, min_df: int) -> DataFrame:
-    """Written rows (lang, source, terms, weight, home, seen) of what the documents of a task hold between them, see `_Fold.rows`; seen: without weight.
+    """Written rows (lang, source, terms, weight, bytes, home, seen) of what all documents hold between them, see `merged`; seen: without weight.
 
-    Each term has its language in front. From the rows that are `seen`, min_df finds the terms it finds in the documents; the others times
+    What the documents of a task hold is folded first, then dealt by terms and folded again, so that a term or count comes once, in how many
+    tasks it may be. From the rows that are `seen`, min_df finds the terms it finds in the documents; the others times
     their weight add up to the counts of each group. Both have a term once a row.
     """
     text_batches(rows.sparkSession)
+    binary = rows.select("lang", "source", F.col("text").cast("binary").alias("text"))
+    homes = max(HOMES, binary.rdd.getNumPartitions() // 8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Fold()
+        held = _Fold(homes)
         for batch in slices(batches):
             for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), batch.column("text")):
                 held.add(lang, source, text.as_py())
                 if held.full():
                     yield from held.rows(min_df)
-                    held = _Fold()
+                    held = _Fold(homes)
         yield from held.rows(min_df)
         del held
         release()
 
-    binary = rows.select("lang", "source", F.col("text").cast("binary").alias("text"))
-    made = binary.mapInArrow(run, "lang string, source string, terms array<string>, weight long, home int")
-    return written(made.withColumn("seen", F.col("weight").isNull()), "terms", "home", "seen")
-
+    def merge(t: pa.Table) -> pa.Table:
+        out = merged(t, min_df)
+        del t
+        release()
+        return out
 
-def vocabulary_bytes(seen: DataFrame, min_df: int) -> int:
-    """Bytes of the terms that at least min_df rows of seen (terms) hold, of many by a sample of terms."""
-    share = 1 + (seen.agg(F.sum(F.size("terms"))).first()[0] or 0) // SAMPLE_TERMS
-    each = seen.select(F.explode("terms").alias("term")).filter(F.pmod(F.xxhash64("term"), F.lit(share)) == 0)
-    return share * (each.groupBy("term").count().filter(F.col("count") >= min_df).agg(F.sum(F.octet_length("term"))).first()[0] or 0)
+    folds = written(binary.mapInArrow(run, FOLD_SCHEMA), "folds")
+    size = folds.agg(F.sum(sum((F.octet_length(c) for c in ("names", "docs", "term_at", "counts")), F.lit(0).cast("long")))).first()[0] or 0
+    parts = min(homes, max(LEAST_PARTS, -(-size // PART_BYTES)))
+    dealt = folds.withColumn("part", F.pmod("home", F.lit(parts)))
+    made = dealt.groupBy("part").applyInArrow(merge, "lang string, source string, terms array<string>, weight long, bytes long, home int")
+    return written(made.withColumn("seen", F.col("weight").isNull()), "terms", "home", "seen")
 
 
 def term_buckets(parts: DataFrame, buckets: int) -> DataFrame:
@@ -167,16 +240,18 @@ def term_buckets(parts: DataFrame, buckets: int) -> DataFrame:
     return written(dealt, "buckets", "bucket", "seen")
 
 
-def group_sums(rows: DataFrame, min_df: int = 3, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, DataFrame]:
-    """(lang, source, term, count) of the terms that at least `min_df` documents of the language hold, where count > 0; and these (lang, term).
+def group_sums(rows: DataFrame, min_df: int = 3, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(g, term, count) of the terms that at least `min_df` documents of the language hold, where count > 0; these (lang, term); and the
+    groups (lang, source, g).
 
-    What the documents of a task hold is folded first; CountVectorizer makes the vocabulary of it, exactly that of the documents, and sparse
+    What the documents hold is folded first; CountVectorizer makes the vocabulary of it, exactly that of the documents, and sparse
     vectors, which are summed by group, sparse as they are. Terms carry their language, so one fit gives a vocabulary per language. If the
     vocabulary has more than `bucket_bytes`, what bounds it on the driver and in an executor, it is done bucket by bucket of terms.
     """
     parts = folded(rows, min_df)
-    buckets = max(1, -(-vocabulary_bytes(parts.filter("seen"), min_df) // bucket_bytes))
-    parts = term_buckets(parts, buckets) if buckets > HOMES else parts.withColumn("bucket", F.pmod("home", F.lit(buckets)))
+    size, homes = parts.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count_distinct("home")).first()
+    buckets = max(1, -(-size // bucket_bytes))
+    parts = term_buckets(parts, buckets) if buckets > homes else parts.withColumn("bucket", F.pmod("home", F.lit(buckets)))
     groups = written(rows.select("lang", "source").distinct().withColumn("g", F.monotonically_increasing_id()), "groups")
     spark = rows.sparkSession
     sums = spark.createDataFrame([], "g long, term string, count long")
@@ -199,7 +274,7 @@ def group_sums(rows: DataFrame, min_df: int = 3, bucket_bytes: int = BUCKET_BYTE
                  .groupBy("g", F.col("c.at").alias("at")).agg(F.sum(F.col("weight") * F.col("c.n").cast("long")).alias("count")))
         sums = sums.union(written(cells.join(small(words.drop("lang")), "at").select("g", "term", "count"), "sums"))
         kept = kept.union(words.select("lang", "term"))
-    return sums.join(small(groups), "g").select("lang", "source", "term", "count"), kept
+    return sums, kept, groups
 
 
 def shared_terms(terms: DataFrame) -> DataFrame:
@@ -244,15 +319,15 @@ def audit(documents: DataFrame, min_df: int = 3, top: int = 200, bucket_bytes: i
     counts of equal probabilities; only terms that two sources share are met pair by pair, and are summed where they lie.
     """
     rows = documents.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")))
-    sums, kept = group_sums(rows, min_df, bucket_bytes)
-    totals = sums.groupBy("lang", "source").agg(F.sum("count").alias("total"), F.count("*").alias("held"))
+    sums, kept, groups = group_sums(rows, min_df, bucket_bytes)
+    totals = sums.groupBy("g").agg(F.sum("count").alias("total"), F.count("*").alias("held"))
     terms = kept.groupBy("lang").agg(F.count("*").alias("kept"))
-    stats = rows.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(terms, "lang", "left").fillna(0)
+    stats = groups.join(totals, "g", "left").join(terms, "lang", "left").fillna(0, ["total", "held", "kept"])
     stats = written(stats.withColumn("zero", probability(F.lit(0), F.col("total"), F.col("kept")))
-                    .withColumn("lang_total", F.sum("total").over(Window.partitionBy("lang"))).withColumn("g", F.monotonically_increasing_id()), "stats")
-    cells = (sums.join(small(stats), ["lang", "source"]).withColumn("p", probability(F.col("count"), F.col("total"), F.col("kept")))
+                    .withColumn("lang_total", F.sum("total").over(Window.partitionBy("lang"))), "stats")
+    cells = (sums.join(small(stats), "g").withColumn("p", probability(F.col("count"), F.col("total"), F.col("kept")))
              .groupBy("lang", "term").agg(probability(F.sum("count"), F.first("lang_total"), F.first("kept")).alias("q"),
-                                          F.collect_list(F.struct("g", "source", "p", "zero")).alias("cells")))
+                                          F.collect_list(F.struct("g", "p", "zero")).alias("cells")))
     cells = written(cells, "cells")
 
     other = small(stats.select("lang", F.col("g").alias("other"), F.col("zero").alias("other_zero")))
@@ -267,8 +342,8 @@ def audit(documents: DataFrame, min_df: int = 3, top: int = 200, bucket_bytes: i
     lacking = (F.col("kept") - F.col("held") - F.col("other_held")) * distance("zero", "other_zero")
     pairs = (left.join(right, "lang").filter("a <> b").join(more, ["a", "b"], "left")
              .select("lang", "source", F.lit("pair").alias("part"), "item", F.coalesce(lacking + F.coalesce("more", F.lit(0)), F.lit(0)).alias("value")))
-    own = (cells.select("lang", F.col("term").alias("item"), "q", F.explode("cells").alias("c")).select("lang", "c.source", "item", "c.p", "q").filter("p > q")
-           .select("lang", "source", F.lit("term").alias("part"), "item", distance("p", "q").alias("value")))
-    order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
-    ranked = [pairs.withColumn("rank", F.row_number().over(order)), own.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)]
-    return ranked[0].union(ranked[1])
+    own = cells.select(F.col("term").alias("item"), "q", F.explode("cells").alias("c")).select("c.g", "item", "c.p", "q").filter("p > q").select("g", "item", distance("p", "q").alias("value"))
+    order = [F.desc("value"), "item"]
+    first = own.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy(*order))).filter(F.col("rank") <= top)
+    named = first.join(small(stats.select("g", "lang", "source")), "g").select("lang", "source", F.lit("term").alias("part"), "item", "value", "rank")
+    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source").orderBy(*order))).union(named)

@@ -102,3 +102,12 @@ def test_folds_rows_and_buckets_of_all_sizes(make, monkeypatch, terms, row_terms
     monkeypatch.setattr(divergence, "ROW_TERMS", row_terms)
     rows = ODD + [("en", "hot" if k % 3 else f"s{k % 5}", " ".join(f"w{chr(97 + k * j % 23)}" for j in range(k % 9))) for k in range(60)]
     assert run(make(rows), bucket_bytes=bytes_) == plain(rows)
+
+
+def test_a_term_is_written_once_in_however_many_tasks_it_is(spark, make):
+    """Before, each task wrote its terms and counts anew: 8 times the strings here."""
+    rows = [("en", f"s{k % 2}", " ".join(f"w{chr(97 + j)}" for j in range(20)) + f" once{'x' * (k + 1)}") for k in range(64)]
+    parts = divergence.folded(make(rows).repartition(8), 3)
+    strings = {r.seen: r.n for r in parts.groupBy("seen").agg(divergence.F.sum(divergence.F.size("terms")).alias("n")).collect()}
+    assert strings == {True: 3 * 20 + 64, False: 2 * 20}  # counts of 32 have one digit that is not 0; words of one document have no count
+    assert run(make(rows).repartition(8)) == plain(rows)
