@@ -6,7 +6,7 @@ from typing import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from callmeter.session import cut
+from callmeter.session import cut, dealt
 
 c = F.col
 Merge = Callable[[dict[str, Column], dict[str, Column], Column], dict[str, Column]]
@@ -55,7 +55,7 @@ class Lift:
         while 2 ** len(self.levels) <= limit:
             width = 2 ** (len(self.levels) - 1)
             above = level.select("session_key", c("at").alias("up"), c("up").alias("__up"), *[c(n).alias(f"__{n}") for n in self.names])
-            level = cut(level.join(above, ["session_key", "up"]).select("session_key", "at", c("__up").alias("up"), *self._merged(F.lit(width))))
+            level = cut(level.join(dealt(above), ["session_key", "up"]).select("session_key", "at", c("__up").alias("up"), *self._merged(F.lit(width))))
             if level.isEmpty():
                 break
             self.levels.append(level)
@@ -69,7 +69,7 @@ class Lift:
         for k in reversed(range(len(self.levels))):
             step = self.levels[k].select("session_key", "at", c("up").alias("__up"), *[c(n).alias(f"__{n}") for n in self.names], F.lit(True).alias("__hit"))
             go = F.coalesce("__hit", F.lit(False)) & (c("hops") + 2**k <= self.limit)
-            walks = walks.join(step, ["session_key", "at"], "left").select(
+            walks = walks.join(dealt(step), ["session_key", "at"], "left").select(
                 "session_key", "key", F.when(go, c("__up")).otherwise(c("at")).alias("at"), (c("hops") + F.when(go, 2**k).otherwise(0)).alias("hops"),
                 *self._merged(c("hops"), go))
         return cut(walks)
@@ -104,7 +104,7 @@ def trigger_walk(calls: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFra
                          F.array().cast("array<string>").alias("ids"), none.cast("bigint").alias("first_us"))
     ends = None
     while True:  # once, and once more for each line of the call itself that stands above it
-        here = cut(lift.climb(walks).join(right, ["session_key", "at"], "left"))
+        here = cut(lift.climb(walks).join(dealt(right), ["session_key", "at"], "left"))
         own = F.coalesce((c("kind") == "assistant") & (c("__call") == c("key")), F.lit(False)) & (c("hops") < MAX_HOPS)
         ends = here.filter(~own) if ends is None else ends.unionByName(here.filter(~own))
         walks = here.filter(own).select("session_key", "key", c("__up").alias("at"), (c("hops") + 1).alias("hops"), "chars", "ids", "first_us")
@@ -119,7 +119,7 @@ def trigger_walk(calls: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFra
     past = Lift(nodes, c("kind") != "assistant", {"edge": F.when(c("boundary"), F.lit(0).cast("bigint"))}, _edge, COMPACTION_HOPS)
     begun = calls.select("session_key", "key", c("parent").alias("at"), F.lit(0).cast("bigint").alias("hops"), none.cast("bigint").alias("edge"))
     compacted = past.climb(begun).select("session_key", "key", c("edge").isNotNull().alias("after_compaction"))
-    return found.join(compacted, ["session_key", "key"]), ends.select("session_key", "key", F.explode("ids").alias("tool_use_id"))
+    return found.join(dealt(compacted), ["session_key", "key"]), ends.select("session_key", "key", F.explode("ids").alias("tool_use_id"))
 
 
 def launched_tasks(calls: DataFrame, launcher: DataFrame) -> DataFrame:
@@ -136,5 +136,5 @@ def launched_tasks(calls: DataFrame, launcher: DataFrame) -> DataFrame:
         if waiting in (0, before):  # nothing left, or only launches in a ring
             return calls.drop("launch_key")
         up = calls.select("session_key", c("key").alias("launch_key"), c("task_id").alias("__task"), c("launch_key").alias("__up"))
-        moved = calls.filter(open_).join(up, ["session_key", "launch_key"], "left").withColumns({"task_id": c("__task"), "launch_key": c("__up")}).drop("__task", "__up")
+        moved = calls.filter(open_).join(dealt(up), ["session_key", "launch_key"], "left").withColumns({"task_id": c("__task"), "launch_key": c("__up")}).drop("__task", "__up")
         calls = calls.filter(~open_).unionByName(moved)

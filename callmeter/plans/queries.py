@@ -14,7 +14,7 @@ from callmeter.operators import (
     textscan, tree)
 from callmeter.operators.ordered import SLICE, running_sum, scan, with_slices
 from callmeter.plans import bridge
-from callmeter.session import cut, scratch_path
+from callmeter.session import cut, dealt, scratch_path
 from callmeter.streaming import corrections, live as streams, sessions
 
 c = F.col
@@ -521,9 +521,9 @@ def task_chain(v: Views) -> DataFrame:
 
 @query
 def trigger_walk(v: Views) -> DataFrame:
-    calls = reconstruct.dedup_calls(v.parsed)
-    walk, _ = chains.trigger_walk(calls.select("session_key", "key", c("first.parent").alias("parent")), reconstruct.line_nodes(v.parsed))
-    both = walk.join(calls.select("session_key", "key", "first.thread"), ["session_key", "key"])
+    calls = cut(reconstruct.dedup_calls(v.parsed).select("session_key", "key", "first.parent", "first.thread"))
+    walk, _ = chains.trigger_walk(calls.select("session_key", "key", "parent"), reconstruct.line_nodes(v.parsed))
+    both = walk.join(dealt(calls.select("session_key", "key", "thread")), ["session_key", "key"])
     trigger = (F.when(c("thread") != "main", "subagent").when(c("outcome") == "prompt", "user_turn").when(c("has_ids"), "tool_call")
                .otherwise("user_turn"))
     return both.select(F.substring("key", 2, 20).cast("bigint").alias("turn_id"), trigger.alias("trigger"),

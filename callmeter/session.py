@@ -38,3 +38,12 @@ def cut(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """A side of a join that is dealt out by key, whatever its size is taken for.
+
+    The plan takes a cut table for a part of the files it began with. Lines made from a small file are many times larger, and would go whole
+    through the driver as a broadcast.
+    """
+    return df.hint("merge")
