@@ -32,7 +32,7 @@ def nearest_prompt(nodes: DataFrame) -> DataFrame:
             break
         up = state.select("session_key", c("uuid").alias("target"), c("root_prompt").alias("__r"), c("target").alias("__t"),
                           c("hops").alias("__h"))
-        moved = state.filter(is_open).join(up, ["session_key", "target"], "left").select(
+        moved = state.filter(is_open).join(dealt(up), ["session_key", "target"], "left").select(
             "session_key", "uuid", c("__r").alias("root_prompt"), c("__t").alias("target"),
             (c("hops") + F.coalesce("__h", F.lit(0))).alias("hops"))
         state = moved.unionByName(state.filter(~is_open))

@@ -11,7 +11,7 @@ from callmeter.functions.text import command_of
 from callmeter.operators.chains import launched_tasks, nearest_prompt, trigger_walk
 from callmeter.operators.reports import top_per_group
 from callmeter.operators.tasks import READ_TOOLS, SEARCH_TOOLS, WRITE_TOOLS, guess_family
-from callmeter.session import cut
+from callmeter.session import cut, dealt
 
 c = F.col
 KEY = ["session_key"]
@@ -288,7 +288,7 @@ def reconstruct(lines: DataFrame, sidecars: DataFrame | None = None, source: str
     # -- tasks of calls: up the chain, else the launcher's task (a launcher may itself be launched)
     roots = nearest_prompt(nodes)
     first = calls.select(*KEY, "key", "session_id", c("first.uuid").alias("uuid"), c("first.thread").alias("thread"))
-    call_tasks = first.join(roots, [*KEY, "uuid"], "left").select(*KEY, "key", "thread", "session_id", c("root_prompt").alias("task_id"))
+    call_tasks = first.join(dealt(roots), [*KEY, "uuid"], "left").select(*KEY, "key", "thread", "session_id", c("root_prompt").alias("task_id"))
     call_tasks = launched_tasks(call_tasks, launcher)
     call_tasks = cut(call_tasks.withColumn("task_id", F.coalesce("task_id", F.concat("session_id", F.lit(":untracked"))))
                      .select(*KEY, "key", "task_id"))

@@ -515,7 +515,7 @@ def lines_per_call(v: Views) -> DataFrame:
 def task_chain(v: Views) -> DataFrame:
     roots = chains.nearest_prompt(reconstruct.line_nodes(v.parsed))
     first = reconstruct.dedup_calls(v.parsed).select("session_key", "key", c("first.uuid").alias("uuid"))
-    return first.join(roots, ["session_key", "uuid"], "left").select(
+    return first.join(dealt(roots), ["session_key", "uuid"], "left").select(
         F.substring("key", 2, 20).cast("bigint").alias("turn_id"), F.coalesce(c("root_prompt").cast("bigint"), F.lit(-1)).alias("task_id"))
 
 
