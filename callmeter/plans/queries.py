@@ -747,7 +747,7 @@ def stream_live_sessions(v: Views) -> DataFrame:
 def stream_session_state(v: Views) -> DataFrame:
     """The last row of each session from the stateful stream, and when its lifetime ended without a further call."""
     calls, delay = _landed_calls(v)
-    emitted = streams.drain(sessions.live_sessions(calls, delay), "update", "session-state").filter(c("session_key") != streams.MARK_SESSION)
+    emitted = streams.drain(sessions.live_sessions(calls, delay, buckets=streams.buckets_for(v.rows)), "update", "session-state").filter(c("session_key") != streams.MARK_SESSION)
     last = F.struct("turn_id", "task_id", "k", "calls", "unpriced", "cost_p", "context", "cache_missed", "ttl")
     ended = emitted.groupBy("session_key").agg(F.max_by(last, F.when(c("kind") == "call", c("batch"))).alias("l"),
                                                F.max(F.when(c("kind") == "expired", c("at_us"))).alias("expired_us"))
