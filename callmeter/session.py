@@ -47,3 +47,11 @@ def dealt(df: DataFrame) -> DataFrame:
     through the driver as a broadcast.
     """
     return df.hint("merge")
+
+
+def stored(df: DataFrame, label: str = "stored") -> DataFrame:
+    """As `cut`, for tables of some size: Parquet in the shared folder, compressed and with its true size."""
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
