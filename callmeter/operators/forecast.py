@@ -6,7 +6,7 @@ are null unless given. Text stays outside; only its length is used here.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from callmeter.functions.labels import TTL_SECONDS, rank_slice, ttl_of_write
 from callmeter.functions.money import dollars, exact_sum
@@ -15,7 +15,7 @@ from callmeter.operators.cache import DEFAULT_TTL, SECOND_US, cache_events, call
 from callmeter.operators.ordered import last_seen, merge, running_sum, scan, with_slices
 from callmeter.operators.scores import INTERVAL, SPREAD_LIMIT
 from callmeter.operators.tasks import by_prefix, main_calls
-from callmeter.session import cut
+from callmeter.session import cut, dealt
 from callmeter.sources.prices import PriceTable, with_prices
 
 c = F.col
@@ -100,10 +100,15 @@ def choose_basis(asked: DataFrame, tasks: DataFrame, near: DataFrame | None = No
     place in the session (30 or more), all. A session's running task is not history. Counts of past
     tasks per turn number stand in for the tasks, so no prompt is joined to every task.
     """
-    # one narrow row per task and per prompt; each is read several times below
+    # one narrow row per task; it is read several times below
     tasks = cut(tasks.select("session_key", "task_id", "started_us", "turns_main", "turns", "family"))
-    asked = cut(asked)
-    near = near if near is None else cut(near.select("prompt_id", "near_id"))
+    if near is not None:
+        qs = lambda n: F.percentile(c(n), F.array(*[F.lit(x) for x in INTERVAL.values()]))
+        turns = tasks.select(c("task_id").alias("near_id"), "turns_main", "turns", F.lit(1).alias("__known"))
+        # neighbours are many times the prompts: they are read once, and go to their prompt as rows, not as half-made percentiles
+        near = cut(near.select("prompt_id", "near_id").join(dealt(turns), "near_id", "left").drop("near_id").repartition("prompt_id").groupBy("prompt_id").agg(
+            F.count(F.lit(1)).alias("n_near"), qs("turns_main").alias("__qm"), qs("turns").alias("__qa"), F.nullif(F.count("__known"), F.lit(0)).alias("__n"),
+            F.max("turns_main").alias("__mx")))
     ranks = scan(with_slices(tasks, ["session_key"], "started_us", rows), ["session_key"], ["started_us", "task_id"],
                  rank=running_sum(F.lit(1).cast("bigint")))
     past = histories(tasks, ranks)
@@ -121,7 +126,7 @@ def choose_basis(asked: DataFrame, tasks: DataFrame, near: DataFrame | None = No
         q = q.join(side, label, "left").withColumn(
             name, F.coalesce(f"__{name}", F.lit(0)) - F.when(c(mine) == c(label), 1).otherwise(0)).drop(f"__{name}")
     if near is not None:
-        q = q.join(near.groupBy("prompt_id").agg(F.count(F.lit(1)).alias("n_near")), "prompt_id", "left")
+        q = q.join(dealt(near.select("prompt_id", "n_near")), "prompt_id", "left")
     else:
         q = q.withColumn("n_near", F.lit(None).cast("bigint"))
     declared = c("family").isNotNull()
@@ -145,11 +150,7 @@ def choose_basis(asked: DataFrame, tasks: DataFrame, near: DataFrame | None = No
     out = (q.withColumn("__skip", F.coalesce("x_main", F.lit(-1))).join(main, ["basis", "label", "__skip"], "left").drop("__skip")
            .withColumn("__skip", F.coalesce("x_all", F.lit(-1))).join(every, ["basis", "label", "__skip"], "left").drop("__skip"))
     if near is not None:
-        qs = lambda n: F.percentile(c(n), F.array(*[F.lit(x) for x in INTERVAL.values()]))
-        turns = tasks.select(c("task_id").alias("near_id"), "turns_main", "turns")
-        nd = near.join(turns, "near_id").groupBy("prompt_id").agg(
-            qs("turns_main").alias("__qm"), qs("turns").alias("__qa"), F.count(F.lit(1)).alias("__n"), F.max("turns_main").alias("__mx"))
-        out = out.join(nd, "prompt_id", "left").withColumns({
+        out = out.join(dealt(near.drop("n_near")), "prompt_id", "left").withColumns({
             "qm": F.coalesce("qm", "__qm"), "qa": F.coalesce("qa", "__qa"), "samples": F.coalesce("samples", "__n"),
             "max_turns": F.coalesce("max_turns", "__mx")}).drop("__qm", "__qa", "__n", "__mx")
     names = list(INTERVAL)
@@ -163,11 +164,10 @@ def nearest_tasks(asked: DataFrame, prompts: DataFrame, k: int = 30) -> DataFram
 
     `asked` (prompt_id, last.task_id) with `prompts` (task_id, started_us, text) of all tasks; a prompt that is asked has the id of the task it opens.
     """
-    top = neighbours.nearest_earlier(prompts, "task_id", "started_us", "text", k + 1)
-    near = top.select(c("task_id").alias("prompt_id"), "near_id", "rank").join(asked.select("prompt_id", c("last.task_id").alias("__running")), "prompt_id")
-    place = Window.partitionBy("prompt_id").orderBy("rank")  # k + 1 rows
-    kept = near.filter(~c("near_id").eqNullSafe(c("__running"))).withColumn("rank", F.row_number().over(place)).filter(c("rank") <= k)
-    return neighbours.complete_only(kept, "prompt_id", k).select("prompt_id", "near_id")
+    lists = neighbours.nearest_lists(prompts, "task_id", "started_us", "text", k + 1)  # a row a prompt until the last step
+    both = lists.select(c("task_id").alias("prompt_id"), c("best.near_id").alias("near")).join(dealt(asked.select("prompt_id", c("last.task_id").alias("__running"))), "prompt_id")
+    kept = F.slice(F.filter("near", lambda x: ~x.eqNullSafe(c("__running"))), 1, k)
+    return both.select("prompt_id", kept.alias("near")).filter(F.size("near") >= k).select("prompt_id", F.explode("near").alias("near_id"))
 
 
 def frame(chosen: DataFrame, max_turns: int | None = None, max_output: int | None = None) -> DataFrame:

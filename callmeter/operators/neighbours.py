@@ -120,7 +120,10 @@ def top_lists(vecs: DataFrame, key: str, order: str, k: int = K, min_sim: float
     vector = one.groupBy(key, order).agg(F.array_sort(F.collect_list(F.struct("word", "w"))).alias("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda t, x: t + x["w"] * x["w"])).alias("norm")
     docs = in_time(vector.select(key, order, c("v.word").alias("words"), c("v.w").alias("ws"), norm), key, order)
-    longest = docs.agg(F.max("norm")).first()[0] or 0.0
+    last, longest = (x or 0 for x in docs.agg(F.max("window"), F.max("norm")).first())
+    # a window is small and takes seconds: partitions are numbered, so that they aren't joined by their size
+    most_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own, pairs = min(last + 1, most_parts), min(4 * (last + 1), most_parts)
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     near = f"array<struct<sim: double, near_order: {kinds[order]}, near_id: {kinds[key]}>>"
     names = f"`{key}` {kinds[key]}, `{order}` {kinds[order]}"
@@ -138,7 +141,7 @@ def top_lists(vecs: DataFrame, key: str, order: str, k: int = K, min_sim: float
             F.first("best").alias("best"), F.least(F.sum(c("w") * c("most")), F.sqrt(F.sum(c("w") * c("w"))) * longest).alias("__bound"))
         return cut(some.join(bound.filter(can(c("__bound"))).select(key, order), [key, order], "left_semi"))
 
-    found = stored(docs.groupBy("window").applyInArrow(lambda t: _own_window(key, order, k, min_sim, t), f"{names}, window long, norm double, best {near}"), "own-window")
+    found = stored(docs.repartition(own, "window").groupBy("window").applyInArrow(lambda t: _own_window(key, order, k, min_sim, t), f"{names}, window long, norm double, best {near}"), "own-window")
     parts, back = [], 0  # windows read before a prompt's own
     while True:
         open_q = still_open(found, c("window") - back)
@@ -154,7 +157,7 @@ def top_lists(vecs: DataFrame, key: str, order: str, k: int = K, min_sim: float
         asked = open_q.join(F.broadcast(chunks), "window").select("chunk", key, order, "words", "ws", kth.alias("kth"), at)
         held = docs.select(key, order, "words", "ws", c("window").alias("at")).join(open_q.join(F.broadcast(chunks), "window").select("chunk", at).distinct(), "at")
         held = held.select("chunk", "at", key, order, "words", "ws").toDF("__chunk", "__at", key, order, "words", "ws")
-        scored = asked.groupBy("chunk", "at").cogroup(held.groupBy("__chunk", "__at")).applyInArrow(
+        scored = asked.repartition(pairs, "chunk", "at").groupBy("chunk", "at").cogroup(held.repartition(pairs, "__chunk", "__at").groupBy("__chunk", "__at")).applyInArrow(
             lambda q, d: _earlier_window(key, order, k, min_sim, q, d), f"{names}, more {near}")
         more = scored.groupBy(key, order).agg(F.flatten(F.collect_list("more")).alias("more"))
         best = F.slice(F.sort_array(F.concat("best", F.coalesce("more", F.array().cast(near))), asc=False), 1, k)
